@@ -1,9 +1,10 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate
+from framelake.llm import decontaminate, packing
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES = {
