@@ -1,12 +1,16 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, packing
+from framelake.llm import decontaminate, packing, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_url_filters": url_filters.op2_url_filters,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_packing": packing.op8_packing,
 }
 
 ORACLES = {
+    "op1_warc": warc.SQL,
+    "op2_url_filters": url_filters.SQL,
     "op3_decontaminate": decontaminate.SQL,
 }
