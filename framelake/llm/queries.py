@@ -1,11 +1,12 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, packing, url_filters, warc
+from framelake.llm import decontaminate, packing, quality, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
 }
 
