@@ -33,6 +33,8 @@ _GAP = b"\r\n\r\n"
 _CRLF = "\r\n"
 #: Blocks of which the chain's entries are broadcast at once (about 60 bytes each); more are read in groups of files.
 MAX_BROADCAST_BLOCKS = 1_000_000
+#: Repeated payloads up to this number are broadcast (about 80 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_DIGESTS = 500_000
 
 
 def base32_sha1(payload):
@@ -46,6 +48,8 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """(id, url, payload) with payload_bytes, digest, record_type, refers_to. Only repeated payloads are joined."""
     rows = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     again = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("response_id")).where("n > 1").drop("n")
+    again = materialize(again, "warc-repeated")
+    again = F.broadcast(again) if again.count() <= MAX_BROADCAST_DIGESTS else again.hint("merge")  # payloads stay where they are if few repeat
     revisit = F.col("response_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("response_id")) & (F.col("payload_bytes") >= min_revisit_bytes)
     return rows.join(again, "digest", "left").withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("response_id"))}).drop("response_id")
 
@@ -142,12 +146,12 @@ def _reach(pointers: DataFrame, rounds: int) -> DataFrame:
     reached = pointers.where("start = 0").select("file", "start").distinct()
     jump = pointers.select("file", F.col("start").alias("from"), F.col("exit").alias("to"))
     for k in range(rounds):
-        step = reached.join(jump, (reached.file == jump.file) & (reached.start == jump["from"])).select(reached.file, F.col("to").alias("start"))
+        step = reached.hint("merge").join(jump, (reached.file == jump.file) & (reached.start == jump["from"])).select(reached.file, F.col("to").alias("start"))
         reached = materialize(reached.union(step).distinct(), f"reached-{k}")
         if k + 1 < rounds:
             then = jump.select(F.col("file").alias("f"), F.col("from").alias("via"), F.col("to").alias("end"))
-            jump = materialize(jump.join(then, (F.col("file") == F.col("f")) & (F.col("to") == F.col("via"))).select("file", "from", F.col("end").alias("to")), f"jump-{k}")
-    return reached.join(pointers.select("file", "start"), ["file", "start"], "left_semi")
+            jump = materialize(jump.hint("merge").join(then, (F.col("file") == F.col("f")) & (F.col("to") == F.col("via"))).select("file", "from", F.col("end").alias("to")), f"jump-{k}")
+    return reached.hint("merge").join(pointers.select("file", "start"), ["file", "start"], "left_semi")
 
 
 _RECORD = "file string, start long, key long, block long, header binary, payload binary, piece binary"
@@ -235,12 +239,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     found = materialize(rows.mapInArrow(_candidates, _CANDIDATE), "warc-candidates")
     in_order = Window.partitionBy("file").orderBy("block")
     blocks = found.where("bytes is not null").select("file", "block", "bytes").withColumn("base", F.sum("bytes").over(in_order) - F.col("bytes"))
-    pointers = found.where("bytes is null").join(blocks.drop("bytes"), ["file", "block"]).select("file", "block", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("exit")).alias("exit"))
+    pointers = found.where("bytes is null").hint("merge").join(blocks.drop("bytes"), ["file", "block"]).select("file", "block", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("exit")).alias("exit"))
     n_blocks, longest = blocks.groupBy("file").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(1))).first()
     if longest > 1:
         pointers = materialize(pointers, "warc-pointers")
     reached = _reach(pointers, math.ceil(math.log2(longest)))
-    entries = pointers.join(reached, ["file", "start"], "left_semi").groupBy("file", "block").agg(F.min("start").alias("entry"))
+    entries = pointers.hint("merge").join(reached, ["file", "start"], "left_semi").groupBy("file", "block").agg(F.min("start").alias("entry"))
     ahead = in_order.rowsBetween(1, Window.unboundedFollowing)
     begins = blocks.join(entries, ["file", "block"], "left").withColumn("after", F.coalesce(F.min("entry").over(ahead), F.lit(-1).cast("long"))).drop("bytes")
     begins = materialize(begins, "warc-blocks")
