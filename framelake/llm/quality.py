@@ -193,7 +193,7 @@ def _judged(texts: list[bytes], heads: tuple[Head, Head], min_quality: float, ma
 
 
 #: Fixed thresholds of the verdict.
-MIN_QUALITY, MAX_TOXIC = 0.2, 0.1
+MIN_QUALITY, MAX_TOXIC = 0.2, 0.2
 
 
 def score_quality(docs: DataFrame, heads: tuple[Head, Head], *, id_col="doc_id", text_col="text", min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC) -> DataFrame:
