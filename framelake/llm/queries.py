@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, packing, quality, url_filters, warc
+from framelake.llm import decontaminate, line_dedup, packing, quality, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,10 +8,12 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
     "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
