@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, line_dedup, packing, quality, url_filters, warc
+from framelake.llm import decontaminate, line_dedup, packing, pii, quality, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
