@@ -1,12 +1,13 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, line_dedup, packing, pii, quality, url_filters, warc
+from framelake.llm import decontaminate, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality": quality.op5_quality,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
@@ -16,5 +17,6 @@ ORACLES = {
     "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
