@@ -1,11 +1,12 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import decontaminate, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
+from framelake.llm import ctw, decontaminate, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_ctw": ctw.op4_ctw,
     "op5_quality": quality.op5_quality,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_packing": packing.op8_packing,
