@@ -107,32 +107,39 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(owner: np.ndarray, place: np.ndarray, y: np.ndarray, min_documents: int, steps: int = 80, scale: float = 0.05, decay: float = 1e-5) -> Head:
-    """Logistic regression by Adam on three quarters of the rows, calibrated on the others."""
-    held = np.arange(len(y)) % 4 == 3
+def _fit(first: np.ndarray, place: np.ndarray, y: np.ndarray, min_documents: int, steps: int = 80, scale: float = 0.05, decay: float = 1e-5) -> Head:
+    """Logistic regression by Adam on three quarters of the rows, calibrated on the others. first: of each row, in place."""
+    n = len(y)
+    held = np.arange(n) % 4 == 3
     if min(y[~held].sum(), (~held).sum() - y[~held].sum(), y[held].sum(), held.sum() - y[held].sum()) < 1:
         return Head(None)
-    documents = np.bincount(place, minlength=1 << BITS)
+    blocks = [(i, min(i + 500, n)) for i in range(0, n, 500)]  # keeps what the sums need small
+    documents = sum(np.bincount(place[first[i] : first[j]], minlength=1 << BITS) for i, j in blocks)
     known = np.flatnonzero(documents >= min_documents)
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, len(known), np.int32)  # the last one stands for features too rare to count
     column[known] = np.arange(len(known))
-    used = column[place] >= 0
-    owner, place = owner[used], column[place[used]]
-    train = ~held[owner]
-    rows, cols, n = owner[train], place[train], len(y)
-    w, bias = np.zeros(len(known)), 0.0
+    sizes = np.diff(first)
+
+    def sums(w):
+        padded = np.append(w, 0.0)
+        return np.concatenate([np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), weights=padded[column[place[first[i] : first[j]]]], minlength=j - i) for i, j in blocks])
+
+    def gather(error):
+        return sum(np.bincount(column[place[first[i] : first[j]]], weights=np.repeat(error[i:j], sizes[i:j]), minlength=len(known) + 1) for i, j in blocks)[:-1]
+
+    w, bias, trained = np.zeros(len(known)), 0.0, (~held).sum()
     m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for step in range(1, steps + 1):
-        error = np.where(held, 0, _sigmoid(scale * np.bincount(rows, weights=w[cols], minlength=n) + bias) - y)
-        slope = scale * np.bincount(cols, weights=error[rows], minlength=len(known)) / (~held).sum() + decay * w
-        slope_b = error.sum() / (~held).sum()
+        error = np.where(held, 0, _sigmoid(scale * sums(w) + bias) - y)
+        slope = scale * gather(error) / trained + decay * w
+        slope_b = error.sum() / trained
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         mb, vb = 0.9 * mb + 0.1 * slope_b, 0.99 * vb + 0.01 * slope_b**2
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.3 * (m / a) / (np.sqrt(v / b) + 1e-9)
         bias -= 0.3 * (mb / a) / (np.sqrt(vb / b) + 1e-9)
     # Platt: two parameters on the held-out rows, with smoothed targets
-    z = np.bincount(owner, weights=scale * w[place], minlength=n)[held] + bias
+    z = scale * sums(w)[held] + bias
     ones = y[held].sum()
     target = np.where(y[held] == 1, (ones + 1) / (ones + 2), 1 / (held.sum() - ones + 2))
     p, q = 1.0, 0.0
@@ -146,7 +153,7 @@ def _fit(owner: np.ndarray, place: np.ndarray, y: np.ndarray, min_documents: int
     return Head(weights, float(p), float(p * bias + q))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", max_labelled: int = 12_000, min_documents: int = 4) -> tuple[Head, Head]:
+def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", max_labelled: int = 10_000, min_documents: int = 4) -> tuple[Head, Head]:
     """The models of quality and toxicity from a sample of at most max_labelled labelled documents."""
     ship(docs.sparkSession)
     majority = lambda c: F.when(F.avg(c) >= 0.5, 1).when(F.avg(c) < 0.5, 0)
@@ -167,9 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     rows = texts.select("id", "quality", "toxic", "text").mapInArrow(extract, "id string, quality int, toxic int, places binary").toArrow().sort_by("id")
     if not rows.num_rows:
         return Head(None), Head(None)
-    places = [np.frombuffer(x.as_py(), "<i4") for x in rows["places"]]
-    owner, place = np.repeat(np.arange(len(places)), [len(x) for x in places]), np.concatenate(places).astype(np.int64)
-    return tuple(_fit(owner, place, rows[c].to_numpy().astype(float), min_documents) for c in ("quality", "toxic"))
+    sizes = np.array([len(x) // 4 for x in rows["places"].to_pylist()])
+    place = np.frombuffer(b"".join(rows["places"].to_pylist()), "<i4")
+    targets = [rows[c].to_numpy().astype(float) for c in ("quality", "toxic")]
+    del rows
+    return tuple(_fit(np.concatenate([[0], np.cumsum(sizes)]), place, y, min_documents) for y in targets)
 
 
 def _judged(texts: list[bytes], heads: tuple[Head, Head], min_quality: float, max_toxic: float) -> tuple:
