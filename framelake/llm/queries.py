@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import ctw, decontaminate, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
+from framelake.llm import ctw, decontaminate, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_ctw": ctw.op4_ctw,
     "op5_quality": quality.op5_quality,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -18,6 +19,7 @@ ORACLES = {
     "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
