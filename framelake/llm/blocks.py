@@ -70,12 +70,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.array(first)
 
 
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, begin, end) of the runs of equal values."""
+    values, begin = np.unique(sorted_values, return_index=True)
+    return values, begin, np.append(begin[1:], len(sorted_values))[: len(begin)]
+
+
 def ask(block: int, keys: np.ndarray, n_parts: int) -> pa.Table:
     """The question about the keys of a block; a key that the block has twice is repeated anyway."""
     distinct, counts = np.unique(keys, return_counts=True)
     parts = (distinct >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-    used, begin = np.unique(parts, return_index=True)
-    ends = np.append(begin[1:], len(distinct))
+    used, begin, ends = runs(parts)
     return pa.table(
         {
             "part": pa.array(used.astype(np.int32)),

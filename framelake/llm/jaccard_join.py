@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.blocks import Blocks, in_order, member
+from framelake.llm.blocks import Blocks, in_order, member, runs
 from framelake.llm.common import LOWER, materialize, read
 from framelake.llm.words import Words, mix, portions, windows
 
@@ -95,8 +95,8 @@ def _describe(size: int, n_parts: int):
         tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
         tokens, counts = tokens[counts > 1], counts[counts > 1].astype(np.uint32)
         parts = (tokens >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-        used, begin = np.unique(parts, return_index=True)
-        end, n, m = np.append(begin[1:], len(tokens)), len(ids), len(used)
+        used, begin, end = runs(parts)
+        n, m = len(ids), len(used)
         pairs = list(zip(begin, end, strict=True))
         return pa.table(
             {
@@ -134,9 +134,9 @@ def _post(shared, size: int, percent: int, n_parts: int):
         part = (keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
         posts = keys << np.uint64(INDEX_BITS) | places  # a part's keys differ in their lower 40 bits
         order = np.argsort(part, kind="stable")
-        used, begin = np.unique(part[order], return_index=True)
+        used, begin, end = runs(part[order])
         posts = posts[order]
-        return pa.table({"part": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), block)), "posts": pa.array([posts[b:e].tobytes() for b, e in zip(begin, np.append(begin[1:], len(posts)), strict=True)], pa.binary())})
+        return pa.table({"part": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), block)), "posts": pa.array([posts[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())})
 
     return post
 
@@ -166,9 +166,9 @@ def _pair_up(all_pairs: int, n_parts: int):
         first, second, shared = first[keep], second[keep], shared[keep].astype(np.int32)
         part = (mix(first.astype(np.uint64) + mix(second.astype(np.uint64))) % np.uint64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        used, cut = np.unique(part[order], return_index=True)
-        rows = [(p, *(x[order[b:e]].tobytes() for x in (first, second, shared)), None) for p, b, e in zip(used.tolist(), cut, np.append(cut[1:], len(part)), strict=True)]
-        large = {tuple(np.unique(ref[b : b + n]).tolist()) for b, n in zip(begin[sizes > all_pairs].tolist(), sizes[sizes > all_pairs].tolist(), strict=True)}
+        used, begins, ends = runs(part[order])
+        rows = [(p, *(x[order[b:e]].tobytes() for x in (first, second, shared)), None) for p, b, e in zip(used.tolist(), begins, ends, strict=True)]
+        large = {tuple(np.unique(ref[b : b + n] & ~LOOSE).tolist()) for b, n in zip(begin[sizes > all_pairs].tolist(), sizes[sizes > all_pairs].tolist(), strict=True)}
         rows += [(None, None, None, None, list(m)) for m in sorted(large)]
         columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
@@ -187,7 +187,8 @@ def _enough(table: pa.Table) -> pa.Table:
     total = np.add.reduceat(shared, begin)
     first, second = first[begin], second[begin]
     good = (total >= NEED) | ((first & second & LOOSE) != 0)
-    return pa.table({"a": pa.array(first[good]), "b": pa.array(second[good])})
+    first, second = first[good] & ~LOOSE, second[good] & ~LOOSE
+    return pa.table({"a": pa.array(np.minimum(first, second)), "b": pa.array(np.maximum(first, second))})
 
 
 def _fetch(size: int):
@@ -311,9 +312,10 @@ def _cross_batches(batches):
 def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", max_broadcast: int = 4_000_000, **options) -> DataFrame:
     """docs with one document of each group: that of the least id. Rows that share an id stay or go together; null ids stay."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    extra = materialize(groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "extra")
+    gone = "gone_" + "_".join(docs.columns)  # a name that docs can't have
+    extra = materialize(groups.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct(), "extra")
     extra = F.broadcast(extra) if extra.count() <= max_broadcast else extra.hint("merge")
-    return docs.join(extra, docs[id_col] == F.col("gone"), "left_anti")
+    return docs.join(extra, F.col(f"`{id_col}`") == F.col(f"`{gone}`"), "left_anti")
 
 
 def op6_jaccard_join(spark, sf_dir):
