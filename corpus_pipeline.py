@@ -1,11 +1,58 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in five stages.
 
+Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from framelake.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from framelake.llm.common import materialize, read
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules, the quality model or the toxicity model reject go."""
+    return quality.filter_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a tenth of their source's pages go; n_chars follows the text."""
+    return line_dedup.drop_boilerplate(docs, length_col="n_chars")
+
+
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; the others stay as they are."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest in sequences of 4096 tokens: a row for each piece."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("jaccard_dedup", jaccard_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: The classifier and the tokenizer have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
