@@ -104,9 +104,13 @@ def encode_blocks(values: DataFrame, layout: DataFrame, *, J: int, n_bits: int)
     pair = lambda p: (F.element_at(F.col("vs"), 2 * p + 1), F.element_at(F.col("vs"), 2 * p + 2))
     gamma = lambda a, b: F.floor((a + b) * (a + b + 1) / 2).cast("long") + b
     body = body.when(F.col("option") == "se", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(J // 2 - 1)), lambda p: _binary(gamma(*pair(p)), 32)), ""))
+
+    def split(k: int) -> Column:
+        high = joined(lambda v: unary(F.shiftright(v, k)))
+        return F.concat(high, joined(lambda v: _binary(v.bitwiseAND((1 << k) - 1), k))) if k else high
+
     for k in splits(n_bits):
-        low = F.lit("") if k == 0 else joined(lambda v, k=k: _binary(v.bitwiseAND((1 << k) - 1), k))
-        body = body.when(F.col("option") == f"k{k}", F.concat(joined(lambda v, k=k: unary(F.shiftright(v, k))), low))
+        body = body.when(F.col("option") == f"k{k}", split(k))
     head = F.when(F.col("id_bits") > 0, F.expr("lpad(bin(id_value), cast(id_bits as int), '0')"))
     return samples.join(layout, list(BLOCK)).select(*BLOCK, "option", "bit_offset", F.concat(head, body).alias("code"))
 
