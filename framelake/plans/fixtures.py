@@ -41,7 +41,7 @@ def samples(spark, sf_dir) -> DataFrame:
 
 
 def pulses(spark, sf_dir) -> DataFrame:
-    even, odd = (F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k, o=o: F.element_at("embedding", (2 * k - 1 + o).cast("int"))) for o in (0, 1))
+    even, odd = (F.expr(f"transform(sequence(1, 32), k -> element_at(embedding, 2 * k - {o}))") for o in (1, 0))
     return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 480").cast("int").alias("scene_id"), F.expr("vec_id % 480").cast("int").alias("az"), even.alias("re"), odd.alias("im"))
 
 
