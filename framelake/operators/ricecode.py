@@ -75,12 +75,15 @@ def id_width(n_bits: int) -> int:
     return 1 if n_bits < 3 else 2 if n_bits < 5 else 3 if n_bits <= 8 else 4 if n_bits <= 16 else 5
 
 
-def coded_layout(options: DataFrame, *, n_bits: int, segments_per_bucket: int = 4096) -> DataFrame:
-    """id_bits, id_value, bits and the bit offset of each block in its series' stream; offsets add up in three levels."""
+def coded_layout(options: DataFrame, *, J: int, n_bits: int, segments_per_bucket: int = 4096) -> DataFrame:
+    """id_bits, id_value, bits and the bit offset of each block in its series' stream; offsets add up in three levels.
+
+    An se block is chosen by its size as a fundamental sequence, but written as J / 2 words of 32 bits.
+    """
     width, k = id_width(n_bits), F.regexp_extract("option", r"^k(\d+)$", 1)
     is_k = F.col("option").startswith("k")
     value = F.when(F.col("option") == "nc", (1 << width) - 1).when(is_k, k.try_cast("int") + 1).when(F.col("option") == "se", 1).otherwise(0)
-    coded = options.withColumns({"id_bits": (F.lit(width) + F.col("option").isin("zb", "se").cast("int")).cast("long"), "id_value": value.cast("long")}).withColumn("bits", F.col("id_bits") + F.col("body_bits"))
+    coded = options.withColumns({"id_bits": (F.lit(width) + F.col("option").isin("zb", "se").cast("int")).cast("long"), "id_value": value.cast("long")}).withColumn("bits", F.col("id_bits") + F.when(F.col("option") == "se", 16 * J).otherwise(F.col("body_bits")))
     inside = Window.partitionBy(*SEGMENT).orderBy("blk")
     coded = coded.withColumn("in_segment", F.sum("bits").over(inside) - F.col("bits"))
     totals = coded.groupBy(*SEGMENT).agg(F.sum("bits").alias("seg_bits")).withColumn("bucket", F.expr(f"seg div {segments_per_bucket}"))
@@ -133,4 +136,4 @@ def code_series(samples: DataFrame, *, J: int, r: int, n_bits: int, preprocess:
     blocks = blockize(samples, J=J, r=r)
     values = map_residual(delta_predict(blocks), n_bits=n_bits) if preprocess else blocks.withColumn("v", F.col("x"))
     options = select_option(option_sizes(values, J=J, n_bits=n_bits), zero_runs(values), n_bits=n_bits)
-    return values, coded_layout(options, n_bits=n_bits)
+    return values, coded_layout(options, J=J, n_bits=n_bits)

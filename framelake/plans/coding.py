@@ -19,8 +19,8 @@ _S = f"""s as (select series_id, seg, blk, {N * J}::bigint nc, case when se <= {
 _U = "u as (" + " union all ".join(f"select series_id, seg, blk, {c} bits, {r} rank, '{c}' opt from s where {c} is not null" for c, r in [("se", 0), ("nc", 1), *((f"k{k}", 2 + k) for k in _KS)]) + ")"
 _O = "o as (select z.series_id, z.seg, z.blk, case when is_zero then 'zb' else opt end as option, cast(case when is_zero then run_index + 1 else bits end as bigint) body_bits, run_index from z join (select * from u qualify row_number() over (partition by series_id, seg, blk order by bits, rank) = 1) q using (series_id, seg, blk))"
 _W = rice.id_width(N)
-_L = f"""l as (select *, id_bits + body_bits bits, cast(sum(id_bits + body_bits) over (partition by series_id order by seg, blk) - id_bits - body_bits as bigint) bit_offset from
-(select *, cast({_W} + (option in ('zb', 'se'))::int as bigint) id_bits, cast(case when option = 'nc' then {(1 << _W) - 1} when option like 'k%' then substr(option, 2)::int + 1 when option = 'se' then 1 else 0 end as bigint) id_value from o))"""
+_L = f"""l as (select *, cast(sum(bits) over (partition by series_id order by seg, blk) - bits as bigint) bit_offset from (select *, cast(id_bits + case when option = 'se' then {16 * J} else body_bits end as bigint) bits from
+(select *, cast({_W} + (option in ('zb', 'se'))::int as bigint) id_bits, cast(case when option = 'nc' then {(1 << _W) - 1} when option like 'k%' then substr(option, 2)::int + 1 when option = 'se' then 1 else 0 end as bigint) id_value from o)))"""
 _PAD = "lpad(bin({}), {}, '0')"
 _C = f"""c as (select series_id, seg, blk, option, bit_offset, lpad(bin(id_value), id_bits::int, '0') || case when option = 'zb' then repeat('0', run_index::int) || '1' when option = 'nc' then nc when option = 'se' then se {' '.join(f"when option = 'k{k}' then u{k} || l{k}" for k in _KS)} end code from l join
 (select series_id, seg, blk, string_agg({_PAD.format('v', N)}, '' order by j) nc, {', '.join(f"string_agg(repeat('0', (v >> {k})::int) || '1', '' order by j) filter (where v >> {k} <= {32 * J}) u{k}, " + (f"string_agg({_PAD.format(f'v & {(1 << k) - 1}', k)}, '' order by j) l{k}" if k else "'' l0") for k in _KS)} from v group by all) t using (series_id, seg, blk) join
@@ -63,7 +63,7 @@ def c6(spark, sf_dir):
 
 @query("c7_coded_layout", _sql(_B, _D, _V, _Z, _S, _U, _O, _L) + "select * from l")
 def c7(spark, sf_dir):
-    return rice.coded_layout(c6(spark, sf_dir), n_bits=N)
+    return rice.coded_layout(c6(spark, sf_dir), J=J, n_bits=N)
 
 
 @query("c8_encode_blocks", _sql(_B, _D, _V, _Z, _S, _U, _O, _L, _C) + "select * from c")
