@@ -56,11 +56,11 @@ def corpus(rng):
     return [(i if i % 40 else None, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("all_pairs,rounds", [(64, 3), (3, 1), (2, 3), (5, 0)])
-def test_against_brute_force(spark, all_pairs, rounds):
+@pytest.mark.parametrize("all_pairs,queries,often", [(64, 9, 8), (3, 2, 3), (2, 1, 50), (5, 50, 10)])
+def test_against_brute_force(spark, all_pairs, queries, often):
     rows = corpus(random.Random(all_pairs))
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int").repartition(3)
-    found = near_duplicates(docs, all_pairs=all_pairs, star_rounds=rounds, star_portion=4)
+    found = near_duplicates(docs, all_pairs=all_pairs, star_portion=4, often=often, queries=queries, tokens=40 * queries)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(rows), key=str)
 
 
