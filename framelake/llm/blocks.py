@@ -29,8 +29,8 @@ class Blocks:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 8_000_000, keys_per_part: int = 4_000_000):
         self.spark = docs.sparkSession
         ship(self.spark)
-        total = text_bytes(docs, text_col)
-        self.n_blocks = max(1, math.ceil(total / block_bytes))
+        total, n_rows = text_bytes(docs, text_col)
+        self.n_blocks = max(1, math.ceil(total / block_bytes), math.ceil(n_rows / 100_000))
         #: ranges of keys, for at most one key in four bytes of text
         self.n_parts = max(64, math.ceil(total / 4 / keys_per_part))
         n_buckets = max(1, math.ceil(self.n_blocks / 4))

@@ -61,9 +61,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of all texts: a scan of one column, summed on the executors."""
-    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """UTF-8 bytes of all texts, and rows: a scan of one column, summed on the executors."""
+    row = docs.agg(F.sum(F.octet_length(F.col(text))), F.count("*")).first()
+    return row[0] or 0, row[1]
 
 
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:

@@ -2,18 +2,20 @@
 
 Tokens are a document's distinct word shingles as 64-bit hashes. Documents of equal sets are one set from here on.
 
-Order and classes. Tokens that many blocks' documents share are *frequent* (at most `max_frequent` tokens, by a threshold
-that follows from it), all others *rare*. Each set orders its rare tokens first, then its frequent ones, each class by hash. Two sets
+Order and classes. Tokens that documents of a block share, `often` times or more over all blocks, are *frequent* (the
+threshold doubles until at most `max_frequent` are, as they are broadcast), all others *rare*. The classes decide the cost, not the result. Each set orders its rare tokens first, then its frequent ones, each class by hash. Two sets
 with J >= 0.75 share at least a = ceil(0.75 n) tokens, so of the first n - a + l tokens of each they share at least l. Prefixes are
 extended to l = 1 + 8 * (2 - 1) = 9: rare tokens are indexed alone, frequent tokens, dealt into 8 groups, in
-combinations of 2 within their group. At most 8 shared tokens, one of each group, make no common key, so a linked pair has one. Sets
-too small for that (a < 9) also index a plain prefix of single tokens among themselves.
+combinations of 2 within their group. At most 8 shared tokens, one of each group, make no common key, so a linked pair has one. Only a
+set with 9 frequent tokens in its prefix needs combinations: with fewer it shares a rare one with whatever it links with. Sets
+too small for 9 shared tokens (a < 9) also index a plain prefix of single tokens among themselves.
 
 Candidates. Keys that at most `all_pairs` sets have are paired; how many keys a pair shares is summed over all keys. A linked pair shares 9
-rare tokens unless both prefixes reach frequent ones (or both are small), so pairs with fewer are out. Keys that more sets have
-don't emit their pairs: the set of the least number is compared with all others (a star); where that leaves members unconnected further
-stars follow, each ending one member's comparisons, and after `star_rounds` of them the pairs of members that are still
-in different groups. Members connected already need no comparison, since only groups are asked for. Nothing is dropped.
+tokens of its prefixes, so as many rare ones as 9 is more than the frequent ones in either prefix; pairs with fewer are out. Keys that more sets have
+don't emit their pairs: the set of the least number is compared with all others (a star). Where members stay unconnected, keys that
+share members make up an area; the members outside the area's largest group are compared with all of the area, in chunks of
+`queries` by `tokens` so that a set is sent once for each chunk, not for each pair, and one link to each other group is
+reported. Members connected already need no comparison, since only groups are asked for. Nothing is dropped.
 
 Verification. The sets of a pair meet at the pair's first set, in portions of at most `star_portion` partners, so that no large
 star is in one task, and are compared in full (48 bits of each hash).
@@ -26,8 +28,6 @@ copies of each other; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +39,8 @@ from framelake.llm.words import Words, mix, portions, windows
 
 GROUPS, COMBINED = 8, 2
 NEED = 1 + GROUPS * (COMBINED - 1)
-INDEX_BITS, LOOSE = 24, 1 << 23  # a set's number: block, flag, place in the block
+INDEX_BITS, PLACE_BITS = 28, 24  # a set's number: block, slack (how many shared rare tokens may lack), place in the block
+PLACE, SLACK = (1 << PLACE_BITS) - 1, 15 << PLACE_BITS
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -64,8 +65,8 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
-    """(keys of a set, whether fewer than NEED shared rare tokens may do)."""
+def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(keys of a set, how many of the NEED shared rare tokens may lack)."""
     n = len(tokens)
     a = least_overlap(n, percent)
     often = member(tokens, frequent)
@@ -73,7 +74,8 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple
     n_rare = n - int(often.sum())
     reach = min(n, n - a + NEED)
     keys = [mix(ordered[: min(reach, n_rare)])]
-    if reach > n_rare:
+    slack = NEED if a < NEED else min(NEED, max(0, reach - n_rare))
+    if reach - n_rare >= NEED or a < NEED:
         chosen = ordered[n_rare:reach]
         group = (mix(chosen) % np.uint64(GROUPS)).astype(np.int64)
         for g in range(GROUPS):
@@ -83,7 +85,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple
                 keys.append(mix(mix(own[first]) + own[second]) ^ np.uint64(0x5BD1))
     if a < NEED:
         keys.append(mix(ordered[: n - a + 1] ^ np.uint64(0x5A11)))
-    return np.concatenate(keys), reach > n_rare or a < NEED
+    return np.concatenate(keys), slack
 
 
 def _describe(size: int, n_parts: int):
@@ -114,7 +116,7 @@ def _often(least: int):
         tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()])
         names, index = np.unique(tokens, return_inverse=True)
         total = np.bincount(index, weights=np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]))
-        return pa.table({"tokens": pa.array([names[total >= least].tobytes()], pa.binary())})
+        return pa.table({"tokens": pa.array([names[total >= least].tobytes()], pa.binary()), "n": pa.array([int((total >= least).sum())])})
 
     return often
 
@@ -127,12 +129,12 @@ def _post(shared, size: int, percent: int, n_parts: int):
         frequent = np.frombuffer(shared.value, np.uint64)
         keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for i, tokens in zip(chosen, shingle_sets([texts[i].translate(LOWER) for i in chosen], size), strict=True):
-            own, loose = prefix_keys(tokens, frequent, percent)
+            own, slack = prefix_keys(tokens, frequent, percent)
             keys.append(own)
-            places.append(np.full(len(own), i | (LOOSE if loose else 0), np.uint64))
+            places.append(np.full(len(own), i | slack << PLACE_BITS, np.uint64))
         keys, places = np.concatenate(keys), np.concatenate(places)
         part = (keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-        posts = keys << np.uint64(INDEX_BITS) | places  # a part's keys differ in their lower 40 bits
+        posts = keys << np.uint64(INDEX_BITS) | places  # a part's keys differ in their lower 36 bits
         order = np.argsort(part, kind="stable")
         used, begin, end = runs(part[order])
         posts = posts[order]
@@ -168,7 +170,7 @@ def _pair_up(all_pairs: int, n_parts: int):
         order = np.argsort(part, kind="stable")
         used, begins, ends = runs(part[order])
         rows = [(p, *(x[order[b:e]].tobytes() for x in (first, second, shared)), None) for p, b, e in zip(used.tolist(), begins, ends, strict=True)]
-        large = {tuple(np.unique(ref[b : b + n] & ~LOOSE).tolist()) for b, n in zip(begin[sizes > all_pairs].tolist(), sizes[sizes > all_pairs].tolist(), strict=True)}
+        large = {tuple(np.unique(ref[b : b + n] & ~SLACK).tolist()) for b, n in zip(begin[sizes > all_pairs].tolist(), sizes[sizes > all_pairs].tolist(), strict=True)}
         rows += [(None, None, None, None, list(m)) for m in sorted(large)]
         columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
@@ -186,37 +188,38 @@ def _enough(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
     total = np.add.reduceat(shared, begin)
     first, second = first[begin], second[begin]
-    good = (total >= NEED) | ((first & second & LOOSE) != 0)
-    first, second = first[good] & ~LOOSE, second[good] & ~LOOSE
+    good = total >= np.maximum(1, NEED - (np.minimum(first & SLACK, second & SLACK) >> PLACE_BITS))
+    first, second = first[good] & ~SLACK, second[good] & ~SLACK
     return pa.table({"a": pa.array(np.minimum(first, second)), "b": pa.array(np.maximum(first, second))})
 
 
-def _fetch(size: int):
+def _fetch(size: int, *columns: str):
     def fetch(table, wanted):
         """The sets asked for, at the places where they are compared; 6 bytes of each hash."""
         _, _, texts = in_order(table)
-        places = [r & (LOOSE - 1) for r in wanted["ref"].to_pylist()]
+        places = [r & PLACE for r in wanted["ref"].to_pylist()]
         chosen = sorted(set(places))
         sets = dict(zip(chosen, (s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets([texts[i].translate(LOWER) for i in chosen], size)), strict=True))
-        return pa.table({"a": wanted["a"], "portion": wanted["portion"], "ref": wanted["ref"], "tokens": pa.array([sets[p] for p in places], pa.binary())})
+        return pa.table({c: wanted[c] for c in columns} | {"ref": wanted["ref"], "tokens": pa.array([sets[p] for p in places], pa.binary())})
 
     return fetch
 
 
-def _compare(percent: int):
-    def numbers(data: bytes) -> np.ndarray:
-        out = np.zeros((len(data) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return np.sort(out.view(np.uint64).ravel())
+def _numbers(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.sort(out.view(np.uint64).ravel())
+
 
+def _compare(percent: int):
     def compare(table):
         a = table["a"][0].as_py()
         sets = dict(zip(table["ref"].to_pylist(), table["tokens"].to_pylist(), strict=True))
-        first, linked = numbers(sets.pop(a)), []
+        first, linked = _numbers(sets.pop(a)), []
         for ref, data in sorted(sets.items()):
             n = len(data) // 6
             if 100 * min(n, len(first)) >= percent * max(n, len(first)):
-                both = int(member(numbers(data), first).sum())
+                both = int(member(_numbers(data), first).sum())
                 if 100 * both >= percent * (n + len(first) - both):
                     linked.append(ref)
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
@@ -230,7 +233,7 @@ def verify(pairs: DataFrame, blocks: Blocks, size: int, percent: int, star_porti
     dealt = pairs.join(stars, "a").withColumn("portion", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int"))
     wanted = dealt.select(F.col("b").alias("ref"), "a", "portion").union(dealt.select(F.col("a").alias("ref"), "a", "portion").distinct())
     wanted = wanted.withColumn("block", F.shiftright("ref", INDEX_BITS))
-    sets = blocks.run(_fetch(size), "a long, portion int, ref long, tokens binary", wanted)
+    sets = blocks.run(_fetch(size, "a", "portion"), "a long, portion int, ref long, tokens binary", wanted)
     return sets.groupBy("a", "portion").applyInArrow(_compare(percent), "a long, b long")
 
 
@@ -257,44 +260,70 @@ def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sort_array(F.collect_list(F.struct("ref", "label"))).alias("rows")).where("least != most").select("group", "rows")
 
 
-def _crossing(table: pa.Table) -> pa.Table:
-    found = {(x["ref"], y["ref"]) for rows in table["rows"].to_pylist() for x, y in combinations(rows, 2) if x["label"] != y["label"]}
-    a, b = zip(*sorted(found), strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _compare_chunk(percent: int):
+    def compare(table):
+        """Queries against the members of a chunk; for each query one link to each other group at most."""
+        role, refs, labels, data = (table[c].to_pylist() for c in ("query", "ref", "label", "tokens"))
+        members = [i for i, q in enumerate(role) if not q]
+        tokens = [_numbers(data[i]) for i in members]
+        sizes = np.array([len(t) for t in tokens])
+        names, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        ref, label = np.array([refs[i] for i in members]), np.array([labels[i] for i in members])
+        found = []
+        for i in (i for i, q in enumerate(role) if q and members):
+            own = _numbers(data[i])
+            mark = np.zeros(len(names), np.int64)
+            mark[np.searchsorted(names, own[member(own, names)])] = 1
+            both = np.add.reduceat(mark[ids], begin)
+            near = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (label != labels[i]))
+            found += {int(label[k]): (min(refs[i], int(ref[k])), max(refs[i], int(ref[k]))) for k in near.tolist()}.values()
+        a, b = zip(*sorted(set(found)), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 75, max_frequent: int = 1_000_000, all_pairs: int = 64, star_rounds: int = 3, star_portion: int = 500) -> DataFrame:
+def _close(waiting: DataFrame, sets: DataFrame, blocks: Blocks, size: int, percent: int, queries: int, tokens: int) -> DataFrame:
+    """Links between groups that the stars left apart: (a, b)."""
+    rows = waiting.select(F.element_at("rows", 1)["ref"].alias("first"), F.explode("rows").alias("r")).select("first", "r.ref", "r.label")
+    areas = components(rows.where("first != ref").select(F.col("first").alias("a"), F.col("ref").alias("b")).distinct(), "areas").withColumnRenamed("label", "area")
+    members = materialize(rows.select("ref", "label").distinct().join(areas, "ref").join(sets.select("ref", "n"), "ref"), "members")
+    largest = members.groupBy("area", "label").agg(F.count("*").alias("k"), F.sum("n").alias("t")).groupBy("area")
+    largest = largest.agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("q"), F.sum("t").alias("t"))
+    chunks = largest.select("area", "main", F.ceil(F.col("q") / queries).cast("int").alias("nq"), F.ceil(F.col("t") / tokens).cast("int").alias("nm"))
+    dealt = members.join(chunks, "area")
+    place, every = lambda n: F.pmod(F.xxhash64("ref"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    common = ["ref", "label", "area"]
+    asking = dealt.where("label != main").select(*common, place("nq").alias("qc"), every("nm").alias("mc"), F.lit(True).alias("query"))
+    asked = dealt.select(*common, every("nq").alias("qc"), place("nm").alias("mc"), F.lit(False).alias("query"))
+    wanted = asking.union(asked).withColumn("block", F.shiftright("ref", INDEX_BITS))
+    fetched = blocks.run(_fetch(size, "label", "area", "qc", "mc", "query"), "label long, area long, qc int, mc int, query boolean, ref long, tokens binary", wanted)
+    return fetched.groupBy("area", "qc", "mc").applyInArrow(_compare_chunk(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 75, often: int = 8, max_frequent: int = 2_000_000, all_pairs: int = 64, star_portion: int = 500, queries: int = 250, tokens: int = 400_000) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the least id that links lead to)."""
     blocks = Blocks(docs, id_col, text_col)
     spark, kind = blocks.spark, blocks.id_type
     known = materialize(blocks.run(_describe(size, blocks.n_parts), f"block long, ref long, doc_id {kind}, n long, digest binary, part int, tokens binary, counts binary"), "sets")
     sets = known.where("ref is not null").select("ref", "doc_id", "n", "digest")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    least = max(all_pairs, -(-total // max_frequent))
-    # each frequent token takes `least` of all tokens, so there are max_frequent of them at most
-    often = known.where("part is not null").groupBy("part").applyInArrow(_often(least), "tokens binary").collect()
-    shared = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.tokens, np.uint64) for r in often)])).tobytes())
+    counted = lambda least: known.where("part is not null").groupBy("part").applyInArrow(_often(least), "tokens binary, n long")
+    while (counted(often).agg(F.sum("n")).first()[0] or 0) > max_frequent:
+        often *= 2
+    shared = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.tokens, np.uint64) for r in counted(often).collect())])).tobytes())
     same = sets.where("digest is not null").groupBy("digest").agg(F.min("ref").alias("rep"))
-    chosen = same.select(F.shiftright("rep", INDEX_BITS).alias("block"), F.col("rep").bitwiseAND(LOOSE - 1).cast("int").alias("place"))
+    chosen = same.select(F.shiftright("rep", INDEX_BITS).alias("block"), F.col("rep").bitwiseAND(PLACE).cast("int").alias("place"))
     posts = blocks.run(_post(shared, size, percent, blocks.n_parts), "part int, block long, posts binary", chosen)
     found = materialize(posts.groupBy("part").applyInArrow(_pair_up(all_pairs, blocks.n_parts), _CANDIDATES), "candidates")
     pairs = found.where("part is not null").groupBy("part").applyInArrow(_enough, "a long, b long")
     groups = found.where("members is not null").select("members").distinct().withColumn("group", F.xxhash64("members"))
     stars = groups.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")).where("a != b")
-    check = lambda p: materialize(verify(p.distinct(), blocks, size, percent, star_portion), "links")
-    links = check(pairs.union(stars))
+    links = materialize(verify(pairs.union(stars).distinct(), blocks, size, percent, star_portion), "links")
     labels = components(links)
-    for k in range(2, star_rounds + 2):
-        waiting = materialize(_open_groups(groups, labels), f"open-{k}")
-        if not waiting.limit(1).count():
-            break
-        if k <= star_rounds:  # the k-th member with all after it that aren't connected to it
-            row = F.element_at("rows", k)
-            more = waiting.where(F.size("rows") > k).select(row.alias("x"), F.explode(F.slice("rows", k + 1, F.size("rows"))).alias("y")).where("x.label != y.label").select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b"))
-        else:
-            more = waiting.select(F.expr(f"slice(rows, {star_rounds + 1}, size(rows))").alias("rows")).mapInArrow(_cross_batches, "a long, b long")
-        links = links.union(check(more))
-        labels = components(links, f"components-{k}")
+    waiting = materialize(_open_groups(groups, labels), "open")
+    if waiting.limit(1).count():
+        labels = components(links.union(materialize(_close(waiting, sets, blocks, size, percent, queries, tokens), "late-links")), "closed")
     named = same.join(labels.select(F.col("ref").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     labelled = sets.where("digest is not null").join(named, "digest").select("doc_id", "n", "label")
     labelled = materialize(labelled, "labelled")
@@ -304,11 +333,6 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size:
     return grouped.union(alone)
 
 
-def _cross_batches(batches):
-    for batch in batches:
-        yield from _crossing(pa.table({"rows": batch.column(0)})).to_batches()
-
-
 def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", max_broadcast: int = 4_000_000, **options) -> DataFrame:
     """docs with one document of each group: that of the least id. Rows that share an id stay or go together; null ids stay."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)

@@ -72,7 +72,7 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def portions(texts: list[bytes], size: int = 2_000_000):
+def portions(texts: list[bytes], size: int = 500_000):
     """(begin, end) of runs of texts of about `size` bytes, so that numpy's arrays stay small; a longer text is alone."""
     begin = held = 0
     for i, text in enumerate(texts):
