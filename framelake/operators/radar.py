@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions.shipping import ship
+
 #: Speed of light in m/s.
 C = 299792458.0
 LINE = "re array<double>, im array<double>"
@@ -78,6 +80,7 @@ def line_fft(lines: DataFrame, *, inverse: bool = False) -> DataFrame:
         for batch in batches:
             yield _with_lines(batch, _stacked(_complex(batch), np.fft.ifft if inverse else np.fft.fft))
 
+    ship(lines.sparkSession)
     return lines.mapInArrow(run, lines.schema)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.functions.shipping import ship
+
 OUT = "frame_id int, y int, x int, v int"
 
 
@@ -43,6 +45,7 @@ def _prepared(rows: pd.DataFrame, y0: int, x0: int, tile: int, first_prepared: i
 
 def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, first_prepared: int = 4) -> DataFrame:
     """frames: a stream of (frame_id, y, x, v); maps: a static (y, x, off, gain, bad). Yields finished pixels; bins and sums are the sink's."""
+    ship(frames.sparkSession)
     near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
     dealt = frames.join(maps.select("y", "x", "off", "gain", "bad"), ["y", "x"]).withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
 
