@@ -134,30 +134,36 @@ def _window_set(shared) -> WindowSet:
     return _loaded[key]
 
 
-def _with_hits(docs: DataFrame, text_at: int, benchmark: DataFrame, n: int, max_set_bytes: int, item_id: str, item_text: str) -> DataFrame:
-    """docs with two more columns at the end: hit word spans (start, end, start, end ...) and items."""
+def _scan(docs: DataFrame, text_at: int, benchmark: DataFrame, n: int, max_set_bytes: int, item_id: str, item_text: str, finish, schema) -> DataFrame:
+    """finish(batch of docs, texts, hit word spans, items) for each batch, after all blocks of the set have been looked for.
+
+    All but the last block leave their hits in two more columns: spans (start, end, start, end ...) and items.
+    """
     ship(docs.sparkSession)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    state = docs.toDF(*names).withColumns({"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    schema = state.schema
+    width = len(docs.columns)
+    state = docs.toDF(*(f"c{i}" for i in range(width)))
     for shared, last in _sets(benchmark, n, max_set_bytes, item_id, item_text):
 
-        def scan(batches, shared=shared):
+        def look(batches, shared=shared, last=last):
             known = _window_set(shared)
             for batch in batches:
-                spans, items = [], []
-                for text, s, i in zip(batch.column(text_at).to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                texts, spans, items = batch.column(text_at).to_pylist(), [], []
+                before = zip(*(batch.column(c).to_pylist() for c in (width, width + 1)), strict=True) if batch.num_columns > width else repeat(((), ()))
+                for text, (s, i) in zip(texts, before):
                     found, owners = known.find(words(text))
-                    found = _merged([*zip(s[::2], s[1::2], strict=True), *found])
-                    spans.append([x for span in found for x in span])
+                    spans.append([x for span in _merged([*found, *zip(s[::2], s[1::2], strict=True)]) for x in span])
                     items.append(sorted({*i, *owners}))
-                columns = [*batch.columns[:-2], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                rows = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+                if last:
+                    yield finish(rows, texts, spans, items)
+                else:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, "spans", "items"])
 
-        state = state.mapInArrow(scan, schema)
-        if not last:
-            state = materialize(state, "hits")
-    return state
+        if last:
+            return state.mapInArrow(look, schema(state.select(*state.columns[:width]).schema) if callable(schema) else schema)
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields[:width])
+        state = materialize(state.mapInArrow(look, f"{kept}, spans array<int>, items array<string>"), "hits")
+    raise AssertionError("there is a last block")
 
 
 def _judge(n_words: int, spans: list[int], share: int) -> tuple[int, bool]:
@@ -167,41 +173,33 @@ def _judge(n_words: int, spans: list[int], share: int) -> tuple[int, bool]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", n: int = 13, share: int = 20, max_set_bytes: int = 200_000_000) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (of words)."""
-    state = _with_hits(docs.select(F.col(id_col), F.col(text_col).cast("binary")), 1, benchmark, n, max_set_bytes, item_id, item_text)
-
-    def report(batches):
-        for batch in batches:
-            rows = []
-            for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("c1", "spans", "items")), strict=True):
-                total = len(words(text))
-                n_hit, bad = _judge(total, spans, share)
-                rows.append((total, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bad))
-            columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("c0"), *map(pa.array, columns, kinds), batch.column("spans")], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+    def report(batch, texts, spans, items):
+        rows = []
+        for text, own, owners in zip(texts, spans, items, strict=True):
+            total = len(words(text))
+            n_hit, bad = _judge(total, own, share)
+            rows.append((total, n_hit, len(owners), hashlib.sha256(",".join(owners).encode()).hexdigest(), bad))
+        columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds), pa.array(spans, pa.list_(pa.int32()))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return state.mapInArrow(report, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>")
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>"
+    return _scan(docs.select(F.col(id_col), F.col(text_col).cast("binary")), 1, benchmark, n, max_set_bytes, item_id, item_text, report, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item_id="item_id", item_text="text", n: int = 13, share: int = 20, mode: str = "documents", max_set_bytes: int = 200_000_000) -> DataFrame:
     """docs, its columns unchanged, without contaminated documents (`documents`), or without the hit words (`spans`)."""
     text_at = docs.columns.index(text_col)
-    state = _with_hits(docs, text_at, benchmark, n, max_set_bytes, item_id, item_text)
 
-    def apply(batches):
-        for batch in batches:
-            texts, keep = batch.column(text_at).to_pylist(), []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                keep.append(not (mode == "documents" and spans and _judge(len(words(texts[i])), spans, share)[1]))
-                if mode == "spans" and spans:
-                    texts[i] = _without(texts[i], spans)
-            columns = list(batch.columns[:-2])
-            if mode == "spans":
-                columns[text_at] = pa.array(texts, columns[text_at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
-
-    return state.mapInArrow(apply, state.drop("spans", "items").schema).toDF(*docs.columns)
+    def apply(batch, texts, spans, items):
+        keep = [not (mode == "documents" and own and _judge(len(words(text)), own, share)[1]) for text, own in zip(texts, spans, strict=True)]
+        columns = list(batch.columns)
+        if mode == "spans":
+            columns[text_at] = pa.array([_without(t, own) if own else t for t, own in zip(texts, spans, strict=True)], columns[text_at].type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, text_at, benchmark, n, max_set_bytes, item_id, item_text, apply, lambda same: same).toDF(*docs.columns)
 
 
 def _without(text: str, spans: list[int]) -> str:
