@@ -107,26 +107,41 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(first: np.ndarray, place: np.ndarray, y: np.ndarray, min_documents: int, steps: int = 80, scale: float = 0.05, decay: float = 1e-5) -> Head:
-    """Logistic regression by Adam on three quarters of the rows, calibrated on the others. first: of each row, in place."""
-    n = len(y)
+class _Rows:
+    """The features of the sample's rows, without the rare ones; sums over blocks of rows keep what they need small."""
+
+    def __init__(self, sizes: np.ndarray, place: np.ndarray, min_documents: int):
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.n = len(sizes)
+        self.known = np.flatnonzero(np.bincount(place, minlength=1 << BITS) >= min_documents) if len(place) else place
+        column = np.full(1 << BITS, -1, np.int32)
+        column[self.known] = np.arange(len(self.known), dtype=np.int32)
+        self.blocks = []
+        for i in range(0, self.n, 500):
+            j = min(i + 500, self.n)
+            columns = column[place[begin[i] : begin[j]]]
+            owner = np.repeat(np.arange(j - i, dtype=np.int16), sizes[i:j])
+            used = columns >= 0
+            self.blocks.append((i, j, columns[used], owner[used]))
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Of each row's features' weights."""
+        return np.concatenate([np.bincount(owner, weights=w[columns], minlength=j - i) for i, j, columns, owner in self.blocks])
+
+    def gather(self, error: np.ndarray) -> np.ndarray:
+        """Of the errors of the rows that have a feature."""
+        out = np.zeros(len(self.known))
+        for i, j, columns, owner in self.blocks:
+            out += np.bincount(columns, weights=error[i:j][owner], minlength=len(out))
+        return out
+
+
+def _fit(rows: _Rows, y: np.ndarray, steps: int = 80, scale: float = 0.05, decay: float = 1e-5) -> Head:
+    """Logistic regression by Adam on three quarters of the rows, calibrated on the others."""
+    n, known, sums, gather = rows.n, rows.known, rows.sums, rows.gather
     held = np.arange(n) % 4 == 3
     if min(y[~held].sum(), (~held).sum() - y[~held].sum(), y[held].sum(), held.sum() - y[held].sum()) < 1:
         return Head(None)
-    blocks = [(i, min(i + 500, n)) for i in range(0, n, 500)]  # keeps what the sums need small
-    documents = sum(np.bincount(place[first[i] : first[j]], minlength=1 << BITS) for i, j in blocks)
-    known = np.flatnonzero(documents >= min_documents)
-    column = np.full(1 << BITS, len(known), np.int32)  # the last one stands for features too rare to count
-    column[known] = np.arange(len(known))
-    sizes = np.diff(first)
-
-    def sums(w):
-        padded = np.append(w, 0.0)
-        return np.concatenate([np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), weights=padded[column[place[first[i] : first[j]]]], minlength=j - i) for i, j in blocks])
-
-    def gather(error):
-        return sum(np.bincount(column[place[first[i] : first[j]]], weights=np.repeat(error[i:j], sizes[i:j]), minlength=len(known) + 1) for i, j in blocks)[:-1]
-
     w, bias, trained = np.zeros(len(known)), 0.0, (~held).sum()
     m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -178,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     place = np.frombuffer(b"".join(rows["places"].to_pylist()), "<i4")
     targets = [rows[c].to_numpy().astype(float) for c in ("quality", "toxic")]
     del rows
-    return tuple(_fit(np.concatenate([[0], np.cumsum(sizes)]), place, y, min_documents) for y in targets)
+    kept = _Rows(sizes, place, min_documents)
+    del place
+    return tuple(_fit(kept, y) for y in targets)
 
 
 def _judged(texts: list[bytes], heads: tuple[Head, Head], min_quality: float, max_toxic: float) -> tuple:
@@ -228,7 +245,9 @@ def filter_quality(docs: DataFrame, heads: tuple[Head, Head], *, text_col="text"
 
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_judged([utf8(t) for t in batch.column(at).to_pylist()], shared.value, min_quality, max_toxic)[2]))
+            for begin in range(0, batch.num_rows, 500):  # a few texts at a time as Python values
+                part = batch.slice(begin, 500)
+                yield part.filter(pa.array(_judged([utf8(t) for t in part.column(at).to_pylist()], shared.value, min_quality, max_toxic)[2]))
 
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
