@@ -16,7 +16,8 @@ ignored. Results are determined by the order of the rows within a partition.
 
 from __future__ import annotations
 
-import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,58 +27,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import LOWER, read, ship, single_threaded, utf8
+from framelake.llm.words import portions
 
-_STOP = re.compile(rb"(?<=[a-z])(?=[.,])")
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for the letters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    return bool(word) and (97 <= word[-1] <= 122 or word[-1] > 127 and word.decode()[-1].isalpha())
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space: chunks between white space are encoded once and kept.
 
-    Only true for tokenizers that lower-case and split at white space before merging, as this vocabulary's does;
-    `tests/llm/test_packing.py` compares it with the plain tokenizer. The cache is emptied when full.
+    Only true for byte-level tokenizers that lower-case and split at white space and between letters and other signs before merging, as
+    this vocabulary's does; `tests/llm/test_packing.py` compares it with the plain tokenizer. A word of letters in normal form goes to the
+    merges at once. The cache is emptied when full.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_cached: int = 500_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.ends, self.cache, self.max_cached = ends, {}, max_cached
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.cache: dict[bytes, bytes] = {}
+        self.max_cached = max_cached
 
     def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        letters = [t for t in texts if t.isalpha()]
-        rest = [t for t in texts if not t.isalpha()]
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):  # each of letters alone ends once
-                data, begin = ids.tobytes(), 0
-                for text, end in zip(part, (cuts * 4).tolist(), strict=True):
-                    self.cache[text.encode()] = data[begin:end]
-                    begin = end
+        rest = []
+        for chunk in chunks:
+            text = chunk.decode()
+            if not text.isalpha():
+                rest.append(text)
+            elif text.isascii():
+                ids = [t.id for t in self.merge(text)]
+                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            elif len(chunk) < 3 * len(text) and text == unicodedata.normalize("NFC", text) and text == text.lower():
+                ids = [t.id for t in self.merge(chunk.decode("latin-1").translate(self.letters))]
+                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                rest += part
+                rest.append(text)
         for at in range(0, len(rest), 2000):
             part = rest[at : at + 2000]
             for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[text.encode()] = np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, text: str | bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        # A stop or comma after a letter begins a token anyway; parted from the word, fewer chunks are distinct.
-        chunks = _STOP.sub(b" ", utf8(text).translate(LOWER)).split()
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > self.max_cached:
-                self.cache.clear()
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.cache])
-            return b"".join(map(self.cache.__getitem__, chunks))
+    def encode(self, texts: list) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        chunks = [utf8(t).translate(LOWER).split() for t in texts]
+        if len(self.cache) > self.max_cached:
+            self.cache.clear()
+        cache = self.cache
+        new = set().union(*chunks).difference(cache)
+        # Signs after a letter are a token run of their own anyway; parted from the word, fewer chunks are to be learnt.
+        parted = [(c, word, c[len(word) :]) for c in new if len(word := c.rstrip(_SIGNS)) < len(c) and _ends_in_letter(word)]
+        words = new.difference([c for c, _, _ in parted]).union(*((word, signs) for _, word, signs in parted))
+        self._learn([c for c in words if c not in cache])
+        for c, word, signs in parted:
+            cache[c] = cache[word] + cache[signs]
+        return [b"".join(map(cache.__getitem__, own)) for own in chunks]
 
 
 class SumOfSquares:
@@ -202,8 +218,10 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
         rows = []
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += packer.add(doc, np.frombuffer(words.encode(text) + end, "<u4"))
+            docs, texts = batch.column(0).to_pylist(), [utf8(t) for t in batch.column(1).to_pylist()]
+            for first, last in portions(texts, 1_000_000):
+                for doc, ids in zip(docs[first:last], words.encode(texts[first:last]), strict=True):
+                    rows += packer.add(doc, np.frombuffer(ids + end, "<u4"))
                 if len(rows) >= 20_000:
                     yield batch_of(rows)
                     rows = []

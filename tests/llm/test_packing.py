@@ -25,8 +25,9 @@ def plain():
 
 def test_cached_chunks_give_the_tokenizers_ids(plain):
     words = WordTokenizer(PATH, max_cached=10)
-    for text in TEXTS + TEXTS[::-1]:
-        assert np.frombuffer(words.encode(text), "<u4").tolist() == plain(text), text
+    for texts in (TEXTS, *([t] for t in TEXTS[::-1]), [], [""]):
+        for text, ids in zip(texts, words.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), text
 
 
 def check(rows, ids):
