@@ -3,13 +3,14 @@
 The text's bytes (A-Z lower-cased, with an end symbol) are predicted bit by bit: for every context of up to `depth` bytes each of
 the 255 places in the binary tree of a byte has its own zeros and ones, counted over all training documents. A
 Krichevsky-Trofimov estimate stands at each depth, and weights mix the estimates of all depths, by how well each foretold the training
-bits (the weighted probabilities are summed from the deepest contexts up). A context has a node if at least depth / max_contexts of
-the training bytes follow it, a share that is the same at every size of corpus; what follows rarer ones is counted
-together in a leaf of the next shorter context. So a model has at most max_contexts nodes (2 KB each), which bounds its broadcast, and all
-training bytes count in it.
+bits (the weighted probabilities are summed from the deepest contexts up). Every context that is seen `least` times in the training
+texts has a node, so the tree grows with the corpus; what follows rarer ones is counted together in a leaf of the next shorter context.
 
-For scoring, the mixtures are worked out beforehand as a table of node and byte, and each text is walked with the automaton of
-longest known contexts, many stretches of text at a time.
+The tree is never in one place. Each block (blocks.py) asks for its distinct (context, byte) keys, with their counts in its training texts, dealt
+by the two nearest bytes of the context. All contexts of two bytes and more that share these are in one part, where the counts are summed and the
+tree is worked out from its leaves to the contexts of two bytes; their sums by nearest byte make the depths 0 and 1, which is the only thing that the driver
+sees (256 rows at most). With these, each part mixes the estimates from the shortest context to the longest known one, and
+answers each block with the log10 probability of each key. Parts keep seen (context, place) pairs only, not 255 places a context.
 
 Beside it stands a word unigram score with add-one smoothing; how often a word occurs in training texts is asked over all blocks (blocks.py),
 by 64-bit hashes of words.
@@ -151,7 +152,7 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """State and byte -> log10 probability and next state; state 0 has no context, `start` stands before a text."""
+    """A whole tree in one process, for small tables: state and byte -> log10 probability and next state; state 0 has no context, `start` stands before a text."""
 
     log10: np.ndarray
     follow: np.ndarray
@@ -251,6 +252,7 @@ def build_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, lea
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, max_contexts: int = 32_768, folds: int = 7, held_out: int = 2) -> Tree:
+    """A tree of at most max_contexts nodes in one process, for comparison; `score` does not use it."""
     spark = docs.sparkSession
     ship(spark)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -272,6 +274,201 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5,
     return build_tree(merged, depth, least)
 
 
+def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin of each run of equal values, run of each value)."""
+    new = np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+class Part:
+    """The contexts of 2 to `depth` bytes of one part, from sorted keys and their counts (0 of keys that are only asked for)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, least: int):
+        self.depth = depth
+        self.keys, self.counts, self.up = {depth: keys}, {depth: counts.astype(np.float64)}, {}
+        for d in range(depth, 2, -1):
+            shorter = self.keys[d] >> np.uint64(16) << np.uint64(8) | self.keys[d] & np.uint64(255)
+            self.keys[d - 1], self.up[d] = np.unique(shorter, return_inverse=True)
+            self.counts[d - 1] = np.bincount(self.up[d], weights=self.counts[d])
+        self.node, self.inner = {}, {depth: np.zeros(len(keys), bool)}  # by key, of its context
+        for d in range(depth, 1, -1):
+            begin, run = _runs(self.keys[d] >> np.uint64(8))
+            total = np.add.reduceat(self.counts[d], begin)
+            self.node[d] = (total >= max(1, least))[run]
+            if d < depth:
+                has = np.zeros(len(begin), bool)
+                has[run[self.up[d + 1][self.node[d + 1]]]] = True
+                self.inner[d] = has[run]
+
+    def _places(self, k: int) -> dict:
+        """For bit k, by depth: begin, run, parent, node, zeros, ones, zeros and ones of the rest, share of the own estimate, weighted, all by (context, place)."""
+        out, below, taken_zeros, taken_ones = {}, 0.0, 0.0, 0.0
+        for d in range(self.depth, 1, -1):
+            begin, run = _runs(self.keys[d] >> np.uint64(8 - k))
+            bit = (self.keys[d] >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            zeros = np.add.reduceat(np.where(bit, 0, self.counts[d]), begin)
+            ones = np.add.reduceat(np.where(bit, self.counts[d], 0), begin)
+            if d < self.depth:  # what the children with nodes have
+                child = out[d + 1]
+                child["parent"] = parent = run[self.up[d + 1][child["begin"]]]
+                below, taken_zeros, taken_ones = (np.bincount(parent, weights=child[x] * child["node"], minlength=len(begin)) for x in ("weighted", "zeros", "ones"))
+            node, inner = self.node[d][begin], self.inner[d][begin]
+            own, rest = _kt(zeros, ones), (zeros - taken_zeros, ones - taken_ones)
+            mixed = np.logaddexp(own, below + _kt(*rest)) + np.log(0.5)
+            share = np.where(inner, np.exp(own + np.log(0.5) - mixed), 1.0)
+            out[d] = {"begin": begin, "run": run, "node": node, "zeros": zeros, "ones": ones, "rest": rest, "share": share, "weighted": np.where(inner, mixed, own)}
+        return out
+
+    def sums(self) -> list[tuple[int, np.ndarray]]:
+        """For each nearest byte an array of 3 x 256: log weights by place of the contexts of 2 bytes with nodes, counts of bytes after these, and after all."""
+        keys, counts, node = self.keys[2], self.counts[2], self.node[2]
+        byte = (keys >> np.uint64(16)).astype(np.int64)
+        symbol = (keys & np.uint64(255)).astype(np.int64)
+        names, index = np.unique(byte, return_inverse=True)
+        out = np.zeros((len(names), 3, 256))
+        np.add.at(out, (index, 1, symbol), counts * node)
+        np.add.at(out, (index, 2, symbol), counts)
+        for k in range(8):
+            level = self._places(k)[2]
+            at = level["begin"]
+            np.add.at(out, (index[at], 0, 1 << k | symbol[at] >> 8 - k), level["weighted"] * level["node"])
+        return list(zip(names.tolist(), out, strict=True))
+
+    def log10(self, top: Top) -> np.ndarray:
+        """log10 probability of each key."""
+        keys = self.keys[self.depth]
+        out = np.zeros(len(keys))
+        byte = (self.keys[2] >> np.uint64(16)).astype(np.int64)
+        symbol = (self.keys[2] & np.uint64(255)).astype(np.int64)
+        for k in range(8):
+            levels = self._places(k)
+            at = levels[2]["begin"]
+            place = byte[at], 1 << k | symbol[at] >> 8 - k
+            sums, left, chance = top.sums[place], top.left[place], top.chance[place]
+            for d in range(2, self.depth + 1):
+                level = levels[d]
+                if d > 2:
+                    parent = level["parent"]
+                    sums, left, chance = sums[parent], left[parent], chance[parent]
+                sums = sums + left * level["share"] * _one(level["zeros"], level["ones"])
+                left = left * (1 - level["share"])
+                chance = np.where(level["node"], sums + left * _one(*level["rest"]), chance)
+            p = chance[levels[self.depth]["run"]]
+            out += np.log10(np.where(keys >> np.uint64(7 - k) & np.uint64(1) == 1, p, 1 - p))
+        return out
+
+
+@dataclass
+class Top:
+    """Of depths 0 and 1, by nearest byte and place: mixed so far, weight left for longer contexts, and the chance of a one if none is known."""
+
+    sums: np.ndarray
+    left: np.ndarray
+    chance: np.ndarray
+
+
+def build_top(sums: dict[int, np.ndarray], least: int) -> Top:
+    weights, children, counts = (np.zeros((256, 256)) for _ in range(3))
+    for byte, values in sums.items():
+        weights[byte], children[byte], counts[byte] = values
+    pad = lambda x: np.insert(x, 0, 0, axis=-1)  # noqa: E731, places count from 1
+    node, inner = counts.sum(axis=1) >= max(1, least), (children.sum(axis=1) > 0)[:, None]
+    zeros, ones = map(pad, _bits(counts))
+    rest = tuple(own - pad(taken) for own, taken in zip((zeros, ones), _bits(children), strict=True))
+    own = _kt(zeros, ones)
+    mixed = np.logaddexp(own, weights + _kt(*rest)) + np.log(0.5)
+    weighted, share = np.where(inner, mixed, own), np.where(inner, np.exp(own + np.log(0.5) - mixed), 1.0)
+    zeros0, ones0 = zeros.sum(axis=0), ones.sum(axis=0)
+    rest0 = zeros[~node].sum(axis=0), ones[~node].sum(axis=0)
+    own0 = _kt(zeros0, ones0)
+    mixed0 = np.logaddexp(own0, weighted[node].sum(axis=0) + _kt(*rest0)) + np.log(0.5)
+    share0 = np.exp(own0 + np.log(0.5) - mixed0) if node.any() else np.ones(256)
+    sums0, left0 = share0 * _one(zeros0, ones0), 1 - share0
+    mixed_sums = sums0 + left0 * share * _one(zeros, ones)
+    left = left0 * (1 - share)
+    chance = np.where(node[:, None], mixed_sums + left * _one(*rest), sums0 + left0 * _one(*rest0))
+    return Top(mixed_sums, left, chance)
+
+
+_ASKED = "part int, block long, keys binary, counts binary"
+
+
+def _block_grams(texts: list[bytes], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each portion of the texts its distinct keys and the key of each byte."""
+    return [(k, i.astype(np.int32)) for k, i in (np.unique(contexts(_stream(texts[b:e]), depth), return_inverse=True) for b, e in portions(texts))]
+
+
+def _dealt(distinct: np.ndarray, depth: int, n_parts: int):
+    """(order of sorted keys by part, parts, begin, end)."""
+    part = _part(distinct, depth, n_parts)
+    order = np.argsort(part, kind="stable")
+    used, begin, end = runs(part[order])
+    return order, used.astype(np.int32), begin, end
+
+
+def _gram_question(depth: int, folds: int, held_out: int, n_parts: int):
+    def question(table):
+        block, ids, texts = in_order(table)
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for asked_only in (False, True):
+            some = [t.translate(LOWER) for i, t in zip(ids, texts, strict=True) if is_held_out(i, folds, held_out) == asked_only]
+            for begin, end in portions(some):
+                k, n = np.unique(contexts(_stream(some[begin:end]), depth), return_counts=True)
+                keys.append(k)
+                counts.append(np.zeros_like(n) if asked_only else n)
+        distinct, n = _merge(keys, counts)
+        order, used, begin, end = _dealt(distinct, depth, n_parts)
+        distinct, n = distinct[order], n[order].astype(np.uint32)
+        return pa.table({"part": pa.array(used), "block": pa.array(np.full(len(used), block)), "keys": pa.array([distinct[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()), "counts": pa.array([n[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())})
+
+    return question
+
+
+def _summed(table: pa.Table, depth: int, least: int) -> tuple[list[np.ndarray], Part]:
+    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+    return keys, Part(*_merge(keys, [np.frombuffer(c, np.uint32).astype(np.int64) for c in table["counts"].to_pylist()]), depth, least)
+
+
+_SUMS = "byte int, sums binary"
+
+
+def _part_sums(depth: int, least: int):
+    def sums(table):
+        rows = _summed(table, depth, least)[1].sums()
+        return pa.table({"byte": pa.array([b for b, _ in rows], pa.int32()), "sums": pa.array([x.tobytes() for _, x in rows], pa.binary())})
+
+    return sums
+
+
+def _add_sums(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x) for x in table["sums"].to_pylist())
+    return pa.table({"byte": table["byte"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _part_answers(shared, depth: int, least: int):
+    def answers(table):
+        keys, part = _summed(table, depth, least)
+        known = part.log10(shared.value).astype(np.float32)
+        back = [known[np.searchsorted(part.keys[depth], k)].tobytes() for k in keys]
+        return pa.table({"part": pa.array([-1 - p for p in table["part"].to_pylist()], pa.int32()), "block": table["block"], "counts": pa.array(back, pa.binary())})
+
+    return answers
+
+
+def gram_answers(blocks: Blocks, depth: int, least: int, folds: int, held_out: int) -> tuple[DataFrame, int]:
+    """log10 probabilities of each block's keys (-1 - part, block, float32 in the order of the block's sorted keys of the part), and the number of parts."""
+    n_parts = max(64, blocks.n_blocks // 6)
+    asked = materialize(blocks.run(_gram_question(depth, folds, held_out, n_parts), _ASKED), "grams")
+    sums = asked.groupBy("part").applyInArrow(_part_sums(depth, least), _SUMS).groupBy("byte").applyInArrow(_add_sums, _SUMS)
+    top = build_top({row.byte: np.frombuffer(row.sums).reshape(3, 256) for row in sums.collect()}, least)
+    shared = blocks.spark.sparkContext.broadcast(top)
+    return materialize(asked.groupBy("part").applyInArrow(_part_answers(shared, depth, least), "part int, block long, counts binary"), "gram-chances"), n_parts
+
+
 _COUNTS = "part int, block long, counts binary, n_tokens long, n_distinct long"
 END_KEY = np.uint64(0xE4D)  # stands for the end among the words
 
@@ -315,7 +512,7 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"], "block": table["block"], "counts": pa.array([(b.astype(np.uint32) if small else b).tobytes() for b in back], pa.binary()), "n_tokens": pa.array([int(n.sum())] + [0] * (rows - 1)), "n_distinct": pa.array([int((n > 0).sum())] + [0] * (rows - 1))})
 
 
-def _scoring(shared, folds: int, held_out: int, n_parts: int, n_tokens: int, n_distinct: int):
+def _scoring(depth: int, n_gram_parts: int, folds: int, held_out: int, n_parts: int, n_tokens: int, n_distinct: int):
     def scores(table, answers):
         _, ids, texts = in_order(table)
         texts = [t.translate(LOWER) for t in texts]
@@ -329,8 +526,14 @@ def _scoring(shared, folds: int, held_out: int, n_parts: int, n_tokens: int, n_d
         count = known[inverse] if len(keys) else known
         tokens = np.diff(first)
         base = per_text(np.log10(count + 1.0), first) - tokens * np.log10(n_tokens + n_distinct + 1.0)
-        tree = shared.value
-        model = np.concatenate([np.zeros(0), *(tree.score(texts[b:e]) for b, e in portions(texts))])
+        grams = _block_grams(texts, depth)
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in grams)]))
+        log10 = np.zeros(len(distinct), np.float32)
+        order, *dealt = _dealt(distinct, depth, n_gram_parts)
+        for part, b, e in zip(*dealt, strict=True):
+            log10[order[b:e]] = np.frombuffer(asked[-1 - int(part)], np.float32)
+        sizes = [np.fromiter((len(t) + 1 for t in texts[b:e]), np.int64, e - b) for b, e in portions(texts)]
+        model = np.concatenate([np.zeros(0), *(per_text(log10[np.searchsorted(distinct, k)].astype(np.float64)[i], np.concatenate([[0], np.cumsum(n)])) for (k, i), n in zip(grams, sizes, strict=True))])
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         return pa.table(
             {
@@ -343,17 +546,23 @@ def _scoring(shared, folds: int, held_out: int, n_parts: int, n_tokens: int, n_d
     return scores
 
 
-def score(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, max_contexts: int = 32_768, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    spark = docs.sparkSession
-    tree = train(docs, id_col=id_col, text_col=text_col, depth=depth, max_contexts=max_contexts, folds=folds, held_out=held_out)
-    shared = spark.sparkContext.broadcast(tree)
+def score(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, least: int = 2, max_contexts: int | None = None, folds: int = 7, held_out: int = 2) -> DataFrame:
+    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    max_contexts: instead of `least` times, contexts with a node are seen depth / max_contexts of all training bytes.
+    """
+    if max_contexts is not None:
+        trained = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held_out
+        size = docs.where(trained).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
+        least = -(-size * depth // max_contexts)
     blocks = Blocks(docs, id_col, text_col)
-    asked = blocks.run(_question(folds, held_out, blocks.n_parts), "part int, block long, keys binary, counts binary")
+    grams, n_gram_parts = gram_answers(blocks, depth, least, folds, held_out)
+    asked = blocks.run(_question(folds, held_out, blocks.n_parts), _ASKED)
     totals = materialize(asked.groupBy("part").applyInArrow(_totals, _COUNTS), "word-counts")
     n_tokens, n_distinct = (x or 0 for x in totals.agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocks.run(_scoring(shared, folds, held_out, blocks.n_parts, n_tokens, n_distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double", totals.select("part", "block", "counts"))
+    answers = totals.select("part", "block", "counts").unionByName(grams)
+    return blocks.run(_scoring(depth, n_gram_parts, folds, held_out, blocks.n_parts, n_tokens, n_distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double", answers)
 
 
 def op4_ctw(spark, sf_dir):

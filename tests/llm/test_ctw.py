@@ -108,3 +108,13 @@ def test_without_training(spark):
     row = score(spark.createDataFrame([(alone, "ab")], "doc_id long, text string")).first()
     assert row.held_out and row.base_score == 0 and math.isclose(row.score, 24 * math.log10(0.5), rel_tol=1e-6)
     assert isinstance(train(spark.createDataFrame([], "doc_id long, text string")), Tree)
+
+
+def test_every_context_seen_twice_has_a_node(spark):
+    """At any size of corpus: here depth / 32,768 of the bytes are more than the 2 times that the contexts are seen."""
+    rows = [(i, f"w{i % 400:03d} {'filler text ' * 20}") for i in range(800)]
+    found = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=3).collect()}
+    training = [t.encode() for i, t in rows if not held_out(i)]
+    assert sum(len(t) + 1 for t in training) * 3 / 32768 > 10
+    for (i, _), want in zip(rows[:20], direct(training, [t.encode() for _, t in rows[:20]], 3, 2), strict=True):
+        assert math.isclose(found[i], want, rel_tol=1e-4)
