@@ -6,11 +6,14 @@ level has a quarter of the data of the one before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.calib import pad_edge
+
 #: Taps of the 9/7 filters, from the middle outwards.
 LOW_TAPS = (0.852698679009, 0.377402855613, -0.110624404418, -0.023849465020, 0.037828455507)
 HIGH_TAPS = (-0.788485616406, 0.418092273222, 0.040689417609, -0.064538882629)
@@ -71,12 +74,13 @@ def dwt2d(image: DataFrame, *, height: int, width: int, kind: str = "int") -> Da
     return step(rows, partition=["image_id", "x"], order="y", length=height)
 
 
-def dwt2d_multilevel(image: DataFrame, *, height: int, width: int, levels: int = 3, kind: str = "int") -> DataFrame:
-    """Again on the low quadrant of each level; sides must divide by 2^levels."""
+def dwt2d_multilevel(image: DataFrame, *, height: int, width: int, levels: int = 3, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Again on the low quadrant of each level; sides must divide by 2^levels. `cut` is given each level, to shorten its plan."""
     low = image.withColumn("v", F.col("v").cast("long" if kind == "int" else "double"))
     done = []
     for _ in range(levels):
         out = dwt2d(low, height=height, width=width, kind=kind)
+        out = cut(out) if cut else out
         height, width = height // 2, width // 2
         inside = (F.col("y") < height) & (F.col("x") < width)
         done.append(out.where(~inside))
@@ -242,8 +246,49 @@ def segment_headers(depths: DataFrame, *, pad_rows: int = 0) -> DataFrame:
     return totals.select(*SEGMENT, (F.col("seg") == 0).alias("is_first"), last.alias("is_last"), (F.col("seg") % 256).alias("seg_field"), "depth_dc", "depth_ac", F.when(last, pad_rows).otherwise(0).alias("pad_rows"), F.when(last, 32).otherwise(24).alias("header_bits"))
 
 
-def decompose(image: DataFrame, *, height: int, width: int, segment_size: int = 64, kind: str = "int") -> DataFrame:
-    """The blocks of the scaled (integer) or rounded (float) decomposition."""
-    coeffs = dwt2d_multilevel(image, height=height, width=width, kind=kind)
+def decompose(image: DataFrame, *, height: int, width: int, segment_size: int = 64, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The blocks of the scaled (integer) or rounded (float) decomposition; sides must divide by 8."""
+    coeffs = dwt2d_multilevel(image, height=height, width=width, kind=kind, cut=cut)
     coeffs = scale_subbands(coeffs, height=height, width=width) if kind == "int" else coeffs.withColumn("v", round_half_away(F.col("v")))
     return assign_segments(regroup_blocks(coeffs, height=height, width=width), width=width, segment_size=segment_size)
+
+
+def _gaggle_bits(codes: DataFrame, name: str) -> DataFrame:
+    """Bits of all gaggles of a segment with their identifiers; codes of one bit are written raw, codes of none not at all."""
+    n = codes.groupBy(*SEGMENT).agg(F.max("N").alias("_n"))
+    bits = F.col("bits") + F.when(F.col("_n") > 1, F.col("id_bits")).otherwise(0)
+    return gaggle_code(codes).join(n, list(SEGMENT)).groupBy(*SEGMENT).agg(F.sum(bits).alias(name))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: a plan of six nested joins, used five times, is too large."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/framelake-wavelet-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def segment_table(image: DataFrame, *, height: int, width: int, segment_size: int = 64, kind: str = "int") -> DataFrame:
+    """One row for each segment of an image of any sides: header, depths, bits of each part of the code, and `planes`,
+    sorted arrays (family, generation, plane, significant, refinement) with generations 0 parent, 1 child, 2 grandchild.
+
+    known_bits leaves out the symbols that say which coefficients become significant.
+    """
+    up = lambda n: -(-n // 8) * 8
+    blocks = _written(decompose(pad_edge(image), height=up(height), width=up(width), segment_size=segment_size, kind=kind, cut=_written))
+    depths = segment_bit_depths(blocks)
+    quantized = quantize_dc(depths)
+    generation = F.when(F.col("generation") == "parent", 0).when(F.col("generation") == "child", 1).otherwise(2)
+    stats = bitplane_stats(blocks, kind=kind).groupBy(*SEGMENT).agg(
+        F.sum("significant").alias("significant"), F.sum("refinement").alias("refinement"), F.sum("sign").alias("sign"),
+        F.sort_array(F.collect_list(F.array(*(c.cast("long") for c in (F.col("family"), generation, F.col("plane"), F.col("significant"), F.col("refinement")))))).alias("planes"),
+    )
+    out = segment_headers(depths, pad_rows=up(height) - height)
+    for part in (quantized.groupBy(*SEGMENT).agg(F.max("q").alias("q")), dc_refinement_bits(quantized, kind=kind).withColumnRenamed("planes", "up_front_planes"), _gaggle_bits(dc_dpcm(quantized), "dc_bits"), _gaggle_bits(ac_dpcm(depths), "ac_depth_bits")):
+        out = out.join(part, list(SEGMENT))
+    out = out.join(stats, list(SEGMENT), "left")  # a segment without AC bits has no planes
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = out.select(*out.columns[:-4], *map(count, ("significant", "refinement", "sign")), F.coalesce("planes", F.array().cast("array<array<bigint>>")).alias("planes"))
+    known = ("header_bits", "dc_bits", "up_front_bits", "ac_depth_bits", "in_plane_bits", "refinement", "sign")
+    return out.withColumn("known_bits", sum((F.col(c) for c in known), F.lit(0).cast("long")))

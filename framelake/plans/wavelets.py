@@ -24,10 +24,10 @@ else a[2*i+2] - floor((9 * (a[2*i+1] + a[2*i+3]) - ((case when i = 0 then a[3] e
     return f"""{out} as (select {keys}, cast(p - 1 as int) {along}, cast(o[p] as bigint) v from (select {keys}, list_concat({low}, h) o from (select {keys}, a, {high} h from (select {keys}, {get} from {src} group by {keys}))), range(1, {n + 1}) r(p))"""
 
 
-def _levels() -> str:
-    parts, src, size = [], "(select image_id, y, x, v from image)", 64
+def _levels(source: str = "image", step=_dwt) -> str:
+    parts, src, size = [], f"(select image_id, y, x, v from {source})", 64
     for k in (1, 2, 3):
-        parts += [_dwt(src, f"r{k}", "x", size), _dwt(f"r{k}", f"c{k}", "y", size)]
+        parts += [step(src, f"r{k}", "x", size), step(f"r{k}", f"c{k}", "y", size)]
         size //= 2
         src = f"(select * from c{k} where y < {size} and x < {size})"
     parts.append("dwt as (select image_id, y, x, v from c1 where y >= 32 or x >= 32 union all select image_id, y, x, v from c2 where y >= 16 or x >= 16 union all select image_id, y, x, v from c3)")
@@ -173,3 +173,50 @@ def w17(spark, sf_dir):
 @query("w18_decompose", _sql(*_ALL) + "select * from blocks")
 def w18(spark, sf_dir):
     return wl.decompose(image(spark, sf_dir), height=H, width=W, segment_size=S)
+
+
+#: Images of 60 x 61, so that rows and columns are padded to 64.
+CUT_H, CUT_W = 60, 61
+_PADDED = f"padded as (select g.image_id, ty y, tx x, v from (select image_id, cast(b.ty as int) ty, cast(c.tx as int) tx from (select distinct image_id from image) i, range(64) b(ty), range(64) c(tx)) g join image p on p.image_id = g.image_id and p.y = least(ty, {CUT_H - 1}) and p.x = least(tx, {CUT_W - 1}))"
+
+
+def _dwt_float(src: str, out: str, along: str, n: int) -> str:
+    keys = f"image_id, {'y' if along == 'x' else 'x'}"
+    at = lambda k: f"a[(case when {k} < 0 then -({k}) when {k} > {n - 1} then {2 * n - 2} - ({k}) else {k} end) + 1]"
+    taps = lambda t, c: " + ".join([f"({t[0]!r}) * a[{c} + 1]"] + [f"({x!r}) * ({at(f'({c} + {k})')} + {at(f'({c} - {k})')})" for k, x in enumerate(t) if k])
+    half = f"range(0, {n // 2})"
+    both = f"list_concat(list_transform({half}, lambda i: {taps(wl.LOW_TAPS, '2*i')}), list_transform({half}, lambda i: {taps(wl.HIGH_TAPS, '(2*i+1)')}))"
+    return f"{out} as (select {keys}, cast(p - 1 as int) {along}, o[p] v from (select {keys}, {both} o from (select {keys}, list(v::double order by {along}) a from {src} group by {keys})), range(1, {n + 1}) r(p))"
+
+
+_ROUNDED = "scaled as (select image_id, y, x, cast(case when v >= 0 then floor(v + 0.5) else ceil(v - 0.5) end as bigint) v from dwt)"
+
+
+def _segment_sql(kind: str) -> str:
+    steps = (_levels("padded"), _SCALED) if kind == "int" else (_levels("padded", _dwt_float), _ROUNDED)
+    in_plane = "case when max(q) > 3 then greatest(least(max(q), max(depth_ac)) - 3, 0) else 0 end" if kind == "int" else "least(max(q), max(depth_ac))"
+    skipped = "(case generation when 'parent' then 3 when 'child' then case when family = 2 then 1 else 2 end else case when family = 2 then 0 else 1 end end)" if kind == "int" else "0"
+    gaggles = lambda name, src: f'{name}_g as (with {_gaggles(src)}),\n{name}_s as (select image_id, seg, sum(bits + case when nn > 1 then id_bits else 0 end) b from {name}_g join (select image_id, seg, max("N") nn from {src} group by all) using (image_id, seg) group by all)'
+    planes = f"""planes as (with {_STATS} select image_id, seg, family, generation, b, count(*) filter (where bits = b) s, count(*) filter (where bits > b) r from t, range(1, 64) r(b) where b <= most and b > {skipped} group by all),
+stats as (select image_id, seg, sum(s) s, sum(r) r, list_sort(list([family, case generation when 'parent' then 0 when 'child' then 1 else 2 end, b, s, r])) l from planes group by all)"""
+    totals = f"totals as (select image_id, seg, count(*) n_blocks, max(depth_dc) depth_dc, max(depth_ac) depth_ac, max(q) q, greatest(max(q) - max(depth_ac), 0) p, {in_plane} i from quant group by all)"
+    shown = f"""rows_ as (select image_id, seg, seg = 0 is_first, seg = max(seg) over (partition by image_id) is_last, seg % 256 seg_field, depth_dc, depth_ac, q, n_blocks, p planes_, p * n_blocks up_front_bits, i * n_blocks in_plane_bits,
+d.b dc_bits, a.b ac_depth_bits, coalesce(s, 0) significant, coalesce(r, 0) refinement, coalesce(l, []) l from totals join dc_s d using (image_id, seg) join ac_s a using (image_id, seg) left join stats using (image_id, seg))"""
+    more = (_PADDED, *steps, _REGROUPED, _BLOCKS, _DEPTHS, _QUANT, _DPCM, _ACDPCM, gaggles("dc", "dpcm"), gaggles("ac", "acdpcm"), planes, totals, shown)
+    return _sql(*more) + f"""select image_id, seg, is_first, is_last, seg_field, depth_dc, depth_ac, case when is_last then {64 - CUT_H} else 0 end pad_rows, case when is_last then 32 else 24 end header_bits,
+q, n_blocks, planes_ up_front_planes, up_front_bits::bigint up_front_bits, in_plane_bits::bigint in_plane_bits, dc_bits::bigint dc_bits, ac_depth_bits::bigint ac_depth_bits, significant::bigint significant, refinement::bigint refinement, significant::bigint sign, l planes,
+(case when is_last then 32 else 24 end + dc_bits + up_front_bits + ac_depth_bits + in_plane_bits + refinement + significant)::bigint known_bits from rows_"""
+
+
+def _cut(spark, sf_dir):
+    return image(spark, sf_dir).where(f"y < {CUT_H} and x < {CUT_W}")
+
+
+@query("w18_segment_table", _segment_sql("int"))
+def w18_table(spark, sf_dir):
+    return wl.segment_table(_cut(spark, sf_dir), height=CUT_H, width=CUT_W, segment_size=S)
+
+
+@query("w18_segment_table_float", _segment_sql("float"))
+def w18_table_float(spark, sf_dir):
+    return wl.segment_table(_cut(spark, sf_dir), height=CUT_H, width=CUT_W, segment_size=S, kind="float")

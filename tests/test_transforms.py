@@ -156,3 +156,17 @@ def test_raw_files(spark, tmp_path):
     assert [r.re for r in found] == [[0, 2, 4], [6, 8, 10]] and found[0].patch == 1
     series = raw.read_sample_series(spark, str(lines), bit_size=32).orderBy("i").collect()
     assert [r.x for r in series] == data.view("<u4").tolist()
+
+
+@pytest.mark.parametrize("kind", ["int", "float"])
+def test_segment_table_of_an_image_that_is_not_padded(spark, kind):
+    image = np.random.default_rng(3).integers(0, 1000, (44, 50))
+    found = wl.segment_table(image_table(spark, image), height=44, width=50, segment_size=16, kind=kind).orderBy("seg").collect()
+    assert [(r.seg, r.n_blocks, r.pad_rows, r.header_bits, r.is_last) for r in found] == [(0, 16, 0, 24, False), (1, 16, 0, 24, False), (2, 10, 4, 32, True)]
+    whole = image_table(spark, np.pad(image, ((0, 4), (0, 6)), mode="edge"))
+    blocks = {(r.seg, r.blk, r.pos): r.c for r in wl.decompose(whole, height=48, width=56, segment_size=16, kind=kind).collect()} if kind == "int" else None
+    for r in found:
+        assert r.known_bits == r.header_bits + r.dc_bits + r.up_front_bits + r.ac_depth_bits + r.in_plane_bits + r.refinement + r.sign
+        assert (r.significant, r.refinement) == tuple(sum(p[k] for p in r.planes) for k in (3, 4))
+        if blocks:
+            assert r.depth_ac == max(abs(c).bit_length() for (s, _, p), c in blocks.items() if s == r.seg and p)
