@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -119,18 +120,18 @@ def _sets(benchmark: DataFrame, n: int, max_set_bytes: int, item_id: str, item_t
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     for block in range(blocks):
         rows = [(bytes(r[0]), r[1]) for r in dealt.where(F.col("block") == block).select("window", "item").toLocalIterator()]
-        yield spark.sparkContext.broadcast(rows), block + 1 == blocks
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, rows)), block + 1 == blocks
 
 
-_loaded: dict[int, WindowSet] = {}
+_loaded: dict[str, WindowSet] = {}
 
 
 def _window_set(shared) -> WindowSet:
-    """Built once in each Python worker."""
-    key = id(shared.value)
+    """Built once in each Python worker, by the broadcast's own name: an address can be that of an earlier list again."""
+    key, rows = shared.value
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WindowSet(shared.value)
+        _loaded[key] = WindowSet(rows)
     return _loaded[key]
 
 

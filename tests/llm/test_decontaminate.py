@@ -56,3 +56,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs, none).first().contaminated is False
     assert contamination(docs.limit(0), none).count() == 0 and decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_a_block_at_the_address_of_another_is_loaded_anew():
+    from types import SimpleNamespace
+
+    from framelake.llm.decontaminate import _window_set
+
+    shared = SimpleNamespace(value=["one", [(b"a b", "i1")]])  # one list all along: the same address
+    assert _window_set(shared).find([b"a", b"b"])[1] == {"i1"}
+    shared.value[:] = ["two", [(b"c d", "i2")]]
+    assert _window_set(shared).find([b"a", b"b"])[1] == set() and _window_set(shared).find([b"c", b"d"])[1] == {"i2"}
