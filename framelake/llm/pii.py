@@ -41,7 +41,7 @@ _NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 # Looser candidates; each begins with something rare, so that scanning long texts stays cheap.
 _HIDDEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,63})+")
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|token|secret|api_?key)\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,128})[\"']?")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|token|secret|api_?key)\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,})[\"']?")
 _KEY = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
 
 #: Gazetteers and context words of the labelers.

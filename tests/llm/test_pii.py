@@ -73,3 +73,8 @@ def test_jobs(spark):
     assert clean.columns == docs.columns
     assert not any(base_spans(r.text or "") for r in clean.where("text like '%<email>%'").where("length(text) < 30").collect())
     assert find_pii(docs.limit(0), learn(docs.limit(0))).count() == 0
+
+
+def test_a_long_secret_is_one_whole_span():
+    secret = "aB3" * 100
+    assert loose_spans(f'token = "{secret}" and more', []) == [("secret", 9, 309)]
