@@ -1,7 +1,7 @@
 """Quality rules: fixed counts, and calibrated logistic regression on hashed word and character n-grams.
 
-Features are the presence in a text of its words, of the words' first 4 and 5 bytes (without case and punctuation),
-and of its 3-byte sequences as written, hashed to 2^21 places. Two models are trained on labelled rows, one for quality
+Features are the presence in a text of its words and pairs of neighbouring words, of the words' first 4 and 5 bytes (without case and
+punctuation), and of its 3-byte sequences as written, hashed to 2^21 places. Two models are trained on labelled rows, one for quality
 and one for toxicity, on a sample of at most `max_labelled` rows (the first by a hash of doc_id; all further rows of
 labels are not used). A quarter of the sample is held out to calibrate the probabilities (Platt). A feature counts if
 `min_documents` sample rows have it. Texts are scored in Arrow batches against fixed thresholds; the model's size is
@@ -71,7 +71,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, place) of every feature that a text has, without repeats, in order."""
     words, shift = Words([t.translate(NORMALISE) for t in texts]), np.uint64(64 - BITS)
     owner = np.repeat(np.arange(len(texts)), words.counts())
-    found = [(owner, words.hashes())]
+    hashes = words.hashes()
+    pairs = windows(hashes, 2)
+    inside = owner[1:] == owner[:-1]
+    found = [(owner, hashes), (owner[:-1][inside], pairs[inside])]
     data = words.data.astype(np.uint64)
     for size in (4, 5):
         long = words.end - words.begin >= size

@@ -59,3 +59,8 @@ def test_odd_tables(spark):
     one_kind = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
     assert train(docs, one_kind)[1].weights is None
     assert isinstance(train(docs, one_kind)[0], Head) and np.isscalar(heads[0].slope)
+
+
+def test_word_order_makes_features():
+    """No 3-byte sequence reaches over three spaces, so only pairs of words tell these apart."""
+    assert features([b"aa   bb   cc   aa"])[1].tolist() != features([b"aa   cc   bb   aa"])[1].tolist()
