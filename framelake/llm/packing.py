@@ -40,7 +40,8 @@ _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def _ends_in_letter(word: bytes) -> bool:
-    return bool(word) and (97 <= word[-1] <= 122 or word[-1] > 127 and word.decode()[-1].isalpha())
+    """Of a-z only: others may turn into a letter and a sign when they are lower-cased."""
+    return bool(word) and 97 <= word[-1] <= 122
 
 
 class WordTokenizer:
@@ -48,7 +49,8 @@ class WordTokenizer:
 
     Only true for byte-level tokenizers that lower-case and split at white space and between letters and other signs before merging, as
     this vocabulary's does; `tests/llm/test_packing.py` compares it with the plain tokenizer. A word of letters in normal form goes to the
-    merges at once. The cache is emptied when full.
+    merges at once. Special tokens count as the tokenizer's file says: where their names are written exactly, before lower-casing.
+    The cache is emptied when full.
     """
 
     def __init__(self, path: str, max_cached: int = 500_000):
@@ -56,7 +58,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: names of special tokens, lower-cased; they hold no white space
+        self.special = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.cache: dict[bytes, bytes] = {}
         self.max_cached = max_cached
@@ -80,15 +83,22 @@ class WordTokenizer:
             for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[text.encode()] = np.array(found.ids, "<u4").tobytes()
 
+    def _chunks(self, text: bytes) -> list[bytes]:
+        """Lower-cased, but for those with the letters of a special token's name, whose case decides."""
+        low = text.translate(LOWER)
+        if not any(name in low for name in self.special):
+            return low.split()
+        return [raw if any(name in part for name in self.special) else part for raw, part in zip(text.split(), low.split(), strict=True)]
+
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        chunks = [utf8(t).translate(LOWER).split() for t in texts]
+        chunks = [self._chunks(utf8(t)) for t in texts]
         if len(self.cache) > self.max_cached:
             self.cache.clear()
         cache = self.cache
         new = set().union(*chunks).difference(cache)
         # Signs after a letter are a token run of their own anyway; parted from the word, fewer chunks are to be learnt.
-        parted = [(c, word, c[len(word) :]) for c in new if len(word := c.rstrip(_SIGNS)) < len(c) and _ends_in_letter(word)]
+        parted = [(c, word, c[len(word) :]) for c in new if len(word := c.rstrip(_SIGNS)) < len(c) and _ends_in_letter(word) and not any(name in c for name in self.special)]
         words = new.difference([c for c, _, _ in parted]).union(*((word, signs) for _, word, signs in parted))
         self._learn([c for c in words if c not in cache])
         for c, word, signs in parted:

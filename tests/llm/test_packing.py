@@ -1,5 +1,6 @@
 """Packing against the plain tokenizer and the rules for pieces."""
 
+import random
 import zlib
 
 import numpy as np
@@ -12,14 +13,13 @@ from framelake.llm.packing import SumOfSquares, WordTokenizer, pack
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", "a", "Hello, World. It's 3.14... isn't it?! (x,y) a.b.c", "ÉCOLE naïve ﬁ ŀ Ǆ İstanbul ΣΑΣ ß ẞ", "x" * 9000, "日本語 テキスト。 абв ГДЕ", "é İ   　   z\x0b\x0cq\x1cr",
-    "don't won't they'll 'sx 's, 've.", "<|endoftext|> <|startoftext|> </w>", "word " * 30_000, "., ,. .a ,b a., b,. ...", "퟿ \U0001f600😀 a😀b", "Ⅷ ½ ٣ x²",
+    "don't won't they'll 'sx 's, 've.", "<|endoftext|> <|startoftext|> </w>", "a<|endoftext|>b.<|ENDOFTEXT|> A<|EndOfText|>B, <|startoftext|><|endoftext|>É. <|endoftext", "İ. İ İ,İ! xİ.y", "word " * 30_000, "., ,. .a ,b a., b,. ...", "퟿ \U0001f600😀 a😀b", "Ⅷ ½ ٣ x²",
 ]
 
 
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +30,26 @@ def test_cached_chunks_give_the_tokenizers_ids(plain):
             assert np.frombuffer(ids, "<u4").tolist() == plain(text), text
 
 
+def test_random_strings_give_the_tokenizers_ids(plain):
+    rng, words = random.Random(7), WordTokenizer(PATH)
+    signs = [*" \n\t.,'!?<|>-ab'sXYé0İßΣς", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "\u0301", "\u0307", "\u00a0", "\u2028", "\u1e9e", "\u0345"]
+    letter = lambda: rng.choice(signs) if rng.random() < 0.6 else chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x20000)]))
+    texts = ["".join(letter() for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(text), text
+
+
+def test_every_letter_gives_the_tokenizers_ids(plain):
+    """Each code point alone, between letters, and before a sign."""
+    words = WordTokenizer(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x20000 or c % 97 == 0)]
+    for at in range(0, len(points), 2000):
+        part = points[at : at + 2000]
+        texts = [" ".join((c, f"x{c}y", f"{c}.")) for c in part]
+        for text, ids in zip(texts, words.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), ascii(text)
+
+
 def check(rows, ids):
     """rows: dicts; ids: by document."""
     for doc, own in ids.items():
