@@ -1,13 +1,16 @@
 """URL filters by a sort-merge range join of URLs and host/path rules.
 
 A host's canonical key is its labels in reverse, each followed by U+0001; all hosts under a rule's host begin with the
-rule's key, so a rule is an interval of keys. URLs and rules are dealt out together by ranges of (key, id), a rule to
-every range that its interval meets, and sorted. A sweep over each range keeps the stack of the rules whose intervals
-hold the current key: an interval is left when a key no longer begins with it. On the stack the rule's path and its host
-are verified, and of the rules that fit the longest wins (host and path together; of equals, the longer host).
+rule's key, so a rule is an interval of keys. URLs and rules are dealt out together by ranges of (key, spread), a rule to
+every range that its interval meets, and sorted. A sweep over each range keeps the stack of the hosts whose intervals
+hold the current key: an interval is left when a key no longer begins with it. The rules of one host are intervals of paths in turn:
+sorted, each linked to the rule that it is nested in, so that a path's longest rule is found by bisection and a walk outwards, however
+many rules the host has. On the stack the host itself is verified, and of the rules that fit the longest wins (host and
+path together; of equals, the longer host).
 
-Range borders come from a bounded sample of URLs (`sample_rows`); they decide the balance of the tasks only, never the
-result, and a host with very many URLs is split between ranges. Number of borders: `ranges`, at most a few thousand.
+Range borders come from about `sample_rows` URLs, those whose hash is below a limit that follows from the number of rows, so that all tasks
+together give so many; they decide the balance of the tasks only, never the result. A host with very many URLs is split between ranges by
+`spread`, a hash of id, path and source partition, also where ids are null or equal. Number of borders: `ranges`, at most a few thousand.
 
 Defined cases: a null URL, or one without ://, has empty host and path and fits no rule; a null rule host or path is
 ignored; of rules that are equal, the one with the smallest verdict counts; null ids and repeated rows are judged like all others; without rules
@@ -40,13 +43,33 @@ def host_key(host):
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
 
 
-def _fits(host: str, path: str, rule: tuple) -> bool:
-    return path.startswith(rule[1]) and (host == rule[0] or host.endswith("." + rule[0]))
+class HostRules:
+    """The rules of one host as nested intervals of paths."""
+
+    def __init__(self, host: str):
+        self.host, self.rules = host, []  # (path, verdict), in the order of paths
+        self.outer: list[int] = []  # of each rule the one that it is nested in, or -1
+
+    def add(self, path: str, verdict: str) -> None:
+        k = len(self.rules) - 1
+        while k >= 0 and not path.startswith(self.rules[k][0]):
+            k = self.outer[k]
+        self.rules.append((path, verdict))
+        self.outer.append(k)
+
+    def longest(self, host: str, path: str) -> tuple[str, str, str] | None:
+        """(host, path, verdict) of the longest rule that fits."""
+        if host != self.host and not host.endswith("." + self.host):
+            return None
+        k = bisect_right(self.rules, path, key=lambda r: r[0]) - 1
+        while k >= 0 and not path.startswith(self.rules[k][0]):
+            k = self.outer[k]
+        return (self.host, *self.rules[k]) if k >= 0 else None
 
 
 def _sweep(batches):
-    """Rows in the order of (range, key, rules first); yields URLs with their rule and verdict."""
-    here, stack = None, []  # of (key, rules at that key)
+    """Rows in the order of (range, key, rules first, host, path); yields URLs with their rule and verdict."""
+    here, stack = None, []  # of (key, rules of a host with that key)
 
     def batch_of(rows):
         ids, hosts, paths, rules, verdicts = zip(*rows, strict=True)
@@ -59,11 +82,11 @@ def _sweep(batches):
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
         if not is_url:
-            if not stack or stack[-1][0] != key:
-                stack.append((key, []))
-            stack[-1][1].append((host, path, verdict))
+            if not stack or stack[-1][1].host != host:
+                stack.append((key, HostRules(host)))
+            stack[-1][1].add(path, verdict)
             continue
-        best = max((r for _, rules in stack for r in rules if host and _fits(host, path, r)), key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
+        best = max((r for _, rules in stack if host and (r := rules.longest(host, path))), key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
         out.append((row, host, path, best and best[0] + best[1], best and best[2]))
         if len(out) >= 20_000:
             yield batch_of(out)
@@ -79,18 +102,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col="page_id", url_col=
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("string").alias("id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    # A fixed pseudo-random choice of sample_rows URLs, for the borders only.
-    order = F.xxhash64("id", "key")
-    sample = sorted((r[0], r[1] or "") for r in urls.select("key", "id", order.alias("o")).orderBy("o").limit(sample_rows).select("key", "id").collect())
+    urls = urls.withColumn("spread", F.hex(F.xxhash64("id", "path", F.spark_partition_id())))
+    n_rows = pages.count()
+    limit = (1 << 32) if n_rows <= sample_rows else (sample_rows << 32) // n_rows
+    sampled = urls.where(F.pmod(F.xxhash64("spread", "key"), F.lit(1 << 32)) < limit)
+    sample = sorted((r[0], r[1]) for r in sampled.select("key", "spread").collect())
     borders = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
     shared = spark.sparkContext.broadcast(borders)
 
     def deal(batches):
-        """URLs to the range that holds (key, id); rules to all ranges that their interval meets."""
+        """URLs to the range that holds (key, spread); rules to all ranges that their interval meets."""
         for batch in batches:
             rows = []
-            for key, is_url, row, h, p, verdict in rows_of([batch], "key", "is_url", "id", "host", "path", "verdict"):
-                first = bisect_right(shared.value, (key, row or "" if is_url else ""))
+            for key, is_url, row, h, p, verdict, spread in rows_of([batch], "key", "is_url", "id", "host", "path", "verdict", "spread"):
+                first = bisect_right(shared.value, (key, spread if is_url else ""))
                 last = first if is_url else bisect_right(shared.value, (key + _LAST, _LAST))
                 rows += [(k, key, is_url, row, h, p, verdict) for k in range(first, last + 1)]
             columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
@@ -98,10 +123,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col="page_id", url_col=
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], ["range_id", "key", "is_url", "id", "host", "path", "verdict"])
 
     one = rules.where("host is not null and path is not null and host != ''").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    both = urls.select("key", F.lit(True).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("verdict")).union(
-        one.select(host_key(F.col("host")).alias("key"), F.lit(False).alias("is_url"), F.lit(None).cast("string").alias("id"), "host", "path", "verdict")
+    both = urls.select("key", F.lit(True).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("verdict"), "spread").union(
+        one.select(host_key(F.col("host")).alias("key"), F.lit(False).alias("is_url"), F.lit(None).cast("string").alias("id"), "host", "path", "verdict", F.lit("").alias("spread"))
     )
-    swept = both.mapInArrow(deal, _TURNED).repartition(ranges, "range_id").sortWithinPartitions("range_id", "key", "is_url").mapInArrow(_sweep, "id string, host string, path string, rule string, verdict string")
+    swept = both.mapInArrow(deal, _TURNED).repartition(ranges, "range_id").sortWithinPartitions("range_id", "key", "is_url", F.when(~F.col("is_url"), F.col("host")), F.when(~F.col("is_url"), F.col("path"))).mapInArrow(_sweep, "id string, host string, path string, rule string, verdict string")
     return swept.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

@@ -1,8 +1,9 @@
 """URL rules against brute force."""
 
 import random
+import time
 
-from framelake.llm.url_filters import judge_urls
+from framelake.llm.url_filters import HostRules, judge_urls
 
 
 def brute(url, rules, default):
@@ -36,3 +37,31 @@ def test_empty_tables(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
     row = judge_urls(spark.createDataFrame([(1, "http://a.b/c?d")], "page_id long, url string"), none, default="block").first()
     assert tuple(row) == (1, "a.b", "/c", None, "block")
+
+
+def test_many_path_rules_of_one_host_take_linear_time():
+    def run(n):
+        rules = HostRules("h.com")
+        for path in sorted(f"/{k % 300}/{k}/" for k in range(n)):
+            rules.add(path, "block")
+        began = time.process_time()
+        found = [rules.longest("www.h.com", f"/{k % 300}/{k}/x") for k in range(n)]
+        assert all(r[1] == f"/{k % 300}/{k}/" for k, r in enumerate(found)) and rules.longest("h.com", "/x") is None and rules.longest("xh.com", "/1/1/") is None
+        return time.process_time() - began
+
+    assert run(50_000) < 5  # every rule against every path would be 2.5 billion tests
+
+
+def test_nested_paths():
+    rules = HostRules("h")
+    for path in sorted(["", "/", "/a", "/a/", "/a/b/", "/ab", "/b"]):
+        rules.add(path, path)
+    for path, want in [("x", ""), ("/c", "/"), ("/a", "/a"), ("/a/b", "/a/"), ("/a/b/c", "/a/b/"), ("/abc", "/ab"), ("/ac", "/a"), ("/bb", "/b")]:
+        assert rules.longest("h", path)[1] == want
+
+
+def test_equal_rows_of_one_host_are_split(spark):
+    """Null ids and one URL: the ranges part them by source partition."""
+    pages = spark.createDataFrame([(None, "http://a.b/c")] * 4000, "page_id long, url string").repartition(8)
+    found = judge_urls(pages, spark.createDataFrame([("b", "/", "block")], "host string, path string, verdict string"), ranges=4)
+    assert found.where("rule = 'b/'").count() == 4000
