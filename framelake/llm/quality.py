@@ -2,8 +2,8 @@
 
 Features are the presence in a text of its words and pairs of neighbouring words, of the words' first 4 and 5 bytes (without case and
 punctuation), and of its 3-byte sequences as written, hashed to 2^21 places. Two models are trained on labelled rows, one for quality
-and one for toxicity, on a sample of at most `max_labelled` rows (the first by a hash of doc_id; all further rows of
-labels are not used). A quarter of the sample is held out to calibrate the probabilities (Platt). A feature counts if
+and one for toxicity, on a sample of at most `max_labelled` documents (the first by a hash of doc_id; all further rows of
+labels are not used). Each model takes the sample's documents that have its label. A quarter of the sample is held out to calibrate the probabilities (Platt). A feature counts if
 `min_documents` sample rows have it. Texts are scored in Arrow batches against fixed thresholds; the model's size is
 fixed by the hash space (8 MB for both), which bounds its broadcast.
 
@@ -11,7 +11,8 @@ Rules: base_failed if n_words < 50 or 100 * n_repeat_words > 50 * n_words; kept
 probability of quality is at least `min_quality` and that of toxicity at most `max_toxic`.
 
 Defined cases: a null text has no words and fails; labels that are null, or of unknown documents, are not used;
-several labels of a document count as their majority (ties as 1); without labels of both kinds a model keeps all;
+several labels of a document count as their majority (ties as 1); of texts that share an id the one of the least hash is learnt from;
+without labels of both kinds a model keeps all;
 repeated rows are judged one by one; an empty table gives no rows; `filter_quality` keeps all columns whatever their names.
 """
 
@@ -140,15 +141,17 @@ class _Rows:
 
 
 def _fit(rows: _Rows, y: np.ndarray, steps: int = 80, scale: float = 0.05, decay: float = 1e-5) -> Head:
-    """Logistic regression by Adam on three quarters of the rows, calibrated on the others."""
-    n, known, sums, gather = rows.n, rows.known, rows.sums, rows.gather
-    held = np.arange(n) % 4 == 3
-    if min(y[~held].sum(), (~held).sum() - y[~held].sum(), y[held].sum(), held.sum() - y[held].sum()) < 1:
+    """Logistic regression by Adam on three quarters of the rows with a label (y is not nan), calibrated on the others."""
+    known, sums, gather = rows.known, rows.sums, rows.gather
+    labelled, turn = ~np.isnan(y), np.arange(rows.n) % 4 == 3
+    held, learnt = labelled & turn, labelled & ~turn
+    y = np.where(labelled, y, 0)
+    if min(y[learnt].sum(), learnt.sum() - y[learnt].sum(), y[held].sum(), held.sum() - y[held].sum()) < 1:
         return Head(None)
-    w, bias, trained = np.zeros(len(known)), 0.0, (~held).sum()
+    w, bias, trained = np.zeros(len(known)), 0.0, learnt.sum()
     m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for step in range(1, steps + 1):
-        error = np.where(held, 0, _sigmoid(scale * sums(w) + bias) - y)
+        error = np.where(learnt, _sigmoid(scale * sums(w) + bias) - y, 0)
         slope = scale * gather(error) / trained + decay * w
         slope_b = error.sum() / trained
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
@@ -175,9 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     """The models of quality and toxicity from a sample of at most max_labelled labelled documents."""
     ship(docs.sparkSession)
     majority = lambda c: F.when(F.avg(c) >= 0.5, 1).when(F.avg(c) < 0.5, 0)
-    rated = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(majority("quality").alias("quality"), majority("toxic").alias("toxic")).dropna()
-    sample = rated.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # so many rows at most: fit to broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    rated = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(majority("quality").alias("quality"), majority("toxic").alias("toxic")).where("quality is not null or toxic is not null")
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    # Only ids below a limit are sorted: it lets through a few more than are asked for over all tasks together.
+    n_rated = rated.count()
+    limit = (1 << 40) if n_rated <= max_labelled else ((max_labelled + max_labelled // 10 + 1_000) << 40) // n_rated
+    sample = rated.where(order < limit).orderBy(order, "id").limit(max_labelled)  # so many rows at most: fit to broadcast
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "id")
+    texts = found.groupBy("id", "quality", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
 
     def extract(batches):
         for batch in batches:
@@ -194,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
         return Head(None), Head(None)
     sizes = np.array([len(x) // 4 for x in rows["places"].to_pylist()])
     place = np.frombuffer(b"".join(rows["places"].to_pylist()), "<i4")
-    targets = [rows[c].to_numpy().astype(float) for c in ("quality", "toxic")]
+    targets = [np.array([np.nan if y is None else y for y in rows[c].to_pylist()], float) for c in ("quality", "toxic")]
     del rows
     kept = _Rows(sizes, place, min_documents)
     del place

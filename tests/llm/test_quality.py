@@ -64,3 +64,18 @@ def test_odd_tables(spark):
 def test_word_order_makes_features():
     """No 3-byte sequence reaches over three spaces, so only pairs of words tell these apart."""
     assert features([b"aa   bb   cc   aa"])[1].tolist() != features([b"aa   cc   bb   aa"])[1].tolist()
+
+
+def test_repeated_ids_and_half_null_labels(spark):
+    """The model doesn't depend on the order of texts that share an id; a row without one label still teaches the other model."""
+    word = lambda i, k: f"{'good' if i % 2 else 'bad'}{k % 5} w{(i * 7 + k) % 40}"
+    rows = [(i, " ".join(word(i, k) for k in range(40))) for i in range(200)] + [(i, "other text " + "x " * i) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, None if i % 3 else i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    first, second = (train(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels) for r, k in ((rows, 2), (rows[::-1], 5)))
+    assert all(np.array_equal(a.weights, b.weights) and a.offset == b.offset for a, b in zip(first, second))
+    none_toxic = spark.createDataFrame([(i, i % 2, None) for i in range(200)], "doc_id long, quality int, toxic int")
+    heads = train(spark.createDataFrame(rows, "doc_id long, text string"), none_toxic)
+    assert heads[0].weights is not None and heads[1].weights is None
+    assert np.array_equal(heads[0].weights, first[0].weights)
+    small = train(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_labelled=50)
+    assert small[0].weights is None or not np.array_equal(small[0].weights, first[0].weights)
