@@ -4,7 +4,7 @@ The text's bytes (A-Z lower-cased, with an end symbol) are predicted bit by bit:
 the 255 places in the binary tree of a byte has its own zeros and ones, counted over all training documents. A
 Krichevsky-Trofimov estimate stands at each depth, and weights mix the estimates of all depths, by how well each foretold the training
 bits (the weighted probabilities are summed from the deepest contexts up). Every context that is seen `least` times in the training
-texts has a node, so the tree grows with the corpus; what follows rarer ones is counted together in a leaf of the next shorter context.
+texts has a node, at every size of corpus; what follows rarer ones is counted together in a leaf of the next shorter context. `depth` (5) may be up to 7.
 
 The tree is never in one place. Each block (blocks.py) asks for its distinct (context, byte) keys, with their counts in its training texts, dealt
 by the two nearest bytes of the context. All contexts of two bytes and more that share these are in one part, where the counts are summed and the
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.blocks import Blocks, in_order, runs
-from framelake.llm.common import LOWER, materialize, read, ship, utf8
+from framelake.llm.blocks import ANSWER, QUESTION, Blocks, Exchange, answer_table, answered, in_order, merge, question, read_questions
+from framelake.llm.common import LOWER, Scratch, materialize, read
 from framelake.llm.words import Words, per_text, portions
 
 END = 255  # never a byte of UTF-8
@@ -57,74 +57,9 @@ def contexts(stream: np.ndarray, depth: int) -> np.ndarray:
     return code << np.uint64(8) | stream[1:]
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    both, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(both, kind="stable")
-    both, n = both[order], n[order]
-    begin = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-    return both[begin], np.add.reduceat(n, begin) if len(begin) else n
-
-
-_GRAMS = "part int, keys binary, counts binary"
-
-
-def _part(keys: np.ndarray, depth: int, n_parts: int) -> np.ndarray:
-    """By the two nearest bytes, so that all that shares them is together."""
-    return ((keys >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B1) >> np.uint64(8)) % np.uint64(n_parts)
-
-
-def count_grams(docs: DataFrame, depth: int, folds: int, held_out: int, n_parts: int) -> DataFrame:
-    """Counts of (context, byte) in the training texts: (part, keys, counts) with exact totals."""
-
-    def count(batches):
-        keys, counts, size = [], [], 0
-        for batch in batches:
-            texts = [utf8(t).translate(LOWER) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not is_held_out(i, folds, held_out)]
-            for begin, end in portions(texts):
-                k, n = np.unique(contexts(_stream(texts[begin:end]), depth), return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                size += len(k)
-                if size > 6_000_000:
-                    k, n = _merge(keys, counts)
-                    keys, counts, size = [k], [n], 0
-        if keys:
-            k, n = _merge(keys, counts)
-            part = _part(k, depth, n_parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            rows = [(p, k[order[b:e]].tobytes(), n[order[b:e]].astype(np.int64).tobytes()) for p, (b, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > b]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "counts"])
-
-    def total(table):
-        k, n = _merge([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()])
-        return pa.table({"part": table["part"][:1], "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
-
-    return docs.mapInArrow(count, _GRAMS).groupBy("part").applyInArrow(total, _GRAMS)
-
-
-def _frequent(depth: int, least: int):
-    """Keeps of a part the contexts with a node, by depth; of at most two bytes all."""
-
-    def keep(table):
-        depths, codes, counts = [], [], []
-        for keys, n in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
-            for d in range(depth, 1, -1):
-                context, symbol = keys >> np.uint64(8), keys & np.uint64(255)
-                if d < depth:
-                    context = context >> np.uint64(8)
-                    keys, n = _merge([context << np.uint64(8) | symbol], [n])
-                    context = keys >> np.uint64(8)
-                begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                total = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(n))))
-                some = total >= least if d > 2 else np.ones(len(n), bool)
-                depths.append(d)
-                codes.append(keys[some].tobytes())
-                counts.append(n[some].tobytes())
-        return pa.table({"depth": pa.array(depths, pa.int32()), "keys": pa.array(codes, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    return keep
+def _cut(depth: int):
+    """Parts by the two nearest bytes, so that all contexts that share them are together."""
+    return lambda keys, n_parts: ((keys >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B1) >> np.uint64(8)) % np.uint64(n_parts)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -150,130 +85,6 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - np.log(np.pi) - _lgamma(zeros + ones + 1)
 
 
-@dataclass
-class Tree:
-    """A whole tree in one process, for small tables: state and byte -> log10 probability and next state; state 0 has no context, `start` stands before a text."""
-
-    log10: np.ndarray
-    follow: np.ndarray
-    start: int
-    depth: int
-
-    def score(self, texts: list[bytes], stretch: int = 512) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        stream = np.concatenate([np.full(self.depth, END, np.uint8), _stream(texts)])
-        n = len(stream) - self.depth - 1  # symbols to score, from depth + 1 on
-        width = min(stretch, max(1, n))
-        rows = -(-n // width)
-        padded = np.concatenate([stream, np.full(rows * width - n, END, np.uint8)])
-        state = np.zeros(rows, np.int64)
-        begins = np.arange(rows) * width
-        for k in range(1, self.depth + 1):  # the bytes before each stretch set its state
-            state = self.follow[state, padded[begins + k]].astype(np.int64)
-        out = np.empty((rows, width), np.float32)
-        for k in range(width):
-            symbol = padded[begins + self.depth + 1 + k]
-            out[:, k] = self.log10[state, symbol]
-            state = self.follow[state, symbol]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        return per_text(out.ravel()[:n].astype(np.float64), np.concatenate([[0], np.cumsum(sizes)]))
-
-
-def build_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, least: int) -> Tree:
-    """levels: by depth sorted keys (context and byte) and counts; contexts seen fewer than `least` times get no node."""
-    kept: list[np.ndarray] = []  # contexts with a node, by depth, sorted
-    leaves: list[np.ndarray] = []
-    for d in range(depth + 1):
-        keys, n = levels.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        context, symbol = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
-        names, index = np.unique(context, return_inverse=True)
-        total = np.bincount(index, weights=n, minlength=len(names))
-        some = total >= max(1, least) if d else np.ones(len(names), bool)
-        if d:  # a node's shorter contexts have nodes: they are seen as often
-            some &= np.isin(names >> np.uint64(8), kept[-1]) if d > 1 else True
-            # and so have its older bytes alone, that the automaton may stay among nodes
-        table = np.zeros((len(names), 256))
-        table[index, symbol] = n
-        kept.append(names[some] if d or len(names) else np.zeros(1, np.uint64))
-        leaves.append(table[some] if d or len(names) else np.zeros((1, 256)))
-    parent = [None] + [np.searchsorted(kept[d - 1], kept[d] >> np.uint64(8)) for d in range(1, depth + 1)]
-    zeros, ones = map(list, zip(*map(_bits, leaves), strict=True))
-    own = [_kt(z, o) for z, o in zip(zeros, ones, strict=True)]
-    below = [np.zeros_like(x) for x in own]  # of the children with nodes
-    rest_zeros, rest_ones = [z.copy() for z in zeros], [o.copy() for o in ones]
-    has_children = [np.zeros(len(k), bool) for k in kept]
-    weighted, share = [None] * (depth + 1), [None] * (depth + 1)
-    for d in range(depth, -1, -1):
-        inner = has_children[d][:, None]
-        split = below[d] + _kt(np.maximum(rest_zeros[d], 0), np.maximum(rest_ones[d], 0))
-        mixed = np.logaddexp(own[d], split) + np.log(0.5)
-        weighted[d] = np.where(inner, mixed, own[d])
-        share[d] = np.where(inner, np.exp(own[d] + np.log(0.5) - mixed), 1.0)  # of the node's own estimate
-        if d:
-            np.add.at(below[d - 1], parent[d], weighted[d])
-            np.subtract.at(rest_zeros[d - 1], parent[d], zeros[d])
-            np.subtract.at(rest_ones[d - 1], parent[d], ones[d])
-            has_children[d - 1][parent[d]] = True
-    one = lambda z, o: (o + 0.5) / (z + o + 1)
-    sums, left, tables = [], [], []
-    for d in range(depth + 1):
-        before = (0.0, 1.0) if d == 0 else (sums[d - 1][parent[d]], left[d - 1][parent[d]])
-        sums.append(before[0] + before[1] * share[d] * one(zeros[d], ones[d]))
-        left.append(before[1] * (1 - share[d]))
-        chance = sums[d] + left[d] * one(np.maximum(rest_zeros[d], 0), np.maximum(rest_ones[d], 0))
-        table = np.zeros((len(chance), 256))
-        node = np.ones(256, np.int64)
-        for bit in range(7, -1, -1):
-            value = np.arange(256) >> bit & 1
-            p = chance[:, node - 1]
-            table += np.log10(np.where(value == 1, p, 1 - p))
-            node = 2 * node + value
-        tables.append(table.astype(np.float32))
-    base = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
-    # From a context s by byte b: the longest context with a node among the endings of s + b, b being the nearest byte.
-    follow = [np.zeros((len(k), 256), np.int32) for k in kept]
-    byte = np.arange(256, dtype=np.uint64)
-    for d in range(depth + 1):
-        for take in range(min(d + 1, depth), 0, -1):  # b and the nearest take - 1 bytes of s
-            older = kept[d] >> np.uint64(8 * (d - take + 1))
-            name = byte[None, :] << np.uint64(8 * (take - 1)) | older[:, None]
-            at = np.minimum(np.searchsorted(kept[take], name), max(0, len(kept[take]) - 1))
-            found = kept[take][at] == name if len(kept[take]) else np.zeros(name.shape, bool)
-            follow[d] = np.where((follow[d] == 0) & found, (base[take] + at).astype(np.int32), follow[d])
-    follow = np.concatenate(follow)
-    start = 0
-    for d in range(1, depth + 1):
-        name = np.uint64(int("FF" * d, 16))
-        at = np.searchsorted(kept[d], name)
-        if at < len(kept[d]) and kept[d][at] == name:
-            start = int(base[d] + at)
-    follow[:, END] = start
-    return Tree(np.concatenate(tables), follow, start, depth)
-
-
-def train(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, max_contexts: int = 32_768, folds: int = 7, held_out: int = 2) -> Tree:
-    """A tree of at most max_contexts nodes in one process, for comparison; `score` does not use it."""
-    spark = docs.sparkSession
-    ship(spark)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    trained = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds != held_out
-    size = picked.where(trained).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    least = -(-size * depth // max_contexts)
-    n_parts = max(64, size // 50_000_000)
-    grams = count_grams(picked, depth, folds, held_out, n_parts)
-    kept = grams.groupBy("part").applyInArrow(_frequent(depth, least), "depth int, keys binary, counts binary")
-    # At most max_contexts contexts over all depths, and 2^16 of two bytes, with 256 bytes each; the true number is far less.
-    levels: dict[int, list] = {}
-    for row in kept.collect():
-        levels.setdefault(row.depth, []).append((np.frombuffer(row.keys, np.uint64), np.frombuffer(row.counts, np.int64)))
-    merged = {d: _merge(*map(list, zip(*x, strict=True))) for d, x in levels.items()}
-    for d in (1, 0):
-        if d + 1 in merged:
-            keys, n = merged[d + 1]
-            merged[d] = _merge([keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)], [n])
-    return build_tree(merged, depth, least)
-
-
 def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1)
 
@@ -394,24 +205,13 @@ def build_top(sums: dict[int, np.ndarray], least: int) -> Top:
     return Top(mixed_sums, left, chance)
 
 
-_ASKED = "part int, block long, keys binary, counts binary"
-
-
 def _block_grams(texts: list[bytes], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each portion of the texts its distinct keys and the key of each byte."""
     return [(k, i.astype(np.int32)) for k, i in (np.unique(contexts(_stream(texts[b:e]), depth), return_inverse=True) for b, e in portions(texts))]
 
 
-def _dealt(distinct: np.ndarray, depth: int, n_parts: int):
-    """(order of sorted keys by part, parts, begin, end)."""
-    part = _part(distinct, depth, n_parts)
-    order = np.argsort(part, kind="stable")
-    used, begin, end = runs(part[order])
-    return order, used.astype(np.int32), begin, end
-
-
-def _gram_question(depth: int, folds: int, held_out: int, n_parts: int):
-    def question(table):
+def _gram_question(depth: int, folds: int, held_out: int, fan: int):
+    def ask(table):
         block, ids, texts = in_order(table)
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for asked_only in (False, True):
@@ -420,17 +220,15 @@ def _gram_question(depth: int, folds: int, held_out: int, n_parts: int):
                 k, n = np.unique(contexts(_stream(some[begin:end]), depth), return_counts=True)
                 keys.append(k)
                 counts.append(np.zeros_like(n) if asked_only else n)
-        distinct, n = _merge(keys, counts)
-        order, used, begin, end = _dealt(distinct, depth, n_parts)
-        distinct, n = distinct[order], n[order].astype(np.uint32)
-        return pa.table({"part": pa.array(used), "block": pa.array(np.full(len(used), block)), "keys": pa.array([distinct[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()), "counts": pa.array([n[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())})
+        distinct, n, _ = merge(keys, counts)
+        return question(block, distinct, n.astype(np.uint32), fan, _cut(depth))
 
-    return question
+    return ask
 
 
 def _summed(table: pa.Table, depth: int, least: int) -> tuple[list[np.ndarray], Part]:
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    return keys, Part(*_merge(keys, [np.frombuffer(c, np.uint32).astype(np.int64) for c in table["counts"].to_pylist()]), depth, least)
+    keys, counts, _ = read_questions(table, np.uint32)
+    return keys, Part(*merge(keys, counts)[:2], depth, least)
 
 
 _SUMS = "byte int, sums binary"
@@ -453,23 +251,24 @@ def _part_answers(shared, depth: int, least: int):
     def answers(table):
         keys, part = _summed(table, depth, least)
         known = part.log10(shared.value).astype(np.float32)
-        back = [known[np.searchsorted(part.keys[depth], k)].tobytes() for k in keys]
-        return pa.table({"part": pa.array([-1 - p for p in table["part"].to_pylist()], pa.int32()), "block": table["block"], "counts": pa.array(back, pa.binary())})
+        return answer_table(table, [known[np.searchsorted(part.keys[depth], k)] for k in keys])
 
     return answers
 
 
 def gram_answers(blocks: Blocks, depth: int, least: int, folds: int, held_out: int) -> tuple[DataFrame, int]:
-    """log10 probabilities of each block's keys (-1 - part, block, float32 in the order of the block's sorted keys of the part), and the number of parts."""
-    n_parts = max(64, blocks.n_blocks // 6)
-    asked = materialize(blocks.run(_gram_question(depth, folds, held_out, n_parts), _ASKED), "grams")
-    sums = asked.groupBy("part").applyInArrow(_part_sums(depth, least), _SUMS).groupBy("byte").applyInArrow(_add_sums, _SUMS)
+    """log10 probabilities of each block's keys (part, block, float32 by key), and the number of parts that a block asks."""
+    n_parts = min(1 << 16, max(64, blocks.n_blocks // 6))
+    fan = min(n_parts, blocks.fan)
+    asked = blocks.work.keep(blocks.run(_gram_question(depth, folds, held_out, fan), QUESTION), "grams")
+    exchange = Exchange(asked, blocks, n_parts, np.uint32, np.float32, _cut(depth))
+    sums = exchange.run(_part_sums(depth, least), _SUMS).groupBy("byte").applyInArrow(_add_sums, _SUMS)
     top = build_top({row.byte: np.frombuffer(row.sums).reshape(3, 256) for row in sums.collect()}, least)
     shared = blocks.spark.sparkContext.broadcast(top)
-    return materialize(asked.groupBy("part").applyInArrow(_part_answers(shared, depth, least), "part int, block long, counts binary"), "gram-chances"), n_parts
+    return blocks.work.keep(exchange.back(exchange.run(_part_answers(shared, depth, least))), "gram-chances"), fan
 
 
-_COUNTS = "part int, block long, counts binary, n_tokens long, n_distinct long"
+_COUNTS = f"{ANSWER}, n_tokens long, n_distinct long"
 END_KEY = np.uint64(0xE4D)  # stands for the end among the words
 
 
@@ -484,54 +283,39 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(first)
 
 
-def _parts(distinct: np.ndarray, n_parts: int):
-    parts = (distinct >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-    used, begin, end = runs(parts)
-    return used.astype(np.int32), begin, end
-
-
-def _question(folds: int, held_out: int, n_parts: int):
-    def question(table):
+def _word_question(folds: int, held_out: int, fan: int):
+    def ask(table):
         block, ids, texts = in_order(table)
         keys, first = _keys([t.translate(LOWER) for t in texts])
         training = np.repeat([not is_held_out(i, folds, held_out) for i in ids], np.diff(first))
         distinct, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights=training, minlength=len(distinct)).astype(np.uint32)
-        used, begin, end = _parts(distinct, n_parts)
-        return pa.table({"part": pa.array(used), "block": pa.array(np.full(len(used), block)), "keys": pa.array([distinct[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()), "counts": pa.array([counts[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())})
+        return question(block, distinct, np.bincount(inverse, weights=training, minlength=len(distinct)).astype(np.uint32), fan)
 
-    return question
+    return ask
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    names, n = _merge(keys, [np.frombuffer(c, np.uint32).astype(np.int64) for c in table["counts"].to_pylist()])
-    rows = len(keys)
-    back = [n[np.searchsorted(names, k)] for k in keys]
+    keys, counts, _ = read_questions(table, np.uint32)
+    names, n, _ = merge(keys, counts)
     small = n.max(initial=0) < 2**32
-    return pa.table({"part": table["part"], "block": table["block"], "counts": pa.array([(b.astype(np.uint32) if small else b).tobytes() for b in back], pa.binary()), "n_tokens": pa.array([int(n.sum())] + [0] * (rows - 1)), "n_distinct": pa.array([int((n > 0).sum())] + [0] * (rows - 1))})
+    out = answer_table(table, [n[np.searchsorted(names, k)].astype(np.uint32 if small else np.int64) for k in keys])
+    once = lambda x: pa.array([int(x)] + [0] * (len(keys) - 1))
+    return out.append_column("n_tokens", once(n.sum())).append_column("n_distinct", once((n > 0).sum()))
 
 
-def _scoring(depth: int, n_gram_parts: int, folds: int, held_out: int, n_parts: int, n_tokens: int, n_distinct: int):
+def _scoring(depth: int, gram_fan: int, folds: int, held_out: int, fan: int, n_tokens: int, n_distinct: int):
     def scores(table, answers):
         _, ids, texts = in_order(table)
         texts = [t.translate(LOWER) for t in texts]
         keys, first = _keys(texts)
         distinct, inverse = np.unique(keys, return_inverse=True)
-        known = np.zeros(len(distinct), np.int64)
-        asked = dict(zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True))
-        for part, b, e in zip(*_parts(distinct, n_parts), strict=True):
-            data = asked[int(part)]
-            known[b:e] = np.frombuffer(data, np.uint32 if len(data) == 4 * (e - b) else np.int64)
-        count = known[inverse] if len(keys) else known
+        asked = dict(zip(answers["part"].to_pylist(), answers["answers"].to_pylist(), strict=True))
+        count = answered(distinct, asked, fan, np.uint32)[inverse].astype(np.int64)
         tokens = np.diff(first)
         base = per_text(np.log10(count + 1.0), first) - tokens * np.log10(n_tokens + n_distinct + 1.0)
         grams = _block_grams(texts, depth)
         distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in grams)]))
-        log10 = np.zeros(len(distinct), np.float32)
-        order, *dealt = _dealt(distinct, depth, n_gram_parts)
-        for part, b, e in zip(*dealt, strict=True):
-            log10[order[b:e]] = np.frombuffer(asked[-1 - int(part)], np.float32)
+        log10 = answered(distinct, {-1 - part: data for part, data in asked.items()}, gram_fan, np.float32, _cut(depth))
         sizes = [np.fromiter((len(t) + 1 for t in texts[b:e]), np.int64, e - b) for b, e in portions(texts)]
         model = np.concatenate([np.zeros(0), *(per_text(log10[np.searchsorted(distinct, k)].astype(np.float64)[i], np.concatenate([[0], np.cumsum(n)])) for (k, i), n in zip(grams, sizes, strict=True))])
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -546,23 +330,20 @@ def _scoring(depth: int, n_gram_parts: int, folds: int, held_out: int, n_parts:
     return scores
 
 
-def score(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, least: int = 2, max_contexts: int | None = None, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
-
-    max_contexts: instead of `least` times, contexts with a node are seen depth / max_contexts of all training bytes.
-    """
-    if max_contexts is not None:
-        trained = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held_out
-        size = docs.where(trained).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
-        least = -(-size * depth // max_contexts)
-    blocks = Blocks(docs, id_col, text_col)
-    grams, n_gram_parts = gram_answers(blocks, depth, least, folds, held_out)
-    asked = blocks.run(_question(folds, held_out, blocks.n_parts), _ASKED)
-    totals = materialize(asked.groupBy("part").applyInArrow(_totals, _COUNTS), "word-counts")
-    n_tokens, n_distinct = (x or 0 for x in totals.agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
-    kind = docs.schema[id_col].dataType.simpleString()
-    answers = totals.select("part", "block", "counts").unionByName(grams)
-    return blocks.run(_scoring(depth, n_gram_parts, folds, held_out, blocks.n_parts, n_tokens, n_distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double", answers)
+def score(docs: DataFrame, *, id_col="doc_id", text_col="text", depth: int = 5, least: int = 2, folds: int = 7, held_out: int = 2, **sizes) -> DataFrame:
+    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. sizes: of Blocks."""
+    with Scratch(docs.sparkSession, "ctw") as work:
+        blocks = Blocks(docs, id_col, text_col, work, **sizes)
+        grams, gram_fan = gram_answers(blocks, depth, least, folds, held_out)
+        fan = min(blocks.n_parts, blocks.fan)
+        exchange = Exchange(blocks.run(_word_question(folds, held_out, fan), QUESTION), blocks, blocks.n_parts, np.uint32, np.uint32)
+        totals = work.keep(exchange.run(_totals, _COUNTS), "word-counts")
+        n_tokens, n_distinct = (x or 0 for x in totals.agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
+        kind = blocks.id_type
+        answers = exchange.back(totals.select("part", "block", "answers")).unionByName(grams.withColumn("part", -1 - F.col("part")))
+        scoring = _scoring(depth, gram_fan, folds, held_out, fan, n_tokens, n_distinct)
+        schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+        return materialize(blocks.run(scoring, schema, answers), "ctw-result")
 
 
 def op4_ctw(spark, sf_dir):

@@ -22,7 +22,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Two hashes of bytes that have nothing to do with each other.
+_OF_BYTE = [mix(np.arange(k, k + 256, dtype=np.uint64)) for k in (1, 1_000)]
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +51,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, kind: int = 0) -> np.ndarray:
         powers, inverse = _powers_to(len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_OF_BYTE[self.data] * powers, out=sums[1:])
+        np.cumsum(_OF_BYTE[kind][self.data] * powers, out=sums[1:])
         return mix((sums[self.end] - sums[self.begin]) * inverse[self.begin])
 
 
@@ -66,6 +67,22 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
+class Runs:
+    """Hashes of runs of the given hashes: of any length, at any place, for the same effort."""
+
+    def __init__(self, hashes: np.ndarray):
+        powers, self.inverse = _powers_to(max(1, len(hashes)))
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers[: len(hashes)], out=self.sums[1:])
+
+    def all(self, size: int) -> np.ndarray:
+        n = max(0, len(self.sums) - size)
+        return mix((self.sums[size : size + n] - self.sums[:n]) * self.inverse[:n] + np.uint64(size))
+
+    def at(self, places: np.ndarray, size: int) -> np.ndarray:
+        return mix((self.sums[places + size] - self.sums[places]) * self.inverse[places] + np.uint64(size))
+
+
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values between the borders `first`, which rise."""
     sums = np.concatenate([[0], np.cumsum(values)])

@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from framelake.llm.jaccard_join import components, keep_one, least_overlap, near_duplicates, prefix_keys
+from framelake.llm.common import Scratch
+from framelake.llm.jaccard_join import components, frequent_keys, keep_one, least_overlap, near_duplicates, rare_keys
 
 
 def shingles(text):
@@ -56,11 +57,11 @@ def corpus(rng):
     return [(i if i % 40 else None, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("all_pairs,queries,often", [(64, 9, 8), (3, 2, 3), (2, 1, 50), (5, 50, 10)])
-def test_against_brute_force(spark, all_pairs, queries, often):
+@pytest.mark.parametrize("all_pairs,queries,often,sizes", [(64, 9, 8, {}), (3, 2, 3, {}), (2, 1, 50, {"block_bytes": 4_000, "fan": 3, "max_buckets": 2}), (1, 2, 2, {"block_bytes": 3_000, "fan": 4, "keys_per_part": 50})])
+def test_against_brute_force(spark, all_pairs, queries, often, sizes):
     rows = corpus(random.Random(all_pairs))
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int").repartition(3)
-    found = near_duplicates(docs, all_pairs=all_pairs, star_portion=4, often=often, queries=queries, tokens=40 * queries)
+    found = near_duplicates(docs, all_pairs=all_pairs, star_portion=4, often=often, queries=queries, tokens=40 * queries, **sizes)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(rows), key=str)
 
 
@@ -74,14 +75,17 @@ def test_prefixes_share_a_key():
         if 4 * same < 3 * (n + len(y) - same):
             continue
         frequent = np.sort(rng.choice(x, int(rng.integers(0, n + 1)), replace=False))
-        a, b = (prefix_keys(np.unique(s), frequent, 75)[0] for s in (x, y))
-        assert np.isin(a, b).any()
+        (a, f), (b, g) = ((np.unique(s), np.isin(np.unique(s), frequent)) for s in (x, y))
+        alone = np.isin(rare_keys(a, f, 75)[0], rare_keys(b, g, 75)[0]).any()
+        may = all(least_overlap(len(s), 75) <= h.sum() for s, h in ((a, f), (b, g)))
+        assert alone or may and np.isin(*(frequent_keys(s[h], len(s), 75) for s, h in ((a, f), (b, g)))).any()
 
 
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(200, i) for i in range(201, 260)]
-    label = {r.ref: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark, "test") as work:
+        label = {r.ref: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
     assert all(label[a] == label[b] for a, b in edges) and all(label[x] <= x for x in label)
     assert {label[x] for x in range(100, 161)} == {100} and {label[x] for x in range(200, 260)} == {200}
 
@@ -92,3 +96,13 @@ def test_keep_one_and_empty(spark):
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "None"]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pages_of_one_template_are_one_unit(spark):
+    """They share a line and don't link: nothing is compared in pairs, whatever their number."""
+    line = " ".join(f"common{k}" for k in range(34))
+    rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(6))) for i in range(6_000)] + [(6_000 + i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(6)) + " end") for i in range(3)]
+    tables = len(spark.catalog.listTables())
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i if i < 6_000 else i - 6_000 for i in range(6_003)}
+    assert len(spark.catalog.listTables()) == tables
