@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 
-from framelake.llm.pii import LABELERS, Labels, base_spans, find_pii, learn, loose_spans, redact
+from framelake.llm.pii import Labels, base_spans, features, find_pii, learn, loose_spans, redact, votes
 
 PIECES = [
     "a.b+c@mail-1.example.com", "@@x@y.z@q.r.", "é@x.de", "x@y", "a@b.c@d.e", "1.2.3.4", "300.1.1.1.5", "01.002.0003.255", "1.2.3.4.5.6.7.8", "0" * 5000 + "1.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112",
@@ -42,20 +44,79 @@ def test_base_spans():
         assert all(a[1] <= b[0] for a, b in zip(loose, loose[1:])) and len(spans) >= len(loose)
 
 
+def test_scans_are_linear():
+    """Texts on which patterns that start again at each character take hours."""
+    size = 2_000_000
+    for text in ("0" * size + ".1", "1." * (size // 2) + "x", "a" * size + "@", "a@" * (size // 2), "+1" + "(" * size, "1 " * (size // 2), "x" * size + " [at] y", "token" * (size // 5)):
+        began = time.process_time()
+        found = base_spans(text)
+        for kind, start, end in loose_spans(text, found)[:100]:
+            features(text, kind, start, end, votes(text, kind, start, end))
+        assert time.process_time() - began < 10, text[:20]
+
+
 def test_em_finds_reliabilities():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.3
     right = np.array([0.95, 0.9, 0.8, 0.7, 0.85, 0.6])
     vote = np.where(rng.random((20_000, 6)) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
-    counts = {}
-    for row in map(tuple, vote.tolist()):
-        counts["phone", row, (3, 0, 1)] = counts.get(("phone", row, (3, 0, 1)), 0) + 1
+    counts = Counter(("phone", row) for row in map(tuple, vote.tolist()))
     labels = Labels(counts)
     assert abs(labels.share["phone"] - 0.3) < 0.03
     assert np.abs(labels.rates["phone"][1][:, 2] - right).max() < 0.05
-    found = np.array([labels.probability("phone", row, (3, 0, 1)) > 0.5 for row in map(tuple, vote.tolist())])
+    found = np.array([labels.posterior("phone", row) > 0.5 for row in map(tuple, vote.tolist())])
     assert (found == truth).mean() > 0.96
-    assert Labels({}).probability("card", (0,) * len(LABELERS), (0, 0, 0)) == 0
+    # a feature that no labeler sees, but that goes with the truth: the classifier mends votes that are wrong
+    labels.train([("phone", row, [1 if t else 2, *(10 + 3 * i + v for i, v in enumerate(row))]) for row, t in zip(map(tuple, vote.tolist()), truth)])
+    learnt = np.array([labels.probability([1 if t else 2, *(10 + 3 * i + v for i, v in enumerate(row))]) > 0.5 for row, t in zip(map(tuple, vote.tolist()), truth)])
+    assert (learnt != found).any() and (learnt == truth).mean() > (found == truth).mean()
+    assert Labels({}).probability([1]) == 0
+
+
+def planted(rng, n):
+    """Documents with looser spans that are personal or not: (text, {(kind, start, end): personal})."""
+    words = "the of and a to in he have it that for they with as not on she at by this we you do but from or which one would all will there say who make when can more if no man out other so what time up go about than into could state only new year some take come these know see use get like then first any work now may such give over think most even find day also after way many must look before great back through long where much should well people down own just because good each those feel seem how high too place little world very still nation hand old life tell write become here show house both between need mean call".split()
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    code = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(k))
+    name = lambda: rng.choice(["anna", "jo.lee", "max99", "li_wei", "p.kant", "zoe", "omar"]) + str(rng.randint(1, 999))
+    makers = {
+        ("email", True): lambda: (rng.choice(["write to ", "mail me: ", "ask "]), f"{name()} [at] {rng.choice(['web', 'post', 'home'])}{rng.randint(1, 50)} [dot] {rng.choice(['com', 'de', 'org', 'fr'])}", ""),
+        ("email", False): lambda: (rng.choice(["the ", "see "]), f"array{rng.randint(1, 99)} [at] index{rng.randint(1, 99)} [dot] {rng.choice(['length', 'sizeof', 'value'])}", ""),
+        ("phone", True): lambda: (rng.choice(["call me on ", "phone ", "my mobile is ", "ring "]), rng.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"030 {digits(7)}"]), ""),
+        ("phone", False): lambda: (rng.choice(["order ", "part no ", "serial ", "lot "]), f"{digits(3)}-{digits(3)}-{digits(4)}", ""),
+        ("card", False): lambda: (rng.choice(["item ", "lot ", "order "]), digits(16), ""),
+        ("secret", True): lambda: (rng.choice(["password: ", "token = \"", "my api_key=", "secret: "]), code(rng.randint(16, 40)), ""),
+        ("secret", False): lambda: (rng.choice(["password: ", "token = ", "secret: "]), rng.choice(["required", "undefined", "placeholder", "changethis", "unspecified", "forgotten"]), ""),
+    }
+    out = []
+    for _ in range(n):
+        text, spans = " ".join(rng.choices(words, k=30)) + " ", {}
+        for _ in range(rng.randint(0, 3)):
+            (kind, personal), make = rng.choice([*makers.items()])
+            before, span, after = make()
+            if kind == "card" and base_spans(span):
+                continue
+            spans[kind, len(text) + len(before), len(text) + len(before) + len(span)] = personal
+            text += before + span + after + " " + " ".join(rng.choices(words, k=25)) + " "
+        out.append((text, spans))
+    return out
+
+
+def test_held_out_planted_spans(spark):
+    """By kind at least 9 in 10 personal spans found and 9 in 10 others left alone, on documents that nothing was learnt from."""
+    labels = learn(spark.createDataFrame([(t,) for t, _ in planted(random.Random(1), 4_000)], "text string"))
+    right, unlike = {}, 0
+    for text, spans in planted(random.Random(2), 2_000):
+        base = base_spans(text)
+        found = {(k, s, e): features(text, k, s, e, votes(text, k, s, e)) for k, s, e in loose_spans(text, base)}
+        for span, personal in spans.items():
+            chosen = span in found and labels.probability(found[span]) >= 0.5
+            right.setdefault((span[0], personal), []).append(chosen == personal)
+            unlike += span in found and (labels.posterior(span[0], votes(text, *span)) >= 0.5) != chosen
+    shares = {k: sum(v) / len(v) for k, v in right.items()}
+    print(shares, unlike)
+    assert len(shares) == 7 and min(shares.values()) >= 0.9, shares
+    assert unlike > 0  # the classifier isn't EM again
 
 
 def test_jobs(spark):
