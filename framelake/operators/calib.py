@@ -2,18 +2,78 @@
 
 Maps (offset, gain, mask) are dimension tables by pixel; Spark broadcasts them where their size allows and joins by
 shuffle where it doesn't. All values are non-negative integers; wraps at 16 bits are explicit.
+
+What looks back and ahead in time goes through each task's pixels in the order of time, all pixels of a moment at once in numpy, and keeps
+four values a pixel: no series is ever in one row or in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.shipping import ship
+
 PIXEL = ("y", "x")
 
 
+class Scrub:
+    """The recursive scrub of many series at once: add() takes the next value of some of them and tells which earlier ones are finished."""
+
+    def __init__(self, n: int):
+        self.seen = np.zeros(n, np.int64)
+        self.outputs = np.zeros((2, n), np.int64)  # the two values before the waiting ones; once scrubbed, their results
+        self.waiting = np.zeros((2, n), np.int64)
+        self.times = np.zeros((2, n), np.int64)
+
+    def grow(self, places: np.ndarray, n: int) -> None:
+        """Moves the series to their places among n."""
+        for name in ("seen", "outputs", "waiting", "times"):
+            old = getattr(self, name)
+            new = np.zeros((*old.shape[:-1], n), np.int64)
+            new[..., places] = old
+            setattr(self, name, new)
+
+    def add(self, at: np.ndarray, time: int, values: np.ndarray, gains: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of these series finish a value, its times, the results)."""
+        seen = self.seen[at]
+        done = seen >= 4
+        own, after = at[done], values[done]
+        (before2, before1), (now, following) = self.outputs[:, own], self.waiting[:, own]
+        mean = (before2 + before1 + following + after) >> 2
+        out = np.where(now > 2 * mean, mean, now)
+        if gains is not None:
+            out = (out * gains[done] >> 16) & 65535
+        times = self.times[0, own]
+        self.outputs[:, own] = before1, out
+        self.waiting[0, own], self.times[0, own] = following, self.times[1, own]
+        for k, store in enumerate((self.outputs, self.outputs, self.waiting, self.waiting)):
+            some = seen == k
+            store[k % 2, at[some]] = values[some]
+            if k > 1:
+                self.times[k % 2, at[some]] = time
+        self.waiting[1, own], self.times[1, own] = after, time
+        self.seen[at] = seen + 1
+        return done, times, out
+
+
+def moments(batches, *names: str):
+    """Arrow batches in the order of some columns, cut where any of these changes; a moment may come in several pieces."""
+    for batch in batches:
+        if batch.num_rows:
+            new = np.zeros(batch.num_rows - 1, bool)
+            for name in names:
+                values = batch.column(name).to_numpy()
+                new |= values[1:] != values[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.slice(begin, end - begin)
+
+
 def offset_correct(frames: DataFrame, offsets: DataFrame, *, on: Sequence[str] = PIXEL, value: str = "v", offset: str = "off") -> DataFrame:
     """value - offset, modulo 2^16."""
     return frames.join(offsets.select(*on, offset), list(on)).withColumn(value, F.pmod(F.col(value) - F.col(offset), F.lit(65536)).cast("int")).drop(offset)
@@ -49,26 +109,38 @@ def scrub_temporal(frames: DataFrame, *, partition: Sequence[str] = PIXEL, order
 
     mode "window": all neighbours are inputs; values without all four neighbours stay.
     mode "recursive": the two before are outputs already (scrubbed, and gain-corrected if `gain` names a column); only
-    values with all four neighbours are returned. A series is folded in one array by native functions.
+    values with all four neighbours are returned. `order` is a whole number, once for each value of a series.
     """
     if mode == "window":
         w = Window.partitionBy(*partition).orderBy(order)
         mean = F.floor((F.lag(value, 2).over(w) + F.lag(value, 1).over(w) + F.lead(value, 1).over(w) + F.lead(value, 2).over(w)) / 4).cast("int")
         return frames.withColumn("_mean", mean).withColumn(value, F.when(F.col(value) > 2 * F.col("_mean"), F.col("_mean")).otherwise(F.col(value))).drop("_mean")
-    keys = [*partition, *([gain] if gain else [])]
-    series = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("long").alias("v")))).alias("s"))
-
-    def step(state: Column, k: Column) -> Column:
-        at = lambda d: F.element_at(F.col("s"), k + d)["v"]  # noqa: E731  k counts from 1
-        mean = F.shiftright(state["p2"] + state["p1"] + at(1) + at(2), 2)
-        kept = F.when(at(0) > 2 * mean, mean).otherwise(at(0))
-        out = gain_column(kept, F.col(gain)).cast("long") if gain else kept
-        return F.struct(state["p1"].alias("p2"), out.alias("p1"), F.concat(state["out"], F.array(F.struct(F.element_at(F.col("s"), k)["t"].alias("t"), out.cast("int").alias("v")))).alias("out"))
-
-    start = F.struct(F.element_at("s", 1)["v"].alias("p2"), F.element_at("s", 2)["v"].alias("p1"), F.expr(f"cast(array() as array<struct<t:{frames.schema[order].dataType.simpleString()},v:int>>)").alias("out"))
-    long_enough = series.where(F.size("s") >= 5)
-    folded = long_enough.withColumn("done", F.aggregate(F.sequence(F.lit(3), F.size("s") - 2), start, step)["out"])
-    return folded.select(*partition, F.explode("done").alias("e")).select(F.col("e.t").alias(order), *partition, F.col("e.v").alias(value))
+    ship(frames.sparkSession)
+    kinds = {f.name: f.dataType for f in frames.schema.fields}
+    # two whole numbers name a series exactly, others by a hash
+    whole = len(partition) <= 2 and all(kinds[c].typeName() in ("integer", "short", "byte") for c in partition)
+    name = sum(F.col(c).cast("long") * (1 << 32 * k) for k, c in enumerate(reversed(partition))) if whole else F.xxhash64(*partition)
+    rows = frames.select(F.col(order).cast("long").alias("t"), name.cast("long").alias("name"), F.col(value).cast("long").alias("v"), (F.col(gain) if gain else F.lit(0)).cast("long").alias("g"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(partition)))
+    width = len(partition)
+
+    def run(batches):
+        names, state = np.zeros(0, np.int64), Scrub(0)
+        for part in moments(batches, "t"):
+            own = part.column("name").to_numpy()
+            if not len(names) or not np.array_equal(own, names):
+                known = np.union1d(names, own)
+                if len(known) > len(names):
+                    state.grow(np.searchsorted(known, names), len(known))
+                    names = known
+            done, times, out = state.add(np.searchsorted(names, own), part.column("t")[0].as_py(), part.column("v").to_numpy(), part.column("g").to_numpy() if gain else None)
+            if len(out):
+                kept = pa.array(done)
+                yield pa.RecordBatch.from_arrays([pa.array(times), *(part.column(4 + k).filter(kept) for k in range(width)), pa.array(out.astype(np.int32))], ["t", *(f"p{k}" for k in range(width)), "v"])
+
+    schema = ", ".join(["t long", *(f"p{k} {kinds[c].simpleString()}" for k, c in enumerate(partition)), "v int"])
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scrubbed = rows.repartition(n, "name").sortWithinPartitions("t", "name").mapInArrow(run, schema)
+    return scrubbed.select(F.col("t").cast(kinds[order]).alias(order), *(F.col(f"p{k}").alias(c) for k, c in enumerate(partition)), F.col("v").alias(value))
 
 
 def bin_spatial(frames: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", ky: int = 2, kx: int = 2) -> DataFrame:
@@ -83,16 +155,72 @@ def coadd(frames: DataFrame, *, on: Sequence[str] = PIXEL, value: str = "v") ->
     return frames.groupBy(*on).agg(F.sum(F.col(value).cast("long")).alias(value))
 
 
-def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", first_prepared: int = 4) -> DataFrame:
-    """Offset, bad pixels, recursive scrub with gain, 2x2 bins and co-addition. Frames before `first_prepared` come prepared."""
+def _calibrated(tile: int, first_prepared: int):
+    def run(batches):
+        """Rows by tile and time, each tile with a rim of one pixel. Yields the finished pixels inside the tiles."""
+        here, state, held = None, None, []
+
+        def finish():
+            """The moment whose pieces have come."""
+            y0, x0 = here[0] * tile - 1, here[1] * tile - 1
+            part = pa.Table.from_batches(held)
+            column = lambda c: part[c].to_numpy()
+            at = column("y") - y0, column("x") - x0
+            grid = {c: np.full((tile + 2, tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
+            for c, g in grid.items():
+                g[at] = column(c)
+            v, time = grid["v"], here[2]
+            if time >= first_prepared:
+                there = (v >= 0) & (grid["off"] >= 0)
+                v = np.where(there, (v - grid["off"]) % 65536, -1)
+                good = there & (grid["bad"] == 0)
+                value, total, n = np.where(good, v, 0), np.zeros_like(v), np.zeros_like(v)
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        if dy or dx:
+                            total += np.roll(value, (dy, dx), (0, 1))
+                            n += np.roll(good, (dy, dx), (0, 1))
+                v = np.where(there & (grid["bad"] == 1), total // np.maximum(n, 1), v)
+            v, gain = v[1:-1, 1:-1].ravel(), grid["gain"][1:-1, 1:-1].ravel()
+            at = np.flatnonzero((v >= 0) & (gain >= 0))
+            done, times, out = state.add(at, time, v[at], gain[at])
+            at = at[done]
+            columns = (times, at // tile + y0 + 1, at % tile + x0 + 1, out)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.int32()) for k, c in enumerate(columns)], ["t", "y", "x", "v"])
+
+        for part in moments(batches, "ty", "tx", "t"):
+            place = tuple(part.column(c)[0].as_py() for c in ("ty", "tx", "t"))
+            if place != here and held:
+                yield finish()
+                held = []
+            if here is None or place[:2] != here[:2]:
+                state = Scrub(tile * tile)
+            here = place
+            held.append(part)
+        if held:
+            yield finish()
+
+    return run
+
+
+def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", first_prepared: int = 4, tile: int = 64) -> DataFrame:
+    """Offset, bad pixels, recursive scrub with gain, 2x2 bins and co-addition. Frames before `first_prepared` come prepared.
+
+    Pixels are dealt once to tiles with a rim of one pixel, for the neighbours of bad pixels, and a tile goes through time in numpy with five
+    moments in memory. `tile` is even, so that bins lie within tiles.
+    """
+    ship(frames.sparkSession)
     y, x = on
-    raw = frames.where(F.col(frame) >= first_prepared)
-    prepared = replace_masked(offset_correct(raw, offsets, on=on, value=value), mask, frame=frame, on=on, value=value)
-    ready = frames.where(F.col(frame) < first_prepared).select(frame, *on, value).union(prepared.select(frame, *on, value))
-    scrubbed = scrub_temporal(ready.join(gains.select(*on, "gain"), list(on)), partition=on, order=frame, value=value, mode="recursive", gain="gain")
+    at = [F.col(f"`{y}`").cast("int").alias("y"), F.col(f"`{x}`").cast("int").alias("x")]
+    maps = gains.select(*at, F.col("gain").cast("long").alias("gain")).join(offsets.select(*at, F.col("off").cast("long").alias("off")), ["y", "x"], "full").join(mask.select(*at, F.col("bad").cast("long").alias("bad")), ["y", "x"], "full")
+    rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).join(maps, ["y", "x"]).na.fill(-1, ["gain", "off", "bad"])
+    near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int"))
+    cut = rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    finished = cut.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "t").mapInArrow(_calibrated(tile, first_prepared), "t long, y int, x int, v int")
     # the sum over time and the sum over bins are one sum; a bin is complete if it has its 4 pixels in each frame
-    sums = scrubbed.groupBy(F.expr(f"`{y}` div 2").cast("int").alias(y), F.expr(f"`{x}` div 2").cast("int").alias(x)).agg(F.sum(F.col(value).cast("long")).alias(value), F.count("*").alias("n"), F.countDistinct(frame).alias("frames"))
-    return sums.where("n = 4 * frames").select(y, x, value)
+    binned = finished.groupBy(F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x"), "t").agg(F.sum(F.col("v").cast("long")).alias("v"), F.count("*").alias("n"))
+    sums = binned.groupBy("y", "x").agg(F.sum("v").alias("v"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return sums.where("least = 4 and most = 4").select(F.col("y").alias(y), F.col("x").alias(x), F.col("v").alias(value))
 
 
 def frame_roles(frames: DataFrame, *, frame: str = "frame_id") -> DataFrame:

@@ -1,14 +1,20 @@
-"""Counter-mode encryption of payload columns with native functions.
+"""Counter-mode encryption of payload columns.
 
-A payload is cut into 16-byte blocks; block b's keystream is the AES of iv + b. Spark's aes_encrypt gives the block cipher as
-the first 16 bytes of its ECB mode. Blocks don't depend on each other, so nothing is shuffled. Encryption and decryption are
+A payload is cut into 16-byte blocks; block b's keystream is the AES of iv + b. Spark's aes_encrypt gives the block cipher in
+its ECB mode: one call for all counters of a payload. The keystream and the payload are xored in Arrow batches. Blocks don't depend on
+each other, so nothing is shuffled. Encryption and decryption are
 the same function. Keys are given as hex strings of 16, 24 or 32 bytes by the caller, never from a data column.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from framelake.functions.shipping import ship
 
 
 def split_blocks(payload: Column) -> Column:
@@ -17,8 +23,8 @@ def split_blocks(payload: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.substring(payload, b * 16 + 1, F.lit(16)))).otherwise(F.array().cast("array<binary>"))
 
 
-def ctr_counter(iv_hex: str, b: Column) -> Column:
-    """iv + b modulo 2^128 as binary: four 32-bit limbs with carry, b below 2^62."""
+def _counter_hex(iv_hex: str, b: Column) -> Column:
+    """iv + b modulo 2^128 in hex: four 32-bit limbs with carry, b below 2^62."""
     limbs = [int(iv_hex[8 * k : 8 * k + 8], 16) for k in range(4)]
     b = b.cast("long")
     low = F.lit(limbs[3]).cast("long") + b.bitwiseAND(0xFFFFFFFF)
@@ -26,7 +32,12 @@ def ctr_counter(iv_hex: str, b: Column) -> Column:
     second = F.lit(limbs[1]).cast("long") + F.shiftright(third, 32)
     first = F.lit(limbs[0]).cast("long") + F.shiftright(second, 32)
     word = lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0")
-    return F.unhex(F.concat(*map(word, (first, second, third, low))))
+    return F.concat(*map(word, (first, second, third, low)))
+
+
+def ctr_counter(iv_hex: str, b: Column) -> Column:
+    """iv + b modulo 2^128 as binary."""
+    return F.unhex(_counter_hex(iv_hex, b))
 
 
 def ctr_keystream(counter: Column, key_hex: str) -> Column:
@@ -45,14 +56,29 @@ def xor_bytes(a: Column, b: Column) -> Column:
     return F.unhex(F.substring(both, F.lit(1), (F.octet_length(a) * 2).cast("int")))
 
 
-def encrypt_column(payload: Column, key_hex: str, iv_hex: str) -> Column:
-    """The payload in counter mode; null stays null."""
-    blocks = F.transform(split_blocks(payload), lambda block, b: F.hex(xor_bytes(block, ctr_keystream(ctr_counter(iv_hex, b), key_hex))))
-    return F.when(payload.isNotNull(), F.unhex(F.array_join(blocks, "")))
+def keystream(payload: Column, key_hex: str, iv_hex: str) -> Column:
+    """The keystream of a whole payload, in full blocks: one call of the cipher for all its counters."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / 16).cast("int"))
+    counters = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda b: _counter_hex(iv_hex, b)), ""))
+    return F.substring(F.aes_encrypt(counters, F.unhex(F.lit(key_hex)), F.lit("ECB"), F.lit("PKCS")), F.lit(1), n * 16)
 
 
 def encrypt_ctr(df: DataFrame, payload: str, key_hex: str, iv_hex: str, out: str = "ciphertext") -> DataFrame:
-    return df.withColumn(out, encrypt_column(F.col(payload), key_hex, iv_hex))
+    """df with the payload in counter mode as a further column, or in its place if `out` is its name; null stays null."""
+    ship(df.sparkSession)
+    names = [c for c in df.columns if c != out]
+    plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{payload}`").alias("payload"))
+    width = len(names)
+
+    def xor(batches):
+        for batch in batches:
+            rows = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)
+            coded = [None if p is None else (np.frombuffer(p, np.uint8) ^ np.frombuffer(k, np.uint8)[: len(p)]).tobytes() for p, k in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(coded, pa.binary())], [*batch.schema.names[:width], "coded"])
+
+    schema = StructType([*plain.schema.fields[:width], StructField("coded", BinaryType())])
+    coded = plain.withColumn("keystream", keystream(F.col("payload"), key_hex, iv_hex)).mapInArrow(xor, schema).toDF(*names, out)
+    return coded.select(*(f"`{c}`" for c in ([*df.columns] if out in df.columns else [*names, out])))
 
 
 decrypt_ctr = encrypt_ctr

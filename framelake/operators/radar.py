@@ -151,17 +151,39 @@ def migration_table(scenes: DataFrame, fdc: DataFrame) -> DataFrame:
     return grid.select("scene_id", "i", "j", migration_shift(F.col("i"), F.col("j")).alias("shift"))
 
 
-def migration_correct(lines: DataFrame, scenes: DataFrame, fdc: DataFrame, *, line: str = "j_range") -> DataFrame:
+def _gather():
+    def gather(table: pa.Table) -> pa.Table:
+        """A tile: some columns of all lines of a patch, each moved from the line that is shift lines further."""
+        order = np.argsort(table["i"].to_numpy(), kind="stable")
+        table = table.take(order)
+        i = table["i"].to_numpy()
+        grid = lambda c: np.stack([np.asarray(x) for x in table[c].to_pylist()])
+        source = i[:, None] + grid("shift")
+        at = np.minimum(np.searchsorted(i, source), len(i) - 1)
+        there, column = i[at] == source, np.arange(source.shape[1])
+        parts = {c: pa.array(list(np.where(there, grid(c)[at, column], 0.0)), pa.list_(pa.float64())) for c in ("re", "im")}
+        return pa.table({"scene_id": table["scene_id"], "patch": table["patch"], "i": table["i"], "tile": table["tile"], **parts})
+
+    return gather
+
+
+def migration_correct(lines: DataFrame, scenes: DataFrame, fdc: DataFrame, *, line: str = "j_range", tile: int = 64) -> DataFrame:
     """out[i][j] = in[i + shift(i, j)][j], or 0 beyond the last line: a gather by a computed key.
 
-    Lines are turned into samples, joined on (patch, j, source line) and gathered again; sample rows spread evenly over all keys.
+    Lines are cut into tiles of columns, and the tiles of a patch that have the same columns meet. Rows moved: lines * (columns / tile), twice.
     """
-    long = lines.select("scene_id", "patch", F.col(line).alias("i"), F.posexplode(F.arrays_zip("re", "im")).alias("j", "z"))
-    wanted = long.join(scenes.join(fdc, "scene_id"), "scene_id").select("scene_id", "patch", "i", "j", (F.col("i") + migration_shift(F.col("i"), F.col("j"))).alias("source"))
-    source = long.select("scene_id", "patch", "j", F.col("i").alias("source"), "z")
-    moved = wanted.join(source, ["scene_id", "patch", "j", "source"], "left").select("scene_id", "patch", "i", "j", F.coalesce("z.re", F.lit(0.0)).alias("re"), F.coalesce("z.im", F.lit(0.0)).alias("im"))
-    back = moved.groupBy("scene_id", "patch", "i").agg(F.array_sort(F.collect_list(F.struct("j", "re", "im"))).alias("s"))
-    return back.select("scene_id", "patch", F.col("i").alias(line), F.transform("s", lambda e: e["re"]).alias("re"), F.transform("s", lambda e: e["im"]).alias("im"))
+    ship(lines.sparkSession)
+    cut = lines.select("scene_id", "patch", F.col(line).cast("int").alias("i"), F.posexplode(F.sequence(F.lit(0), F.size("re") - 1, F.lit(tile))).alias("tile", "begin"), "re", "im")
+    piece = lambda c: F.slice(c, F.col("begin") + 1, F.least(F.lit(tile), F.size(c) - F.col("begin"))).alias(c)
+    cut = cut.select("scene_id", "patch", "i", "tile", "begin", piece("re"), piece("im")).join(scenes.join(fdc, "scene_id"), "scene_id")
+    shift = F.transform(F.sequence(F.col("begin"), F.col("begin") + F.size("re") - 1), lambda j: migration_shift(F.col("i"), j))
+    tiles = cut.select("scene_id", "patch", "i", "tile", "re", "im", shift.alias("shift"))
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
+    schema = f"scene_id {kinds['scene_id']}, patch {kinds['patch']}, i int, tile int, {LINE}"
+    moved = tiles.groupBy("scene_id", "patch", "tile").applyInArrow(_gather(), schema)
+    back = moved.groupBy("scene_id", "patch", "i").agg(F.array_sort(F.collect_list(F.struct("tile", "re", "im"))).alias("s"))
+    whole = lambda c: F.flatten(F.transform("s", lambda e: e[c])).alias(c)
+    return back.select("scene_id", "patch", F.col("i").cast(lines.schema[line].dataType).alias(line), whole("re"), whole("im"))
 
 
 def azimuth_compress(lines: DataFrame, reference: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ one partition after the first shuffle on (series, segment): later groups and win
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.shipping import ship
+
 SEGMENT = ("series_id", "seg")
 BLOCK = (*SEGMENT, "blk")
 
@@ -118,12 +122,65 @@ def encode_blocks(values: DataFrame, layout: DataFrame, *, J: int, n_bits: int)
     return samples.join(layout, list(BLOCK)).select(*BLOCK, "option", "bit_offset", F.concat(head, body).alias("code"))
 
 
-def pack_segments(codes: DataFrame) -> DataFrame:
-    """The code of each segment as bytes, filled up with zeros: (series_id, seg, n_bits, payload)."""
-    joined = codes.groupBy(*SEGMENT).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "code"))), lambda e: e["code"]), "").alias("code"))
-    full = F.rpad("code", (F.ceil(F.length("code") / 8) * 8).cast("int"), "0")
-    octets = F.transform(F.sequence(F.lit(0), (F.length(full) / 8).cast("int") - 1), lambda p: F.lpad(F.conv(F.substring(full, p * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return joined.select(*SEGMENT, F.length("code").cast("long").alias("n_bits"), F.unhex(F.array_join(octets, "")).alias("payload"))
+def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width) -> None:
+    """Writes numbers of some width, the highest bit first, from the places `at` on."""
+    for t in range(int(np.max(width, initial=0))):
+        some = t < width if isinstance(width, np.ndarray) else slice(None)
+        own = width[some] if isinstance(width, np.ndarray) else width
+        bits[at[some] + t] = values[some] >> (own - 1 - t) & 1
+
+
+def _packed(J: int, n_bits: int):
+    def pack(table: pa.Table) -> pa.Table:
+        """The segments of a group as bytes: numpy writes all blocks of an option at once."""
+        columns = {c: table[c].to_numpy() for c in ("series_id", "seg", "blk", "j", "v", "bits", "id_bits", "id_value", "run_index")}
+        order = np.lexsort((columns["j"], columns["blk"], columns["seg"], columns["series_id"]))
+        v = columns.pop("v")[order].astype(np.int64).reshape(-1, J)
+        block = {c: x[order][::J] for c, x in columns.items()}
+        option = np.array(table["option"].to_pylist(), object)[order][::J]
+        size = block["bits"].astype(np.int64)
+        new = np.concatenate([[True], (block["seg"][1:] != block["seg"][:-1]) | (block["series_id"][1:] != block["series_id"][:-1])])
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(size, first)
+        n_bytes = -(-n // 8)
+        begin = np.cumsum(size) - size  # of a block, without the filling between segments
+        segment = np.cumsum(new) - 1
+        begin = begin - begin[first][segment] + ((np.cumsum(n_bytes) - n_bytes) * 8)[segment]
+        bits = np.zeros(int(n_bytes.sum()) * 8, np.uint8)
+        id_bits = block["id_bits"].astype(np.int64)
+        _put(bits, begin, block["id_value"].astype(np.int64), id_bits)
+        body = begin + id_bits
+        zero = option == "zb"
+        bits[(body + np.nan_to_num(block["run_index"].astype(float)).astype(np.int64))[zero]] = 1
+        flat = lambda x: x.ravel()
+        some = option == "nc"
+        _put(bits, flat(body[some][:, None] + n_bits * np.arange(J)), flat(v[some]), n_bits)
+        some = option == "se"
+        a, b = v[some][:, ::2], v[some][:, 1::2]
+        _put(bits, flat(body[some][:, None] + 32 * np.arange(J // 2)), flat((a + b) * (a + b + 1) // 2 + b), 32)
+        for k in splits(n_bits):
+            some = option == f"k{k}"
+            ends = np.cumsum((v[some] >> k) + 1, axis=1)
+            bits[flat(body[some][:, None] + ends - 1)] = 1
+            if k:
+                _put(bits, flat((body[some] + ends[:, -1])[:, None] + k * np.arange(J)), flat(v[some] & ((1 << k) - 1)), k)
+        data, cuts = np.packbits(bits), np.concatenate([[0], np.cumsum(n_bytes)])
+        payload = [data[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"series_id": pa.array(block["series_id"][first]), "seg": pa.array(block["seg"][first]), "n_bits": pa.array(n), "payload": pa.array(payload, pa.binary())})
+
+    return pack
+
+
+def pack_segments(values: DataFrame, layout: DataFrame, *, J: int, n_bits: int, segments_per_group: int = 256) -> DataFrame:
+    """The code of each segment as bytes, filled up with zeros: (series_id, seg, n_bits, payload).
+
+    Some segments of a series at a time are one Arrow group; set segments_per_group so that it holds about a million samples.
+    """
+    ship(values.sparkSession)
+    rows = values.select(*BLOCK, "j", "v").join(layout.select(*BLOCK, "option", "bits", "id_bits", "id_value", "run_index"), list(BLOCK))
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
+    grouped = rows.groupBy("series_id", F.expr(f"seg div {segments_per_group}").alias("_group"))
+    return grouped.applyInArrow(_packed(J, n_bits), f"series_id {kinds['series_id']}, seg {kinds['seg']}, n_bits long, payload binary")
 
 
 def coding_report(layout: DataFrame, *, n_bits: int, J: int) -> DataFrame:

@@ -73,7 +73,7 @@ def c8(spark, sf_dir):
 
 @query("c8_pack_segments", _sql(_B, _D, _V, _Z, _S, _U, _O, _L, _C) + "select series_id, seg, length(code)::bigint n_bits, hex(unbin(rpad(code, (ceil(length(code) / 8) * 8)::int, '0'))) payload from (select series_id, seg, string_agg(code, '' order by blk) code from c group by all)")
 def c8_packed(spark, sf_dir):
-    return rice.pack_segments(c8(spark, sf_dir)).withColumn("payload", F.hex("payload"))
+    return rice.pack_segments(c3(spark, sf_dir), c7(spark, sf_dir), J=J, n_bits=N).withColumn("payload", F.hex("payload"))
 
 
 @query("c9_coding_report", _sql(_B, _D, _V, _Z, _S, _U, _O, _L) + f"select series_id, seg, option, count(*) n_blocks, sum(bits)::bigint bits, count(*) * {N * J} raw_bits from l group by all")

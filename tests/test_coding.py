@@ -82,4 +82,4 @@ def test_partial_segments_and_empty(spark):
     samples = spark.createDataFrame([("a", i, i) for i in range(100)], "series_id string, i long, x long")
     assert rice.blockize(samples, J=8, r=5).count() == 80
     values, layout = rice.code_series(samples.limit(0), J=8, r=5, n_bits=8)
-    assert rice.pack_segments(rice.encode_blocks(values, layout, J=8, n_bits=8)).count() == 0
+    assert rice.encode_blocks(values, layout, J=8, n_bits=8).count() == 0 and rice.pack_segments(values, layout, J=8, n_bits=8).count() == 0
