@@ -4,17 +4,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framelake.operators import calib
-from framelake.plans import imaging  # noqa: F401  registers the batch query
+from framelake.operators import calib, radar
+from framelake.plans import imaging, signals  # noqa: F401  registers the batch query
 from framelake.plans.catalog import ORACLES, query
-from framelake.plans.fixtures import frames, maps, samples, with_
+from framelake.plans.fixtures import frames, maps, samples, scenes, with_
 from framelake.sources import raw
 from framelake.streaming.calibration import calibrate_stream
 
 
 def _scratch(spark, name: str) -> str:
     """In the shared folder that the cluster names, or in the warehouse where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/framelake-{name}-{uuid.uuid4().hex}"
 
 
@@ -25,6 +25,34 @@ def s1(spark, sf_dir):
     return raw.decode_frames(files, width=64, height=32, dtype="u16").where("error is null").select("frame_id", "y", "x", "v")
 
 
+@query("s1_read_raw_frames", with_("frames") + "select frame_id, y, x, v::bigint v from frames")
+def s1_files(spark, sf_dir):
+    """Frames as raw 16-bit files, read back."""
+    path = _scratch(spark, "frame-files")
+    raw.write_binary_files(raw.frames_to_binary(frames(spark, sf_dir)).select(F.format_string("image_frame%d.bin", "frame_id").alias("name"), "content"), path)
+    return raw.read_raw_frames(spark, path, width=64, height=32).where("error is null").select("frame_id", "y", "x", "v")
+
+
+@query("s2_read_raw_lines", f"with {signals._P} select patch, i as az, k, sum(re) re, sum(im) im from a group by all")
+def s2(spark, sf_dir):
+    """The patches of all scenes as raw files of interleaved floats, a folder of them for each scene, read back; whole numbers, summed over scenes."""
+    path = _scratch(spark, "line-files")
+    patches = radar.assign_patches(signals._integers(spark, sf_dir), scenes(spark, sf_dir))
+    files = raw.lines_to_binary(patches.withColumn("file", F.format_string("scene%d_patch%d.bin", "scene_id", "patch")), group="file")
+    raw.write_binary_files(files.select(F.col("file").alias("name"), "content"), path)
+    lines = raw.read_raw_lines(spark, path, width=32, height=128)
+    cells = lines.select("patch", "az", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+    return cells.groupBy("patch", "az", "k").agg(F.sum(F.col("z.re").cast("long")).alias("re"), F.sum(F.col("z.im").cast("long")).alias("im"))
+
+
+@query("s3_read_sample_series", with_("samples") + "select series_id, i, x from samples")
+def s3_files(spark, sf_dir):
+    """Samples as a raw 16-bit file for each series, read back."""
+    path = _scratch(spark, "sample-files")
+    raw.write_binary_files(raw.series_to_binary(samples(spark, sf_dir), bit_size=16).select(F.format_string("%d.bin", "series_id").alias("name"), "content"), path)
+    return raw.read_sample_series(spark, path, bit_size=16).withColumn("series_id", F.regexp_extract("series_id", r"^(\d+)", 1).cast("long"))
+
+
 @query("s6_frames_to_binary", with_("frames") + "select frame_id, string_agg(printf('%02X%02X', v & 255, v >> 8), '' order by y, x) as content from frames group by all")
 def s6(spark, sf_dir):
     return raw.frames_to_binary(frames(spark, sf_dir)).withColumn("content", F.hex("content"))
@@ -39,7 +67,8 @@ def s6_written(spark, sf_dir):
 
 @query("s3_sample_totals", with_("samples") + "select series_id, count(*) n, sum(x)::bigint total, max(x)::bigint most from samples group by all")
 def s3(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max("x").alias("most"))
+    """Totals of the samples read from files."""
+    return s3_files(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max("x").alias("most"))
 
 
 @query("st1_calibrate_stream", ORACLES.get("i7_calibrate"))

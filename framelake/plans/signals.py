@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import cipher, radar
 from framelake.plans.catalog import query
-from framelake.plans.fixtures import payloads, pulses, scenes, table, with_
+from framelake.plans.fixtures import filled, payloads, pulses, scenes, table, with_
 
 KEY, IV = "2b7e151628aed2a6abf7158809cf4f3c", "f0f1f2f3f4f5f6f7f8f9fafbfcfdfeff"
 _IV_LIMBS = [int(IV[8 * k : 8 * k + 8], 16) for k in range(4)]
@@ -55,8 +55,8 @@ def _integers(spark, sf_dir):
     return pulses(spark, sf_dir).select("scene_id", "az", number("re").alias("re"), number("im").alias("im"))
 
 
-_P = """p as (select cast(vec_id // 480 as int) scene_id, cast(vec_id % 480 as int) az, cast(k as int) k, floor((embedding[2 * k + 1]::double + 1) * 1000)::bigint re, floor((embedding[2 * k + 2]::double + 1) * 1000)::bigint im from embeddings, range(32) r(k)),
-sc as (select cast(vec_id // 480 as int) scene_id from embeddings group by all having count(*) = 480),
+_P = f"""p as (select cast(vec_id // 480 as int) scene_id, cast(vec_id % 480 as int) az, cast(k as int) k, floor((embedding[2 * k + 1]::double + 1) * 1000)::bigint re, floor((embedding[2 * k + 2]::double + 1) * 1000)::bigint im from {filled(480)} e, range(32) r(k)),
+sc as (select distinct cast(vec_id // 480 as int) scene_id from {filled(480)} e),
 a as (select scene_id, cast(patch as int) patch, cast(i as int) i, cast(c as int) k, coalesce(re, 0) re, coalesce(im, 0) im from sc, range(4) x(patch), range(128) y(i), range(32) z(c) left join p on p.scene_id = sc.scene_id and p.az = patch * 120 + i and p.k = c)"""
 _P = _P.replace("select scene_id, cast(patch", "select sc.scene_id, cast(patch").replace("from sc, range(4) x(patch), range(128) y(i), range(32) z(c) left join", "from sc cross join range(4) x(patch) cross join range(128) y(i) cross join range(32) z(c) left join")
 
@@ -89,26 +89,43 @@ def _patches(spark, sf_dir):
     return radar.assign_patches(pulses(spark, sf_dir), s), s
 
 
-def _rounded(df, line="i"):
+_F = """f as (select scene_id, avg(atan2(b, a)) * 1000.0 / (2 * pi()) fdc from (select scene_id, k, sum(x.re * y.re + x.im * y.im) a, sum(x.re * y.im - x.im * y.re) b from q x join q y using (scene_id, k) where y.az = x.az + 1 and y.az < 128 group by all) group by scene_id)"""
+_Q = f"""q as materialized (select cast(vec_id // 480 as int) scene_id, vec_id % 480 az, k, embedding[2 * k + 1]::double re, embedding[2 * k + 2]::double im from {filled(480)} e, range(32) r(k))"""
+
+
+#: The chain in SQL: patches x, chirps h (range) and g (azimuth, by scene), range-compressed y. A product of spectra is a circular correlation of lines.
+_X = f"""{_Q}, s1 as (select distinct scene_id from q),
+x as materialized (select s1.scene_id, cast(patch as int) patch, cast(i as int) i, cast(c as int) k, coalesce(re, 0) re, coalesce(im, 0) im from s1 cross join range(4) a(patch) cross join range(128) b(i) cross join range(32) d(c)
+left join q on q.scene_id = s1.scene_id and q.az = patch * 120 + i and q.k = c)"""
+_H = "h as materialized (select n, cos(p) re, sin(p) im from (select n, pi() * 1e13::double * t * t p from (select n, (n - 4.0::double) / 2e7::double t from range(8) r(n))))"
+_G = f"""{_F}, rd as (select scene_id, fdc, (8e5::double + 12 * {radar.C}::double / 4e7::double) / sqrt(1 - (0.1::double * fdc / 14000.0::double) ** 2) rdc from f),
+g as materialized (select scene_id, n, cos(p) re, sin(p) im from (select scene_id, n, 2 * pi() * fdc * t + pi() * (-2 * 7000.0::double ** 2 / (0.1::double * rdc)) * t * t p from
+(select scene_id, fdc, rdc, n, (n - size / 2) / 1000.0::double t from (select *, floor(rdc * 0.01::double * 0.8::double / 7000.0::double * 1000.0::double) size from rd), range(128) r(n) where n < size)))"""
+_Y = "y as materialized (select scene_id, patch, i, cast(m as int) k, sum(x.re * h.re + x.im * h.im) re, sum(x.im * h.re - x.re * h.im) im from x, range(32) r(m), h where x.k = (m + n) % 32 group by all)"
+_DFT = "sum({0}.re * cos(w) {1} {0}.im * sin(w)) re, sum({0}.im * cos(w) {2} {0}.re * sin(w)) im"
+_FORWARD, _BACK = (lambda name: _DFT.format(name, "+", "-")), (lambda name: _DFT.format(name, "-", "+"))
+_MILLI = "cast(round(re * 1000) as bigint) re, cast(round(im * 1000) as bigint) im"
+_HF = f"hf as materialized (select cast(f as int) k, {_FORWARD('h')} from (select *, 2 * pi() * ((f * n) % 32) / 32 w from h, range(32) r(f)) h group by all)"
+_GF = f"gf as materialized (select scene_id, cast(f as int) k, {_FORWARD('g')} from (select *, 2 * pi() * ((f * n) % 128) / 128 w from g, range(128) r(f)) g group by all)"
+
+
+def _thousandths(df, line="i"):
+    """Samples as whole thousandths, so that sums in another order give the same numbers."""
     flat = df.select(*(c for c in ("scene_id", "patch", line) if c in df.columns), F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
-    return flat.select(*(c for c in flat.columns if c != "z"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+    return flat.select(*(c for c in flat.columns if c != "z"), F.round(F.col("z.re") * 1000).cast("long").alias("re"), F.round(F.col("z.im") * 1000).cast("long").alias("im"))
 
 
-@query("r1_chirp")
+@query("r1_chirp", f"with {_Q}, {_H} select scene_id, cast(c as int) k, cast(round(coalesce(re, 0) * 1000) as bigint) re, cast(round(coalesce(im, 0) * 1000) as bigint) im from (select distinct scene_id from q) cross join range(32) r(c) left join h on n = c")
 def r1(spark, sf_dir):
     c = F.col
-    return _rounded(radar.chirp(scenes(spark, sf_dir), fc=F.lit(0.0), slope=c("slope"), tau=c("tau"), fs=c("fs"), length=c("rsize")))
+    return _thousandths(radar.chirp(scenes(spark, sf_dir), fc=F.lit(0.0), slope=c("slope"), tau=c("tau"), fs=c("fs"), length=c("rsize")))
 
 
-@query("r2_references")
+@query("r2_references", f"with {_Q}, {_H}, {_HF}, {_G}, {_GF} select scene_id, 0 as patch, k, {_MILLI} from (select distinct scene_id from q), hf union all select scene_id, 1, k, {_MILLI} from gf")
 def r2(spark, sf_dir):
     patches, s = _patches(spark, sf_dir)
     both = radar.range_reference(s).withColumn("patch", F.lit(0)).unionByName(radar.azimuth_reference(s, radar.doppler_centroid(patches, s)).withColumn("patch", F.lit(1)))
-    return _rounded(both)
-
-
-_F = """f as (select scene_id, avg(atan2(b, a)) * 1000.0 / (2 * pi()) fdc from (select scene_id, k, sum(x.re * y.re + x.im * y.im) a, sum(x.re * y.im - x.im * y.re) b from q x join q y using (scene_id, k) where y.az = x.az + 1 and y.az < 128 group by all) group by scene_id)"""
-_Q = """q as (select cast(vec_id // 480 as int) scene_id, vec_id % 480 az, k, embedding[2 * k + 1]::double re, embedding[2 * k + 2]::double im from embeddings, range(32) r(k) where vec_id // 480 in (select vec_id // 480 from embeddings group by all having count(*) = 480))"""
+    return _thousandths(both)
 
 
 @query("r3_doppler_centroid", f"with {_Q}, {_F} select scene_id, cast(round(fdc * 1000) as bigint) millihertz from f")
@@ -123,20 +140,20 @@ def r4(spark, sf_dir):
     return radar.migration_table(s, radar.doppler_centroid(patches, s))
 
 
-@query("r5_line_fft")
+@query("r5_line_fft", f"with {_X} select scene_id, patch, i, k, {_MILLI} from (select scene_id, patch, i, cast(f as int) k, {_FORWARD('x')} from (select scene_id, patch, i, f, re, im, 2 * pi() * ((f * k) % 32) / 32 w from x, range(32) r(f)) x group by all)")
 def r5(spark, sf_dir):
-    return _rounded(radar.line_fft(_patches(spark, sf_dir)[0]))
+    return _thousandths(radar.line_fft(_patches(spark, sf_dir)[0]))
 
 
-@query("r6_matched_filter")
+@query("r6_matched_filter", f"with {_X}, {_H}, {_HF} select scene_id, patch, i, k, {_MILLI} from (select scene_id, patch, i, k, x.re * hf.re + x.im * hf.im re, x.im * hf.re - x.re * hf.im im from x join hf using (k))")
 def r6(spark, sf_dir):
     patches, s = _patches(spark, sf_dir)
-    return _rounded(radar.matched_filter(patches, radar.range_reference(s)))
+    return _thousandths(radar.matched_filter(patches, radar.range_reference(s)))
 
 
-@query("r7_range_compress")
+@query("r7_range_compress", f"with {_X}, {_H}, {_Y} select scene_id, patch, i, k, {_MILLI} from y")
 def r7(spark, sf_dir):
-    return _rounded(radar.range_compress(*_patches(spark, sf_dir)))
+    return _thousandths(radar.range_compress(*_patches(spark, sf_dir)))
 
 
 _SHIFT = f"cast(round((1 / sqrt(1 - ((0.1::double * (k * 1000.0::double / 120 + fdc)) / 14000.0::double) ** 2) - 1) * (8e5::double + j * ({radar.C}::double / 4e7::double)) / ({radar.C}::double / 4e7::double)) as int)"
@@ -151,11 +168,11 @@ def r9(spark, sf_dir):
     return _long(radar.migration_correct(turned, s, fdc, line="j"), "j")
 
 
-@query("r10_azimuth_compress")
+@query("r10_azimuth_compress", f"with {_X}, {_H}, {_Y}, {_G} select scene_id, patch, j, k, {_MILLI} from (select y.scene_id, patch, k j, cast(m as int) k, sum(y.re * g.re + y.im * g.im) re, sum(y.im * g.re - y.re * g.im) im from y, g, range(128) r(m) where y.scene_id = g.scene_id and y.k < 24 and y.i = (m + n) % 128 group by all)")
 def r10(spark, sf_dir):
     patches, s = _patches(spark, sf_dir)
     turned = radar.corner_turn(radar.range_compress(patches, s), n_out=24)
-    return _rounded(radar.azimuth_compress(radar.line_fft(turned), radar.azimuth_reference(s, radar.doppler_centroid(patches, s))), "j")
+    return _thousandths(radar.azimuth_compress(radar.line_fft(turned), radar.azimuth_reference(s, radar.doppler_centroid(patches, s))), "j")
 
 
 @query("r11_multilook", f"with {_P}, m as (select scene_id, patch * 1 + i // 80 as r, k // 4 as c, sqrt(re * re + im * im) v from a where i < 80 and k < 24) select scene_id, cast(r as int) as row, cast(c as int) as col, cast(round(log2(sum(v) / 320) * 1000) as bigint) value from m group by all")
@@ -166,13 +183,20 @@ def r11(spark, sf_dir):
     return looked.select("scene_id", "row", "col", F.round(F.col("value") * 1000).cast("long").alias("value"))
 
 
-@query("r12_quantize_minmax", "select label scene_id, cast(vec_id as int) as row, 0 as col, cast(case when hi = lo then 0 else least(floor(256 / (hi - lo) * (value - lo)), 255) end as int) as level from (select *, min(value) over (partition by label) lo, greatest(max(value) over (partition by label), 1.17549435e-38) hi from (select label, vec_id, round(embedding[1]::double, 6) value from embeddings))")
+@query("r12_quantize_minmax", "select label scene_id, cast(vec_id as int) as row, cast(i - 1 as int) as col, cast(case when hi = lo then 0 else least(floor(256 / (hi - lo) * (value - lo)), 255) end as int) as level from (select *, min(value) over (partition by label) lo, greatest(max(value) over (partition by label), 1.17549435e-38) hi from (select label, vec_id, i, round(embedding[i]::double, 6) value from embeddings, range(1, 65) r(i)))")
 def r12(spark, sf_dir):
-    """On one embedding element as image values, with the label as the scene."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id"), F.col("vec_id").cast("int").alias("row"), F.lit(0).alias("col"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("value"))
-    return radar.quantize_minmax(rows)
+    """On the embeddings as images, with the label as the scene."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"))
+    return radar.quantize_minmax(rows.select("scene_id", "row", "col", F.round(F.col("e").cast("double"), 6).alias("value")))
+
+
+_FOCUS = f"""z as materialized (select scene_id, patch, j, cast(f as int) k, {_FORWARD('y')} from (select scene_id, patch, k j, f, re, im, 2 * pi() * ((f * i) % 128) / 128 w from y, range(128) r(f) where k < 24) y group by all),
+mv as materialized (select t.scene_id, t.patch, t.j, t.k, coalesce(o.re, 0) re, coalesce(o.im, 0) im from z t join f using (scene_id) left join z o on o.scene_id = t.scene_id and o.patch = t.patch and o.k = t.k and o.j = t.j + {_SHIFT.replace('(k *', '(t.k *').replace('+ j *', '+ t.j *')}),
+az as materialized (select mv.scene_id, patch, j, mv.k, mv.re * gf.re + mv.im * gf.im re, mv.im * gf.re - mv.re * gf.im im from mv join gf on gf.scene_id = mv.scene_id and gf.k = mv.k),
+im as (select scene_id, patch, j, i, {_BACK('az')} from (select scene_id, patch, j, i, re, im, 2 * pi() * ((i * k) % 128) / 128 w from az, range(80) r(i)) az group by all),
+lo as (select scene_id, patch as row, cast(j // 4 as int) as col, case when sum(sqrt(re * re + im * im)) = 0 then 0 else log2(sum(sqrt(re * re + im * im)) / 128 / 320) end value from im group by all)"""
 
 
-@query("r13_focus")
+@query("r13_focus", f"with {_X}, {_H}, {_Y}, {_G}, {_GF}, {_FOCUS} select scene_id, row, col, cast(case when hi = l then 0 else least(floor(256 / (hi - l) * (value - l)), 255) end as int) as level from (select *, min(value) over (partition by scene_id) l, greatest(max(value) over (partition by scene_id), 1.17549435e-38) hi from lo)")
 def r13(spark, sf_dir):
     return radar.focus(pulses(spark, sf_dir), scenes(spark, sf_dir))

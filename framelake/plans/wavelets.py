@@ -101,11 +101,11 @@ def w5(spark, sf_dir):
     return wl.dwt2d_multilevel(image(spark, sf_dir), height=H, width=W).select("image_id", "y", "x", "v")
 
 
-@query("w6_round_half_away", "select vec_id, cast(case when e >= 0 then floor(e + 0.5) else ceil(e - 0.5) end as bigint) r from (select vec_id, embedding[1]::double * 8 e from embeddings)")
+@query("w6_round_half_away", "select vec_id, cast(i - 1 as int) i, cast(case when e >= 0 then floor(e + 0.5) else ceil(e - 0.5) end as bigint) r from (select vec_id, i, embedding[i]::double * 8 e from embeddings, range(1, 65) r(i))")
 def w6(spark, sf_dir):
     from framelake.plans.fixtures import table
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", wl.round_half_away(F.element_at("embedding", 1).cast("double") * 8).alias("r"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", "i", wl.round_half_away(F.col("e").cast("double") * 8).alias("r"))
 
 
 @query("w7_scale_subbands", _sql(_levels(), _SCALED) + "select * from scaled")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions.shipping import ship
+
 DTYPES = {"u8": "<u1", "u16": "<u2", "u32": "<u4", "f32": "<f4"}
 
 
@@ -85,6 +89,52 @@ def frames_to_binary(frames: DataFrame, *, dtype: str = "u16", frame: str = "fra
     return kept.groupBy(frame).applyInArrow(encode, f"{frame} {frames.schema[frame].dataType.simpleString()}, content binary")
 
 
+def lines_to_binary(lines: DataFrame, *, group: str = "patch", order: str = "i") -> DataFrame:
+    """(group, content): each group's complex lines as interleaved 32-bit floats. A group is of bounded size: a patch."""
+
+    def encode(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table[order].to_numpy(), kind="stable"))
+        pairs = np.stack([np.array(table[c].to_pylist(), "<f4") for c in ("re", "im")], axis=2)
+        return pa.table({group: table[group][:1], "content": pa.array([pairs.tobytes()], pa.binary())})
+
+    kept = lines.select(group, order, "re", "im")
+    return kept.groupBy(group).applyInArrow(encode, f"{group} {lines.schema[group].dataType.simpleString()}, content binary")
+
+
+def series_to_binary(samples: DataFrame, *, bit_size: int) -> DataFrame:
+    """(series_id, content): each series' samples in order, of 1, 2 or 4 bytes by their bit size. A series is of bounded size: a file."""
+    kind = DTYPES["u8" if bit_size <= 8 else "u16" if bit_size <= 16 else "u32"]
+
+    def encode(table: pa.Table) -> pa.Table:
+        x = table["x"].to_numpy()[np.argsort(table["i"].to_numpy(), kind="stable")]
+        return pa.table({"series_id": table["series_id"][:1], "content": pa.array([x.astype(kind).tobytes()], pa.binary())})
+
+    return samples.select("series_id", "i", "x").groupBy("series_id").applyInArrow(encode, f"series_id {samples.schema['series_id'].dataType.simpleString()}, content binary")
+
+
+def write_binary_files(files: DataFrame, path: str) -> int:
+    """Writes (name, content) as files below path, a folder that all executors reach, and returns their number.
+
+    A file appears under its name only when it is whole, so that a task may run again.
+    """
+    ship(files.sparkSession)
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content or b"")
+                store.move(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_frames(frames: DataFrame, path: str, *, frame: str = "frame_id") -> None:
     """Parquet, one folder for each frame, so that readers prune by frame."""
     frames.repartition(frame).write.partitionBy(frame).parquet(path)
