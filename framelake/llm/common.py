@@ -83,7 +83,7 @@ def attach(rows: DataFrame, table: DataFrame, key: str, count: str, *, max_hot:
     Keys with more than a `max_hot`-th of all rows, of which there are fewer than max_hot, are broadcast, so that none meets in one task.
     """
     total, most = table.agg(F.sum(count), F.max(count)).first()
-    least = max(10_000, (total or 0) // max_hot)
+    least = max(1_000, (total or 0) // max_hot)
     if (most or 0) <= least:
         return rows.join(table.drop(count), key)
     hot = F.broadcast(table.where(F.col(count) > least).drop(count))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from framelake.llm.blocks import ANSWER, QUESTION, Blocks, Exchange, answer_table, answered, in_order, merge, question, read_questions
 from framelake.llm.common import LOWER, Scratch, materialize, read
 from framelake.llm.words import Words, per_text, portions
+from framelake.llm.words import distinct as distinct_of
 
 END = 255  # never a byte of UTF-8
 
@@ -314,7 +315,7 @@ def _scoring(depth: int, gram_fan: int, folds: int, held_out: int, fan: int, n_t
         tokens = np.diff(first)
         base = per_text(np.log10(count + 1.0), first) - tokens * np.log10(n_tokens + n_distinct + 1.0)
         grams = _block_grams(texts, depth)
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in grams)]))
+        distinct = distinct_of(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in grams)]))
         log10 = answered(distinct, {-1 - part: data for part, data in asked.items()}, gram_fan, np.float32, _cut(depth))
         sizes = [np.fromiter((len(t) + 1 for t in texts[b:e]), np.int64, e - b) for b, e in portions(texts)]
         model = np.concatenate([np.zeros(0), *(per_text(log10[np.searchsorted(distinct, k)].astype(np.float64)[i], np.concatenate([[0], np.cumsum(n)])) for (k, i), n in zip(grams, sizes, strict=True))])

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.blocks import QUESTION, Blocks, Exchange, answer_table, answered, by_range, dealt, in_order, member, merge, pack, pack_keys, question, read_questions, spread, unpack, unpack_keys
 from framelake.llm.common import LOWER, Scratch, attach, materialize, read
-from framelake.llm.words import Words, mix, portions, windows
+from framelake.llm.words import Words, distinct, mix, portions, windows
 
 GROUPS, COMBINED = 8, 2
 NEED = 1 + GROUPS * (COMBINED - 1)
@@ -57,7 +57,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
         for i in range(end - begin):
             a, z = first[i], first[i + 1]
             if z - a >= size:
-                out.append(np.unique(codes[a : z - size + 1]))
+                out.append(distinct(codes[a : z - size + 1]))
             elif z > a:
                 out.append(windows(hashes[a:z], z - a) + np.uint64(z - a))
             else:
@@ -146,9 +146,13 @@ def _classed(table: pa.Table, guide: pa.Table, size: int, fan: int):
     """(block, and for each chosen set its place, its tokens and which of them are frequent)."""
     rows = guide.to_pydict()
     block, places, sets = _chosen(table, [p for p in rows["place"] if p is not None], size)
-    tokens = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) & CLASS_BITS)
-    often = answered(tokens, {p: a for p, a in zip(rows["part"], rows["answers"], strict=True) if p is not None}, fan, bool)
-    return block, [(i, s, often[np.searchsorted(tokens, s & CLASS_BITS)]) for i, s in zip(places, sets, strict=True)]
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets]) & CLASS_BITS
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)]
+    often = np.zeros(len(tokens), bool)
+    often[order] = answered(tokens[new], {p: a for p, a in zip(rows["part"], rows["answers"], strict=True) if p is not None}, fan, bool)[np.cumsum(new) - 1]
+    return block, [(i, s, f) for i, s, f in zip(places, sets, np.split(often, np.cumsum([len(s) for s in sets])[:-1]) if sets else [], strict=True)]
 
 
 _POSTS = "part int, block long, keys binary, refs binary"
@@ -303,9 +307,9 @@ def _compare(percent: int):
     return compare
 
 
-def verify(pairs: DataFrame, sets, percent: int, star_portion: int) -> DataFrame:
+def verify(pairs: DataFrame, sets, work: Scratch, percent: int, star_portion: int) -> DataFrame:
     """The pairs (a, b) that are similar; sets: (a, portion, ref) to rows with n and tokens."""
-    stars = pairs.groupBy("a").agg(F.count("*").alias("k"), F.ceil(F.count("*") / star_portion).cast("int").alias("portions"))
+    stars = work.keep(pairs.groupBy("a").agg(F.count("*").alias("k"), F.ceil(F.count("*") / star_portion).cast("int").alias("portions")), "stars")
     numbered = attach(pairs, stars, "a", "k").withColumn("portion", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int"))
     wanted = numbered.select("a", "portion", F.col("b").alias("ref")).union(numbered.select("a", "portion", F.col("a").alias("ref")).distinct())
     return sets(wanted).groupBy("a", "portion").applyInArrow(_compare(percent), "a long, b long")
@@ -383,7 +387,7 @@ def _rare_links(blocks: Blocks, guide: DataFrame, size: int, percent: int, star_
     found = spread(posts, "part", n_parts).groupBy("part").applyInArrow(_pair_up(n_parts), _PAIRS)
     pairs = work.keep(spread(found, "pairs", n_parts).groupBy("pairs").applyInArrow(_enough, "a long, b long"), "rare-pairs")
     fetched = lambda wanted: blocks.run(_fetch(size), "a long, portion int, ref long, n long, tokens binary", wanted.withColumn("block", F.shiftright("ref", INDEX_BITS)))
-    return work.keep(verify(pairs, fetched, percent, star_portion), "rare-links")
+    return work.keep(verify(pairs, fetched, work, percent, star_portion), "rare-links")
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 75, often: int = 8, all_pairs: int = 64, star_portion: int = 500, queries: int = 250, tokens: int = 400_000, **sizes) -> DataFrame:
@@ -412,7 +416,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size:
         stars = shared.where("not few and hub != ref").select(F.col("hub").alias("a"), F.col("ref").alias("b"))
         pairs = work.keep(paired.union(stars).distinct(), "unit-pairs")
         found = lambda wanted: wanted.join(units.select("ref", "n", "tokens"), "ref").select("a", "portion", "ref", "n", "tokens")
-        unit_links = work.keep(verify(pairs, found, percent, star_portion), "unit-links")
+        unit_links = work.keep(verify(pairs, found, work, percent, star_portion), "unit-links")
 
         def joined(unit_links: DataFrame, name: str) -> DataFrame:
             """Labels by all links; the sets of a unit are linked if the unit has a link, or is similar enough to itself."""

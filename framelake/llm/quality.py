@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import read, ship, utf8
 from framelake.llm.decontaminate import NORMALISE
-from framelake.llm.words import Words, mix, per_text, portions, windows
+from framelake.llm.words import Words, distinct, mix, per_text, portions, windows
 
 BITS = 21
 _SYMBOL = np.zeros(256, bool)
@@ -89,7 +89,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.maximum(plain.text_end - plain.text_begin - 2, 0)
     at = np.repeat(plain.text_begin - np.cumsum(np.concatenate([[0], sizes[:-1]])), sizes) + np.arange(sizes.sum()) if len(texts) else sizes
     found.append((np.repeat(np.arange(len(texts)), sizes), mix(code[at] ^ np.uint64(3 << 56))))
-    both = np.unique(np.concatenate([(o << BITS) | (c >> shift).astype(np.int64) for o, c in found]))
+    both = distinct(np.concatenate([(o << BITS) | (c >> shift).astype(np.int64) for o, c in found]))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 

@@ -58,6 +58,12 @@ class Words:
         return mix((sums[self.end] - sums[self.begin]) * inverse[self.begin])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; by sorting, which for hashes is faster than numpy's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of `size` of the hashes."""
     n = max(0, len(hashes) - size + 1)
