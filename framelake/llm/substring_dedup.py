@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from framelake.llm.blocks import ANSWER, QUESTION, Blocks, Exchange, answered, in_order, merge, pack, places, question, repeated, unpack, word_hashes
 from framelake.llm.common import Scratch, materialize, read
-from framelake.llm.words import Runs
+from framelake.llm.words import Runs, distinct, mix
 
 _PLACE = np.uint64((1 << 32) - 1)
 SURVIVORS = -1  # as a part: bits of the windows that survive
@@ -70,11 +70,12 @@ class _Windows:
     def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray | None]:
         """The keys of runs, and at the full length their second hashes."""
         second = Runs(word_hashes(self.texts if len(at) else [], kind=1)[0]).at(at, size) if size == self.length else None
-        return self.runs.at(at, size) & self.mask, second
+        # mixed again: the least of many hashes are small, and ranges of keys are to be of equal weight
+        return mix(self.runs.at(at, size)) & self.mask, second
 
     def asked(self, at: np.ndarray, size: int) -> tuple:
         """(distinct keys, whether the block has them at two places, second hashes)."""
-        keys, second = self.keys(np.unique(at), size)
+        keys, second = self.keys(distinct(at), size)
         return merge([keys], [np.zeros(len(keys), bool)], None if second is None else [second])
 
     def survivors(self, found: pa.Table, size: int | None, fan: int) -> np.ndarray:
