@@ -2,6 +2,9 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined cases of every stage: an empty table gives an empty one; further columns of docs, whatever their names, stay as they are (packing
+ignores them); null ids are rows like others. What else is special stands with each stage.
 """
 
 from __future__ import annotations
@@ -13,27 +16,46 @@ from framelake.llm.common import materialize, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules, the quality model or the toxicity model reject go."""
+    """Documents that the base rules, the quality model or the toxicity model reject go.
+
+    Null and empty texts have no words, and so go; repeated rows are judged one by one, alike; long texts are judged whole; labels without a
+    document, null ones and ties are as `quality.train` says.
+    """
     return quality.filter_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of their source's pages go; n_chars follows the text."""
+    """Lines on more than a tenth of their source's pages go; n_chars follows the text.
+
+    A null text stays null, with a null n_chars; null sources are one source; repeated rows are pages of their own; a text whose lines all go is
+    the empty text; a line that exactly a tenth of the pages have stays; long texts are cut into lines whole.
+    """
     return line_dedup.drop_boilerplate(docs, length_col="n_chars")
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
+    """Of each group of near duplicates the document of the least id stays.
+
+    Texts without words, null ones among them, link with nothing and stay; rows that share an id stay or go together, so repeated rows with
+    the least id all stay; rows with a null id stay; long texts are compared whole.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; the others stay as they are."""
+    """Contaminated documents go; the others stay as they are.
+
+    Null and empty texts are not contaminated; repeated rows are judged one by one, alike; exactly a twentieth of hit words is contaminated;
+    null items have no windows; long texts are scanned whole.
+    """
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rest in sequences of 4096 tokens: a row for each piece."""
+    """The rest in sequences of 4096 tokens: a row for each piece.
+
+    A null or empty text is its end id alone; repeated rows are packed each; a document longer than a sequence is cut into as many as it needs.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

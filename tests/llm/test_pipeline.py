@@ -82,3 +82,40 @@ def test_registration():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+LONG = " ".join(f"word{k % 9973} and{k % 977}" for k in range(60_000))
+ODD = [
+    (1, None, "en", "a", None, "x", 1), (2, "", None, None, 0, None, None), (None, "one line\nof text", "de", "b", 17, "y", 2), (3, LONG, "en", "a", len(LONG), "z", 3),
+    *[(4, "the same words in each of these rows for all to see " * 3, "en", "c", 156, "t", 4)] * 5, (5, "\n \t\n", "fr", "", 5, "", 5), (6, "<|endoftext|> \u0130. \U0001f600 \x0b", "", "a", 20, "u", 6),
+]
+
+
+@pytest.fixture()
+def odd(spark):
+    """With columns whose names the stages use themselves."""
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, kept string, block int").repartition(3)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_odd_tables(spark, sf_dir, odd, name, stage):
+    left = stage(spark, odd, sf_dir)
+    rows = left.collect()
+    if name == "packing":
+        tokens = {}
+        for r in rows:
+            tokens[r.doc_id, r.doc_tokens] = tokens.get((r.doc_id, r.doc_tokens), 0) + r.length
+        assert all(total % n == 0 for (_, n), total in tokens.items()) and tokens[1, 1] == 1 and tokens[2, 1] == 1
+        assert len({r.doc_id for r in rows}) == 7 and sum(t // n for (d, n), t in tokens.items() if d == 4) == 5
+    else:
+        assert left.columns == odd.columns
+        kept = {(r.doc_id, r.kept, r.block) for r in rows}
+        assert len(rows) >= len(kept)
+        if name == "quality_rules":
+            assert not kept & {(1, "x", 1), (2, None, None), (None, "y", 2)}
+        elif name == "line_dedup":
+            assert len(rows) == len(ODD) and next(r for r in rows if r.doc_id == 1).text is None and next(r for r in rows if r.doc_id == 3).text == LONG
+        else:
+            assert len(rows) == len(ODD)  # no groups under several ids, no contamination
+    none = stage(spark, odd.limit(0), sf_dir)
+    assert none.count() == 0 and none.columns == left.columns
