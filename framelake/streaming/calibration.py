@@ -1,9 +1,10 @@
 """Calibration of a stream of frames, equal to the batch operator on the same frames.
 
 Pixels are dealt to tiles with a rim of one pixel for the neighbours of bad pixels. Each tile's state holds the last two
-finished frames and the prepared ones that wait for the two after them; frame t leaves when t + 2 is there. Frames
-whose number has left, or is there already, are dropped. A frame's pixels must arrive in one trigger; frames may arrive out of order. The
-state of a tile is bounded by the frames that are out of order.
+finished frames and the prepared ones that wait for the two after them; frame t leaves when the two after it are there. Frames
+whose number has passed, or is there already, are dropped. A frame's pixels must arrive in one trigger; frames may arrive out of order. A
+frame that is still missing when `max_ahead` later ones wait is given up, and the others go on without it, as the batch operator does where there is no such
+frame. So a tile's state is max_ahead + 6 frames at most.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _prepared(rows: pd.DataFrame, y0: int, x0: int, tile: int, first_prepared: i
     return v[inner], grid["gain"][inner]
 
 
-def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, first_prepared: int = 4) -> DataFrame:
+def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, first_prepared: int = 4, max_ahead: int = 64) -> DataFrame:
     """frames: a stream of (frame_id, y, x, v); maps: a static (y, x, off, gain, bad). Yields finished pixels; bins and sums are the sink's."""
     ship(frames.sparkSession)
     near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
@@ -52,24 +53,28 @@ def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, firs
     def finish(key, batches, state: GroupState):
         y0, x0 = key[0] * tile, key[1] * tile
         rows = pd.concat(list(batches))
-        following, waiting, done = pickle.loads(state.get[0]) if state.exists else (2, {}, {})
+        # the number that comes next; frames that came before their turn; those whose turn it is; the last two finished ones
+        expected, waiting, ready, done = pickle.loads(state.get[0]) if state.exists else (0, {}, [], [])
         for number, own in rows.groupby("frame_id"):
-            if number not in waiting and number >= following - 2 * (following == 2) and number not in done:
+            if number >= expected and number not in waiting:
                 waiting[number] = _prepared(own.drop_duplicates(["y", "x"]), y0, x0, tile, first_prepared)
-        if following == 2 and not done and 0 in waiting and 1 in waiting:
-            done = {k: waiting.pop(k)[0] for k in (0, 1)}
         out = []
-        while done and all(following + k in waiting for k in range(3)):
-            (now, gain), after = waiting[following], [waiting[following + k][0] for k in (1, 2)]
-            mean = (done[following - 2] + done[following - 1] + after[0] + after[1]) // 4
+        while expected in waiting or len(waiting) > max_ahead:
+            number = expected if expected in waiting else min(waiting)
+            expected = number + 1
+            ready.append((number, *waiting.pop(number)))
+            if len(done) < 2:
+                done.append(ready.pop()[1])
+            if len(ready) < 3:
+                continue
+            (number, now, gain), (_, after, _), (_, last, _) = ready
+            mean = (done[0] + done[1] + after + last) // 4
             kept = np.where(now > 2 * mean, mean, now)
             finished = (kept * gain >> 16) & 65535
             ys, xs = np.nonzero(now >= 0)
-            out.append(pd.DataFrame({"frame_id": following, "y": ys + y0, "x": xs + x0, "v": finished[ys, xs]}))
-            done = {following - 1: done[following - 1], following: finished}
-            del waiting[following]
-            following += 1
-        state.update((pickle.dumps((following, waiting, done)),))
+            out.append(pd.DataFrame({"frame_id": number, "y": ys + y0, "x": xs + x0, "v": finished[ys, xs]}))
+            done, ready = [done[1], finished], ready[1:]
+        state.update((pickle.dumps((expected, waiting, ready, done)),))
         yield pd.concat(out).astype("int32") if out else pd.DataFrame({c: np.zeros(0, np.int32) for c in ("frame_id", "y", "x", "v")})
 
     return dealt.groupBy("ty", "tx").applyInPandasWithState(finish, OUT, "blob binary", "append", GroupStateTimeout.NoTimeout)

@@ -24,3 +24,19 @@ def test_stream_equals_batch(spark, tmp_path):
     pixels = spark.read.parquet(f"{tmp_path}/out")
     assert pixels.count() == 5 * 54
     assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames, m, m, m)))
+
+
+def test_a_lost_frame_is_given_up(spark, tmp_path):
+    """The others go on as the batch does without it; it is dropped if it comes later."""
+    rng = np.random.default_rng(4)
+    stack = rng.integers(0, 4000, (12, 6, 9))
+    m = map_table(spark, off=rng.integers(0, 100, (6, 9)), gain=rng.integers(30000, 65535, (6, 9)), bad=(rng.random((6, 9)) < 0.2).astype(int))
+    frames = frame_table(spark, stack)
+    for k, t in enumerate([0, 1, 2, 3, 4, 6, 7, 8, 9, 5, 10, 11]):
+        frames.where(f"frame_id = {t}").coalesce(1).write.parquet(f"{tmp_path}/in/{k:02}")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    job = calibrate_stream(stream, m, tile=8, max_ahead=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    pixels = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.frame_id for r in pixels.select("frame_id").distinct().collect()) == [2, 3, 4, 6, 7, 8, 9]
+    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames.where("frame_id != 5"), m, m, m)))
