@@ -233,7 +233,7 @@ def _joined(table: pa.Table) -> pa.Table:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: record_id, record_type, target_uri, refers_to, declared_digest, declared_bytes, payload."""
+    """A row for each record: file, record_id, record_type, target_uri, refers_to, declared_digest, declared_bytes, payload."""
     ship(spark)
     rows = spark.read.option("lineSep", _GAP.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     found = materialize(rows.mapInArrow(_candidates, _CANDIDATE), "warc-candidates")
@@ -273,6 +273,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """records of read_warc; a revisit without a declared length, as in archives of others, takes that of the response that it refers to, if that is there."""
+    lengths = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max(F.octet_length("payload").cast("long")).alias("response_bytes"))
+    found = records.join(lengths, "refers_to", "left").withColumn("declared_bytes", F.coalesce("declared_bytes", F.when(F.col("record_type") == "revisit", F.col("response_bytes"))))
+    return found.select(*records.columns)
+
+
 def op1_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     write_warc(read(spark, sf_dir, "pages"), path)

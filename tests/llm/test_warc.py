@@ -5,7 +5,7 @@ import hashlib
 
 import pytest
 
-from framelake.llm.warc import read_warc, write_warc
+from framelake.llm.warc import read_warc, resolve_revisits, write_warc
 
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: {}\r\n\r\nboo\r\n\r\n"
 PAYLOADS = [
@@ -62,3 +62,11 @@ def test_foreign_archive_with_a_cut_end(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record % (4, b"\xff\x00\r\n") + record % (0, b"") + (record % (30, b"q" * 30))[:-20])
     (tmp_path / "b.warc").write_bytes(record % (2, b"ok"))
     assert sorted(bytes(r.payload) for r in read_warc(spark, str(tmp_path)).collect()) == [b"", b"ok", b"\xff\x00\r\n"]
+
+
+def test_revisits_of_a_foreign_archive_have_their_responses_length(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <%s>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    rows = [(b"response", b"r", b"", b"hello"), (b"revisit", b"v", b"WARC-Refers-To: <r>\r\n", b""), (b"revisit", b"w", b"WARC-Refers-To: <gone>\r\n", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(head % (kind, name, more, len(body), body) for kind, name, more, body in rows))
+    found = resolve_revisits(read_warc(spark, str(tmp_path)))
+    assert sorted((r.record_id, r.declared_bytes) for r in found.collect()) == [("<r>", None), ("<v>", 5), ("<w>", None)]
