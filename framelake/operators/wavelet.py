@@ -67,21 +67,41 @@ def dwt1d_float(df: DataFrame, *, partition: Sequence[str], order: str, value: s
     return out.withColumn(order, place).withColumn(value, F.col("_o")).drop("_o", "_ends", "_tail")
 
 
-def dwt2d(image: DataFrame, *, height: int, width: int, kind: str = "int") -> DataFrame:
-    """Along rows, then along columns."""
+Size = int | Column
+
+
+def _div(size: Size, k: int) -> Size:
+    return size // k if isinstance(size, int) else F.floor(size / k).cast("int")
+
+
+def with_sizes(image: DataFrame) -> DataFrame:
+    """image with the height and width of each image, up to a multiple of 8, in the columns _height and _width: F.col of these serves as height and width."""
+    up = lambda c: (F.floor((F.max(c) + 8) / 8) * 8).cast("int")
+    return image.join(image.groupBy("image_id").agg(up("y").alias("_height"), up("x").alias("_width")), "image_id")
+
+
+def dwt2d(image: DataFrame, *, height: Size | None = None, width: Size | None = None, kind: str = "int") -> DataFrame:
+    """Along rows, then along columns. Without a height and width each image has its own."""
+    if height is None:
+        return dwt2d(with_sizes(image), height=F.col("_height"), width=F.col("_width"), kind=kind).drop("_height", "_width")
     step = dwt1d_int if kind == "int" else dwt1d_float
     rows = step(image, partition=["image_id", "y"], order="x", length=width)
     return step(rows, partition=["image_id", "x"], order="y", length=height)
 
 
-def dwt2d_multilevel(image: DataFrame, *, height: int, width: int, levels: int = 3, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Again on the low quadrant of each level; sides must divide by 2^levels. `cut` is given each level, to shorten its plan."""
+def dwt2d_multilevel(image: DataFrame, *, height: Size | None = None, width: Size | None = None, levels: int = 3, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Again on the low quadrant of each level; sides must divide by 2^levels. `cut` is given each level, to shorten its plan.
+
+    Without a height and width each image has its own.
+    """
+    if height is None:
+        return dwt2d_multilevel(with_sizes(image), height=F.col("_height"), width=F.col("_width"), levels=levels, kind=kind, cut=cut).drop("_height", "_width")
     low = image.withColumn("v", F.col("v").cast("long" if kind == "int" else "double"))
     done = []
     for _ in range(levels):
         out = dwt2d(low, height=height, width=width, kind=kind)
         out = cut(out) if cut else out
-        height, width = height // 2, width // 2
+        height, width = _div(height, 2), _div(width, 2)
         inside = (F.col("y") < height) & (F.col("x") < width)
         done.append(out.where(~inside))
         low = out.where(inside)
@@ -94,26 +114,26 @@ def round_half_away(c: Column) -> Column:
     return F.when(c >= 0, F.floor(c + 0.5)).otherwise(F.ceil(c - 0.5)).cast("long")
 
 
-def _band(height: int, width: int) -> tuple[Column, Column, Column]:
+def _band(height: Size, width: Size) -> tuple[Column, Column, Column]:
     """(level of the band, is it in the lower half, is it in the right half) of a place; the low band counts as level 3."""
     y, x = F.col("y"), F.col("x")
-    level = F.when((y >= height // 2) | (x >= width // 2), 1).when((y >= height // 4) | (x >= width // 4), 2).otherwise(3)
+    level = F.when((y >= _div(height, 2)) | (x >= _div(width, 2)), 1).when((y >= _div(height, 4)) | (x >= _div(width, 4)), 2).otherwise(3)
     return level, y >= _at_level(height, level), x >= _at_level(width, level)
 
 
-def _at_level(size: int, level: Column) -> Column:
+def _at_level(size: Size, level: Column) -> Column:
     """size / 2^level."""
-    return F.when(level == 1, size // 2).when(level == 2, size // 4).otherwise(size // 8)
+    return F.when(level == 1, _div(size, 2)).when(level == 2, _div(size, 4)).otherwise(_div(size, 8))
 
 
-def scale_subbands(coeffs: DataFrame, *, height: int, width: int) -> DataFrame:
+def scale_subbands(coeffs: DataFrame, *, height: Size, width: Size) -> DataFrame:
     """HH of level l by 2^(l-1), HL and LH by 2^l, the low band by 8."""
     level, down, right = _band(height, width)
     power = F.when(~down & ~right, 3).when(down & right, level - 1).otherwise(level)
     return coeffs.withColumn("v", F.col("v") * F.pow(F.lit(2), power).cast("long"))
 
 
-def regroup_blocks(coeffs: DataFrame, *, height: int, width: int) -> DataFrame:
+def regroup_blocks(coeffs: DataFrame, *, height: Size, width: Size) -> DataFrame:
     """Each coefficient to its family's 8 x 8 block: coordinates only, no shuffle."""
     level, down, right = _band(height, width)
     size = _at_level(8, level)  # of a band's patch in the block: 4, 2, 1
@@ -124,9 +144,10 @@ def regroup_blocks(coeffs: DataFrame, *, height: int, width: int) -> DataFrame:
     return coeffs.withColumns({"y": place(i, down), "x": place(j, right)})
 
 
-def assign_segments(coeffs: DataFrame, *, width: int, segment_size: int) -> DataFrame:
+def assign_segments(coeffs: DataFrame, *, width: Size, segment_size: int) -> DataFrame:
     """blk (row-major), seg and pos 0..63 of each coefficient."""
-    return coeffs.select("image_id", F.expr(f"((y div 8) * {width // 8} + x div 8) div {segment_size}").cast("int").alias("seg"), F.expr(f"(y div 8) * {width // 8} + x div 8").cast("int").alias("blk"), F.expr("(y % 8) * 8 + x % 8").cast("int").alias("pos"), F.col("v").alias("c"))
+    block = (_div(F.col("y"), 8) * _div(width, 8) + _div(F.col("x"), 8)).cast("int")
+    return coeffs.select("image_id", _div(block, segment_size).alias("seg"), block.alias("blk"), F.expr("(y % 8) * 8 + x % 8").cast("int").alias("pos"), F.col("v").alias("c"))
 
 
 def bit_length(c: Column) -> Column:
@@ -238,16 +259,19 @@ def bitplane_stats(blocks: DataFrame, *, kind: str = "int") -> DataFrame:
     return out.withColumn("sign", F.col("significant"))
 
 
-def segment_headers(depths: DataFrame, *, pad_rows: int = 0) -> DataFrame:
-    """start and end flags, the segment's number modulo 256, the depths, pad rows, and the header's bits."""
+def segment_headers(depths: DataFrame, *, pad_rows: int | DataFrame = 0) -> DataFrame:
+    """start and end flags, the segment's number modulo 256, the depths, pad rows (of all images, or a table of image_id and pad_rows), and the header's bits."""
     totals = depths.groupBy(*SEGMENT).agg(F.max("depth_dc").alias("depth_dc"), F.max("depth_ac").alias("depth_ac"))
     w = Window.partitionBy("image_id")
     last = F.col("seg") == F.max("seg").over(w)
-    return totals.select(*SEGMENT, (F.col("seg") == 0).alias("is_first"), last.alias("is_last"), (F.col("seg") % 256).alias("seg_field"), "depth_dc", "depth_ac", F.when(last, pad_rows).otherwise(0).alias("pad_rows"), F.when(last, 32).otherwise(24).alias("header_bits"))
+    totals = totals.withColumn("pad_rows", F.lit(pad_rows)) if isinstance(pad_rows, int) else totals.join(pad_rows, "image_id")
+    return totals.select(*SEGMENT, (F.col("seg") == 0).alias("is_first"), last.alias("is_last"), (F.col("seg") % 256).alias("seg_field"), "depth_dc", "depth_ac", F.when(last, F.col("pad_rows")).otherwise(0).alias("pad_rows"), F.when(last, 32).otherwise(24).alias("header_bits"))
 
 
-def decompose(image: DataFrame, *, height: int, width: int, segment_size: int = 64, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The blocks of the scaled (integer) or rounded (float) decomposition; sides must divide by 8."""
+def decompose(image: DataFrame, *, height: Size | None = None, width: Size | None = None, segment_size: int = 64, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The blocks of the scaled (integer) or rounded (float) decomposition; sides must divide by 8. Without a height and width each image has its own."""
+    if height is None:
+        return decompose(with_sizes(image), height=F.col("_height"), width=F.col("_width"), segment_size=segment_size, kind=kind, cut=cut)
     coeffs = dwt2d_multilevel(image, height=height, width=width, kind=kind, cut=cut)
     coeffs = scale_subbands(coeffs, height=height, width=width) if kind == "int" else coeffs.withColumn("v", round_half_away(F.col("v")))
     return assign_segments(regroup_blocks(coeffs, height=height, width=width), width=width, segment_size=segment_size)
@@ -263,20 +287,19 @@ def _gaggle_bits(codes: DataFrame, name: str) -> DataFrame:
 def _written(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: a plan of six nested joins, used five times, is too large."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/framelake-wavelet-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def segment_table(image: DataFrame, *, height: int, width: int, segment_size: int = 64, kind: str = "int") -> DataFrame:
-    """One row for each segment of an image of any sides: header, depths, bits of each part of the code, and `planes`,
+def segment_table(image: DataFrame, *, segment_size: int = 64, kind: str = "int") -> DataFrame:
+    """One row for each segment of images of any sides, each padded by itself: header, depths, bits of each part of the code, and `planes`,
     sorted arrays (family, generation, plane, significant, refinement) with generations 0 parent, 1 child, 2 grandchild.
 
     known_bits leaves out the symbols that say which coefficients become significant.
     """
-    up = lambda n: -(-n // 8) * 8
-    blocks = _written(decompose(pad_edge(image), height=up(height), width=up(width), segment_size=segment_size, kind=kind, cut=_written))
+    blocks = _written(decompose(pad_edge(image), segment_size=segment_size, kind=kind, cut=_written))
     depths = segment_bit_depths(blocks)
     quantized = quantize_dc(depths)
     generation = F.when(F.col("generation") == "parent", 0).when(F.col("generation") == "child", 1).otherwise(2)
@@ -284,7 +307,7 @@ def segment_table(image: DataFrame, *, height: int, width: int, segment_size: in
         F.sum("significant").alias("significant"), F.sum("refinement").alias("refinement"), F.sum("sign").alias("sign"),
         F.sort_array(F.collect_list(F.array(*(c.cast("long") for c in (F.col("family"), generation, F.col("plane"), F.col("significant"), F.col("refinement")))))).alias("planes"),
     )
-    out = segment_headers(depths, pad_rows=up(height) - height)
+    out = segment_headers(depths, pad_rows=image.groupBy("image_id").agg(F.pmod(-1 - F.max("y"), F.lit(8)).cast("int").alias("pad_rows")))
     for part in (quantized.groupBy(*SEGMENT).agg(F.max("q").alias("q")), dc_refinement_bits(quantized, kind=kind).withColumnRenamed("planes", "up_front_planes"), _gaggle_bits(dc_dpcm(quantized), "dc_bits"), _gaggle_bits(ac_dpcm(depths), "ac_depth_bits")):
         out = out.join(part, list(SEGMENT))
     out = out.join(stats, list(SEGMENT), "left")  # a segment without AC bits has no planes

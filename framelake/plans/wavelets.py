@@ -214,9 +214,9 @@ def _cut(spark, sf_dir):
 
 @query("w18_segment_table", _segment_sql("int"))
 def w18_table(spark, sf_dir):
-    return wl.segment_table(_cut(spark, sf_dir), height=CUT_H, width=CUT_W, segment_size=S)
+    return wl.segment_table(_cut(spark, sf_dir), segment_size=S)
 
 
 @query("w18_segment_table_float", _segment_sql("float"))
 def w18_table_float(spark, sf_dir):
-    return wl.segment_table(_cut(spark, sf_dir), height=CUT_H, width=CUT_W, segment_size=S, kind="float")
+    return wl.segment_table(_cut(spark, sf_dir), segment_size=S, kind="float")

@@ -161,7 +161,7 @@ def test_raw_files(spark, tmp_path):
 @pytest.mark.parametrize("kind", ["int", "float"])
 def test_segment_table_of_an_image_that_is_not_padded(spark, kind):
     image = np.random.default_rng(3).integers(0, 1000, (44, 50))
-    found = wl.segment_table(image_table(spark, image), height=44, width=50, segment_size=16, kind=kind).orderBy("seg").collect()
+    found = wl.segment_table(image_table(spark, image), segment_size=16, kind=kind).orderBy("seg").collect()
     assert [(r.seg, r.n_blocks, r.pad_rows, r.header_bits, r.is_last) for r in found] == [(0, 16, 0, 24, False), (1, 16, 0, 24, False), (2, 10, 4, 32, True)]
     whole = image_table(spark, np.pad(image, ((0, 4), (0, 6)), mode="edge"))
     blocks = {(r.seg, r.blk, r.pos): r.c for r in wl.decompose(whole, height=48, width=56, segment_size=16, kind=kind).collect()} if kind == "int" else None
@@ -170,3 +170,14 @@ def test_segment_table_of_an_image_that_is_not_padded(spark, kind):
         assert (r.significant, r.refinement) == tuple(sum(p[k] for p in r.planes) for k in (3, 4))
         if blocks:
             assert r.depth_ac == max(abs(c).bit_length() for (s, _, p), c in blocks.items() if s == r.seg and p)
+
+
+@pytest.mark.parametrize("kind", ["int", "float"])
+def test_images_of_different_sizes(spark, kind):
+    """Each is decomposed as it would be alone."""
+    rng = np.random.default_rng(5)
+    tables = [image_table(spark, rng.integers(0, 1000, size)).withColumn("image_id", F.lit(k)) for k, size in enumerate([(48, 56), (64, 48)])]
+    rows = lambda df: sorted((r.image_id, r.seg, r.blk, r.pos, r.c) for r in df.collect())
+    together = rows(wl.decompose(tables[0].union(tables[1]), segment_size=16, kind=kind))
+    alone = [rows(wl.decompose(t, height=h, width=w, segment_size=16, kind=kind)) for t, (h, w) in zip(tables, [(48, 56), (64, 48)])]
+    assert together == sorted(alone[0] + alone[1])
