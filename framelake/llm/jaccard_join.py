@@ -390,7 +390,7 @@ def _rare_links(blocks: Blocks, guide: DataFrame, size: int, percent: int, star_
     return work.keep(verify(pairs, fetched, work, percent, star_portion), "rare-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 75, often: int = 8, all_pairs: int = 64, star_portion: int = 500, queries: int = 250, tokens: int = 400_000, **sizes) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 75, often: int = 8, all_pairs: int = 64, star_portion: int = 100, queries: int = 250, tokens: int = 400_000, **sizes) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the least id that links lead to). sizes: of Blocks."""
     with Scratch(docs.sparkSession, "jaccard") as work:
         blocks = Blocks(docs, id_col, text_col, work, **sizes)
