@@ -42,7 +42,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # never fails, so never starts again inside a number
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -51,7 +51,11 @@ _HIDDEN_AT = re.compile(r" ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}(?: ?(?:[\[(]dot[\])
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|0[0-9]{1,4}[ /-][0-9]{5,9}|00[1-9][0-9 ]{8,16}[0-9])(?![0-9])")
 _ASSIGNED = re.compile(r"(?i)(?:password|passwort|passwd|pwd|token|secret|api_?-?key|bearer|clave|contrase\u00f1a|mot de passe)\s?[=:]?\s?[\"']?([A-Za-z0-9+/_-]{8,})[\"']?")
 _KEY = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}|sk_live_[A-Za-z0-9]{16,})\b")
-_CREDENTIALS = re.compile(r"(?<=://)[^\s/@:]{1,64}:[^\s/@]{3,64}(?=@)")
+_CREDENTIALS = re.compile(r"://([^\s/@:]{1,64}:[^\s/@]{3,64})@")
+_NUMBER = re.compile(r"[0-9](?:[ ()/.-]*+[0-9])++")
+#: What texts with assignments or keys contain; a search for these costs less than the patterns.
+_ASSIGNING = ("passw", "pwd", "token", "secret", "api_key", "api-key", "apikey", "bearer", "clave", "contrase", "mot de passe")
+_KEYED = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "xox", "AIza", "glpat-", "sk_live_")
 
 
 @dataclass(frozen=True)
@@ -129,6 +133,8 @@ def _ips(text: str) -> list[tuple[str, int, int]]:
     """As the pattern finds them: four parts at a time of each chain of numbers and dots."""
     out = []
     for m in _CHAIN.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         parts, begin = m[0].split("."), m.start()
         for k in range(0, len(parts) - 3, 4):
             found = ".".join(parts[k : k + 4])
@@ -157,11 +163,14 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     if "at]" in text or "at)" in text:
         found += [("email", begin, m.end()) for m in _HIDDEN_AT.finditer(text) if m.start() - (begin := _look_back(text, m.start(), max(0, m.start() - 64))) >= 2]
     found += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(_digits(m[0])) <= 19]
-    found += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if "=" in m[0] or ":" in m[0] or any(c.isdigit() for c in m[1])]
-    found += [("secret", *m.span()) for m in _KEY.finditer(text)]
+    found += [("phone", *m.span()) for n in _NUMBER.finditer(text) if n.end() - n.start() >= 7 for m in _LOCAL_PHONE.finditer(text, max(0, n.start() - 1), n.end())]
+    low = text.lower()
+    if any(w in low for w in _ASSIGNING):
+        found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if "=" in m[0] or ":" in m[0] or any(c.isdigit() for c in m[1])]
+    if any(w in text for w in _KEYED):
+        found += [("secret", *m.span()) for m in _KEY.finditer(text)]
     if "://" in text:
-        found += [("secret", *m.span()) for m in _CREDENTIALS.finditer(text)]
+        found += [("secret", *m.span(1)) for m in _CREDENTIALS.finditer(text)]
     starts: list[int] = []  # of the stretches that base spans cover, which don't overlap
     ends: list[int] = []
     for start, end in sorted((s, e) for _, s, e in base):
