@@ -53,7 +53,7 @@ class WordTokenizer:
     The cache is emptied when full.
     """
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 250_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
         for batch in batches:
             kind = batch.column(0).type
             docs, texts = batch.column(0).to_pylist(), [utf8(t) for t in batch.column(1).to_pylist()]
-            for first, last in portions(texts, 1_000_000):
+            for first, last in portions(texts, 400_000):
                 for doc, ids in zip(docs[first:last], words.encode(texts[first:last]), strict=True):
                     rows += packer.add(doc, np.frombuffer(ids + end, "<u4"))
                 if len(rows) >= 20_000:

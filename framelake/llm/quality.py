@@ -30,6 +30,8 @@ from framelake.llm.decontaminate import NORMALISE
 from framelake.llm.words import Words, distinct, mix, per_text, portions, windows
 
 BITS = 21
+#: Bytes of text whose n-grams are in memory at once.
+PORTION = 150_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>"]] = True
 BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
         for batch in batches:
             raw = [utf8(t) for t in batch.column("text").to_pylist()]
             out = []
-            for begin, end in portions(raw):
+            for begin, end in portions(raw, PORTION):
                 owner, place = features(raw[begin:end])
                 cuts = np.searchsorted(owner, np.arange(1, end - begin))
                 out += [x.astype("<i4").tobytes() for x in np.split(place, cuts)]
@@ -200,19 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     rows = texts.select("id", "quality", "toxic", "text").mapInArrow(extract, "id string, quality int, toxic int, places binary").toArrow().sort_by("id")
     if not rows.num_rows:
         return Head(None), Head(None)
-    sizes = np.array([len(x) // 4 for x in rows["places"].to_pylist()])
-    place = np.frombuffer(b"".join(rows["places"].to_pylist()), "<i4")
+    column = rows["places"].combine_chunks()
+    _, offsets, data = column.buffers()  # read where they are: the sample's features are some 70 MB
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    sizes, place = np.diff(ends), np.frombuffer(data, "<i4")[ends[0] : ends[-1]]
     targets = [np.array([np.nan if y is None else y for y in rows[c].to_pylist()], float) for c in ("quality", "toxic")]
-    del rows
     kept = _Rows(sizes, place, min_documents)
-    del place
+    del rows, column, offsets, data, place
     return tuple(_fit(kept, y) for y in targets)
 
 
 def _judged(texts: list[bytes], heads: tuple[Head, Head], min_quality: float, max_toxic: float) -> tuple:
     """Base counts, base_failed, kept, and both probabilities."""
     counts, failed, kept, both = [], [], [], ([], [])
-    for begin, end in portions(texts):
+    for begin, end in portions(texts, PORTION):
         n = end - begin
         base = base_counts(texts[begin:end])
         bad = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
