@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, ship, text_bytes, utf8
+from framelake.llm.common import Scratch, give_back, ship, text_bytes, utf8
 from framelake.llm.words import Words, portions
 
 QUESTION = "part int, block long, keys binary, extra binary, counts binary"
@@ -50,9 +50,20 @@ class Blocks:
 
     def run(self, function, schema: str, answers: DataFrame | None = None) -> DataFrame:
         """function(block table[, answers of the block]) -> Arrow table, for each block."""
+
+        def alone(table):
+            out = function(table)
+            give_back()
+            return out
+
+        def answered_too(table, found):
+            out = function(table, found)
+            give_back()
+            return out
+
         if answers is None:
-            return self.table().groupBy("block").applyInArrow(function, schema)
-        return self.table().groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
+            return self.table().groupBy("block").applyInArrow(alone, schema)
+        return self.table().groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answered_too, schema)
 
 
 def in_order(table: pa.Table) -> tuple[int, list, list[bytes]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,11 @@ def utf8(value: str | bytes | None) -> bytes:
 def single_threaded() -> None:
     """Tokenizers run one thread in a task; Spark supplies the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def give_back() -> None:
+    """Returns what this Python worker has freed to the machine: workers live on between stages, beside the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import LOWER, read, ship, single_threaded, utf8
+from framelake.llm.common import LOWER, give_back, read, ship, single_threaded, utf8
 from framelake.llm.words import portions
 
 def _byte_letters() -> dict[int, str]:
@@ -238,6 +238,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
         rows += packer.finish()
         if rows:
             yield batch_of(rows)
+        words.cache.clear()
+        give_back()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return picked.mapInArrow(place, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")

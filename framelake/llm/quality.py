@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import read, ship, utf8
+from framelake.llm.common import give_back, read, ship, utf8
 from framelake.llm.decontaminate import NORMALISE
 from framelake.llm.words import Words, distinct, mix, per_text, portions, windows
 
@@ -262,6 +262,7 @@ def filter_quality(docs: DataFrame, heads: tuple[Head, Head], *, text_col="text"
             for begin in range(0, batch.num_rows, 500):  # a few texts at a time as Python values
                 part = batch.slice(begin, 500)
                 yield part.filter(pa.array(_judged([utf8(t) for t in part.column(at).to_pylist()], shared.value, min_quality, max_toxic)[2]))
+            give_back()
 
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
