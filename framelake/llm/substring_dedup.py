@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from framelake.llm.blocks import ANSWER, QUESTION, Blocks, Exchange, answered, in_order, merge, pack, places, question, repeated, unpack, word_hashes
 from framelake.llm.common import Scratch, materialize, read
-from framelake.llm.words import Runs, distinct, mix
+from framelake.llm.words import distinct, mix, runs
 
 _PLACE = np.uint64((1 << 32) - 1)
 SURVIVORS = -1  # as a part: bits of the windows that survive
@@ -51,8 +51,8 @@ class _Windows:
 
     def __init__(self, texts: list[bytes], length: int, hash_bits: int):
         self.texts, self.length, self.mask = texts, length, np.uint64((1 << hash_bits) - 1)
-        hashes, self.first = word_hashes(texts)
-        self.n, self.runs = len(hashes), Runs(hashes)
+        self.hashes, self.first = word_hashes(texts)
+        self.n = len(self.hashes)
 
     def starts(self) -> np.ndarray:
         """Of all windows that lie within one text."""
@@ -65,13 +65,13 @@ class _Windows:
 
     def located(self, starts: np.ndarray, size: int) -> np.ndarray:
         """Where the run of `size` words is that stands for each window."""
-        return starts if size == self.length or not len(starts) else _least(self.runs.all(size), self.length - size + 1)[starts]
+        return starts if size == self.length or not len(starts) else _least(runs(self.hashes, size), self.length - size + 1)[starts]
 
     def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray | None]:
         """The keys of runs, and at the full length their second hashes."""
-        second = Runs(word_hashes(self.texts if len(at) else [], kind=1)[0]).at(at, size) if size == self.length else None
+        second = runs(word_hashes(self.texts if len(at) else [], kind=1)[0], size)[at] if size == self.length else None
         # mixed again: the least of many hashes are small, and ranges of keys are to be of equal weight
-        return mix(self.runs.at(at, size)) & self.mask, second
+        return mix(runs(self.hashes, size)[at]) & self.mask, second
 
     def asked(self, at: np.ndarray, size: int) -> tuple:
         """(distinct keys, whether the block has them at two places, second hashes)."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Words are runs of anything but these: space, tab, line feed, vertical tab, form feed, carriage return.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words longer than this are hashed one by one.
+_LONG = 4_096
+#: Seed and odd factor of each kind of hash.
+_KINDS = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)))
+#: The lowest 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,24 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Two hashes of bytes that have nothing to do with each other.
-_OF_BYTE = [mix(np.arange(k, k + 256, dtype=np.uint64)) for k in (1, 1_000)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+def eights(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the end. A view, not a copy for each place."""
+    return np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
 
 
 class Words:
     """The words of a list of texts: hashes, begin and end (bytes in `data`), and for each text its first word's index."""
 
     def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+        self.joined = b" ".join([b"", *texts, b""])
+        self.data = np.frombuffer(self.joined, np.uint8)
         space = _IS_SPACE[self.data]
         border = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.begin, self.end = border[::2], border[1::2]
@@ -52,10 +50,18 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, kind: int = 0) -> np.ndarray:
-        powers, inverse = _powers_to(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_OF_BYTE[kind][self.data] * powers, out=sums[1:])
-        return mix((sums[self.end] - sums[self.begin]) * inverse[self.begin])
+        """Words are mixed in 8 bytes at a time, after their size; the two kinds have nothing to do with each other."""
+        seed, odd = _KINDS[kind]
+        size, pieces = self.end - self.begin, eights(self.joined)
+        out = mix((size.astype(np.uint64) + seed) * odd + (pieces[self.begin] & _LOW[np.minimum(size, 8)]))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.joined[self.begin[i] : self.end[i]], digest_size=8, person=str(kind).encode()).digest(), "little")
+        more, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+        while len(more):
+            out[more] = mix(out[more] * odd + (pieces[self.begin[more] + done] & _LOW[np.minimum(size[more] - done, 8)]))
+            done += 8
+            more = more[size[more] > done]
+        return out
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -73,20 +79,21 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-class Runs:
-    """Hashes of runs of the given hashes: of any length, at any place, for the same effort."""
-
-    def __init__(self, hashes: np.ndarray):
-        powers, self.inverse = _powers_to(max(1, len(hashes)))
-        self.sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * powers[: len(hashes)], out=self.sums[1:])
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """As windows(), with as many steps as size has binary digits: runs of 1, 2, 4 ... are joined."""
+    power, width, code, held = hashes, 1, None, 0
+    while True:
+        if size & width:
+            code = power if code is None else _joined(code, power[held:])
+            held += width
+        if held == size:
+            return mix(code + np.uint64(size))
+        power, width = _joined(power, power[width:]), 2 * width
 
-    def all(self, size: int) -> np.ndarray:
-        n = max(0, len(self.sums) - size)
-        return mix((self.sums[size : size + n] - self.sums[:n]) * self.inverse[:n] + np.uint64(size))
 
-    def at(self, places: np.ndarray, size: int) -> np.ndarray:
-        return mix((self.sums[places + size] - self.sums[places]) * self.inverse[places] + np.uint64(size))
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    n = min(len(first), len(second))
+    return mix(first[:n] * _KINDS[0][1] + second[:n])
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
