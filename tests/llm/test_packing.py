@@ -50,6 +50,23 @@ def test_every_letter_gives_the_tokenizers_ids(plain):
             assert np.frombuffer(ids, "<u4").tolist() == plain(text), ascii(text)
 
 
+def test_capitals_before_marks_give_the_tokenizers_ids(plain):
+    """A capital and the mark behind it may compose only after lower-casing: each capital of the first planes with each mark."""
+    words = WordTokenizer(PATH)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    capitals = [chr(c) for c in range(0x41, 0x530) if chr(c).isupper() and (c < 0x180 or c % 5 == 0)]
+    for capital in capitals:
+        texts = [f"{capital}{m} x{capital}{m}y" for m in marks]
+        for text, ids in zip(texts, words.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), ascii(text)
+    rng = random.Random(3)
+    letters = [*"ABCHJTWYhjtwyé .,"]
+    texts = ["".join(rng.choice(letters) + (rng.choice(marks) if rng.random() < 0.5 else "") for _ in range(rng.randint(1, 6))) for _ in range(100_000)]
+    for at in range(0, len(texts), 5_000):
+        for text, ids in zip(texts[at : at + 5_000], words.encode(texts[at : at + 5_000]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), ascii(text)
+
+
 def check(rows, ids):
     """rows: dicts; ids: by document."""
     for doc, own in ids.items():
