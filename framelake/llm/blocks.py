@@ -33,10 +33,11 @@ ANSWER = "part int, block long, answers binary"
 class Blocks:
     """The table of blocks: block, doc_id, text (binary)."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, work: Scratch, *, block_bytes: int = 8_000_000, keys_per_part: int = 4_000_000, max_buckets: int = 50_000, fan: int = 4_096):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, work: Scratch, *, block_bytes: int = 8_000_000, keys_per_part: int = 4_000_000, max_buckets: int = 50_000, fan: int = 4_096, measured: tuple[int, int] | None = None):
+        """measured: bytes and rows at most, where the caller knows them without a scan of docs."""
         self.spark, self.work, self.fan = docs.sparkSession, work, fan
         ship(self.spark)
-        total, n_rows = text_bytes(docs, text_col)
+        total, n_rows = measured or text_bytes(docs, text_col)
         self.n_blocks = max(1, math.ceil(total / block_bytes), math.ceil(n_rows / 100_000))
         #: ranges of keys, for at most one key in four bytes of text
         self.n_parts = max(64, math.ceil(total / 4 / keys_per_part))

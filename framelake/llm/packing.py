@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import LOWER, give_back, read, ship, single_threaded, utf8
 from framelake.llm.words import portions
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for the letters from U+0100 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -60,7 +60,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         #: names of special tokens, lower-cased; they hold no white space
         self.special = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.cache: dict[bytes, bytes] = {}
         self.max_cached = max_cached
 

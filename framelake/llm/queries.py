@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import ctw, decontaminate, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
+from framelake.llm import alignment, ctw, decontaminate, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 ORACLES = {
