@@ -18,8 +18,10 @@ long texts are cut like others and taken in portions; an empty table gives no ro
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.blocks import QUESTION, Blocks, Exchange, answer_table, answered, in_order, merge, question, read_questions
-from framelake.llm.common import Scratch, attach, materialize, read, ship, single_threaded, text_bytes
+from framelake.llm.common import Scratch, attach, materialize, read, ship, text_bytes
 from framelake.llm.packing import byte_letters
-from framelake.llm.words import distinct, mix
+from framelake.llm.words import distinct, mix, portions
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SPACE = "▁"
@@ -41,18 +43,19 @@ _loaded: dict[tuple, tuple] = {}
 
 
 def _first_tokenizer(path: str):
-    """(ids of each text, bytes of each id); special tokens' names are plain text."""
-    single_threaded()
-    from tokenizers import Tokenizer
+    """(ids of each text, bytes of each id) of a byte-level BPE file whose merges are in the order of their ids; special tokens' names are plain text."""
+    import public_tokenizers
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     byte = {letter: b for b, letter in byte_letters().items()}
-    size = [0] * (max(tokenizer.get_vocab().values()) + 1)
-    pieces = [b""] * len(size)
-    for token, i in tokenizer.get_vocab().items():
-        pieces[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], pieces
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for data, i in ranks.items():
+        pieces[i] = data
+    encode = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda texts: list(map(encode, texts)), pieces
 
 
 def _second_tokenizer(path: str):
@@ -87,34 +90,57 @@ def chunks(text: str) -> Iterator[list[str]]:
     yield _CUT.split(text[begin:])
 
 
+class _Index(dict):
+    """Numbers for chunks, in the order in which they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
+def _tokens(names: list[str], encode, pieces: list[bytes], prefix: str) -> tuple[list[list[int]], np.ndarray]:
+    """(ids of each chunk, whether their bytes are a space and the chunk)."""
+    ids, plain = [], []
+    for at in range(0, len(names), 10_000):
+        part = names[at : at + 10_000]
+        own = encode([prefix + c for c in part] if prefix else part)
+        if b"".join(map(pieces.__getitem__, chain.from_iterable(own))) == (" " + " ".join(part)).encode() and sum(map(len, own)):
+            plain += [True] * len(part)
+        else:
+            plain += [b"".join(map(pieces.__getitem__, x)) == b" " + c.encode() for x, c in zip(own, part, strict=True)]
+        ids += own
+    return ids, np.array(plain, bool)
+
+
+def _flat(ids: list[list[int]], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, how many each chunk has); chunks whose bytes differ have no tokens here, and their texts none at all."""
+    if not plain.all():
+        ids = [x if ok else [] for x, ok in zip(ids, plain.tolist(), strict=True)]
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+
 class Aligned:
     """The distinct chunks of a list of texts, tokenised and aligned, and each text's chunks."""
 
     def __init__(self, texts: list[bytes], first: str, second: str):
         ids_of_a, bytes_a, ids_of_b, bytes_b = tokenizers(first, second)
-        index: dict[str, int] = {}
+        index = _Index()
         own, self.first = [np.zeros(0, np.int32)], [0]
         for text in texts:
             n = 0
             for part in chunks(text.decode()) if text else ():
-                own.append(np.fromiter((index.setdefault(c, len(index)) for c in part), np.int32, len(part)))
+                own.append(np.array(list(map(index.__getitem__, part)), np.int32))
                 n += len(part)
             self.first.append(self.first[-1] + n)
         self.chunk, self.first, names = np.concatenate(own), np.array(self.first), list(index)
-        del index
-        a, b, plain_a, plain_b = [], [], [], []
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
-            a += ids_of_a([" " + c for c in part])
-            b += ids_of_b(part)
-            whole = [b" " + c.encode() for c in part]
-            plain_a += [b"".join(map(bytes_a.__getitem__, x)) == w for x, w in zip(a[at:], whole, strict=True)]
-            plain_b += [b"".join(map(bytes_b.__getitem__, x)) == w for x, w in zip(b[at:], whole, strict=True)]
-        plain = np.array(plain_a, bool) & np.array(plain_b, bool)
-        # chunks whose bytes differ have no tokens here, and their texts none at all
-        a, b = ([x if ok else [] for x, ok in zip(ids, plain.tolist(), strict=True)] for ids in (a, b))
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(names)) for x in (a, b))
-        self.a, self.b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, self.n_a), (b, self.n_b)))
+        del index, own
+        a, plain_a = _tokens(names, ids_of_a, bytes_a, " ")
+        b, plain_b = _tokens(names, ids_of_b, bytes_b, "")
+        plain = plain_a & plain_b
+        self.a, self.n_a = _flat(a, plain)
+        self.b, self.n_b = _flat(b, plain)
+        del a, b
         size_a, size_b = (np.fromiter(map(len, pieces), np.int64, len(pieces)) for pieces in (bytes_a, bytes_b))
         end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         cuts = end_a[np.isin(end_a, end_b, assume_unique=True)]
@@ -161,17 +187,27 @@ class Aligned:
         held = counts > 0
         return names[held], counts[held]
 
+    def asked(self) -> np.ndarray:
+        """The distinct pairs of the texts that have tokens."""
+        used = np.zeros(len(self.n_links), bool)
+        used[self.chunk[np.repeat(self.plain, np.diff(self.first))]] = True
+        return distinct(self.pairs[np.repeat(used, self.n_links)])
+
     def written(self) -> list[str | None]:
         """The groups of each text: `a1,a2|b1;a3|b2,b3`."""
-        parts: list[list] = [[[], []] for _ in range(int(self.n_groups.sum()))]
-        for side, ids, groups in ((0, self.a, self.group_a), (1, self.b, self.group_b)):
-            for g, i in zip(groups.tolist(), map(str, ids.tolist()), strict=True):
-                parts[g][side].append(i)
-        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in parts]
-        end = np.cumsum(self.n_groups).tolist()
-        strings = [";".join(groups[e - n : e]) for e, n in zip(end, self.n_groups.tolist(), strict=True)]
+        ids = np.concatenate([self.a, self.b])
+        place = np.concatenate([2 * self.group_a, 2 * self.group_b + 1])  # group and side
+        order = np.argsort(place, kind="stable")
+        ids, place = ids[order], place[order]
+        # what follows a token: a comma inside a side, a bar between sides, a semicolon between groups
+        sign = np.where(place[1:] == place[:-1], 0, np.where(place[1:] & 1, 1, 2))
+        top = int(ids.max(initial=0)) + 1
+        written = [f"{i}{c}" for c in ",|;" for i in range(top)]
+        tokens = list(map(written.__getitem__, (ids + top * np.append(sign, 2)[: len(ids)]).tolist()))
+        end = np.cumsum(self.n_a + self.n_b)
+        strings = ["".join(tokens[b:e]) for b, e in zip((end - self.n_a - self.n_b).tolist(), end.tolist(), strict=True)]
         first = self.first.tolist()
-        return [";".join([strings[c] for c in self.chunk[b:e].tolist()]) if ok else None for b, e, ok in zip(first[:-1], first[1:], self.plain.tolist(), strict=True)]
+        return ["".join(map(strings.__getitem__, self.chunk[b:e].tolist()))[:-1] if ok else None for b, e, ok in zip(first[:-1], first[1:], self.plain.tolist(), strict=True)]
 
 
 def _by_first(keys: np.ndarray, n_parts: int) -> np.ndarray:
@@ -200,12 +236,23 @@ def _pair_rows(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array((known >> np.uint64(32)).astype(np.int64)), "b": pa.array((known & np.uint64(0xFFFFFFFF)).astype(np.int64)), "documents": pa.array(total), "best": pa.array(best)})
 
 
+def _measured(names: list[str], aligned: Aligned, known: np.ndarray, values: np.ndarray, with_groups: bool) -> pa.Table:
+    """A row for each text; values: count and whether it is the best, of the known pairs."""
+    own = np.append(values, 0)[np.searchsorted(known, aligned.pairs)]
+    columns = [aligned.sums(x) for x in (aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links, aligned.by_chunk(own & 1), aligned.by_chunk(own >> 1))]
+    written = aligned.written()
+    digests = ["" if w is None else hashlib.sha256(w.encode()).hexdigest() for w in written]
+    out = {"digest": pa.array([n[:64] for n in names], pa.string()), "k": pa.array([int(n[65:]) for n in names], pa.int64())}
+    out |= {m: pa.array(c.astype(np.int64)) for m, c in zip(MEASURES, columns, strict=True)} | {"groups_sha256": pa.array(digests, pa.string())}
+    return pa.table(out | ({"groups": pa.array([w or "" for w in written], pa.large_string()).cast(pa.string())} if with_groups else {}))
+
+
 class Alignment:
     """Distinct texts in blocks, and the questions about their pairs."""
 
-    def __init__(self, docs: DataFrame, first: str, second: str, work: Scratch, id_col: str, text_col: str, **sizes):
+    def __init__(self, docs: DataFrame, first: str, second: str, work: Scratch, id_col: str, text_col: str, portion: int, **sizes):
         ship(docs.sparkSession)
-        self.first, self.second = first, second
+        self.first, self.second, self.portion = first, second, portion
         self.rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         held = self.rows.where("text != ''")
         texts = held.groupBy("text").agg(F.count("*").alias("k"))
@@ -215,48 +262,46 @@ class Alignment:
         self.fan = min(self.n_parts, self.blocks.fan)
 
     def exchange(self) -> Exchange:
-        first, second, fan = self.first, self.second, self.fan
+        first, second, portion, fan = self.first, self.second, self.portion, self.fan
 
         def ask(table):
             block, names, texts = in_order(table)
-            pairs, counts = Aligned(texts, first, second).counted(np.array([int(n[65:]) for n in names], np.int64))
-            return question(block, pairs, counts, fan, _by_first)
+            weights = np.array([int(n[65:]) for n in names], np.int64)
+            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *(Aligned(texts[b:e], first, second).counted(weights[b:e]) for b, e in portions(texts, portion))]
+            return question(block, *merge(*zip(*found, strict=True))[:2], fan, _by_first)
 
         return Exchange(self.blocks.run(ask, QUESTION), self.blocks, self.n_parts, np.int64, np.int64, _by_first)
 
 
-def pair_counts(docs: DataFrame, first: str, second: str, *, id_col="doc_id", text_col="text", **sizes) -> DataFrame:
+def pair_counts(docs: DataFrame, first: str, second: str, *, id_col="doc_id", text_col="text", portion: int = 16_000_000, **sizes) -> DataFrame:
     """(a, b, documents, best): how many documents hold each id pair linked, and whether that is the first id's highest."""
     with Scratch(docs.sparkSession, "alignment") as work:
-        alignment = Alignment(docs, first, second, work, id_col, text_col, **sizes)
+        alignment = Alignment(docs, first, second, work, id_col, text_col, portion, **sizes)
         return materialize(alignment.exchange().run(_pair_rows, "a long, b long, documents long, best boolean"), "alignment-pairs")
 
 
-def align(docs: DataFrame, first: str, second: str, *, id_col="doc_id", text_col="text", with_groups: bool = False, **sizes) -> DataFrame:
+def align(docs: DataFrame, first: str, second: str, *, id_col="doc_id", text_col="text", with_groups: bool = False, portion: int = 16_000_000, **sizes) -> DataFrame:
     """A row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups.
 
-    first, second: paths of a byte-level BPE file and of a sentencepiece model that each executor has. sizes: of Blocks.
+    first, second: paths of a byte-level BPE file and of a sentencepiece model that each executor has. portion: bytes of texts that
+    are aligned at once; sizes: of Blocks.
     """
     with Scratch(docs.sparkSession, "alignment") as work:
-        alignment = Alignment(docs, first, second, work, id_col, text_col, **sizes)
+        alignment = Alignment(docs, first, second, work, id_col, text_col, portion, **sizes)
         exchange, fan = alignment.exchange(), alignment.fan
         found = work.keep(exchange.back(exchange.run(_answers)), "counts")
 
         def measure(table, answers):
             _, names, texts = in_order(table)
-            aligned = Aligned(texts, first, second)
-            pairs, place = np.unique(aligned.pairs, return_inverse=True)
-            # pairs that only unequal chunks' texts hold were not asked about
-            known, _ = aligned.counted(np.ones(len(names), np.int64))
-            values = np.zeros(len(pairs), np.int64)
-            values[np.searchsorted(pairs, known)] = answered(known, dict(zip(answers["part"].to_pylist(), answers["answers"].to_pylist(), strict=True)), fan, np.int64, _by_first)
-            own = values[place]
-            columns = [aligned.sums(x) for x in (aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links, aligned.by_chunk(own & 1), aligned.by_chunk(own >> 1))]
-            written = aligned.written()
-            digests = ["" if w is None else hashlib.sha256(w.encode()).hexdigest() for w in written]
-            out = {"digest": pa.array([n[:64] for n in names], pa.string()), "k": pa.array([int(n[65:]) for n in names], pa.int64())}
-            out |= {m: pa.array(c.astype(np.int64)) for m, c in zip(MEASURES, columns, strict=True)} | {"groups_sha256": pa.array(digests, pa.string())}
-            return pa.table(out | ({"groups": pa.array([w or "" for w in written], pa.large_string()).cast(pa.string())} if with_groups else {}))
+            cuts = list(portions(texts, portion))
+            asked = [Aligned(texts[b:e], first, second).asked() for b, e in cuts] if len(cuts) > 1 else []
+            parts = []
+            for b, e in cuts:
+                aligned = Aligned(texts[b:e], first, second)
+                known = distinct(np.concatenate(asked)) if asked else aligned.asked()
+                values = answered(known, dict(zip(answers["part"].to_pylist(), answers["answers"].to_pylist(), strict=True)), fan, np.int64, _by_first)
+                parts.append(_measured(names[b:e], aligned, known, values, with_groups))
+            return pa.concat_tables(parts) if parts else _measured([], Aligned([], first, second), np.zeros(0, np.uint64), np.zeros(0, np.int64), with_groups)
 
         schema = f"digest string, k long, {', '.join(f'{m} long' for m in MEASURES)}, groups_sha256 string" + ", groups string" * with_groups
         measures = work.keep(alignment.blocks.run(measure, schema, found), "measures")

@@ -72,7 +72,7 @@ def random_texts(n, seed=5):
     return ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", "\t", "", " "]) for _ in range(rng.randint(1, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 2_000, "fan": 3, "max_buckets": 2, "keys_per_part": 50}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 2_000, "fan": 3, "max_buckets": 2, "keys_per_part": 50, "portion": 700}])
 def test_against_brute_force(spark, plain, options):
     """Also with pairs counted in two hops; copies, nulls, ties, repeated rows and clashing columns."""
     texts = TEXTS + random_texts(120)
@@ -111,5 +111,14 @@ def test_a_long_text_is_cut_in_portions(spark, plain):
     assert (found[1].n_a, found[1].n_b) == (len(a), len(b)) and found[2].n_a == 2
 
 
+def test_every_token_of_the_first_vocabulary(plain):
+    """Its merges, taken by rank, find each token that the plain tokenizer finds."""
+    tokens = sorted(Tokenizer.from_file(A).get_vocab())
+    texts = [t.replace("Ġ", " ").replace("Ċ", "\n") for t in tokens]
+    aligned = Aligned([t.encode() for t in texts], A, B)
+    for text, n in zip(texts, aligned.sums(aligned.n_a).tolist(), strict=True):
+        assert n == len(plain(text)[0]), ascii(text)
+
+
 def test_empty_table(spark):
     assert align(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
