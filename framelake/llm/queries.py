@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
-from framelake.llm import alignment, ctw, decontaminate, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, url_filters, warc
+from framelake.llm import alignment, ctw, decontaminate, jaccard_join, lexical_search, line_dedup, packing, pii, quality, substring_dedup, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
     "op11_alignment": alignment.op11_alignment,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
