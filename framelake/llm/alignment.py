@@ -37,6 +37,7 @@ MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SPACE = "▁"
 #: Cuts are between these: signs and letters of ASCII, letters of Latin with marks.
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+_ENDS = {c for c in map(chr, range(0x250)) if re.fullmatch("[!-~À-ɏ]", c)}
 _PORTION = 500_000  # characters of a text that are cut at once
 
 _loaded: dict[tuple, tuple] = {}
@@ -91,33 +92,45 @@ def chunks(text: str) -> Iterator[list[str]]:
 
 
 class _Index(dict):
-    """Numbers for chunks, in the order in which they come."""
+    """Numbers for chunks in the order in which they come."""
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
         return n
 
 
-def _tokens(names: list[str], encode, pieces: list[bytes], prefix: str) -> tuple[list[list[int]], np.ndarray]:
-    """(ids of each chunk, whether their bytes are a space and the chunk)."""
-    ids, plain = [], []
-    for at in range(0, len(names), 10_000):
-        part = names[at : at + 10_000]
-        own = encode([prefix + c for c in part] if prefix else part)
-        if b"".join(map(pieces.__getitem__, chain.from_iterable(own))) == (" " + " ".join(part)).encode() and sum(map(len, own)):
-            plain += [True] * len(part)
+def _cuts(names) -> np.ndarray:
+    """Whether a cut may be at both ends of each."""
+    return np.array([c != "" and c[0] in _ENDS and c[-1] in _ENDS for c in names], bool)
+
+
+def _tokens(names: list[str], n_joined: int, encode, pieces: list[bytes], sizes: np.ndarray, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all chunks, how many each has, whether its bytes are a space and the chunk). The first n_joined chunks may stand beside each other."""
+    ids, counts, plain = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for at in (*range(0, n_joined, 4_096), *range(n_joined, len(names), 4_096)):
+        part = names[at : min(at + 4_096, n_joined if at < n_joined else len(names))]
+        strings = [" ".join(part[i : i + 32]) for i in range(0, len(part), 32)] if at < n_joined else part
+        whole = "".join(f" {s}" for s in strings).encode()
+        found = list(chain.from_iterable(encode([prefix + s for s in strings] if prefix else strings)))
+        own, end = np.array(found, np.int64), np.cumsum([len(c.encode()) + 1 for c in part])
+        token_end = np.cumsum(sizes[own])
+        last = np.searchsorted(token_end, end)
+        if b"".join(map(pieces.__getitem__, found)) == whole and (token_end[last] == end).all():
+            n, good = np.diff(last + 1, prepend=0), np.ones(len(part), bool)
         else:
-            plain += [b"".join(map(pieces.__getitem__, x)) == b" " + c.encode() for x, c in zip(own, part, strict=True)]
-        ids += own
-    return ids, np.array(plain, bool)
+            each = encode([prefix + c for c in part] if prefix else part)
+            good = np.array([b"".join(map(pieces.__getitem__, x)) == b" " + c.encode() for x, c in zip(each, part, strict=True)], bool)
+            # chunks whose bytes differ have no tokens here, and their texts none at all
+            each = [x if ok else [] for x, ok in zip(each, good.tolist(), strict=True)]
+            own, n = np.array(list(chain.from_iterable(each)), np.int64), np.array(list(map(len, each)), np.int64)
+        ids.append(own)
+        counts.append(n)
+        plain.append(good)
+    return np.concatenate(ids), np.concatenate(counts), np.concatenate(plain)
 
 
-def _flat(ids: list[list[int]], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, how many each chunk has); chunks whose bytes differ have no tokens here, and their texts none at all."""
-    if not plain.all():
-        ids = [x if ok else [] for x, ok in zip(ids, plain.tolist(), strict=True)]
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+def _without(ids: np.ndarray, n: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (ids, n) if plain.all() else (ids[np.repeat(plain, n)], np.where(plain, n, 0))
 
 
 class Aligned:
@@ -125,29 +138,24 @@ class Aligned:
 
     def __init__(self, texts: list[bytes], first: str, second: str):
         ids_of_a, bytes_a, ids_of_b, bytes_b = tokenizers(first, second)
-        index = _Index()
-        own, self.first = [np.zeros(0, np.int32)], [0]
-        for text in texts:
-            n = 0
-            for part in chunks(text.decode()) if text else ():
-                own.append(np.array(list(map(index.__getitem__, part)), np.int32))
-                n += len(part)
-            self.first.append(self.first[-1] + n)
-        self.chunk, self.first, names = np.concatenate(own), np.array(self.first), list(index)
-        del index, own
-        a, plain_a = _tokens(names, ids_of_a, bytes_a, " ")
-        b, plain_b = _tokens(names, ids_of_b, bytes_b, "")
-        plain = plain_a & plain_b
-        self.a, self.n_a = _flat(a, plain)
-        self.b, self.n_b = _flat(b, plain)
-        del a, b
+        names = self._index(texts)
         size_a, size_b = (np.fromiter(map(len, pieces), np.int64, len(pieces)) for pieces in (bytes_a, bytes_b))
+        a, n_a, plain_a = _tokens(names, self.n_joined, ids_of_a, bytes_a, size_a, " ")
+        b, n_b, plain_b = _tokens(names, self.n_joined, ids_of_b, bytes_b, size_b, "")
+        plain = plain_a & plain_b
+        self.a, self.n_a = _without(a, n_a, plain)
+        self.b, self.n_b = _without(b, n_b, plain)
         end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
-        cuts = end_a[np.isin(end_a, end_b, assume_unique=True)]
-        self.group_a, self.group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        # for each byte: whether tokens end there, and how many have before it
+        total = int(end_a[-1]) if len(end_a) else 0
+        is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        is_a[end_a], is_b[end_b] = True, True
+        cuts = is_a & is_b
+        groups, ends_b = np.cumsum(cuts), np.cumsum(is_b)
+        self.group_a, self.group_b = groups[end_a - 1], groups[end_b - 1]
         owner_a = np.repeat(np.arange(len(names)), self.n_a)
-        self.n_groups = np.bincount(owner_a[np.isin(end_a, cuts, assume_unique=True)], minlength=len(names)).astype(np.int64)
-        low, high = np.searchsorted(end_b, end_a - size_a[self.a], side="right"), np.searchsorted(end_b, end_a) + 1
+        self.n_groups = np.bincount(owner_a[cuts[end_a]], minlength=len(names)).astype(np.int64)
+        low, high = ends_b[end_a - size_a[self.a]], ends_b[end_a - 1] + 1
         per_token = high - low
         linked = np.repeat(np.arange(len(self.a)), per_token)
         to = np.arange(len(linked)) - np.repeat(np.cumsum(per_token) - per_token, per_token) + np.repeat(low, per_token)
@@ -156,6 +164,28 @@ class Aligned:
         self.plain = np.logical_and.reduceat(np.append(plain, True)[np.append(self.chunk, len(names))], self.first[:-1]) if texts else np.zeros(0, bool)
         self.plain &= np.diff(self.first) > 0
 
+    def _index(self, texts: list[bytes]) -> list[str]:
+        """Numbers all chunks of the texts: those that may stand beside others first."""
+        index, own = _Index(), []
+        for text in texts:  # at every space, as if all were cuts
+            own.append(np.array(list(map(index.__getitem__, text.decode().split(" "))), np.int32) if text else np.zeros(0, np.int32))
+        cut = _cuts(index)
+        for i, found in enumerate(own):
+            if not cut[found].all():
+                parts = [np.array(list(map(index.__getitem__, part)), np.int32) for part in chunks(texts[i].decode())]
+                own[i] = np.concatenate(parts)
+        self.first = np.concatenate([[0], np.cumsum(list(map(len, own)), dtype=np.int64)]) if own else np.zeros(1, np.int64)
+        used = np.zeros(len(index), bool)
+        chunk = np.concatenate([np.zeros(0, np.int32), *own])
+        used[chunk] = True
+        cut = _cuts(index)
+        order = np.concatenate([np.flatnonzero(used & cut), np.flatnonzero(used & ~cut)])
+        self.n_joined, place = int((used & cut).sum()), np.zeros(len(index), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.chunk = place[chunk]
+        names = list(index)
+        return [names[i] for i in order.tolist()]
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each text the sum of its chunks' values; nothing where bytes differ."""
         total = np.concatenate([[0], np.cumsum(values[self.chunk])])
@@ -177,7 +207,7 @@ class Aligned:
         while at < len(weights):
             end = max(at + 1, int(np.searchsorted(links, links[at] + 1_000_000)) - 1)
             own = [i for i in range(at, min(end, len(weights))) if self.plain[i]]
-            used = [np.unique(self.chunk[self.first[i] : self.first[i + 1]]) for i in own]
+            used = [distinct(self.chunk[self.first[i] : self.first[i + 1]]) for i in own]
             text, used = np.repeat(own, [len(u) for u in used]), np.concatenate([np.zeros(0, np.int32), *used])
             n = self.n_links[used]
             link = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[used], n)
@@ -195,10 +225,12 @@ class Aligned:
 
     def written(self) -> list[str | None]:
         """The groups of each text: `a1,a2|b1;a3|b2,b3`."""
-        ids = np.concatenate([self.a, self.b])
-        place = np.concatenate([2 * self.group_a, 2 * self.group_b + 1])  # group and side
-        order = np.argsort(place, kind="stable")
-        ids, place = ids[order], place[order]
+        # a token stands behind those of its side before it, and of the other side those of earlier groups, or of its own if they are first
+        per_a, per_b = (np.bincount(g, minlength=int(self.n_groups.sum())) for g in (self.group_a, self.group_b))
+        at_a = np.arange(len(self.a)) + (np.cumsum(per_b) - per_b)[self.group_a]
+        at_b = np.arange(len(self.b)) + np.cumsum(per_a)[self.group_b]
+        ids, place = np.empty(len(at_a) + len(at_b), np.int64), np.empty(len(at_a) + len(at_b), np.int64)
+        ids[at_a], ids[at_b], place[at_a], place[at_b] = self.a, self.b, 2 * self.group_a, 2 * self.group_b + 1
         # what follows a token: a comma inside a side, a bar between sides, a semicolon between groups
         sign = np.where(place[1:] == place[:-1], 0, np.where(place[1:] & 1, 1, 2))
         top = int(ids.max(initial=0)) + 1
