@@ -3,8 +3,8 @@
 Maps (offset, gain, mask) are dimension tables by pixel; Spark broadcasts them where their size allows and joins by
 shuffle where it doesn't. All values are non-negative integers; wraps at 16 bits are explicit.
 
-What looks back and ahead in time goes through each task's pixels in the order of time, all pixels of a moment at once in numpy, and keeps
-four values a pixel: no series is ever in one row or in memory.
+What looks back and ahead in time goes through each task's values in the order of time, many series at once in numpy, and keeps
+four values a series: no series is ever in one row or in memory.
 """
 
 from __future__ import annotations
@@ -30,17 +30,17 @@ class Scrub:
         self.waiting = np.zeros((2, n), np.int64)
         self.times = np.zeros((2, n), np.int64)
 
-    def grow(self, places: np.ndarray, n: int) -> None:
-        """Moves the series to their places among n."""
-        for name in ("seen", "outputs", "waiting", "times"):
-            old = getattr(self, name)
-            new = np.zeros((*old.shape[:-1], n), np.int64)
-            new[..., places] = old
-            setattr(self, name, new)
-
-    def add(self, at: np.ndarray, time: int, values: np.ndarray, gains: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of these series finish a value, its times, the results)."""
-        seen = self.seen[at]
+    def grow(self, n: int) -> None:
+        """Makes room for n series; what is there stays. By half as much again at least, so that growing costs no more than the series do."""
+        if n > len(self.seen):
+            more = max(n, len(self.seen) * 3 // 2) - len(self.seen)
+            for name in ("seen", "outputs", "waiting", "times"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros((*old.shape[:-1], more), np.int64)], axis=-1))
+
+    def add(self, at: np.ndarray, time: np.ndarray | int, values: np.ndarray, gains: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next value of the series at these places, one each. (Which of them finish a value, its times, the results.)"""
+        seen, time = self.seen[at], np.broadcast_to(time, at.shape)
         done = seen >= 4
         own, after = at[done], values[done]
         (before2, before1), (now, following) = self.outputs[:, own], self.waiting[:, own]
@@ -55,11 +55,81 @@ class Scrub:
             some = seen == k
             store[k % 2, at[some]] = values[some]
             if k > 1:
-                self.times[k % 2, at[some]] = time
-        self.waiting[1, own], self.times[1, own] = after, time
+                self.times[k % 2, at[some]] = time[some]
+        self.waiting[1, own], self.times[1, own] = after, time[done]
         self.seen[at] = seen + 1
         return done, times, out
 
+    def add_one(self, at: int, times: list[int], values: list[int], gains: list[int] | None) -> list[tuple[int, int, int]]:
+        """The next values of one series. (Place of the value that finishes one, its time, the result.)"""
+        seen, found = int(self.seen[at]), []
+        (before2, before1), (now, following), (t0, t1) = (x[:, at].tolist() for x in (self.outputs, self.waiting, self.times))
+        for i, (time, after) in enumerate(zip(times, values, strict=True)):
+            if seen < 4:
+                if seen < 2:
+                    before2, before1 = (after, before1) if seen == 0 else (before2, after)
+                else:
+                    (now, t0), (following, t1) = ((after, time), (following, t1)) if seen == 2 else ((now, t0), (after, time))
+                seen += 1
+                continue
+            mean = (before2 + before1 + following + after) >> 2
+            out = mean if now > 2 * mean else now
+            if gains is not None:
+                out = (out * gains[i] >> 16) & 65535
+            found.append((i, t0, out))
+            before2, before1, now, t0, following, t1 = before1, out, following, t1, after, time
+            seen += 1
+        self.seen[at] = seen
+        self.outputs[:, at], self.waiting[:, at], self.times[:, at] = (before2, before1), (now, following), (t0, t1)
+        return found
+
+
+class _Series(dict):
+    """Slots for the names of series, in the order in which they come."""
+
+    def __missing__(self, name: int) -> int:
+        self[name] = slot = len(self)
+        return slot
+
+
+class SeriesScrub:
+    """The recursive scrub of series that have times of their own: takes rows in the order of time, many moments at once."""
+
+    def __init__(self, vectorised: int = 16):
+        self.slots, self.state, self.vectorised = _Series(), Scrub(0), vectorised
+
+    def add(self, names: np.ndarray, times: np.ndarray, values: np.ndarray, gains: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that finish a value of their series, its times, the results).
+
+        Rows are sorted by series, so that a batch advances each as often as it occurs: first the first rows of all, then the second ones, and so on. Where
+        few series are left, they go on one by one.
+        """
+        order = np.argsort(names, kind="stable")
+        ordered = names[order]
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+        count = np.diff(np.append(begin, len(ordered)))
+        slot = np.fromiter(map(self.slots.__getitem__, ordered[begin].tolist()), np.int64, len(begin))
+        self.state.grow(len(self.slots))
+        longest = np.argsort(-count, kind="stable")  # series with the most rows first
+        begin, count, slot = begin[longest], count[longest], slot[longest]
+        rows, found_times, results, turn = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while (left := int(np.searchsorted(-count, -turn))) >= self.vectorised:  # series with more rows than turns so far
+            row = order[begin[:left] + turn]
+            done, at, out = self.state.add(slot[:left], times[row], values[row], None if gains is None else gains[row])
+            rows.append(row[done])
+            found_times.append(at)
+            results.append(out)
+            turn += 1
+        for k in range(left):
+            row = order[begin[k] + turn : begin[k] + count[k]]
+            found = self.state.add_one(int(slot[k]), times[row].tolist(), values[row].tolist(), None if gains is None else gains[row].tolist())
+            if found:
+                i, at, out = map(np.array, zip(*found, strict=True))
+                rows.append(row[i])
+                found_times.append(at)
+                results.append(out)
+        return np.concatenate(rows), np.concatenate(found_times), np.concatenate(results)
+
 
 def moments(batches, *names: str):
     """Arrow batches in the order of some columns, cut where any of these changes; a moment may come in several pieces."""
@@ -124,18 +194,12 @@ def scrub_temporal(frames: DataFrame, *, partition: Sequence[str] = PIXEL, order
     width = len(partition)
 
     def run(batches):
-        names, state = np.zeros(0, np.int64), Scrub(0)
-        for part in moments(batches, "t"):
-            own = part.column("name").to_numpy()
-            if not len(names) or not np.array_equal(own, names):
-                known = np.union1d(names, own)
-                if len(known) > len(names):
-                    state.grow(np.searchsorted(known, names), len(known))
-                    names = known
-            done, times, out = state.add(np.searchsorted(names, own), part.column("t")[0].as_py(), part.column("v").to_numpy(), part.column("g").to_numpy() if gain else None)
+        state = SeriesScrub()
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(c).to_numpy()
+            done, times, out = state.add(column("name"), column("t"), column("v"), column("g") if gain else None)
             if len(out):
-                kept = pa.array(done)
-                yield pa.RecordBatch.from_arrays([pa.array(times), *(part.column(4 + k).filter(kept) for k in range(width)), pa.array(out.astype(np.int32))], ["t", *(f"p{k}" for k in range(width)), "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(times), *(batch.column(4 + k).take(pa.array(done)) for k in range(width)), pa.array(out.astype(np.int32))], ["t", *(f"p{k}" for k in range(width)), "v"])
 
     schema = ", ".join(["t long", *(f"p{k} {kinds[c].simpleString()}" for k, c in enumerate(partition)), "v int"])
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -155,10 +219,63 @@ def coadd(frames: DataFrame, *, on: Sequence[str] = PIXEL, value: str = "v") ->
     return frames.groupBy(*on).agg(F.sum(F.col(value).cast("long")).alias(value))
 
 
+class TileSum:
+    """The sum over frames of 2x2 bins of a tile, from its scrubbed pixels: a frame adds to a bin if all four pixels of the bin are finished in it.
+
+    A pixel's value is finished two of its moments later, so the pixels of a bin may finish at different moments. Only frames in which a bin has all four
+    pixels can add to it, and of these only the last two can still wait: before them each pixel has two later values.
+    """
+
+    def __init__(self, tile: int):
+        self.tile, n = tile, (tile // 2) ** 2
+        self.total, self.frames = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.time, self.sum, self.count = (np.full((2, n), k, np.int64) for k in (-1, 0, 0))
+
+    def bins(self, at: np.ndarray) -> np.ndarray:
+        return at // self.tile // 2 * (self.tile // 2) + at % self.tile // 2
+
+    def wait(self, at: np.ndarray, time: int) -> None:
+        """The pixels that a frame has."""
+        whole = np.flatnonzero(np.bincount(self.bins(at), minlength=len(self.total)) == 4)
+        self.time[0, whole], self.sum[0, whole], self.count[0, whole] = self.time[1, whole], self.sum[1, whole], self.count[1, whole]
+        self.time[1, whole], self.sum[1, whole], self.count[1, whole] = time, 0, 0
+
+    def add(self, at: np.ndarray, times: np.ndarray, values: np.ndarray) -> None:
+        """Finished values of pixels, one each."""
+        own = self.bins(at)
+        for k in (0, 1):
+            same = self.time[k, own] == times
+            np.add.at(self.sum[k], own[same], values[same])
+            np.add.at(self.count[k], own[same], 1)
+            full = np.flatnonzero(self.count[k] == 4)
+            self.total[full] += self.sum[k, full]
+            self.frames[full] += 1
+            self.time[k, full], self.count[k, full] = -1, 0
+
+    def rows(self, ty: int, tx: int) -> pa.RecordBatch:
+        held, half = np.flatnonzero(self.frames), self.tile // 2
+        columns = (held // half + ty * half, held % half + tx * half)
+        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(self.total[held])], ["y", "x", "v"])
+
+
+def prepared(grid: dict[str, np.ndarray]) -> np.ndarray:
+    """A frame's values within a tile, offset-corrected and with bad pixels replaced, from the values and maps of the tile and a rim of one pixel; -1: none."""
+    there = (grid["v"] >= 0) & (grid["off"] >= 0)
+    v = np.where(there, (grid["v"] - grid["off"]) % 65536, -1)
+    good = there & (grid["bad"] == 0)
+    value, total, n = np.where(good, v, 0), np.zeros_like(v), np.zeros_like(v)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dy or dx:
+                total += np.roll(value, (dy, dx), (0, 1))
+                n += np.roll(good, (dy, dx), (0, 1))
+    return np.where(there & (grid["bad"] == 1), total // np.maximum(n, 1), v)[1:-1, 1:-1]
+
+
 def _calibrated(tile: int, first_prepared: int):
     def run(batches):
-        """Rows by tile and time, each tile with a rim of one pixel. Yields the finished pixels inside the tiles."""
-        here, state, held = None, None, []
+        """Rows by tile and time, each tile with a rim of one pixel. Yields the sums of the tiles' bins."""
+        here, state, sums, held = None, None, None, []
 
         def finish():
             """The moment whose pieces have come."""
@@ -169,58 +286,53 @@ def _calibrated(tile: int, first_prepared: int):
             grid = {c: np.full((tile + 2, tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
             for c, g in grid.items():
                 g[at] = column(c)
-            v, time = grid["v"], here[2]
-            if time >= first_prepared:
-                there = (v >= 0) & (grid["off"] >= 0)
-                v = np.where(there, (v - grid["off"]) % 65536, -1)
-                good = there & (grid["bad"] == 0)
-                value, total, n = np.where(good, v, 0), np.zeros_like(v), np.zeros_like(v)
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        if dy or dx:
-                            total += np.roll(value, (dy, dx), (0, 1))
-                            n += np.roll(good, (dy, dx), (0, 1))
-                v = np.where(there & (grid["bad"] == 1), total // np.maximum(n, 1), v)
-            v, gain = v[1:-1, 1:-1].ravel(), grid["gain"][1:-1, 1:-1].ravel()
+            v = (prepared(grid) if here[2] >= first_prepared else grid["v"][1:-1, 1:-1]).ravel()
+            gain = grid["gain"][1:-1, 1:-1].ravel()
             at = np.flatnonzero((v >= 0) & (gain >= 0))
-            done, times, out = state.add(at, time, v[at], gain[at])
-            at = at[done]
-            columns = (times, at // tile + y0 + 1, at % tile + x0 + 1, out)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.int32()) for k, c in enumerate(columns)], ["t", "y", "x", "v"])
+            done, times, out = state.add(at, here[2], v[at], gain[at])
+            sums.add(at[done], times, out)
+            sums.wait(at, here[2])
 
         for part in moments(batches, "ty", "tx", "t"):
             place = tuple(part.column(c)[0].as_py() for c in ("ty", "tx", "t"))
             if place != here and held:
-                yield finish()
+                finish()
                 held = []
             if here is None or place[:2] != here[:2]:
-                state = Scrub(tile * tile)
+                if here is not None:
+                    yield sums.rows(*here[:2])
+                state, sums = Scrub(tile * tile), TileSum(tile)
             here = place
             held.append(part)
         if held:
-            yield finish()
+            finish()
+            yield sums.rows(*here[:2])
 
     return run
 
 
+def with_rim(rows: DataFrame, tile: int) -> DataFrame:
+    """rows with the tile (ty, tx) that each pixel (y, x) lies in, and again for each other tile whose rim of one pixel it lies in."""
+    near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int"))
+    return rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+
+
 def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", first_prepared: int = 4, tile: int = 64) -> DataFrame:
     """Offset, bad pixels, recursive scrub with gain, 2x2 bins and co-addition. Frames before `first_prepared` come prepared.
 
     Pixels are dealt once to tiles with a rim of one pixel, for the neighbours of bad pixels, and a tile goes through time in numpy with five
-    moments in memory. `tile` is even, so that bins lie within tiles.
+    moments in memory. `tile` is even, so that bins lie within tiles and are summed there: nothing else is shuffled. A bin that lacks a pixel
+    in a frame has no part of that frame, as in coadd(bin_spatial(...)).
     """
+    if tile % 2:
+        raise ValueError(f"tile is {tile}; bins of 2x2 pixels need an even one")
     ship(frames.sparkSession)
     y, x = on
     at = [F.col(f"`{y}`").cast("int").alias("y"), F.col(f"`{x}`").cast("int").alias("x")]
     maps = gains.select(*at, F.col("gain").cast("long").alias("gain")).join(offsets.select(*at, F.col("off").cast("long").alias("off")), ["y", "x"], "full").join(mask.select(*at, F.col("bad").cast("long").alias("bad")), ["y", "x"], "full")
     rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).join(maps, ["y", "x"]).na.fill(-1, ["gain", "off", "bad"])
-    near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int"))
-    cut = rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
-    finished = cut.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "t").mapInArrow(_calibrated(tile, first_prepared), "t long, y int, x int, v int")
-    # the sum over time and the sum over bins are one sum; a bin is complete if it has its 4 pixels in each frame
-    binned = finished.groupBy(F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x"), "t").agg(F.sum(F.col("v").cast("long")).alias("v"), F.count("*").alias("n"))
-    sums = binned.groupBy("y", "x").agg(F.sum("v").alias("v"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return sums.where("least = 4 and most = 4").select(F.col("y").alias(y), F.col("x").alias(x), F.col("v").alias(value))
+    sums = with_rim(rows, tile).repartition("ty", "tx").sortWithinPartitions("ty", "tx", "t").mapInArrow(_calibrated(tile, first_prepared), "y int, x int, v long")
+    return sums.select(F.col("y").alias(y), F.col("x").alias(x), F.col("v").alias(value))
 
 
 def frame_roles(frames: DataFrame, *, frame: str = "frame_id") -> DataFrame:

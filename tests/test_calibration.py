@@ -1,5 +1,7 @@
 """Hand cases and invariants of the calibration operators."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,87 @@ def test_roles_means_and_stretch(spark):
     assert calib.channel_mean(spark.createDataFrame([(0, 0, 0, 1), (0, 0, 0, 2)], "frame_id int, y int, x int, v int")).first().v == 1
     v = spark.createDataFrame([(10,), (4294967295,), (0,)], "v long")
     assert [r.v for r in calib.sqrt_stretch(v, brightness=2).collect()] == [6, 65535, 0]
+
+
+def scrub_loop(rows, gains):
+    """rows: (name, t, v) to (name, t, result): one series after the other."""
+    out = []
+    for name in {r[0] for r in rows}:
+        series = sorted((t, v) for n, t, v in rows if n == name)
+        values = [v for _, v in series]
+        for i in range(2, len(series) - 2):
+            mean = sum(values[i + k] for k in (-2, -1, 1, 2)) // 4
+            v = mean if values[i] > 2 * mean else values[i]
+            values[i] = v if gains is None else v * gains[name] >> 16 & 65535
+            out.append((name, series[i][0], values[i]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n_series,per_series,times,gain", [(200, 6, 5_000, True), (3, 400, 400, True), (40, 30, 60, False), (1, 4, 9, True), (500, 3, 10_000, False)])
+def test_series_with_times_of_their_own(spark, n_series, per_series, times, gain):
+    """Sparse ones, dense ones, too short ones, and one far longer than the others, equal to a loop."""
+    rng = np.random.default_rng(n_series)
+    rows = [(s, int(t), int(rng.integers(0, 4000) if rng.random() < 0.8 else 65535)) for s in range(n_series) for t in rng.choice(times, min(times, per_series * (20 if s == 7 else 1)), replace=False)]
+    gains = {s: int(rng.integers(30000, 65535)) for s in range(n_series)}
+    df = spark.createDataFrame([(n, t, v, gains[n]) for n, t, v in rows], "name int, t long, v int, gain int").repartition(3)
+    found = calib.scrub_temporal(df, partition=["name"], order="t", mode="recursive", gain="gain" if gain else None)
+    assert sorted((r.name, r.t, r.v) for r in found.collect()) == scrub_loop(rows, gains if gain else None)
+
+
+@pytest.mark.parametrize("vectorised", [1, 3, 10_000])
+def test_batches_of_any_cut_give_the_same(vectorised):
+    """Rows of many moments in one batch or in many; series one by one or together."""
+    rng = np.random.default_rng(vectorised)
+    rows = sorted((int(t), s, int(rng.integers(0, 5000))) for s in range(30) for t in rng.choice(300, rng.integers(1, 60), replace=False))
+    t, name, v = (np.array(x) for x in zip(*rows, strict=True))
+    scrub, found = calib.SeriesScrub(vectorised), []
+    cuts = np.unique(np.concatenate([[0, len(rows)], rng.integers(0, len(rows), 12)]))
+    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+        done, times, out = scrub.add(name[b:e], t[b:e], v[b:e], None)
+        found += zip(name[b:e][done].tolist(), times.tolist(), out.tolist(), strict=True)
+    assert sorted(found) == scrub_loop([(n, t, v) for t, n, v in rows], None)
+
+
+def test_sparse_series_take_time_in_proportion():
+    """10,000 and 40,000 series with six values each at times of their own: what is done for a row does not grow with the series."""
+
+    def seconds(n):
+        rng = np.random.default_rng(1)
+        t = rng.permutation(6 * n)
+        name, v = np.repeat(np.arange(n), 6)[np.argsort(t)], rng.integers(0, 4000, 6 * n)
+        scrub, began = calib.SeriesScrub(), time.process_time()
+        n_out = sum(len(scrub.add(name[b : b + 10_000], np.arange(b, min(b + 10_000, 6 * n)), v[b : b + 10_000], None)[0]) for b in range(0, 6 * n, 10_000))
+        assert n_out == 2 * n
+        return time.process_time() - began
+
+    seconds(2_000)
+    few = min(seconds(10_000) for _ in range(3))
+    assert min(seconds(40_000) for _ in range(3)) < 4 * 2 * few + 0.05
+
+
+@pytest.mark.parametrize("tile", [2, 4, 64])
+def test_missing_pixels(spark, scene, tile):
+    """Batch equals composition where frames lack pixels, bins, or all but a few; a bin has no part of frames that lack one of its pixels."""
+    stack, off, gain, bad = scene
+    rng = np.random.default_rng(tile)
+    stack = np.concatenate([stack, stack[::-1], stack])
+    held = rng.random(stack.shape) > 0.1
+    held[3, :2, :4] = held[5:9, 4, 5] = held[11:, 2, 2] = False
+    held[14] = rng.random(stack[14].shape) < 0.1
+    rows = [(t, y, x, int(stack[t, y, x])) for t, y, x in zip(*(i.tolist() for i in np.nonzero(held)), strict=True)]
+    frames = spark.createDataFrame(rows, "frame_id int, y int, x int, v int")
+    m = map_table(spark, off=off, gain=gain, bad=bad)
+    ready = calib.replace_masked(calib.offset_correct(frames, m), m).where("frame_id >= 4").unionByName(frames.where("frame_id < 4"))
+    scrubbed = calib.scrub_temporal(ready.join(m.select("y", "x", "gain"), ["y", "x"]), mode="recursive", gain="gain")
+    want = {(r.y, r.x): r.v for r in calib.coadd(calib.bin_spatial(scrubbed)).collect()}
+    found = {(r.y, r.x): r.v for r in calib.calibrate(frames, m, m, m, tile=tile).collect()}
+    assert found == want and len(want) > 10
+
+
+def test_calibration_shuffles_pixels_once(spark, scene):
+    stack, off, gain, bad = scene
+    m = map_table(spark, off=off, gain=gain, bad=bad)
+    plan = calib.calibrate(frame_table(spark, stack), *(m.hint("broadcast") for _ in range(3)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ty") == 1 and plan.index("Exchange hashpartitioning(ty") > plan.index("MapInArrow")
+    with pytest.raises(ValueError):
+        calib.calibrate(frame_table(spark, stack), m, m, m, tile=3)
