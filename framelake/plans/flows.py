@@ -27,22 +27,22 @@ def s1(spark, sf_dir):
 
 @query("s1_read_raw_frames", with_("frames") + "select frame_id, y, x, v::bigint v from frames")
 def s1_files(spark, sf_dir):
-    """Frames as raw 16-bit files, read back."""
+    """Frames as raw 16-bit files, written in parts of 8 lines (S6) and read back in ranges of 2 KB."""
     path = _scratch(spark, "frame-files")
-    raw.write_binary_files(raw.frames_to_binary(frames(spark, sf_dir)).select(F.format_string("image_frame%d.bin", "frame_id").alias("name"), "content"), path)
-    return raw.read_raw_frames(spark, path, width=64, height=32).where("error is null").select("frame_id", "y", "x", "v")
+    raw.write_raw_frames(frames(spark, sf_dir), path, width=64, height=32, name="image_frame{}.bin", part_bytes=1_024)
+    return raw.read_raw_frames(spark, path, width=64, height=32, range_bytes=2_048).where("error is null").select("frame_id", "y", "x", "v")
 
 
-@query("s2_read_raw_lines", f"with {signals._P} select patch, i as az, k, sum(re) re, sum(im) im from a group by all")
+@query("s2_read_raw_lines", f"with {signals._P} select cast(scene_id as int) scene_id, cast(patch as int) patch, cast(i as int) as az, cast(k as int) k, cast(re as bigint) re, cast(im as bigint) im from a")
 def s2(spark, sf_dir):
-    """The patches of all scenes as raw files of interleaved floats, a folder of them for each scene, read back; whole numbers, summed over scenes."""
+    """The patches of all scenes as raw files of interleaved floats, read back; whole numbers."""
     path = _scratch(spark, "line-files")
     patches = radar.assign_patches(signals._integers(spark, sf_dir), scenes(spark, sf_dir))
     files = raw.lines_to_binary(patches.withColumn("file", F.format_string("scene%d_patch%d.bin", "scene_id", "patch")), group="file")
     raw.write_binary_files(files.select(F.col("file").alias("name"), "content"), path)
     lines = raw.read_raw_lines(spark, path, width=32, height=128)
-    cells = lines.select("patch", "az", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
-    return cells.groupBy("patch", "az", "k").agg(F.sum(F.col("z.re").cast("long")).alias("re"), F.sum(F.col("z.im").cast("long")).alias("im"))
+    cells = lines.select("scene_id", "patch", "az", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+    return cells.select("scene_id", "patch", "az", "k", F.col("z.re").cast("long").alias("re"), F.col("z.im").cast("long").alias("im"))
 
 
 @query("s3_read_sample_series", with_("samples") + "select series_id, i, x from samples")

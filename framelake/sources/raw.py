@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.shipping import ship
+from framelake.sources.raw_format import DTYPES, RawSource, store
 
-DTYPES = {"u8": "<u1", "u16": "<u2", "u32": "<u4", "f32": "<f4"}
 
+def register(spark: SparkSession) -> None:
+    """Makes format("framelake_raw") known to a session."""
+    ship(spark)
+    spark.dataSource.register(RawSource)
 
-def _files(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+def _ranges(numbers: Iterable[int]) -> list[list[int]]:
+    """[first, last] of runs of whole numbers."""
+    out: list[list[int]] = []
+    for n in sorted(set(numbers)):
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return out
+
+
+def _read(spark: SparkSession, path: str, layout: str, numbers: Iterable[int] | None, places: tuple[int, int] | None, **options) -> DataFrame:
+    register(spark)
+    ranges = None if numbers is None else [[numbers[0], numbers[-1]]] if isinstance(numbers, range) and numbers and numbers.step == 1 else _ranges(numbers)
+    options |= {"numbers": None if ranges is None else json.dumps(ranges), "places": None if places is None else json.dumps([places[0], places[1] - 1])}
+    return spark.read.format(RawSource.name()).options(layout=layout, **{k: v for k, v in options.items() if v is not None}).load(path)
 
 
 def decode_frames(files: DataFrame, *, width: int, height: int, dtype: str, big_endian: bool = False) -> DataFrame:
@@ -41,40 +62,39 @@ def decode_frames(files: DataFrame, *, width: int, height: int, dtype: str, big_
     return files.select("file", F.col("frame_id").cast("int").alias("frame_id"), "content").mapInArrow(decode, f"file string, frame_id int, y int, x int, v {'double' if dtype == 'f32' else 'bigint'}, error string")
 
 
-def read_raw_frames(spark: SparkSession, path: str, *, width: int, height: int, dtype: str = "u16", endian: str = "little") -> DataFrame:
-    """A folder of frame files; the frame's number is the last number of the file's name."""
-    number = F.regexp_extract("path", r"(\d+)\D*$", 1).try_cast("int")
-    return decode_frames(_files(spark, path).select(F.col("path").alias("file"), number.alias("frame_id"), "content"), width=width, height=height, dtype=dtype, big_endian=endian == "big")
+def read_raw_frames(spark: SparkSession, path: str, *, width: int, height: int, dtype: str = "u16", endian: str = "little", frames: Iterable[int] | None = None, lines: tuple[int, int] | None = None, range_bytes: int | None = None) -> DataFrame:
+    """A folder of frame files of any size: (file, frame_id, y, x, v, error); the frame's number is the last number of the file's name.
 
+    A file of another size gives one row with its error and nulls. frames: the numbers whose files are opened; lines: (first, end) of the image lines that
+    are read; range_bytes: what a task reads.
+    """
+    return _read(spark, path, "frames", frames, lines, width=width, height=height, dtype=dtype, endian=endian, range_bytes=range_bytes)
 
-def read_raw_lines(spark: SparkSession, path: str, *, width: int, height: int, scene_id: int = 0) -> DataFrame:
-    """Files of interleaved complex float lines: (scene_id, patch, az, re, im), a row for each line."""
 
-    def decode(batches):
-        for batch in batches:
-            for patch, content in zip(batch.column("patch").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if len(content) != 8 * width * height:
-                    raise ValueError(f"patch {patch}: {len(content)} bytes instead of {8 * width * height}")
-                v = np.frombuffer(content, "<f4").reshape(height, width, 2)
-                columns = [pa.array(np.full(height, patch, np.int32)), pa.array(np.arange(height, dtype=np.int32)), *(pa.array(list(v[:, :, k]), pa.list_(pa.float32())) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["patch", "az", "re", "im"])
+def read_raw_lines(spark: SparkSession, path: str, *, width: int, height: int, scene_id: int = 0, patches: Iterable[int] | None = None, lines: tuple[int, int] | None = None, range_bytes: int | None = None) -> DataFrame:
+    """Files of interleaved complex float lines: (scene_id, patch, az, re, im), a row for each line.
 
-    number = F.regexp_extract("path", r"(\d+)\D*$", 1).try_cast("int")
-    lines = _files(spark, path).select(number.alias("patch"), "content").mapInArrow(decode, "patch int, az int, re array<float>, im array<float>")
-    return lines.select(F.lit(scene_id).alias("scene_id"), "*")
+    The scene is the number after `scene` in a file's name, or scene_id; the patch is the last number. patches, lines: what is read.
+    """
+    return _read(spark, path, "lines", patches, lines, width=width, height=height, scene_id=scene_id, range_bytes=range_bytes).drop("file")
 
 
-def read_sample_series(spark: SparkSession, path: str, *, bit_size: int) -> DataFrame:
-    """Files of unsigned samples of 1, 2 or 4 bytes by their bit size: (series_id, i, x)."""
+def read_sample_series(spark: SparkSession, path: str, *, bit_size: int, places: tuple[int, int] | None = None, range_bytes: int | None = None) -> DataFrame:
+    """Files of unsigned samples of 1, 2 or 4 bytes by their bit size: (series_id, i, x); a series' name is its file's. places: (first, end) of what is read of each."""
     kind = "u8" if bit_size <= 8 else "u16" if bit_size <= 16 else "u32"
+    return _read(spark, path, "samples", None, places, dtype=kind, pattern="*", range_bytes=range_bytes).drop("file")
 
-    def decode(batches):
-        for batch in batches:
-            for series, content in zip(batch.column("series_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                x = np.frombuffer(content, DTYPES[kind])
-                yield pa.RecordBatch.from_arrays([pa.array([series] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.array(x.astype(np.int64))], ["series_id", "i", "x"])
 
-    return _files(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("series_id"), "content").mapInArrow(decode, "series_id string, i long, x long")
+def write_raw_frames(frames: DataFrame, path: str, *, width: int, height: int, dtype: str = "u16", endian: str = "little", frame: str = "frame_id", value: str = "v", name: str = "frame_{:06d}.bin", part_bytes: int = 16 << 20, mode: str = "append") -> None:
+    """Each frame as a raw file: all of them, or none if a task fails for good or a frame lacks pixels.
+
+    A task writes runs of lines of about part_bytes, so that a frame may be larger than its memory; path is a mounted folder.
+    """
+    register(frames.sparkSession)
+    lines = max(1, part_bytes // (width * np.dtype(DTYPES[dtype]).itemsize))
+    rows = frames.select(F.col(frame).cast("long").alias("frame_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).alias("v"))
+    dealt = rows.repartition("frame_id", F.expr(f"y div {lines}")).sortWithinPartitions("frame_id", "y")
+    dealt.write.format(RawSource.name()).mode(mode).options(width=width, height=height, dtype=dtype, endian=endian, name=name, lines_per_part=lines).save(path)
 
 
 def frames_to_binary(frames: DataFrame, *, dtype: str = "u16", frame: str = "frame_id", value: str = "v") -> DataFrame:
@@ -118,21 +138,20 @@ def write_binary_files(files: DataFrame, path: str) -> int:
     A file appears under its name only when it is whole, so that a task may run again.
     """
     ship(files.sparkSession)
+    table = files.select("name", "content")
 
     def write(batches):
-        from pyarrow import fs
-
-        store, folder = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
-        store.create_dir(folder, recursive=True)
+        files, folder = store(path)
+        files.create_dir(folder, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
+                with files.open_output_stream(part) as out:
                     out.write(content or b"")
-                store.move(part, f"{folder}/{name}")
+                files.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    return files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    return table.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_frames(frames: DataFrame, path: str, *, frame: str = "frame_id") -> None:
