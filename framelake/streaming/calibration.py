@@ -1,80 +1,119 @@
-"""Calibration of a stream of frames, equal to the batch operator on the same frames.
+"""Calibration of a stream of frames, equal to the batch operator on the same frames, also where these lack pixels.
 
-Pixels are dealt to tiles with a rim of one pixel for the neighbours of bad pixels. Each tile's state holds the last two
-finished frames and the prepared ones that wait for the two after them; frame t leaves when the two after it are there. Frames
-whose number has passed, or is there already, are dropped. A frame's pixels must arrive in one trigger; frames may arrive out of order. A
-frame that is still missing when `max_ahead` later ones wait is given up, and the others go on without it, as the batch operator does where there is no such
-frame. So a tile's state is max_ahead + 6 frames at most.
+Pixels are dealt to tiles with a rim of one pixel for the neighbours of bad pixels. A tile's state is what the recursive scrub keeps of each pixel, four values
+and two times, and a map of the frames that came before their turn, an entry each. So a trigger writes a tile's scrub once and the frames that have to
+wait, however many wait already. Frames whose number has passed, or is there already, are dropped. A frame's pixels must arrive in one trigger; frames may
+arrive out of order.
+
+A frame that is still missing when `max_ahead` later ones wait, or `max_wait_ms` after the first of these came, is given up, and the others go on without it, as the
+batch operator does where there is no such frame. So a tile's state is max_ahead frames at most.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framelake.functions.shipping import ship
+from framelake.operators.calib import Scrub, prepared, with_rim
 
 OUT = "frame_id int, y int, x int, v int"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class TileCalibration(StatefulProcessor):
+    """The frames of one tile in their order."""
+
+    def __init__(self, tile: int, first_prepared: int, max_ahead: int, max_wait_ms: int | None):
+        self.tile, self.first_prepared, self.max_ahead, self.max_wait_ms = tile, first_prepared, max_ahead, max_wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scrub = handle.getValueState("scrub", "data binary")
+        #: the number that comes next; how many frames wait; whether a timer runs
+        self.progress = handle.getValueState("progress", "expected int, n_waiting int, timed boolean")
+        self.waiting = handle.getMapState("waiting", "frame int", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows))
+        expected, n_waiting, timed = self.progress.get() if self.progress.exists() else (0, 0, False)
+        new = {}
+        for number, own in came.groupby("frame_id"):
+            number = int(number)
+            if number >= expected and not self.waiting.containsKey((number,)):
+                new[number] = self.frame(key, number, own.drop_duplicates(["y", "x"]))
+        yield self.go_on(key, timerValues, expected, n_waiting, timed, new, overdue=False)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, n_waiting, _ = self.progress.get() if self.progress.exists() else (0, 0, False)
+        yield self.go_on(key, timerValues, expected, n_waiting, False, {}, overdue=True)
 
-def _prepared(rows: pd.DataFrame, y0: int, x0: int, tile: int, first_prepared: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values of the tile, -1 where there is no pixel; gains)."""
-    grid = {c: np.full((tile + 2, tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
-    at = (rows["y"].to_numpy() - y0 + 1, rows["x"].to_numpy() - x0 + 1)
-    for c in grid:
-        grid[c][at] = rows[c].to_numpy()
-    v, there = grid["v"], grid["v"] >= 0
-    if rows["frame_id"].iloc[0] >= first_prepared:
-        v = np.where(there, (v - grid["off"]) % 65536, -1)
-        good = there & (grid["bad"] == 0)
-        total, n = np.zeros_like(v), np.zeros_like(v)
-        value = np.where(good, v, 0)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    total += np.roll(value, (dy, dx), (0, 1))
-                    n += np.roll(good, (dy, dx), (0, 1))
-        v = np.where(there & (grid["bad"] == 1), total // np.maximum(n, 1), v)
-    inner = (slice(1, -1), slice(1, -1))
-    return v[inner], grid["gain"][inner]
-
-
-def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, first_prepared: int = 4, max_ahead: int = 64) -> DataFrame:
-    """frames: a stream of (frame_id, y, x, v); maps: a static (y, x, off, gain, bad). Yields finished pixels; bins and sums are the sink's."""
-    ship(frames.sparkSession)
-    near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
-    dealt = frames.join(maps.select("y", "x", "off", "gain", "bad"), ["y", "x"]).withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
-
-    def finish(key, batches, state: GroupState):
-        y0, x0 = key[0] * tile, key[1] * tile
-        rows = pd.concat(list(batches))
-        # the number that comes next; frames that came before their turn; those whose turn it is; the last two finished ones
-        expected, waiting, ready, done = pickle.loads(state.get[0]) if state.exists else (0, {}, [], [])
-        for number, own in rows.groupby("frame_id"):
-            if number >= expected and number not in waiting:
-                waiting[number] = _prepared(own.drop_duplicates(["y", "x"]), y0, x0, tile, first_prepared)
-        out = []
-        while expected in waiting or len(waiting) > max_ahead:
-            number = expected if expected in waiting else min(waiting)
+    def close(self) -> None:
+        pass
+
+    def frame(self, key, number: int, rows: pd.DataFrame) -> np.ndarray:
+        """(values, -1 where there is no pixel; gains) of the tile's pixels."""
+        y0, x0 = int(key[0]) * self.tile - 1, int(key[1]) * self.tile - 1
+        grid = {c: np.full((self.tile + 2, self.tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
+        at = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        for c in grid:
+            grid[c][at] = rows[c].to_numpy()
+        v = prepared(grid) if number >= self.first_prepared else grid["v"][1:-1, 1:-1]
+        return np.stack([v, grid["gain"][1:-1, 1:-1]]).reshape(2, -1).astype(np.int32)
+
+    def go_on(self, key, timers, expected: int, n_waiting: int, timed: bool, new: dict[int, np.ndarray], *, overdue: bool) -> pd.DataFrame:
+        """Takes the frames whose turn it is; the others wait in the state. overdue: the missing ones before the first that waits are given up."""
+        state, found = self.loaded(), []
+        held = sorted(f[0] for f in self.waiting.keys()) if n_waiting else []
+        while new or held:
+            number = min([*held[:1], *new])
+            if number > expected and not overdue and len(held) + len(new) <= self.max_ahead:
+                break
+            overdue = False
+            if number in new:
+                v, gain = new.pop(number)
+            else:
+                held.pop(0)
+                v, gain = np.frombuffer(self.waiting.getValue((number,))[0], np.int32).reshape(2, -1)
+                self.waiting.removeKey((number,))
             expected = number + 1
-            ready.append((number, *waiting.pop(number)))
-            if len(done) < 2:
-                done.append(ready.pop()[1])
-            if len(ready) < 3:
-                continue
-            (number, now, gain), (_, after, _), (_, last, _) = ready
-            mean = (done[0] + done[1] + after + last) // 4
-            kept = np.where(now > 2 * mean, mean, now)
-            finished = (kept * gain >> 16) & 65535
-            ys, xs = np.nonzero(now >= 0)
-            out.append(pd.DataFrame({"frame_id": number, "y": ys + y0, "x": xs + x0, "v": finished[ys, xs]}))
-            done, ready = [done[1], finished], ready[1:]
-        state.update((pickle.dumps((expected, waiting, ready, done)),))
-        yield pd.concat(out).astype("int32") if out else pd.DataFrame({c: np.zeros(0, np.int32) for c in ("frame_id", "y", "x", "v")})
-
-    return dealt.groupBy("ty", "tx").applyInPandasWithState(finish, OUT, "blob binary", "append", GroupStateTimeout.NoTimeout)
+            at = np.flatnonzero((v >= 0) & (gain >= 0))
+            done, times, out = state.add(at, number, v[at].astype(np.int64), gain[at].astype(np.int64))
+            found.append((times, at[done] // self.tile + key[0] * self.tile, at[done] % self.tile + key[1] * self.tile, out))
+        if found:
+            self.scrub.update((np.concatenate([np.atleast_2d(x) for x in (state.seen, state.outputs, state.waiting, state.times)]).astype(np.int32).tobytes(),))
+        for number, data in new.items():
+            self.waiting.updateValue((number,), (data.tobytes(),))
+        n_waiting = len(held) + len(new)
+        if n_waiting and not timed and self.max_wait_ms is not None:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.max_wait_ms)
+            timed = True
+        self.progress.update((expected, n_waiting, timed))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
+        return pd.DataFrame({c: x.astype(np.int32) for c, x in zip(("frame_id", "y", "x", "v"), columns, strict=True)})
+
+    def loaded(self) -> Scrub:
+        state = Scrub(self.tile**2)
+        if self.scrub.exists():
+            rows = np.frombuffer(self.scrub.get()[0], np.int32).astype(np.int64).reshape(7, -1)
+            state.seen, state.outputs, state.waiting, state.times = rows[0], rows[1:3].copy(), rows[3:5].copy(), rows[5:7].copy()
+            state.seen = np.minimum(state.seen, 4)  # more are told apart nowhere
+        return state
+
+
+def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, first_prepared: int = 4, max_ahead: int = 64, max_wait_ms: int | None = None) -> DataFrame:
+    """frames: a stream of (frame_id, y, x, v); maps: a static (y, x, off, gain, bad). Yields finished pixels; bins and sums are the sink's.
+
+    max_wait_ms: of processing time; without it a missing frame is given up by count alone. The session's state store becomes RocksDB, which this kind of state needs.
+    """
+    spark = frames.sparkSession
+    ship(spark)
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    dealt = with_rim(frames.select("frame_id", "y", "x", "v").join(maps.select("y", "x", "off", "gain", "bad"), ["y", "x"]), tile)
+    processor = TileCalibration(tile, first_prepared, max_ahead, max_wait_ms)
+    return dealt.groupBy("ty", "tx").transformWithStateInPandas(processor, OUT, "append", "none" if max_wait_ms is None else "processingTime")

@@ -1,42 +1,82 @@
 """The stream equals the batch, with duplicates and late frames dropped."""
 
+import time
+
 import numpy as np
+import pytest
 
 from framelake.operators import calib
 from framelake.streaming.calibration import calibrate_stream
 from tests.test_calibration import array, frame_table, map_table
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    stack = rng.integers(0, 4000, (9, 6, 9))
+def scene(spark, n, seed, missing=0.0):
+    rng = np.random.default_rng(seed)
+    stack = rng.integers(0, 4000, (n, 6, 9))
     stack[rng.random(stack.shape) < 0.1] = 65535
-    m = map_table(spark, off=rng.integers(0, 100, (6, 9)), gain=rng.integers(30000, 65535, (6, 9)), bad=(rng.random((6, 9)) < 0.2).astype(int))
+    maps = map_table(spark, off=rng.integers(0, 100, (6, 9)), gain=rng.integers(30000, 65535, (6, 9)), bad=(rng.random((6, 9)) < 0.2).astype(int))
+    held = rng.random(stack.shape) >= missing
     frames = frame_table(spark, stack)
+    gone = [(t, y, x) for t, y, x in zip(*(i.tolist() for i in np.nonzero(~held)), strict=True)]
+    return maps, frames.join(spark.createDataFrame(gone, "frame_id int, y int, x int"), ["frame_id", "y", "x"], "left_anti") if gone else frames
+
+
+def start(spark, tmp_path, maps, trigger, **options):
+    stream = spark.readStream.schema("frame_id int, y int, x int, v int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    return calibrate_stream(stream, maps, **options).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(**trigger).start()
+
+
+def put(frames, tmp_path, order):
+    for k, t in enumerate(order):
+        frames.where(f"frame_id = {t}").coalesce(1).write.parquet(f"{tmp_path}/in/{k:02}")
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.15])
+def test_stream_equals_batch(spark, tmp_path, missing):
+    maps, frames = scene(spark, 9, 3, missing)
     for k, t in enumerate([0, 1, 2, 4, 3, 4, 5, 6, 2, 7, 8]):  # out of order, twice, and late
         part = frames.where(f"frame_id = {t}")
         if k in (5, 8):
             part = part.selectExpr("frame_id", "y", "x", "v + 1 as v")
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{k:02}")
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    job = calibrate_stream(stream, m, tile=4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job = start(spark, tmp_path, maps, {"availableNow": True}, tile=4)
     job.awaitTermination()
     pixels = spark.read.parquet(f"{tmp_path}/out")
-    assert pixels.count() == 5 * 54
-    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames, m, m, m)))
+    assert missing or pixels.count() == 5 * 54
+    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames, maps, maps, maps)))
 
 
 def test_a_lost_frame_is_given_up(spark, tmp_path):
     """The others go on as the batch does without it; it is dropped if it comes later."""
-    rng = np.random.default_rng(4)
-    stack = rng.integers(0, 4000, (12, 6, 9))
-    m = map_table(spark, off=rng.integers(0, 100, (6, 9)), gain=rng.integers(30000, 65535, (6, 9)), bad=(rng.random((6, 9)) < 0.2).astype(int))
-    frames = frame_table(spark, stack)
-    for k, t in enumerate([0, 1, 2, 3, 4, 6, 7, 8, 9, 5, 10, 11]):
-        frames.where(f"frame_id = {t}").coalesce(1).write.parquet(f"{tmp_path}/in/{k:02}")
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    job = calibrate_stream(stream, m, tile=8, max_ahead=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    job.awaitTermination()
+    maps, frames = scene(spark, 12, 4)
+    put(frames, tmp_path, [0, 1, 2, 3, 4, 6, 7, 8, 9, 5, 10, 11])
+    start(spark, tmp_path, maps, {"availableNow": True}, tile=8, max_ahead=3).awaitTermination()
     pixels = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(r.frame_id for r in pixels.select("frame_id").distinct().collect()) == [2, 3, 4, 6, 7, 8, 9]
-    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames.where("frame_id != 5"), m, m, m)))
+    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames.where("frame_id != 5"), maps, maps, maps)))
+
+
+def test_a_frame_overdue_by_time_is_given_up(spark, tmp_path):
+    """Though far fewer than max_ahead frames wait for it."""
+    maps, frames = scene(spark, 9, 5)
+    put(frames, tmp_path, [0, 1, 2, 4, 5, 6, 7, 8])
+    job = start(spark, tmp_path, maps, {"processingTime": "200 milliseconds"}, tile=8, max_wait_ms=1_500)
+    until, seen = time.time() + 60, 0
+    while time.time() < until and seen < 4 * 54:
+        time.sleep(0.5)
+        seen = spark.read.schema("frame_id int, y int, x int, v int").parquet(f"{tmp_path}/out").count() if (tmp_path / "out" / "_spark_metadata").exists() else 0
+    job.stop()
+    pixels = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.frame_id for r in pixels.select("frame_id").distinct().collect()) == [2, 4, 5, 6]
+    assert np.array_equal(array(calib.coadd(calib.bin_spatial(pixels))), array(calib.calibrate(frames.where("frame_id != 3"), maps, maps, maps)))
+
+
+def test_state_written_follows_the_frames_that_came(spark, tmp_path):
+    """With ever more frames that wait, a trigger writes no more than the first did."""
+    maps, frames = scene(spark, 20, 6)
+    put(frames, tmp_path, range(2, 20))  # frame 0 never comes, so all wait
+    job = start(spark, tmp_path, maps, {"availableNow": True}, tile=16)
+    job.awaitTermination()
+    written = [p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"] for p in job.recentProgress if p["numInputRows"]]
+    assert len(written) >= 15 and max(written[2:]) < 1.5 * written[1]
+    assert spark.read.schema("frame_id int, y int, x int, v int").parquet(f"{tmp_path}/out").count() == 0
