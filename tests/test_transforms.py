@@ -1,5 +1,7 @@
 """Wavelets, encryption, radar, comparison and raw files."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +131,37 @@ def test_a_point_target_focuses_to_one_peak(spark):
     assert min(r.level for r in levels) == 0 and max(r.level for r in levels) == 255
 
 
+@pytest.mark.parametrize("tile,looks", [(64, 4), (5, 4), (1, 3), (7, 1), (24, 24)])
+def test_tiles_with_a_halo_equal_the_chain_of_operators(spark, tile, looks):
+    """Migrations of several bins, over the borders of tiles and beyond the last line; patches that reach beyond the scene."""
+    rng = np.random.default_rng(tile)
+    p = {"lambda": 0.9, "prf": 900.0, "tau": 4e-7, "fs": 2e7, "velocity": 2000.0, "r0": 8e3, "slope": 1e13, "asize": 72, "avalid": 24, "apatch": 40, "rsize": 32, "rvalid": 26, "npatch": 3}
+    scenes = spark.createDataFrame([(s, *(p | {"r0": 8e3 + 900 * s}).values()) for s in range(2)], "scene_id int, " + ", ".join(f"{k} {'double' if isinstance(v, float) else 'int'}" for k, v in p.items()))
+    pulses = spark.createDataFrame([(s, az, *(rng.normal(size=32).tolist() for _ in "ri")) for s in range(2) for az in range(72) if az % 11], "scene_id int, az int, re array<double>, im array<double>")
+    patches = radar.assign_patches(pulses, scenes)
+    fdc, ranged = radar.doppler_centroid(patches, scenes), radar.range_compress(patches, scenes)
+    assert radar.migration_table(scenes, fdc).agg(F.max("shift")).first()[0] > 8
+    turned = radar.corner_turn(ranged, n_out=26, out="j_range", tile=9)
+    moved = radar.migration_correct(radar.line_fft(radar.pad_pow2(turned)), scenes, fdc, tile=13)
+    compressed = radar.azimuth_compress(moved, radar.azimuth_reference(scenes, fdc))
+    want = {(r.scene_id, r.row, r.col): r.value for r in radar.multilook(radar.corner_turn(compressed, row="j_range", out="i"), scenes, looks=looks).collect()}
+    found = {(r.scene_id, r.row, r.col): r.value for r in radar.azimuth_looks(ranged, scenes, fdc, looks=looks, tile=tile).collect()}
+    assert found.keys() == want.keys() and np.allclose([found[k] for k in want], list(want.values()), atol=1e-9)
+
+
+def test_focusing_shuffles_lines_twice(spark):
+    p = {"lambda": 0.1, "prf": 1000.0, "tau": 8e-7, "fs": 2e7, "velocity": 7000.0, "r0": 8e5, "slope": 1e13, "asize": 256, "avalid": 128, "apatch": 128, "rsize": 64, "rvalid": 32, "npatch": 2}
+    scenes = spark.createDataFrame([(0, *p.values())], "scene_id int, " + ", ".join(f"{k} {'double' if isinstance(v, float) else 'int'}" for k, v in p.items()))
+    pulses = spark.range(256).selectExpr("0 scene_id", "cast(id as int) az", "array_repeat(1d, 64) re", "array_repeat(0d, 64) im")
+    plan = radar.focus_values(pulses, scenes)._jdf.queryExecution().executedPlan().toString()
+    # the line of descent of the lines: from the looks down to the pulses
+    main = plan[: plan.index("BroadcastExchange")]
+    shuffles = [re.sub("#\\d+", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", main)]
+    assert shuffles == ["scene_id, row, col", "scene_id, patch, tile"]
+    assert "scene_id, az" in re.sub("#\\d+", "", plan) or "BroadcastHashJoin" in plan
+    assert radar.few_scenes(scenes) and not radar.few_scenes(scenes, most=0)
+
+
 def test_comparison_counts_missing_rows(spark):
     a = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k int, v int")
     b = spark.createDataFrame([(1, 11), (2, 22), (4, 40)], "k int, v int")
