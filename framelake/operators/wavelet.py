@@ -1,17 +1,20 @@
 """Integer and float wavelet decomposition of images, and the statistics of its coefficients by block and segment.
 
-Images are pixel tables (image_id, y, x, v). A level filters rows (one shuffle by row), then columns (one by column); a
-level has a quarter of the data of the one before.
+Images are pixel tables (image_id, y, x, v). All levels of a decomposition are worked out in tiles with the rim that the filters of all levels
+reach into, so that pixels are shuffled once. A single line filter is a window over rows or columns.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.scratch import Scratch, scratch_path, written
+from framelake.functions.shipping import ship
 from framelake.operators.calib import pad_edge
 
 #: Taps of the 9/7 filters, from the middle outwards.
@@ -80,34 +83,89 @@ def with_sizes(image: DataFrame) -> DataFrame:
     return image.join(image.groupBy("image_id").agg(up("y").alias("_height"), up("x").alias("_width")), "image_id")
 
 
-def dwt2d(image: DataFrame, *, height: Size | None = None, width: Size | None = None, kind: str = "int") -> DataFrame:
-    """Along rows, then along columns. Without a height and width each image has its own."""
-    if height is None:
-        return dwt2d(with_sizes(image), height=F.col("_height"), width=F.col("_width"), kind=kind).drop("_height", "_width")
-    step = dwt1d_int if kind == "int" else dwt1d_float
-    rows = step(image, partition=["image_id", "y"], order="x", length=width)
-    return step(rows, partition=["image_id", "x"], order="y", length=height)
-
-
-def dwt2d_multilevel(image: DataFrame, *, height: Size | None = None, width: Size | None = None, levels: int = 3, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Again on the low quadrant of each level; sides must divide by 2^levels. `cut` is given each level, to shorten its plan.
-
+def lifted(v: np.ndarray) -> np.ndarray:
+    """dwt1d_int of each row, of even length of at least 6."""
+    even, odd, n = v[:, ::2], v[:, 1::2], v.shape[1] // 2
+    following = np.concatenate([even[:, 1:], even[:, -1:]], axis=1)
+    # two samples before and three after an odd place, mirrored at the ends
+    before = np.concatenate([even[:, 1:2], even[:, :-1]], axis=1)
+    after = np.concatenate([following[:, 1:], following[:, -1:]], axis=1)
+    high = odd - np.floor((9 * (even + following) - (before + after)) / 16 + 0.5).astype(np.int64)
+    high[:, -1] = odd[:, -1] - np.floor((9 * even[:, -1] - before[:, -1]) / 8 + 0.5).astype(np.int64)
+    left = np.concatenate([high[:, :1], high[:, :-1]], axis=1)
+    low = even - np.floor(-(left + high) / 4 + 0.5).astype(np.int64)
+    return np.concatenate([low[:, :n], high], axis=1)
+
+
+def filtered(v: np.ndarray) -> np.ndarray:
+    """dwt1d_float of each row, of even length of at least 6."""
+    wide, n = np.pad(v, ((0, 0), (4, 4)), mode="reflect"), v.shape[1]
+    at = lambda k, first: wide[:, 4 + k + first : 4 + k + n : 2]
+    sums = lambda taps, first: sum((taps[k] * (at(k, first) + at(-k, first)) for k in range(1, len(taps))), taps[0] * at(0, first))
+    return np.concatenate([sums(LOW_TAPS, 0), sums(HIGH_TAPS, 1)], axis=1)
+
+
+def _decomposed(tile: int, rim: int, levels: int, kind: str):
+    step, number = (lifted, np.int64) if kind == "int" else (filtered, np.float64)
+
+    def run(table: pa.Table) -> pa.Table:
+        """A tile and its rim: the coefficients of all levels that stand for the tile's own pixels, at their places in the image."""
+        one = {c: table[c][0].as_py() for c in ("image_id", "_ty", "_tx", "_h", "_w")}
+        sides = {}  # first and end of the tile, and of what there is of its rim
+        for axis, t, size in (("y", one["_ty"], one["_h"]), ("x", one["_tx"], one["_w"])):
+            first, end = t * tile, min((t + 1) * tile, size)
+            sides[axis] = first, end, max(0, first - rim), min(size, end + rim)
+        (y0, y1, top, bottom), (x0, x1, left, right) = sides["y"], sides["x"]
+        low = np.zeros((bottom - top, right - left), number)
+        low[table["y"].to_numpy() - top, table["x"].to_numpy() - left] = table["v"].to_numpy()
+        parts = []
+
+        def put(own: np.ndarray, y: int, x: int, band_y: int, band_x: int) -> None:
+            ys, xs = np.indices(own.shape)
+            parts.append((ys.ravel() + y + band_y, xs.ravel() + x + band_x, own.ravel()))
+
+        for level in range(1, levels + 1):
+            out = step(np.ascontiguousarray(step(low).T)).T
+            h, w = (low.shape[0] // 2, low.shape[1] // 2)
+            rows, columns = (slice((a - c) >> level, (b - c) >> level) for a, b, c in ((y0, y1, top), (x0, x1, left)))
+            for down, across in ((False, True), (True, False), (True, True)):
+                quadrant = out[h * down :, w * across :][:h, :w]
+                put(quadrant[rows, columns], y0 >> level, x0 >> level, (one["_h"] >> level) * down, (one["_w"] >> level) * across)
+            low = out[:h, :w]
+        put(low[rows, columns], y0 >> levels, x0 >> levels, 0, 0)
+        y, x, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        same = lambda c: table[c].slice(0, 1).take(pa.array(np.zeros(len(v), np.int64)))
+        return pa.table({"image_id": same("image_id"), "y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "v": pa.array(v), "_height": same("_h"), "_width": same("_w")})
+
+    return run
+
+
+def dwt2d_multilevel(image: DataFrame, *, height: Size | None = None, width: Size | None = None, levels: int = 3, kind: str = "int", tile: int = 512) -> DataFrame:
+    """Along rows, then along columns, and again on the low quadrant of each level; sides must divide by 2^levels, and by 6 samples at the last one at least.
+
+    A filter reaches 4 samples to each side, so all levels together reach 4 * (2^levels - 1) pixels: a tile gets so many more. Behind the true ends lines are
+    mirrored, as in the line filters; behind the rim too, which spoils nothing that the tile keeps. A pixel goes to 1.3 tiles of 512 on average.
     Without a height and width each image has its own.
     """
     if height is None:
-        return dwt2d_multilevel(with_sizes(image), height=F.col("_height"), width=F.col("_width"), levels=levels, kind=kind, cut=cut).drop("_height", "_width")
-    low = image.withColumn("v", F.col("v").cast("long" if kind == "int" else "double"))
-    done = []
-    for _ in range(levels):
-        out = dwt2d(low, height=height, width=width, kind=kind)
-        out = cut(out) if cut else out
-        height, width = _div(height, 2), _div(width, 2)
-        inside = (F.col("y") < height) & (F.col("x") < width)
-        done.append(out.where(~inside))
-        low = out.where(inside)
-    for part in done:
-        low = low.unionByName(part)
-    return low
+        return dwt2d_multilevel(with_sizes(image), height=F.col("_height"), width=F.col("_width"), levels=levels, kind=kind, tile=tile).drop("_height", "_width")
+    ship(image.sparkSession)
+    unit = 1 << levels
+    if tile % unit:
+        raise ValueError(f"tile is {tile}, which does not divide by {unit}")
+    rim = -(-4 * (unit - 1) // unit) * unit
+    size = lambda s: (F.lit(s) if isinstance(s, int) else s).cast("int")
+    rows = image.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("long" if kind == "int" else "double").alias("v"), size(height).alias("_h"), size(width).alias("_w"))
+    near = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - rim) / tile)).cast("int"), F.least(F.floor((F.col(n) - 1) / tile), F.floor((F.col(c) + rim) / tile)).cast("int"))
+    dealt = rows.withColumn("_ty", F.explode(near("y", "_h"))).withColumn("_tx", F.explode(near("x", "_w")))
+    schema = f"image_id {image.schema['image_id'].dataType.simpleString()}, y int, x int, v {'long' if kind == 'int' else 'double'}, _height int, _width int"
+    out = dealt.groupBy("image_id", "_ty", "_tx").applyInArrow(_decomposed(tile, rim, levels, kind), schema)
+    return out if "_height" in image.columns else out.drop("_height", "_width")
+
+
+def dwt2d(image: DataFrame, *, height: Size | None = None, width: Size | None = None, kind: str = "int", tile: int = 512) -> DataFrame:
+    """One level."""
+    return dwt2d_multilevel(image, height=height, width=width, levels=1, kind=kind, tile=tile)
 
 
 def round_half_away(c: Column) -> Column:
@@ -268,11 +326,11 @@ def segment_headers(depths: DataFrame, *, pad_rows: int | DataFrame = 0) -> Data
     return totals.select(*SEGMENT, (F.col("seg") == 0).alias("is_first"), last.alias("is_last"), (F.col("seg") % 256).alias("seg_field"), "depth_dc", "depth_ac", F.when(last, F.col("pad_rows")).otherwise(0).alias("pad_rows"), F.when(last, 32).otherwise(24).alias("header_bits"))
 
 
-def decompose(image: DataFrame, *, height: Size | None = None, width: Size | None = None, segment_size: int = 64, kind: str = "int", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def decompose(image: DataFrame, *, height: Size | None = None, width: Size | None = None, segment_size: int = 64, kind: str = "int") -> DataFrame:
     """The blocks of the scaled (integer) or rounded (float) decomposition; sides must divide by 8. Without a height and width each image has its own."""
     if height is None:
-        return decompose(with_sizes(image), height=F.col("_height"), width=F.col("_width"), segment_size=segment_size, kind=kind, cut=cut)
-    coeffs = dwt2d_multilevel(image, height=height, width=width, kind=kind, cut=cut)
+        return decompose(with_sizes(image), height=F.col("_height"), width=F.col("_width"), segment_size=segment_size, kind=kind)
+    coeffs = dwt2d_multilevel(image, height=height, width=width, kind=kind)
     coeffs = scale_subbands(coeffs, height=height, width=width) if kind == "int" else coeffs.withColumn("v", round_half_away(F.col("v")))
     return assign_segments(regroup_blocks(coeffs, height=height, width=width), width=width, segment_size=segment_size)
 
@@ -284,22 +342,19 @@ def _gaggle_bits(codes: DataFrame, name: str) -> DataFrame:
     return gaggle_code(codes).join(n, list(SEGMENT)).groupBy(*SEGMENT).agg(F.sum(bits).alias(name))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: a plan of six nested joins, used five times, is too large."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/framelake-wavelet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def segment_table(image: DataFrame, *, segment_size: int = 64, kind: str = "int") -> DataFrame:
     """One row for each segment of images of any sides, each padded by itself: header, depths, bits of each part of the code, and `planes`,
     sorted arrays (family, generation, plane, significant, refinement) with generations 0 parent, 1 child, 2 grandchild.
 
     known_bits leaves out the symbols that say which coefficients become significant.
     """
-    blocks = _written(decompose(pad_edge(image), segment_size=segment_size, kind=kind, cut=_written))
+    with Scratch(image.sparkSession, "wavelet") as work:
+        # five parts of the table read the blocks
+        blocks = work.keep(decompose(pad_edge(image), segment_size=segment_size, kind=kind), "blocks")
+        return written(_segments(image, blocks, kind), scratch_path(image.sparkSession, "segments"))
+
+
+def _segments(image: DataFrame, blocks: DataFrame, kind: str) -> DataFrame:
     depths = segment_bit_depths(blocks)
     quantized = quantize_dc(depths)
     generation = F.when(F.col("generation") == "parent", 0).when(F.col("generation") == "child", 1).otherwise(2)

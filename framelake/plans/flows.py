@@ -1,9 +1,8 @@
 """Queries of sources, sinks and streams."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from framelake.functions.scratch import Scratch, scratch_path, written
 from framelake.operators import calib, radar
 from framelake.plans import imaging, signals  # noqa: F401  registers the batch query
 from framelake.plans.catalog import ORACLES, query
@@ -12,12 +11,6 @@ from framelake.sources import raw
 from framelake.streaming.calibration import calibrate_stream
 
 
-def _scratch(spark, name: str) -> str:
-    """In the shared folder that the cluster names, or in the warehouse where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/framelake-{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_decode_frames", with_("frames") + "select frame_id, y, x, v::bigint v from frames")
 def s1(spark, sf_dir):
     """Frames to raw 16-bit images and back (S6, S1)."""
@@ -28,29 +21,32 @@ def s1(spark, sf_dir):
 @query("s1_read_raw_frames", with_("frames") + "select frame_id, y, x, v::bigint v from frames")
 def s1_files(spark, sf_dir):
     """Frames as raw 16-bit files, written in parts of 8 lines (S6) and read back in ranges of 2 KB."""
-    path = _scratch(spark, "frame-files")
-    raw.write_raw_frames(frames(spark, sf_dir), path, width=64, height=32, name="image_frame{}.bin", part_bytes=1_024)
-    return raw.read_raw_frames(spark, path, width=64, height=32, range_bytes=2_048).where("error is null").select("frame_id", "y", "x", "v")
+    with Scratch(spark, "frame-files") as work:
+        path = work.path("files")
+        raw.write_raw_frames(frames(spark, sf_dir), path, width=64, height=32, name="image_frame{}.bin", part_bytes=1_024)
+        return written(raw.read_raw_frames(spark, path, width=64, height=32, range_bytes=2_048).where("error is null").select("frame_id", "y", "x", "v"), scratch_path(spark, "result"))
 
 
 @query("s2_read_raw_lines", f"with {signals._P} select cast(scene_id as int) scene_id, cast(patch as int) patch, cast(i as int) as az, cast(k as int) k, cast(re as bigint) re, cast(im as bigint) im from a")
 def s2(spark, sf_dir):
     """The patches of all scenes as raw files of interleaved floats, read back; whole numbers."""
-    path = _scratch(spark, "line-files")
-    patches = radar.assign_patches(signals._integers(spark, sf_dir), scenes(spark, sf_dir))
-    files = raw.lines_to_binary(patches.withColumn("file", F.format_string("scene%d_patch%d.bin", "scene_id", "patch")), group="file")
-    raw.write_binary_files(files.select(F.col("file").alias("name"), "content"), path)
-    lines = raw.read_raw_lines(spark, path, width=32, height=128)
-    cells = lines.select("scene_id", "patch", "az", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
-    return cells.select("scene_id", "patch", "az", "k", F.col("z.re").cast("long").alias("re"), F.col("z.im").cast("long").alias("im"))
+    with Scratch(spark, "line-files") as work:
+        path = work.path("files")
+        patches = radar.assign_patches(signals._integers(spark, sf_dir), scenes(spark, sf_dir))
+        files = raw.lines_to_binary(patches.withColumn("file", F.format_string("scene%d_patch%d.bin", "scene_id", "patch")), group="file")
+        raw.write_binary_files(files.select(F.col("file").alias("name"), "content"), path)
+        lines = raw.read_raw_lines(spark, path, width=32, height=128)
+        cells = lines.select("scene_id", "patch", "az", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+        return written(cells.select("scene_id", "patch", "az", "k", F.col("z.re").cast("long").alias("re"), F.col("z.im").cast("long").alias("im")), scratch_path(spark, "result"))
 
 
 @query("s3_read_sample_series", with_("samples") + "select series_id, i, x from samples")
 def s3_files(spark, sf_dir):
     """Samples as a raw 16-bit file for each series, read back."""
-    path = _scratch(spark, "sample-files")
-    raw.write_binary_files(raw.series_to_binary(samples(spark, sf_dir), bit_size=16).select(F.format_string("%d.bin", "series_id").alias("name"), "content"), path)
-    return raw.read_sample_series(spark, path, bit_size=16).withColumn("series_id", F.regexp_extract("series_id", r"^(\d+)", 1).cast("long"))
+    with Scratch(spark, "sample-files") as work:
+        path = work.path("files")
+        raw.write_binary_files(raw.series_to_binary(samples(spark, sf_dir), bit_size=16).select(F.format_string("%d.bin", "series_id").alias("name"), "content"), path)
+        return written(raw.read_sample_series(spark, path, bit_size=16).withColumn("series_id", F.regexp_extract("series_id", r"^(\d+)", 1).cast("long")), scratch_path(spark, "result"))
 
 
 @query("s6_frames_to_binary", with_("frames") + "select frame_id, string_agg(printf('%02X%02X', v & 255, v >> 8), '' order by y, x) as content from frames group by all")
@@ -60,9 +56,10 @@ def s6(spark, sf_dir):
 
 @query("s6_write_frames", with_("frames") + "select frame_id, count(*) n, sum(v)::bigint total from frames group by all")
 def s6_written(spark, sf_dir):
-    path = _scratch(spark, "frames")
-    raw.write_frames(frames(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy(F.col("frame_id").cast("int").alias("frame_id")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    with Scratch(spark, "frames") as work:
+        path = work.path("files")
+        raw.write_frames(frames(spark, sf_dir), path)
+        return written(spark.read.parquet(path).groupBy(F.col("frame_id").cast("int").alias("frame_id")).agg(F.count("*").alias("n"), F.sum("v").alias("total")), scratch_path(spark, "result"))
 
 
 @query("s3_sample_totals", with_("samples") + "select series_id, count(*) n, sum(x)::bigint total, max(x)::bigint most from samples group by all")
@@ -74,11 +71,12 @@ def s3(spark, sf_dir):
 @query("st1_calibrate_stream", ORACLES.get("i7_calibrate"))
 def st1(spark, sf_dir):
     """Frames as a stream of files, a few in each trigger; what leaves it is binned and summed as in the batch query."""
-    source, sink = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
-    raw.write_frames(frames(spark, sf_dir).withColumn("frame", F.col("frame_id")), source, frame="frame")
-    stream = spark.readStream.schema("frame_id int, y int, x int, v int").option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(source)
-    done = calibrate_stream(stream, maps(spark, sf_dir))
-    job = done.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
-    job.awaitTermination()
-    pixels = spark.read.schema("frame_id int, y int, x int, v int").parquet(sink)
-    return calib.coadd(calib.bin_spatial(pixels))
+    with Scratch(spark, "stream") as work:
+        source, sink, state = (work.path(n) for n in ("in", "out", "state"))
+        raw.write_frames(frames(spark, sf_dir).withColumn("frame", F.col("frame_id")), source, frame="frame")
+        stream = spark.readStream.schema("frame_id int, y int, x int, v int").option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(source)
+        done = calibrate_stream(stream, maps(spark, sf_dir))
+        job = done.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        job.awaitTermination()
+        pixels = spark.read.schema("frame_id int, y int, x int, v int").parquet(sink)
+        return written(calib.coadd(calib.bin_spatial(pixels)), scratch_path(spark, "result"))

@@ -19,10 +19,14 @@ def s4(spark, sf_dir):
     return calib.frame_roles(frames(spark, sf_dir))
 
 
-@query("s8_pad_edge", with_("image", more="c as (select * from image where y < 60 and x < 50), g as (select image_id, ty, tx from (select distinct image_id from c), range(64) a(ty), range(56) b(tx))") + "select g.image_id, cast(ty as int) y, cast(tx as int) x, v from g join c on c.image_id = g.image_id and c.y = least(ty, 59) and c.x = least(tx, 49)")
+#: Images of odd sizes: image k lacks its last 1 + k % 5 rows and 2 + k % 7 columns.
+_ODD = "c as (select *, 63 - image_id % 5 as h, 62 - image_id % 7 as w from image), d as (select * from c where y < h and x < w)"
+
+
+@query("s8_pad_edge", with_("image", more=f"{_ODD}, g as (select image_id, h, w, ty, tx from (select distinct image_id, h, w from d), range(64) a(ty), range(64) b(tx) where ty < (h + 7) // 8 * 8 and tx < (w + 7) // 8 * 8)") + "select g.image_id, cast(ty as int) y, cast(tx as int) x, v from g join d on d.image_id = g.image_id and d.y = least(ty, g.h - 1) and d.x = least(tx, g.w - 1)")
 def s8(spark, sf_dir):
-    """On images cropped to 60 x 50, so that there is something to pad."""
-    return calib.pad_edge(image(spark, sf_dir).where("y < 60 and x < 50"))
+    """All images, each without some of its last rows and columns, so that there is something to pad."""
+    return calib.pad_edge(image(spark, sf_dir).where("y < 63 - image_id % 5 and x < 62 - image_id % 7"))
 
 
 @query("i1_offset_correct", with_("frames", "maps", more=_OFF) + "select * from off_")

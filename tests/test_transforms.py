@@ -52,6 +52,38 @@ def test_float_filters_mirror_the_ends(spark):
     assert np.allclose(found, low + high)
 
 
+def by_lines(df, height, width, kind, levels):
+    """The decomposition by the line filters alone, in windows over rows and columns."""
+    step, low, done = wl.dwt1d_int if kind == "int" else wl.dwt1d_float, df, []
+    for _ in range(levels):
+        out = step(step(low, partition=["image_id", "y"], order="x", length=width), partition=["image_id", "x"], order="y", length=height)
+        height, width = height // 2, width // 2
+        done.append(out.where(f"not (y < {height} and x < {width})"))
+        low = out.where(f"y < {height} and x < {width}")
+    for part in done:
+        low = low.unionByName(part)
+    return low
+
+
+@pytest.mark.parametrize("kind", ["int", "float"])
+@pytest.mark.parametrize("height,width,levels,tile", [(64, 48, 3, 16), (48, 96, 3, 512), (56, 136, 3, 64), (24, 40, 1, 8), (32, 64, 2, 12)])
+def test_levels_in_tiles_equal_the_line_filters(spark, kind, height, width, levels, tile):
+    """Bit for bit, whatever the tiles; the last ones are narrow."""
+    rng = np.random.default_rng(height + tile)
+    image = rng.integers(-30_000, 30_000, (height, width))
+    df = image_table(spark, image).withColumn("v", F.col("v").cast("long" if kind == "int" else "double"))
+    found = wl.dwt2d_multilevel(df, height=height, width=width, levels=levels, kind=kind, tile=tile)
+    assert np.array_equal(grid(found, height, width), grid(by_lines(df, height, width, kind, levels), height, width)) and found.count() == height * width
+
+
+def test_a_decomposition_shuffles_pixels_once(spark):
+    df = image_table(spark, np.zeros((16, 16)))
+    plan = wl.dwt2d_multilevel(df, height=16, width=16, levels=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    with pytest.raises(ValueError):
+        wl.dwt2d_multilevel(df, height=16, width=16, tile=12)
+
+
 def test_regrouping_is_a_permutation(spark):
     image = np.arange(32 * 16).reshape(32, 16)
     out = wl.regroup_blocks(image_table(spark, image), height=32, width=16).collect()
