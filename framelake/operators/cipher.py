@@ -1,20 +1,23 @@
 """Counter-mode encryption of payload columns.
 
 A payload is cut into 16-byte blocks; block b's keystream is the AES of iv + b. Spark's aes_encrypt gives the block cipher in
-its ECB mode: one call for all counters of a payload. The keystream and the payload are xored in Arrow batches. Blocks don't depend on
-each other, so nothing is shuffled. Encryption and decryption are
-the same function. Keys are given as hex strings of 16, 24 or 32 bytes by the caller, never from a data column.
+its ECB mode: one call for all counters of a row. Counters are made, and keystream and payload xored, in Arrow batches. Blocks don't depend on
+each other, so nothing is shuffled, and a large payload may come in chunks, a row each, that know their first block (chunk_payloads, or the chunks of
+a file). Encryption and decryption are the same function. Keys are given as hex strings of 16, 24 or 32 bytes by the caller, never from a data column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType
 
 from framelake.functions.shipping import ship
+from framelake.sources.raw import read_raw_bytes, write_raw_bytes
 
 
 def split_blocks(payload: Column) -> Column:
@@ -56,29 +59,60 @@ def xor_bytes(a: Column, b: Column) -> Column:
     return F.unhex(F.substring(both, F.lit(1), (F.octet_length(a) * 2).cast("int")))
 
 
-def keystream(payload: Column, key_hex: str, iv_hex: str) -> Column:
-    """The keystream of a whole payload, in full blocks: one call of the cipher for all its counters."""
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / 16).cast("int"))
-    counters = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda b: _counter_hex(iv_hex, b)), ""))
-    return F.substring(F.aes_encrypt(counters, F.unhex(F.lit(key_hex)), F.lit("ECB"), F.lit("PKCS")), F.lit(1), n * 16)
+def counters(iv: int, first: int, n: int) -> bytes:
+    """iv + first and the n - 1 numbers after it, modulo 2^128, 16 bytes each."""
+    start = (iv + first) % (1 << 128)
+    low = np.uint64(start & (1 << 64) - 1) + np.arange(n, dtype=np.uint64)
+    high = np.uint64(start >> 64) + (low < low[:1])
+    return np.column_stack([high, low]).astype(">u8").tobytes()
+
+
+def _counters_of(iv_hex: str):
+    iv = int(iv_hex, 16)
+
+    def make(first: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(n) else counters(iv, int(f), max(1, -(-int(n) // 16))) for f, n in zip(first, size, strict=True)], dtype=object)
+
+    return F.pandas_udf(make, BinaryType())
+
+
+def _xor(payload: pd.Series, stream: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else (np.frombuffer(p, np.uint8) ^ np.frombuffer(k, np.uint8)[: len(p)]).tobytes() for p, k in zip(payload, stream, strict=True)], dtype=object)
 
 
-def encrypt_ctr(df: DataFrame, payload: str, key_hex: str, iv_hex: str, out: str = "ciphertext") -> DataFrame:
-    """df with the payload in counter mode as a further column, or in its place if `out` is its name; null stays null."""
+def encrypt_ctr(df: DataFrame, payload: str, key_hex: str, iv_hex: str, out: str = "ciphertext", *, first_block: Column | int = 0) -> DataFrame:
+    """df with the payload in counter mode as a further column, or in its place if `out` is its name; null stays null.
+
+    first_block: of a chunk, the number of 16-byte blocks of its payload before it. A row takes some five times its payload in memory.
+    """
     ship(df.sparkSession)
-    names = [c for c in df.columns if c != out]
-    plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{payload}`").alias("payload"))
-    width = len(names)
-
-    def xor(batches):
-        for batch in batches:
-            rows = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)
-            coded = [None if p is None else (np.frombuffer(p, np.uint8) ^ np.frombuffer(k, np.uint8)[: len(p)]).tobytes() for p, k in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(coded, pa.binary())], [*batch.schema.names[:width], "coded"])
-
-    schema = StructType([*plain.schema.fields[:width], StructField("coded", BinaryType())])
-    coded = plain.withColumn("keystream", keystream(F.col("payload"), key_hex, iv_hex)).mapInArrow(xor, schema).toDF(*names, out)
-    return coded.select(*(f"`{c}`" for c in ([*df.columns] if out in df.columns else [*names, out])))
+    data, first = F.col(f"`{payload}`"), first_block if isinstance(first_block, Column) else F.lit(first_block)
+    made = _counters_of(iv_hex)(first.cast("long"), F.octet_length(data))
+    return df.withColumn(out, F.pandas_udf(_xor, BinaryType())(data, F.aes_encrypt(made, F.unhex(F.lit(key_hex)), F.lit("ECB"), F.lit("PKCS"))))
+
+
+def chunk_payloads(df: DataFrame, payload: str, *, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """A row for each chunk: all other columns, chunk (0, 1 ...), first_block, and its part of the payload. An empty or null payload is one chunk."""
+    if chunk_bytes % 16:
+        raise ValueError(f"chunks of {chunk_bytes} bytes don't end at a block's end")
+    others = [F.col(f"`{c}`") for c in df.columns if c != payload]
+    data = F.col(f"`{payload}`")
+    last = F.greatest(F.lit(0), F.coalesce(F.floor((F.octet_length(data) - 1) / chunk_bytes), F.lit(0))).cast("int")
+    rows = df.select(*others, data, F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    piece = F.substring(data, F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return rows.select(*others, "chunk", (F.col("chunk").cast("long") * (chunk_bytes // 16)).alias("first_block"), piece.alias(payload))
+
+
+def join_chunks(chunks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys and the chunks of each in their order as one value, for payloads that a cell can hold."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", value)))
+    return chunks.groupBy(*keys).agg(ordered.alias("_c")).select(*keys, F.aggregate(F.transform("_c", lambda c: c[value]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias(value))
+
+
+def encrypt_files(spark: SparkSession, source: str, target: str, key_hex: str, iv_hex: str, *, chunk_bytes: int = 1 << 20, pattern: str = "*") -> None:
+    """The files of a folder in counter mode under the same names in another; files of any size, in chunks of bounded memory. Twice gives the files again."""
+    chunks = read_raw_bytes(spark, source, chunk_bytes=chunk_bytes, pattern=pattern)
+    write_raw_bytes(encrypt_ctr(chunks, "data", key_hex, iv_hex, "data", first_block=F.expr("at div 16")), target)
 
 
 decrypt_ctr = encrypt_ctr

@@ -47,6 +47,15 @@ def e5_back(spark, sf_dir):
     return cipher.decrypt_ctr(coded.drop("payload"), "ciphertext", KEY, IV, "payload").select("o_orderkey", F.hex("payload").alias("payload"))
 
 
+@query("e5_chunks_round_trip", with_("payloads") + "select o_orderkey, hex(payload) as payload from payloads")
+def e5_chunks(spark, sf_dir):
+    """Payloads in chunks of one block, encrypted whole, decrypted by chunk and put together again."""
+    coded = cipher.encrypt_ctr(payloads(spark, sf_dir), "payload", KEY, IV).drop("payload")
+    chunks = cipher.chunk_payloads(coded, "ciphertext", chunk_bytes=16)
+    plain = cipher.decrypt_ctr(chunks, "ciphertext", KEY, IV, "payload", first_block=F.col("first_block"))
+    return cipher.join_chunks(plain, ["o_orderkey"], "payload").withColumn("payload", F.hex("payload"))
+
+
 # --- radar; integers where the oracle compares ---
 
 

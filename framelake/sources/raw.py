@@ -97,6 +97,17 @@ def write_raw_frames(frames: DataFrame, path: str, *, width: int, height: int, d
     dealt.write.format(RawSource.name()).mode(mode).options(width=width, height=height, dtype=dtype, endian=endian, name=name, lines_per_part=lines).save(path)
 
 
+def read_raw_bytes(spark: SparkSession, path: str, *, chunk_bytes: int = 1 << 20, pattern: str = "*", range_bytes: int | None = None) -> DataFrame:
+    """Files of any size in chunks: (name, at, data), `at` counted in bytes."""
+    return _read(spark, path, "bytes", None, None, chunk_bytes=chunk_bytes, pattern=pattern, range_bytes=range_bytes).drop("file")
+
+
+def write_raw_bytes(chunks: DataFrame, path: str, *, mode: str = "append") -> None:
+    """Chunks (name, at, data) as files below path, a mounted folder: all of them whole, or none."""
+    register(chunks.sparkSession)
+    chunks.select("name", F.col("at").cast("long").alias("at"), "data").write.format(RawSource.name()).mode(mode).options(layout="bytes").save(path)
+
+
 def frames_to_binary(frames: DataFrame, *, dtype: str = "u16", frame: str = "frame_id", value: str = "v") -> DataFrame:
     """(frame_id, content): each frame's pixels in row-major order. A frame is one group, of bounded size."""
     kind = DTYPES[dtype]

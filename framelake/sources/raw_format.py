@@ -31,6 +31,7 @@ SCHEMAS = {
     "frames": "file string, frame_id int, y int, x int, v {value}, error string",
     "lines": "file string, scene_id int, patch int, az int, re array<float>, im array<float>",
     "samples": "file string, series_id string, i long, x long",
+    "bytes": "file string, name string, at long, data binary",
 }
 _BATCH = 1 << 18  # values that are decoded at once
 
@@ -73,14 +74,15 @@ class RawReader(DataSourceReader):
         if options.get("endian", "little") == "big":
             self.kind = self.kind.newbyteorder(">")
         self.width, self.height = int(options.get("width", 0)), int(options.get("height", 0))
-        self.record = {"frames": self.width * self.kind.itemsize, "lines": 8 * self.width, "samples": self.kind.itemsize}[layout]
+        self.record = {"frames": self.width * self.kind.itemsize, "lines": 8 * self.width, "samples": self.kind.itemsize, "bytes": 1}[layout]
+        self.chunk = int(options.get("chunk_bytes", 1 << 20))
         self.numbers = json.loads(options.get("numbers", "null"))  # ranges [first, last]
         self.least, self.most = json.loads(options.get("places", f"[0, {1 << 62}]"))
 
     def names(self, path: str, name: str) -> dict:
         if self.layout == "frames":
             return {"file": path, "frame_id": last_number(name)}
-        if self.layout == "samples":
+        if self.layout in ("samples", "bytes"):
             return {"file": path, "series_id": name}
         scene = re.search(r"scene(\d+)", name)
         return {"file": path, "scene_id": int(scene[1]) if scene else int(self.options.get("scene_id", 0)), "patch": last_number(name)}
@@ -91,6 +93,8 @@ class RawReader(DataSourceReader):
         files, folder = store(self.options["path"])
         pattern, size = self.options.get("pattern", "*.bin"), int(self.options.get("range_bytes", 64 << 20))
         per_range = max(1, size // max(1, self.record))
+        if self.layout == "bytes":  # ranges of whole chunks
+            per_range = max(1, per_range // self.chunk) * self.chunk
         out, held, held_bytes = [], [], 0
         for info in sorted(files.get_file_info(fs.FileSelector(folder, recursive=self.options.get("recursive", "false") == "true")), key=lambda i: i.path):
             name = info.base_name
@@ -116,7 +120,7 @@ class RawReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files, _ = store(self.options["path"])
-        step = max(1, _BATCH // max(1, self.width))
+        step = self.chunk if self.layout == "bytes" else max(1, _BATCH // max(1, self.width))
         for path, told, begin, end, wrong in partition.pieces:
             if wrong:
                 yield self.failed(told, wrong)
@@ -143,6 +147,9 @@ class RawReader(DataSourceReader):
             parts = [pa.ListArray.from_arrays(border, pa.array(np.ascontiguousarray(v[:, :, k]).ravel())) for k in (0, 1)]
             ids = [pa.array(np.full(n, told[c] if told[c] is not None else -1, np.int32)) for c in ("scene_id", "patch")]
             return pa.RecordBatch.from_arrays([same(told["file"], n), *ids, pa.array(np.arange(first, first + n, dtype=np.int32)), *parts], ["file", "scene_id", "patch", "az", "re", "im"])
+        if self.layout == "bytes":
+            columns = [pa.array([x]) for x in (told["file"], told["series_id"], first)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([data], pa.binary())], ["file", "name", "at", "data"])
         v = np.frombuffer(data, self.kind)
         v = v.astype(np.float64 if self.kind.kind == "f" else np.int64)
         if self.layout == "samples":
@@ -154,19 +161,87 @@ class RawReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Bytes of each frame that a task has written."""
+    """Bytes of each file that a task has written."""
+
+    bytes: dict
+
 
-    bytes: dict[int, int]
+def _put(path: str, data: bytes, at: int) -> None:
+    """data at its place in a file that others write to as well."""
+    file = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
+    try:
+        left = memoryview(data)
+        while left:
+            n = os.pwrite(file, left, at)
+            left, at = left[n:], at + n
+    finally:
+        os.close(file)
 
 
-class RawWriter(DataSourceArrowWriter):
+class PlacedWriter(DataSourceArrowWriter):
+    """Writes parts to their place in temporary files, which get their names when all bytes are there."""
+
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = local_folder(options["path"]), overwrite
+        self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
+
+    def file_name(self, key) -> str:
+        return key
+
+    def size(self, key) -> int:
+        """Of a whole file."""
+        return os.path.getsize(f"{self.temporary}/{key}")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """Rows (name, at, data)."""
+        os.makedirs(self.temporary, exist_ok=True)
+        done: dict = {}
+        for batch in batches:
+            for name, at, data in zip(*(batch.column(c).to_pylist() for c in ("name", "at", "data")), strict=True):
+                if not name or "/" in name or name.startswith("_temporary-"):
+                    raise ValueError(f"{name} is no file name")
+                _put(f"{self.temporary}/{name}", data or b"", at)
+                done[name] = done.get(name, 0) + len(data or b"")
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        """Files that are whole get their names; any other file fails the write."""
+        total: dict = {}
+        for message in messages:
+            for key, n in (message.bytes if message else {}).items():
+                total[key] = total.get(key, 0) + n
+        short = sorted(k for k, n in total.items() if n != self.size(k))
+        if short:
+            self.abort(messages)
+            raise ValueError(f"files {short[:10]} lack parts")
+        os.makedirs(self.folder, exist_ok=True)
+        if self.overwrite:
+            for name in os.listdir(self.folder):
+                if not name.startswith("_temporary-"):
+                    os.remove(f"{self.folder}/{name}")
+        for key in sorted(total):
+            os.replace(f"{self.temporary}/{key}", f"{self.folder}/{self.file_name(key)}")
+        shutil.rmtree(self.temporary, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.temporary, ignore_errors=True)
+
+
+class RawWriter(PlacedWriter):
+    """Frames by rows of pixels."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
         self.width, self.height = int(options["width"]), int(options["height"])
         kind = np.dtype(DTYPES[options.get("dtype", "u16")])
         self.kind = kind.newbyteorder(">") if options.get("endian", "little") == "big" else kind
         self.name, self.lines = options.get("name", "frame_{:06d}.bin"), int(options.get("lines_per_part", 0)) or self.height
-        self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
+
+    def file_name(self, key) -> str:
+        return self.name.format(key)
+
+    def size(self, key) -> int:
+        return self.width * self.height * self.kind.itemsize
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         """Rows (frame_id, y, x, v) in the order of frames and lines; a run of lines is written when it is whole."""
@@ -177,15 +252,7 @@ class RawWriter(DataSourceArrowWriter):
             frame, part = here
             if seen != grid.size:
                 raise ValueError(f"frame {frame}: {seen} pixels in lines {part * self.lines} to {part * self.lines + len(grid) - 1} instead of {grid.size}")
-            file = os.open(f"{self.temporary}/{frame}", os.O_WRONLY | os.O_CREAT, 0o644)
-            try:
-                data, at = memoryview(grid.tobytes()), part * self.lines * self.width * self.kind.itemsize
-                while data:
-                    n = os.pwrite(file, data, at)
-                    data, at = data[n:], at + n
-                os.fsync(file)
-            finally:
-                os.close(file)
+            _put(f"{self.temporary}/{frame}", grid.tobytes(), part * self.lines * self.width * self.kind.itemsize)
             done[frame] = done.get(frame, 0) + grid.nbytes
 
         for batch in batches:
@@ -207,31 +274,9 @@ class RawWriter(DataSourceArrowWriter):
             put()
         return Written(done)
 
-    def commit(self, messages: list) -> None:
-        """Frames that are whole get their names; any other frame fails the write."""
-        total: dict[int, int] = {}
-        for message in messages:
-            for frame, n in (message.bytes if message else {}).items():
-                total[frame] = total.get(frame, 0) + n
-        want = self.width * self.height * self.kind.itemsize
-        short = sorted(f for f, n in total.items() if n != want)
-        if short:
-            self.abort(messages)
-            raise ValueError(f"frames {short[:10]} lack lines")
-        if self.overwrite and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                if not name.startswith("_temporary-"):
-                    os.remove(f"{self.folder}/{name}")
-        for frame in sorted(total):
-            os.replace(f"{self.temporary}/{frame}", f"{self.folder}/{self.name.format(frame)}")
-        shutil.rmtree(self.temporary, ignore_errors=True)
-
-    def abort(self, messages: list) -> None:
-        shutil.rmtree(self.temporary, ignore_errors=True)
-
 
 class RawSource(DataSource):
-    """format("framelake_raw"): options path, layout (frames, lines, samples), width, height, dtype, endian, pattern, range_bytes, numbers, places; to write: name, lines_per_part."""
+    """format("framelake_raw"): options path, layout (frames, lines, samples, bytes), width, height, dtype, endian, pattern, range_bytes, numbers, places; to write: name, lines_per_part."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,5 +288,5 @@ class RawSource(DataSource):
     def reader(self, schema) -> RawReader:
         return RawReader(dict(self.options), self.options.get("layout", "frames"))
 
-    def writer(self, schema, overwrite: bool) -> RawWriter:
-        return RawWriter(dict(self.options), overwrite)
+    def writer(self, schema, overwrite: bool) -> PlacedWriter:
+        return (PlacedWriter if self.options.get("layout") == "bytes" else RawWriter)(dict(self.options), overwrite)

@@ -116,7 +116,7 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     path, good = str(tmp_path / "out"), table(spark, stack)
     raw.write_raw_frames(good.where("frame_id = 0"), path, width=5, height=6)
     fails = good.where("frame_id > 0").withColumn("v", F.when(F.expr("frame_id = 2 and y = 5"), F.raise_error(F.lit("halfway"))).otherwise(F.col("v")))
-    cases = [(fails, "halfway"), (good.where("not (frame_id = 2 and y = 4 and x = 1)"), "instead of"), (good.where("not (frame_id = 1 and y >= 4)"), "lack lines"), (good.withColumn("x", F.col("x") + 1), "outside")]
+    cases = [(fails, "halfway"), (good.where("not (frame_id = 2 and y = 4 and x = 1)"), "instead of"), (good.where("not (frame_id = 1 and y >= 4)"), "lack parts"), (good.withColumn("x", F.col("x") + 1), "outside")]
     for frames, says in cases:
         with pytest.raises(Exception, match=says):
             raw.write_raw_frames(frames, path, width=5, height=6, part_bytes=20)

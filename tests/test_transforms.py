@@ -118,6 +118,40 @@ def test_published_vectors(spark, key):
     assert b"".join(bytes(r.ciphertext) for r in cipher.encrypt_blocks(df, "p", key, IV).orderBy("b").collect()).hex() == VECTORS[key]
 
 
+@pytest.mark.parametrize("chunk_bytes", [16, 32, 48, 1 << 20])
+def test_published_vectors_across_the_borders_of_chunks(spark, chunk_bytes):
+    key = next(iter(VECTORS))
+    df = spark.createDataFrame([(1, bytearray.fromhex(PLAIN)), (2, bytearray()), (3, None), (4, bytearray.fromhex(PLAIN)[:33])], "id int, p binary")
+    coded = cipher.encrypt_ctr(cipher.chunk_payloads(df, "p", chunk_bytes=chunk_bytes), "p", key, IV, "c", first_block=F.col("first_block"))
+    found = {r.id: r.c for r in cipher.join_chunks(coded, ["id"], "c").collect()}
+    assert {i: None if c is None else bytes(c).hex() for i, c in found.items()} == {1: VECTORS[key], 2: "", 3: None, 4: VECTORS[key][:66]}
+    with pytest.raises(ValueError):
+        cipher.chunk_payloads(df, "p", chunk_bytes=20)
+
+
+def test_counters_carry_into_all_128_bits():
+    for iv, first, n in ((2**128 - 2, 0, 4), (2**64 - 1, 0, 3), (2**64 - 5, 2**40, 3), (7, 2**63, 2), (0, 0, 1)):
+        assert cipher.counters(iv, first, n) == b"".join(((iv + first + k) % 2**128).to_bytes(16, "big") for k in range(n))
+
+
+def test_large_files_are_encrypted_in_chunks(spark, tmp_path):
+    """160 MB in chunks of 1 MB by four ranges, as one keystream; twice gives the file again; empty files and odd ends."""
+    rng = np.random.default_rng(1)
+    source = tmp_path / "in"
+    source.mkdir()
+    data = {"large": np.tile(rng.integers(0, 256, 1 << 20, dtype=np.uint8), 160).tobytes() + b"end", "odd": b"x" * 33, "one": b"y"}
+    for name, content in data.items():
+        (source / name).write_bytes(content)
+    key = next(iter(VECTORS))
+    cipher.encrypt_files(spark, str(source), str(tmp_path / "coded"), key, IV)
+    coded = (tmp_path / "coded" / "large").read_bytes()
+    for at in (0, 5 << 20, (64 << 20) - 16, 160 << 20):  # a cut of the file is encrypted as it would be in the whole
+        part = spark.createDataFrame([(bytearray(data["large"][at : at + 64]),)], "p binary")
+        assert bytes(cipher.encrypt_ctr(part, "p", key, IV, first_block=at // 16).first().ciphertext) == coded[at : at + 64]
+    cipher.encrypt_files(spark, str(tmp_path / "coded"), str(tmp_path / "back"), key, IV)
+    assert {f.name: f.read_bytes() for f in (tmp_path / "back").iterdir()} == data
+
+
 def test_odd_payloads_and_carry(spark):
     rows = [(i, bytearray(range(i))) for i in (0, 1, 15, 16, 17, 40)] + [(99, None)]
     df = spark.createDataFrame(rows, "id int, p binary")
