@@ -34,6 +34,10 @@ BITS = 21
 PORTION = 150_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>"]] = True
+_SPACES = b" \t\n\v\f\r"
+_PIECE = 1_000_000  # bytes of a long text whose features are found at once
+#: Bytes that begin a code point of a word.
+_IN_WORD = np.array([not (b in b" \t\n\v\f\r" or 128 <= b < 192) for b in range(256)], bool)
 BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -41,14 +45,9 @@ def base_counts(texts: list[bytes]) -> np.ndarray:
     """A row of BASE_NAMES for each text."""
     words = Words(texts)
     n_words = words.counts()
-    borders = np.append(words.text_begin, len(words.data))
-    inside = np.zeros(len(words.data), bool)
-    space = np.zeros(len(words.data) + 1, np.int8)
-    space[words.begin] += 1
-    space[words.end] -= 1
-    inside = np.cumsum(space[:-1]) > 0
-    word_chars = per_text(inside & ((words.data & 0xC0) != 0x80), np.append(borders[:-1], len(words.data)))
-    symbols = per_text(_SYMBOL[words.data], borders)
+    # a space follows each text, so none is without a byte here; sums by text without an array of numbers for bytes
+    by_text = lambda flags: np.add.reduceat(flags.view(np.uint8), words.text_begin, dtype=np.int64) if texts else np.zeros(0, np.int64)
+    word_chars, symbols = by_text(_IN_WORD[words.data]), by_text(_SYMBOL[words.data])
     dup_lines = []
     for text in texts:
         lines = [x for x in text.split(b"\n") if x.strip()]
@@ -70,8 +69,26 @@ def base_counts(texts: list[bytes]) -> np.ndarray:
     return np.column_stack([n_words, word_chars, symbols, np.array(dup_lines, np.int64), per_text(covered, words.first)]).astype(np.int64)
 
 
+def _pieces(text: bytes, size: int) -> list[bytes]:
+    """A long text in pieces that end where a word ends and begin with the last word of the one before, so that their features are the text's."""
+    plain, out, begin, cut = text.translate(NORMALISE), [], 0, 0
+    while len(text) - cut > size:
+        space = next((i for i in range(cut + size, len(text)) if text[i] in _SPACES), len(text))
+        out.append(text[begin:space])
+        held = plain[:space].rstrip()
+        begin, cut = max(held.rfind(b" ") + 1, begin), space
+    return [*out, text[begin:]]
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, place) of every feature that a text has, without repeats, in order."""
+    """(text number, place) of every feature that a text has, without repeats, in order; of a long text by pieces."""
+    if len(texts) == 1 and len(texts[0]) > 2 * _PIECE:
+        place = distinct(np.concatenate([_features([piece])[1] for piece in _pieces(texts[0], _PIECE)]))
+        return np.zeros(len(place), np.int64), place
+    return _features(texts)
+
+
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words, shift = Words([t.translate(NORMALISE) for t in texts]), np.uint64(64 - BITS)
     owner = np.repeat(np.arange(len(texts)), words.counts())
     hashes = words.hashes()

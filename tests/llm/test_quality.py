@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from framelake.llm import quality
 from framelake.llm.common import read
 from framelake.llm.quality import Head, base_counts, features, filter_quality, score_quality, train
 
@@ -79,3 +80,19 @@ def test_repeated_ids_and_half_null_labels(spark):
     assert np.array_equal(heads[0].weights, first[0].weights)
     small = train(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_labelled=50)
     assert small[0].weights is None or not np.array_equal(small[0].weights, first[0].weights)
+
+
+@pytest.mark.parametrize("size", [1, 7, 133, 5_000])
+def test_pieces_of_a_long_text_have_its_features(size):
+    """Pairs of words and bytes over the cuts too, where signs alone or a very long word stand there."""
+    rng = random.Random(size)
+    words = ["the", "a", "Éa", "--", "...", "x,y", "日本", "foo!", "9", "-!-", "w" * 40]
+    text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t \n"]) for _ in range(2_000)).encode()
+    found = np.unique(np.concatenate([quality._features([p])[1] for p in quality._pieces(text, size)]))
+    assert np.array_equal(found, np.unique(quality._features([text])[1]))
+
+
+def test_a_text_of_many_pieces():
+    text = b" ".join(b"w%d" % (k * k % 7001) for k in range(900_000))
+    owner, place = quality.features([text])
+    assert len(text) > 4_000_000 and not owner.any() and np.array_equal(place, np.unique(quality._features([text])[1]))
