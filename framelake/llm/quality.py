@@ -70,13 +70,14 @@ def base_counts(texts: list[bytes]) -> np.ndarray:
 
 
 def _pieces(text: bytes, size: int) -> list[bytes]:
-    """A long text in pieces that end where a word ends and begin with the last word of the one before, so that their features are the text's."""
+    """A long text in pieces that end where a word ends and begin with its last two words, so that their features are the text's."""
     plain, out, begin, cut = text.translate(NORMALISE), [], 0, 0
     while len(text) - cut > size:
         space = next((i for i in range(cut + size, len(text)) if text[i] in _SPACES), len(text))
         out.append(text[begin:space])
-        held = plain[:space].rstrip()
-        begin, cut = max(held.rfind(b" ") + 1, begin), space
+        held = plain[begin:space].rstrip()
+        held = held[: held.rfind(b" ") + 1].rstrip()
+        begin, cut = begin + held.rfind(b" ") + 1, space
     return [*out, text[begin:]]
 
 
