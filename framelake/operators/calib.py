@@ -317,6 +317,35 @@ def with_rim(rows: DataFrame, tile: int) -> DataFrame:
     return rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
 
 
+def tiles(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", tile: int = 64) -> DataFrame:
+    """Pixels with their maps, by tile and rim: (ty, tx, t, y, x, v, off, gain, bad), what calibrate_tiles reads."""
+    if tile % 2:
+        raise ValueError(f"tile is {tile}; bins of 2x2 pixels need an even one")
+    y, x = on
+    at = [F.col(f"`{y}`").cast("int").alias("y"), F.col(f"`{x}`").cast("int").alias("x")]
+    maps = gains.select(*at, F.col("gain").cast("long").alias("gain")).join(offsets.select(*at, F.col("off").cast("long").alias("off")), ["y", "x"], "full").join(mask.select(*at, F.col("bad").cast("long").alias("bad")), ["y", "x"], "full")
+    rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).join(maps, ["y", "x"]).na.fill(-1, ["gain", "off", "bad"])
+    return with_rim(rows, tile).select(*_TILE_ROW)
+
+
+_TILE_ROW = ("ty", "tx", "t", "y", "x", "v", "off", "gain", "bad")
+
+
+def write_tiles(rows: DataFrame, table: str, *, n_buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
+    """tiles() as a table bucketed by tile, so that a campaign is shuffled once, however often it is calibrated; mode "append" adds frames."""
+    # the partitions are the buckets: a file each
+    writer = rows.repartition(n_buckets, "ty", "tx").write.mode(mode).bucketBy(n_buckets, "ty", "tx").sortBy("ty", "tx", "t")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def calibrate_tiles(rows: DataFrame, *, tile: int = 64, first_prepared: int = 4) -> DataFrame:
+    """calibrate() of tiles(): (y, x, v). A table of write_tiles is read bucket by bucket, without a shuffle."""
+    ship(rows.sparkSession)
+    # a window asks for all of a tile in the order of time, which a bucketed table has already
+    ordered = rows.select(*_TILE_ROW, F.row_number().over(Window.partitionBy("ty", "tx").orderBy("t")).alias("place"))
+    return ordered.mapInArrow(_calibrated(tile, first_prepared), "y int, x int, v long")
+
+
 def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", first_prepared: int = 4, tile: int = 64) -> DataFrame:
     """Offset, bad pixels, recursive scrub with gain, 2x2 bins and co-addition. Frames before `first_prepared` come prepared.
 
@@ -324,15 +353,8 @@ def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: Dat
     moments in memory. `tile` is even, so that bins lie within tiles and are summed there: nothing else is shuffled. A bin that lacks a pixel
     in a frame has no part of that frame, as in coadd(bin_spatial(...)).
     """
-    if tile % 2:
-        raise ValueError(f"tile is {tile}; bins of 2x2 pixels need an even one")
-    ship(frames.sparkSession)
-    y, x = on
-    at = [F.col(f"`{y}`").cast("int").alias("y"), F.col(f"`{x}`").cast("int").alias("x")]
-    maps = gains.select(*at, F.col("gain").cast("long").alias("gain")).join(offsets.select(*at, F.col("off").cast("long").alias("off")), ["y", "x"], "full").join(mask.select(*at, F.col("bad").cast("long").alias("bad")), ["y", "x"], "full")
-    rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).join(maps, ["y", "x"]).na.fill(-1, ["gain", "off", "bad"])
-    sums = with_rim(rows, tile).repartition("ty", "tx").sortWithinPartitions("ty", "tx", "t").mapInArrow(_calibrated(tile, first_prepared), "y int, x int, v long")
-    return sums.select(F.col("y").alias(y), F.col("x").alias(x), F.col("v").alias(value))
+    sums = calibrate_tiles(tiles(frames, offsets, gains, mask, frame=frame, on=on, value=value, tile=tile), tile=tile, first_prepared=first_prepared)
+    return sums.select(F.col("y").alias(on[0]), F.col("x").alias(on[1]), F.col("v").alias(value))
 
 
 def frame_roles(frames: DataFrame, *, frame: str = "frame_id") -> DataFrame:

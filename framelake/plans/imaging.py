@@ -1,7 +1,10 @@
 """Queries of the calibration, comparison and display operators."""
 
+import uuid
+
+from framelake.functions.scratch import Scratch, scratch_path, written
 from framelake.operators import calib, compare
-from framelake.plans.catalog import query
+from framelake.plans.catalog import ORACLES, query
 from framelake.plans.fixtures import frames, image, maps, table, with_
 
 _OFF = "off_ as (select f.frame_id, f.y, f.x, cast((f.v - m.off + 65536) % 65536 as int) v from frames f join maps m using (y, x))"
@@ -82,6 +85,20 @@ def i7(spark, sf_dir):
     return calib.calibrate(frames(spark, sf_dir), m, m, m)
 
 
+@query("i7_calibrate_campaign", ORACLES["i7_calibrate"])
+def i7_campaign(spark, sf_dir):
+    """Frames in two parts to a table bucketed by tile, calibrated from there without a shuffle."""
+    m, whole, name = maps(spark, sf_dir), frames(spark, sf_dir), f"framelake_campaign_{uuid.uuid4().hex}"
+    with Scratch(spark, "campaign") as work:
+        try:
+            path = work.path("tiles")
+            for mode, part in (("errorifexists", "frame_id < 7"), ("append", "frame_id >= 7")):
+                calib.write_tiles(calib.tiles(whole.where(part), m, m, m, tile=16), name, n_buckets=8, path=path, mode=mode)
+            return written(calib.calibrate_tiles(spark.table(name), tile=16), scratch_path(spark, "result"))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query("i8_calibrate_clean", with_("frames", "maps", more=_PREPARED.replace("frame_id < 4", "frame_id < 0").replace("frame_id >= 4", "frame_id >= 0") + ",\n" + _SCRUBBED, recursive=True) + "select cast(y // 2 as int) y, cast(x // 2 as int) x, cast(sum(p1) as bigint) v from scrub where t >= 2 group by all")
 def i8(spark, sf_dir):
     m = maps(spark, sf_dir)

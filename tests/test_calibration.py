@@ -173,6 +173,20 @@ def test_missing_pixels(spark, scene, tile):
     assert found == want and len(want) > 10
 
 
+def test_a_campaign_in_buckets_is_not_shuffled_again(spark, scene, tmp_path):
+    """A table by tile, with frames added later; equal to the calibration of all frames, and no exchange in the plan."""
+    stack, off, gain, bad = scene
+    m, frames = map_table(spark, off=off, gain=gain, bad=bad), frame_table(spark, stack)
+    try:
+        for mode, part in (("errorifexists", "frame_id < 5"), ("append", "frame_id >= 5")):
+            calib.write_tiles(calib.tiles(frames.where(part), m, m, m, tile=4), "campaign", n_buckets=3, path=f"{tmp_path}/tiles", mode=mode)
+        found = calib.calibrate_tiles(spark.table("campaign"), tile=4)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.y, r.x): r.v for r in found.collect()} == {(r.y, r.x): r.v for r in calib.calibrate(frames, m, m, m, tile=4).collect()}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS campaign")
+
+
 def test_calibration_shuffles_pixels_once(spark, scene):
     stack, off, gain, bad = scene
     m = map_table(spark, off=off, gain=gain, bad=bad)
