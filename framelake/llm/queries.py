@@ -25,5 +25,6 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op12_suffix_dedup": suffix_dedup.SQL,
     "op13_lexical_search": lexical_search.SQL,
 }

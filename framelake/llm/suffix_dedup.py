@@ -366,3 +366,18 @@ def repeated_bytes(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
 
 def op12_suffix_dedup(spark, sf_dir):
     return repeated_bytes(read(spark, sf_dir, "documents"), keep="none").drop("spans")
+
+
+#: Texts in pieces of 1,000 bytes, in which a window is found without counting from the text's begin.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, g, substr(h, (g * 2000 + 1)::BIGINT, 2400) AS s FROM d, unnest(range(0, length(h) // 2000 + 1)) AS t(g)),
+w AS MATERIALIZED (SELECT r, g * 1000 + j AS i, md5(substr(s, (2 * j + 1)::BIGINT, 400)) AS m FROM c, unnest(range(0, 1000)) AS t(j) WHERE 2 * j + 400 <= length(s)),
+a AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM a),
+s AS (SELECT r, k, min(i) AS b, max(i) + 200 AS e FROM n GROUP BY r, k),
+p AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS f FROM s),
+q AS (SELECT r, count(*) AS n_spans, sum(e - b)::BIGINT AS n_removed, max(e) AS last, string_agg(substr(h, (2 * f + 1)::BIGINT, (2 * (b - f))::BIGINT), '' ORDER BY b) AS kept FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, (2 * last + 1)::BIGINT) END)) AS kept_sha256 FROM d LEFT JOIN q USING (r)
+"""
