@@ -86,9 +86,9 @@ class WordTokenizer:
     def _chunks(self, text: bytes) -> list[bytes]:
         """Lower-cased where they are ASCII, as a capital may compose with the mark behind it, and hold no special token's name, whose case decides."""
         low = text.translate(LOWER)
-        if text.isascii() and not any(name in low for name in self.special):
-            return low.split()
-        return [raw if not raw.isascii() or any(name in part for name in self.special) else part for raw, part in zip(text.split(), low.split(), strict=True)]
+        if any(name in low for name in self.special):
+            return [raw if not raw.isascii() or any(name in part for name in self.special) else part for raw, part in zip(text.split(), low.split(), strict=True)]
+        return low.split() if text.isascii() else [part if part.isascii() else raw for raw, part in zip(text.split(), low.split(), strict=True)]
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
