@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _filled(spark, sf_dir, rows: int) -> DataFrame:
-    """The vectors; the last group of `rows` is filled up with the first vectors, numbered on, so that all are used."""
+    """The vectors; the last group of `rows` is filled up with the first vectors, numbered on, so that all are used.
+
+    The first ones are doubled in place: a union of both fails in Spark 4.1's optimizer where joins infer filters from its constraints.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = vectors.agg(F.count("*").alias("n"))
-    more = vectors.join(F.broadcast(n)).where(f"vec_id < ({rows} - n % {rows}) % {rows}")  # one row
-    return vectors.union(more.select(F.col("vec_id") + F.col("n"), "embedding"))
+    own = F.when(F.expr(f"vec_id < ({rows} - n % {rows}) % {rows}"), F.array(F.col("vec_id"), F.col("vec_id") + F.col("n"))).otherwise(F.array("vec_id"))
+    return vectors.join(F.broadcast(n)).select(F.explode(own).alias("vec_id"), "embedding")  # one row
 
 
 def _elements(spark, sf_dir, rows: int) -> DataFrame:
