@@ -312,9 +312,10 @@ def _calibrated(tile: int, first_prepared: int):
 
 
 def with_rim(rows: DataFrame, tile: int) -> DataFrame:
-    """rows with the tile (ty, tx) that each pixel (y, x) lies in, and again for each other tile whose rim of one pixel it lies in."""
+    """rows with the tile (ty, tx) that each pixel (y, x) lies in, and again for each other tile whose rim of one pixel it lies in, if that has pixels of its own."""
     near = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int"))
-    return rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    own = rows.select(*(F.floor(F.col(c) / tile).cast("int").alias(f"t{c}") for c in PIXEL)).distinct()
+    return rows.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x"))).join(own, ["ty", "tx"], "left_semi")
 
 
 def tiles(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", tile: int = 64) -> DataFrame:

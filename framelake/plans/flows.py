@@ -68,15 +68,32 @@ def s3(spark, sf_dir):
     return s3_files(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max("x").alias("most"))
 
 
+#: Files of a part of the frames that a trigger of the stream takes, and the number of such parts beyond 4 frames each.
+_PART_FILES, _PARTS = 8, 16
+
+
 @query("st1_calibrate_stream", ORACLES.get("i7_calibrate"))
 def st1(spark, sf_dir):
-    """Frames as a stream of files, a few in each trigger; what leaves it is binned and summed as in the batch query."""
+    """Frames as a stream of files that come in parts, in the order of time; what leaves it is binned and summed as in the batch query.
+
+    A trigger costs the same however little it takes, so the parts grow with the frames. A part's files come in any order, so as many frames as two parts have may wait.
+    """
     with Scratch(spark, "stream") as work:
         source, sink, state = (work.path(n) for n in ("in", "out", "state"))
-        raw.write_frames(frames(spark, sf_dir).withColumn("frame", F.col("frame_id")), source, frame="frame")
-        stream = spark.readStream.schema("frame_id int, y int, x int, v int").option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(source)
-        done = calibrate_stream(stream, maps(spark, sf_dir))
-        job = done.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        whole, m = frames(spark, sf_dir), work.keep(maps(spark, sf_dir), "maps")
+        last = whole.agg(F.max("frame_id")).first()[0]
+        part = max(4, -(-((last or 0) + 1) // _PARTS))
+        for begin in range(0, (last or 0) + 1, part):
+            whole.where(F.col("frame_id").between(begin, begin + part - 1)).repartition(_PART_FILES, "frame_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("frame_id int, y int, x int, v int").option("maxFilesPerTrigger", _PART_FILES).parquet(source)
+        tile, n = 16, spark.conf.get("spark.sql.shuffle.partitions")
+        tiles = m.select(F.expr(f"y div {tile}"), F.expr(f"x div {tile}")).distinct().count()
+        done = calibrate_stream(stream, m, tile=tile, max_ahead=max(64, 2 * part))
+        try:  # partitions of the state: a tile is a key, so more of them would stay empty
+            spark.conf.set("spark.sql.shuffle.partitions", max(1, min(int(n), tiles)))
+            job = done.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", n)
         job.awaitTermination()
         pixels = spark.read.schema("frame_id int, y int, x int, v int").parquet(sink)
         return written(calib.coadd(calib.bin_spatial(pixels)), scratch_path(spark, "result"))

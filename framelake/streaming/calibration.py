@@ -41,11 +41,15 @@ class TileCalibration(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows))
         expected, n_waiting, timed = self.progress.get() if self.progress.exists() else (0, 0, False)
+        number = came["frame_id"].to_numpy()
+        order = np.argsort(number, kind="stable")
+        columns = {c: came[c].to_numpy()[order] for c in ("y", "x", "v", "off", "gain", "bad")}
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
         new = {}
-        for number, own in came.groupby("frame_id"):
-            number = int(number)
-            if number >= expected and not self.waiting.containsKey((number,)):
-                new[number] = self.frame(key, number, own.drop_duplicates(["y", "x"]))
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+            own = int(number[order[begin]])
+            if own >= expected and not (n_waiting and self.waiting.containsKey((own,))):
+                new[own] = self.frame(key, own, {c: x[begin:end] for c, x in columns.items()})
         yield self.go_on(key, timerValues, expected, n_waiting, timed, new, overdue=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -55,29 +59,30 @@ class TileCalibration(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def frame(self, key, number: int, rows: pd.DataFrame) -> np.ndarray:
-        """(values, -1 where there is no pixel; gains) of the tile's pixels."""
+    def frame(self, key, number: int, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """(values, -1 where there is no pixel; gains) of the tile's pixels; of a pixel that comes twice, the first."""
         y0, x0 = int(key[0]) * self.tile - 1, int(key[1]) * self.tile - 1
         grid = {c: np.full((self.tile + 2, self.tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
-        at = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        at = rows["y"][::-1] - y0, rows["x"][::-1] - x0
         for c in grid:
-            grid[c][at] = rows[c].to_numpy()
+            grid[c][at] = rows[c][::-1]
         v = prepared(grid) if number >= self.first_prepared else grid["v"][1:-1, 1:-1]
         return np.stack([v, grid["gain"][1:-1, 1:-1]]).reshape(2, -1).astype(np.int32)
 
     def go_on(self, key, timers, expected: int, n_waiting: int, timed: bool, new: dict[int, np.ndarray], *, overdue: bool) -> pd.DataFrame:
         """Takes the frames whose turn it is; the others wait in the state. overdue: the missing ones before the first that waits are given up."""
         state, found = self.loaded(), []
-        held = sorted(f[0] for f in self.waiting.keys()) if n_waiting else []
-        while new or held:
-            number = min([*held[:1], *new])
-            if number > expected and not overdue and len(held) + len(new) <= self.max_ahead:
+        held = {f[0] for f in self.waiting.keys()} if n_waiting else set()
+        turns = sorted([*held, *new], reverse=True)
+        while turns:
+            number = turns[-1]
+            if number > expected and not overdue and len(turns) <= self.max_ahead:
                 break
             overdue = False
+            turns.pop()
             if number in new:
                 v, gain = new.pop(number)
             else:
-                held.pop(0)
                 v, gain = np.frombuffer(self.waiting.getValue((number,))[0], np.int32).reshape(2, -1)
                 self.waiting.removeKey((number,))
             expected = number + 1
@@ -88,7 +93,7 @@ class TileCalibration(StatefulProcessor):
             self.scrub.update((np.concatenate([np.atleast_2d(x) for x in (state.seen, state.outputs, state.waiting, state.times)]).astype(np.int32).tobytes(),))
         for number, data in new.items():
             self.waiting.updateValue((number,), (data.tobytes(),))
-        n_waiting = len(held) + len(new)
+        n_waiting = len(turns)
         if n_waiting and not timed and self.max_wait_ms is not None:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.max_wait_ms)
             timed = True
@@ -114,6 +119,6 @@ def calibrate_stream(frames: DataFrame, maps: DataFrame, *, tile: int = 16, firs
     ship(spark)
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-    dealt = with_rim(frames.select("frame_id", "y", "x", "v").join(maps.select("y", "x", "off", "gain", "bad"), ["y", "x"]), tile)
+    dealt = frames.select("frame_id", "y", "x", "v").join(with_rim(maps.select("y", "x", "off", "gain", "bad"), tile), ["y", "x"])
     processor = TileCalibration(tile, first_prepared, max_ahead, max_wait_ms)
     return dealt.groupBy("ty", "tx").transformWithStateInPandas(processor, OUT, "append", "none" if max_wait_ms is None else "processingTime")

@@ -80,3 +80,47 @@ def test_state_written_follows_the_frames_that_came(spark, tmp_path):
     written = [p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"] for p in job.recentProgress if p["numInputRows"]]
     assert len(written) >= 15 and max(written[2:]) < 1.5 * written[1]
     assert spark.read.schema("frame_id int, y int, x int, v int").parquet(f"{tmp_path}/out").count() == 0
+
+
+def test_parts_grow_with_the_frames(spark, tmp_path, monkeypatch):
+    """100 frames come in three triggers, not in 25, whatever the order of a part's files; equal to the batch query."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    from framelake.plans import flows, imaging
+
+    class Triggers(StreamingQueryListener):
+        rows: list[int] = []
+
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            self.rows.append(event.progress.numInputRows)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    rng = np.random.default_rng(8)
+    vectors = [(k, e) for k, e in enumerate((rng.random((3_200, 64)) * 2 - 1).tolist())]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(flows, "_PARTS", 3)
+    listener, before = Triggers(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.streams.addListener(listener)
+    try:
+        found = {(r.y, r.x): r.v for r in flows.st1(spark, str(tmp_path)).collect()}
+        assert found == {(r.y, r.x): r.v for r in imaging.i7(spark, str(tmp_path)).collect()}
+        until = time.time() + 20
+        while time.time() < until and sum(listener.rows) < 100 * 2_048:
+            time.sleep(0.2)
+        assert sum(listener.rows) == 100 * 2_048 and 3 <= sum(n > 0 for n in listener.rows) <= 4
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_tiles_of_rim_alone_are_left_out(spark):
+    rows = calib.with_rim(spark.createDataFrame([(y, x) for y in range(4) for x in range(6)], "y int, x int"), 4).select("ty", "tx", "y", "x").collect()
+    assert {(r.ty, r.tx) for r in rows} == {(0, 0), (0, 1)} and len(rows) == 4 * 5 + 4 * 3
