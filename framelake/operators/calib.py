@@ -9,6 +9,7 @@ four values a series: no series is ever in one row or in memory.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -131,19 +132,6 @@ class SeriesScrub:
         return np.concatenate(rows), np.concatenate(found_times), np.concatenate(results)
 
 
-def moments(batches, *names: str):
-    """Arrow batches in the order of some columns, cut where any of these changes; a moment may come in several pieces."""
-    for batch in batches:
-        if batch.num_rows:
-            new = np.zeros(batch.num_rows - 1, bool)
-            for name in names:
-                values = batch.column(name).to_numpy()
-                new |= values[1:] != values[:-1]
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                yield batch.slice(begin, end - begin)
-
-
 def offset_correct(frames: DataFrame, offsets: DataFrame, *, on: Sequence[str] = PIXEL, value: str = "v", offset: str = "off") -> DataFrame:
     """value - offset, modulo 2^16."""
     return frames.join(offsets.select(*on, offset), list(on)).withColumn(value, F.pmod(F.col(value) - F.col(offset), F.lit(65536)).cast("int")).drop(offset)
@@ -272,40 +260,100 @@ def prepared(grid: dict[str, np.ndarray]) -> np.ndarray:
     return np.where(there & (grid["bad"] == 1), total // np.maximum(n, 1), v)[1:-1, 1:-1]
 
 
+#: The time of a tile's maps, before all frames.
+_MAPS = -(1 << 63)
+_MAP_VALUES = ("off", "gain", "bad")
+_TILE_ROW = ("ty", "tx", "t", "maps", "at", "v", *_MAP_VALUES)
+_TILE_SCHEMA = "ty int, tx int, t long, maps long, at binary, v binary, off binary, gain binary, bad binary"
+
+
+def _packed(tile: int, maps: int):
+    """Pixels (t, y, x, values) to pieces: of each batch a row for each moment of a tile with its rim, places and values in binary, some 6 bytes a pixel."""
+
+    def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        data = values.astype("<i4" if not len(values) or abs(values).max() < 1 << 31 else "<i8")
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+    def run(batches):
+        for batch in batches:
+            t, y, x = (batch.column(c).to_numpy() for c in ("t", "y", "x"))
+            (low_y, high_y), (low_x, high_x) = (((c.astype(np.int64) - 1) // tile, (c.astype(np.int64) + 1) // tile) for c in (y, x))
+            every = np.arange(len(t))
+            down, right = np.flatnonzero(high_y != low_y), np.flatnonzero(high_x != low_x)
+            both = down[high_x[down] != low_x[down]]
+            row = np.concatenate([every, down, right, both])
+            ty, tx = np.concatenate([low_y, high_y[down], low_y[right], high_y[both]]), np.concatenate([low_x, low_x[down], high_x[right], high_x[both]])
+            order = np.lexsort((t[row], tx, ty))
+            row, ty, tx = row[order], ty[order], tx[order]
+            time = t[row]
+            new = (time[1:] != time[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])
+            begin = np.flatnonzero(np.concatenate([[True], new])[: len(row)])
+            cuts, n = np.append(begin, len(row)), len(begin)
+            at = (y[row] - ty * tile + 1) * (tile + 2) + x[row] - tx * tile + 1
+            values = [binary(batch.column(c).to_numpy()[row], cuts) if c in batch.schema.names else pa.nulls(n, pa.binary()) for c in ("v", *_MAP_VALUES)]
+            keys = [pa.array(ty[begin].astype(np.int32)), pa.array(tx[begin].astype(np.int32)), pa.array(time[begin]), pa.array(np.full(n, maps))]
+            yield pa.RecordBatch.from_arrays([*keys, binary(at, cuts), *values], list(_TILE_ROW))
+
+    return run
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // n}").astype(np.int64)
+
+
 def _calibrated(tile: int, first_prepared: int):
+    side = tile + 2
+    inner = lambda grid: grid.reshape(side, side)[1:-1, 1:-1]
+
     def run(batches):
-        """Rows by tile and time, each tile with a rim of one pixel. Yields the sums of the tiles' bins."""
-        here, state, sums, held = None, None, None, []
+        """Pieces by tile and time, each tile with a rim of one pixel and its maps first. Yields the sums of the tiles' bins."""
+        here, state, sums, held, known = None, None, None, [], {}
 
         def finish():
             """The moment whose pieces have come."""
-            y0, x0 = here[0] * tile - 1, here[1] * tile - 1
-            part = pa.Table.from_batches(held)
-            column = lambda c: part[c].to_numpy()
-            at = column("y") - y0, column("x") - x0
-            grid = {c: np.full((tile + 2, tile + 2), -1, np.int64) for c in ("v", "off", "gain", "bad")}
-            for c, g in grid.items():
-                g[at] = column(c)
-            v = (prepared(grid) if here[2] >= first_prepared else grid["v"][1:-1, 1:-1]).ravel()
-            gain = grid["gain"][1:-1, 1:-1].ravel()
+            value = np.full(side * side, -1, np.int64)
+            names = {maps for maps, _, _ in held if maps in known}
+            for maps, at, v in held:
+                if maps in known:
+                    value[at] = v
+            if not names:
+                return
+            if len(names) == 1:
+                grids = known[names.pop()]
+            else:  # a frame that was written in parts, with maps of their own
+                grids = {c: np.full(side * side, -1, np.int64) for c in _MAP_VALUES}
+                for maps, at, _ in held:
+                    for c in _MAP_VALUES if maps in known else ():
+                        grids[c][at] = known[maps][c][at]
+            grid = {c: g.reshape(side, side) for c, g in (("v", value), *grids.items())}
+            v = (prepared(grid) if here[2] >= first_prepared else inner(value)).ravel()
+            gain = inner(grids["gain"]).ravel()
             at = np.flatnonzero((v >= 0) & (gain >= 0))
             done, times, out = state.add(at, here[2], v[at], gain[at])
             sums.add(at[done], times, out)
             sums.wait(at, here[2])
 
-        for part in moments(batches, "ty", "tx", "t"):
-            place = tuple(part.column(c)[0].as_py() for c in ("ty", "tx", "t"))
-            if place != here and held:
-                finish()
-                held = []
-            if here is None or place[:2] != here[:2]:
-                if here is not None:
-                    yield sums.rows(*here[:2])
-                state, sums = Scrub(tile * tile), TileSum(tile)
-            here = place
-            held.append(part)
+        for batch in batches:
+            for ty, tx, t, maps, at, *values in zip(*(batch.column(c).to_pylist() for c in _TILE_ROW), strict=True):
+                if (ty, tx, t) != here and held:
+                    finish()
+                    held = []
+                if here is None or (ty, tx) != here[:2]:
+                    if here is not None:
+                        yield sums.rows(*here[:2])
+                    state, sums, known = Scrub(tile * tile), TileSum(tile), {}
+                here = ty, tx, t
+                at = np.frombuffer(at, "<i4")
+                if t == _MAPS:
+                    grids = known.setdefault(maps, {c: np.full(side * side, -1, np.int64) for c in _MAP_VALUES})
+                    for c, data in zip(_MAP_VALUES, values[1:], strict=True):
+                        grids[c][at] = _unpacked(data, len(at))
+                    continue
+                if maps in known:
+                    held.append((maps, at, _unpacked(values[0], len(at))))
         if held:
             finish()
+        if here is not None:
             yield sums.rows(*here[:2])
 
     return run
@@ -319,17 +367,20 @@ def with_rim(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def tiles(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", tile: int = 64) -> DataFrame:
-    """Pixels with their maps, by tile and rim: (ty, tx, t, y, x, v, off, gain, bad), what calibrate_tiles reads."""
+    """Pixels by tile and rim in pieces of a moment, and the tile's maps once: (ty, tx, t, maps, at, v, off, gain, bad), what calibrate_tiles reads.
+
+    A piece names the maps that it came with, so that frames which are added to a table later may have others.
+    """
     if tile % 2:
         raise ValueError(f"tile is {tile}; bins of 2x2 pixels need an even one")
+    ship(frames.sparkSession)
     y, x = on
     at = [F.col(f"`{y}`").cast("int").alias("y"), F.col(f"`{x}`").cast("int").alias("x")]
     maps = gains.select(*at, F.col("gain").cast("long").alias("gain")).join(offsets.select(*at, F.col("off").cast("long").alias("off")), ["y", "x"], "full").join(mask.select(*at, F.col("bad").cast("long").alias("bad")), ["y", "x"], "full")
-    rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).join(maps, ["y", "x"]).na.fill(-1, ["gain", "off", "bad"])
-    return with_rim(rows, tile).select(*_TILE_ROW)
-
-
-_TILE_ROW = ("ty", "tx", "t", "y", "x", "v", "off", "gain", "bad")
+    maps = maps.na.drop(subset=["y", "x"]).na.fill(-1, list(_MAP_VALUES)).select(F.lit(_MAPS).alias("t"), "y", "x", *_MAP_VALUES)
+    rows = frames.select(F.col(f"`{frame}`").cast("long").alias("t"), *at, F.col(f"`{value}`").cast("long").alias("v")).na.drop()
+    pack = _packed(tile, uuid.uuid4().int >> 65)
+    return rows.mapInArrow(pack, _TILE_SCHEMA).unionAll(maps.mapInArrow(pack, _TILE_SCHEMA))
 
 
 def write_tiles(rows: DataFrame, table: str, *, n_buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
@@ -350,11 +401,13 @@ def calibrate_tiles(rows: DataFrame, *, tile: int = 64, first_prepared: int = 4)
 def calibrate(frames: DataFrame, offsets: DataFrame, gains: DataFrame, mask: DataFrame, *, frame: str = "frame_id", on: Sequence[str] = PIXEL, value: str = "v", first_prepared: int = 4, tile: int = 64) -> DataFrame:
     """Offset, bad pixels, recursive scrub with gain, 2x2 bins and co-addition. Frames before `first_prepared` come prepared.
 
-    Pixels are dealt once to tiles with a rim of one pixel, for the neighbours of bad pixels, and a tile goes through time in numpy with five
-    moments in memory. `tile` is even, so that bins lie within tiles and are summed there: nothing else is shuffled. A bin that lacks a pixel
+    Pixels are dealt once to tiles with a rim of one pixel, for the neighbours of bad pixels, in pieces of a moment, and a tile goes through time in numpy with
+    five moments in memory. `tile` is even, so that bins lie within tiles and are summed there: nothing else is shuffled. A bin that lacks a pixel
     in a frame has no part of that frame, as in coadd(bin_spatial(...)).
     """
-    sums = calibrate_tiles(tiles(frames, offsets, gains, mask, frame=frame, on=on, value=value, tile=tile), tile=tile, first_prepared=first_prepared)
+    pieces = tiles(frames, offsets, gains, mask, frame=frame, on=on, value=value, tile=tile)
+    ordered = pieces.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "t")
+    sums = ordered.mapInArrow(_calibrated(tile, first_prepared), "y int, x int, v long")
     return sums.select(F.col("y").alias(on[0]), F.col("x").alias(on[1]), F.col("v").alias(value))
 
 

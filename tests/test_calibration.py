@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import calib
 
@@ -194,3 +195,26 @@ def test_calibration_shuffles_pixels_once(spark, scene):
     assert plan.count("Exchange hashpartitioning(ty") == 1 and plan.index("Exchange hashpartitioning(ty") > plan.index("MapInArrow")
     with pytest.raises(ValueError):
         calib.calibrate(frame_table(spark, stack), m, m, m, tile=3)
+
+
+def test_pixels_are_dealt_in_pieces(spark):
+    """A row for each batch and moment of a tile, some bytes a pixel, and the maps once; large values stay whole."""
+    stack = np.arange(40 * 256).reshape(40, 16, 16) + (np.arange(40) == 7)[:, None, None] * (1 << 30)
+    m = map_table(spark, off=np.ones((16, 16)), gain=np.ones((16, 16)), bad=np.zeros((16, 16)))
+    rows = calib.tiles(frame_table(spark, stack).coalesce(1), m, m, m, tile=64).selectExpr("t", "octet_length(at) + octet_length(v) as n").collect()
+    pieces = [r.n for r in rows if r.n is not None]
+    assert len(rows) < 300 and len(pieces) >= 40 and sum(pieces) < 1.5 * 8 * stack.size
+    wide = frame_table(spark, stack % 9).withColumn("v", F.expr("v + 5000000000L"))
+    assert {r.v for r in calib.calibrate(wide, m, m, m, first_prepared=99).collect()} == {4 * sum(5_000_000_000 + int(v) >> 16 & 65535 for v in stack[2:38, 0, 0] % 9)}
+
+
+def test_frames_added_later_may_have_other_maps(spark, scene, tmp_path):
+    """Also where a frame's pixels were written in two parts."""
+    stack, off, gain, bad = scene
+    one, two = map_table(spark, off=off, gain=gain, bad=bad), map_table(spark, off=off + 9, gain=gain, bad=bad)
+    frames = frame_table(spark, stack)
+    late = "frame_id > 5 or frame_id = 5 and y >= 3"
+    rows = calib.tiles(frames.where(f"not ({late})"), one, one, one, tile=4).unionAll(calib.tiles(frames.where(late), two, two, two, tile=4))
+    shifted = frames.withColumn("v", F.when(F.expr(late), F.pmod(F.col("v") - 9, F.lit(65536))).otherwise(F.col("v")).cast("int"))
+    want = {(r.y, r.x): r.v for r in calib.calibrate(shifted, one, one, one, tile=4, first_prepared=0).collect()}
+    assert {(r.y, r.x): r.v for r in calib.calibrate_tiles(rows, tile=4, first_prepared=0).collect()} == want
