@@ -16,6 +16,7 @@ ignored. Results are determined by the order of the rows within a partition.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -37,11 +38,17 @@ def byte_letters() -> dict[int, str]:
 
 
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: What the vocabulary's pattern parts lower-cased ASCII into, where no apostrophe begins an ending.
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: A capital before what may be a mark, with which only its small letter may compose; all marks come from U+0300 on.
+_CAPITAL_AND_MARK = re.compile(rb"[A-Z][\xcc-\xf4]")
+#: Signs and the one letter that becomes two when it is lower-cased, of U+00C0 to U+017F.
+_NO_LETTERS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 
 
 def _ends_in_letter(word: bytes) -> bool:
-    """Of a-z only: others may turn into a letter and a sign when they are lower-cased."""
-    return bool(word) and 97 <= word[-1] <= 122
+    """Of a-z and the Latin letters below U+0180: others may turn into a letter and a sign when they are lower-cased."""
+    return bool(word) and (97 <= word[-1] <= 122 or (len(word) > 1 and 0xC3 <= word[-2] <= 0xC5 and word[-2:] not in _NO_LETTERS))
 
 
 class WordTokenizer:
@@ -59,7 +66,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: names of special tokens, lower-cased; they hold no white space
-        self.special = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)").search
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.cache: dict[bytes, bytes] = {}
         self.max_cached = max_cached
@@ -73,6 +81,9 @@ class WordTokenizer:
             elif text.isascii():
                 ids = [t.id for t in self.merge(text)]
                 self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            elif max(text) < "\u0180" and "\u0130" not in text:  # composed as they are, and lower-cased one by one
+                ids = [t.id for t in self.merge(text.lower().encode().decode("latin-1").translate(self.letters))]
+                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
             elif len(chunk) < 3 * len(text) and text == unicodedata.normalize("NFC", text) and text == text.lower():
                 ids = [t.id for t in self.merge(chunk.decode("latin-1").translate(self.letters))]
                 self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
@@ -84,11 +95,22 @@ class WordTokenizer:
                 self.cache[text.encode()] = np.array(found.ids, "<u4").tobytes()
 
     def _chunks(self, text: bytes) -> list[bytes]:
-        """Lower-cased where they are ASCII, as a capital may compose with the mark behind it, and hold no special token's name, whose case decides."""
+        """Lower-cased (A-Z), but for those that are not ASCII in a text with a capital before a mark, and those with a special token's name, whose case decides."""
         low = text.translate(LOWER)
-        if any(name in low for name in self.special):
-            return [raw if not raw.isascii() or any(name in part for name in self.special) else part for raw, part in zip(text.split(), low.split(), strict=True)]
-        return low.split() if text.isascii() else [part if part.isascii() else raw for raw, part in zip(text.split(), low.split(), strict=True)]
+        marked, special = not text.isascii() and _CAPITAL_AND_MARK.search(text), self.special(low)
+        if not marked and not special:
+            return low.split()
+        return [raw if (marked and not raw.isascii()) or (special and self.special(part)) else part for raw, part in zip(text.split(), low.split(), strict=True)]
+
+    def _parts(self, chunk: bytes) -> list[bytes] | None:
+        """The runs of a chunk that are tokenized by themselves anyway; with them, fewer chunks are to be learnt."""
+        if chunk.isalpha() or self.special(chunk.translate(LOWER)):
+            return None
+        if chunk.isascii() and b"'" not in chunk and chunk.decode().isprintable():
+            parts = _RUNS.findall(chunk)
+            return parts if len(parts) > 1 else None
+        word = chunk.rstrip(_SIGNS)
+        return [word, chunk[len(word) :]] if len(word) < len(chunk) and _ends_in_letter(word) else None
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -97,12 +119,11 @@ class WordTokenizer:
             self.cache.clear()
         cache = self.cache
         new = set().union(*chunks).difference(cache)
-        # Signs after a letter are a token run of their own anyway; parted from the word, fewer chunks are to be learnt.
-        parted = [(c, word, c[len(word) :]) for c in new if len(word := c.rstrip(_SIGNS)) < len(c) and _ends_in_letter(word) and not any(name in c for name in self.special)]
-        words = new.difference([c for c, _, _ in parted]).union(*((word, signs) for _, word, signs in parted))
+        parted = [(c, parts) for c in new if (parts := self._parts(c))]
+        words = new.difference([c for c, _ in parted]).union(*(parts for _, parts in parted))
         self._learn([c for c in words if c not in cache])
-        for c, word, signs in parted:
-            cache[c] = cache[word] + cache[signs]
+        for c, parts in parted:
+            cache[c] = b"".join(map(cache.__getitem__, parts))
         return [b"".join(map(cache.__getitem__, own)) for own in chunks]
 
 
@@ -205,6 +226,13 @@ class SumOfSquares:
             filled -= length
 
 
+def pieces(batches, rows: int = 256):
+    """Batches in pieces of few rows, so that no whole batch of texts is there as Python objects too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -226,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), *map(pa.array, rest, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         rows = []
-        for batch in batches:
+        for batch in pieces(batches):
             kind = batch.column(0).type
             docs, texts = batch.column(0).to_pylist(), [utf8(t) for t in batch.column(1).to_pylist()]
             for first, last in portions(texts, 400_000):

@@ -103,3 +103,13 @@ def test_few_windows_stay_open_for_any_lengths(sizes):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     check([{k: int(v) for k, v in zip(names, r)} for r in rows], {i: x.tolist() for i, x in ids.items()})
     assert most <= 64 * 6
+
+
+def test_latin_words_and_numbers_need_no_whole_tokenizer(plain):
+    """Once signs and digits are known, only the merges are asked."""
+    words = WordTokenizer(PATH)
+    words.encode(["0 1 2 3 4 5 6 7 8 9 . , $$$ %%%"])
+    words.tokenizer = None
+    text = "Élan ÉTÉ Enleç, ENLEÇ 71.77.118.93 schöte$$$ Über%%% a1b2.c"
+    assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == plain(text)
+    assert words._chunks("Enleç J̌ Éa".encode()) == ["Enleç".encode(), "J̌".encode(), "Éa".encode()] and words._chunks("ENLEç".encode()) == ["enleç".encode()]
