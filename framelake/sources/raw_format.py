@@ -1,7 +1,7 @@
 """Raw little- or big-endian binary as a Spark data source: bytes read in ranges, frames written in parts.
 
-Reading. A folder's files are cut into ranges of whole records, an image line, a line of complex samples or a sample, of at most `range_bytes`; small files share
-a task. So a file of any size is read in tasks of bounded memory. The options `numbers` (of frames, patches) and `places` (y, az, i) choose the files that are opened and
+Reading. A folder's files are cut into ranges of whole records, an image line, a line of complex samples or a sample, of at most `range_bytes`; small ranges share
+a task, also where these are many: beyond some hundreds of tasks each takes more of them, one after the other, up to 64 MB. So a file of any size is read in tasks of bounded memory. The options `numbers` (of frames, patches) and `places` (y, az, i) choose the files that are opened and
 the bytes that are read. They are options, not filters that Spark pushes: Spark 4.1 keeps pushed filters with the loaded table, so
 that two scans of one table, in a self-join say, would both read what the last one asked for.
 
@@ -34,6 +34,7 @@ SCHEMAS = {
     "bytes": "file string, name string, at long, data binary",
 }
 _BATCH = 1 << 18  # values that are decoded at once
+_OPENING, _TASK, _TASKS = 65_536, 64 << 20, 256  # what opening a file counts; bytes of a task, where ranges are smaller and more than so many tasks
 
 
 def store(path: str):
@@ -95,7 +96,7 @@ class RawReader(DataSourceReader):
         per_range = max(1, size // max(1, self.record))
         if self.layout == "bytes":  # ranges of whole chunks
             per_range = max(1, per_range // self.chunk) * self.chunk
-        out, held, held_bytes = [], [], 0
+        found = []
         for info in sorted(files.get_file_info(fs.FileSelector(folder, recursive=self.options.get("recursive", "false") == "true")), key=lambda i: i.path):
             name = info.base_name
             if info.type != fs.FileType.File or name.startswith((".", "_")) or not fnmatch(name, pattern):
@@ -111,11 +112,16 @@ class RawReader(DataSourceReader):
             cuts = [(-1, 0)] if wrong else [(b, min(b + per_range, n, self.most + 1)) for b in range(max(0, self.least), min(n, self.most + 1), per_range)]
             for begin, end in cuts:
                 own = (end - begin) * self.record if begin >= 0 else 0
-                if held and held_bytes + own > size:
-                    out.append(Range(held))
-                    held, held_bytes = [], 0
-                held.append((info.path, told, begin, end, wrong))
-                held_bytes += own + 65_536  # opening a file
+                found.append(((info.path, told, begin, end, wrong), own))
+        # ranges are read one after the other, so what a task takes bounds its time, not its memory
+        size = max(size, min(_TASK, sum(own + _OPENING for _, own in found) // _TASKS))
+        out, held, held_bytes = [], [], 0
+        for piece, own in found:
+            if held and held_bytes + own > size:
+                out.append(Range(held))
+                held, held_bytes = [], 0
+            held.append(piece)
+            held_bytes += own + _OPENING
         return [*out, Range(held)] if held else out or [Range([])]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

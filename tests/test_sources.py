@@ -131,3 +131,12 @@ def test_a_frame_larger_than_a_part(spark, tmp_path):
     raw.write_raw_frames(frame, str(tmp_path / "out"), width=4096, height=4096, part_bytes=1 << 20)
     data = np.fromfile(tmp_path / "out" / "frame_000007.bin", "<u2")
     assert np.array_equal(data, np.arange(16 << 20) % 65521)
+
+
+def test_many_small_ranges_share_tasks(tmp_path):
+    """2,000 files in two ranges each: all of them, none larger than asked for, in some 256 tasks and not in 4,000."""
+    for t in range(2_000):
+        (tmp_path / f"frame{t}.bin").write_bytes(bytes(120))
+    parts = RawReader({"path": str(tmp_path), "width": "10", "height": "6", "range_bytes": "60"}, "frames").partitions()
+    assert len(parts) <= 300 and max(len(p.pieces) for p in parts) <= 20
+    assert sorted((piece[1]["frame_id"], *piece[2:4]) for p in parts for piece in p.pieces) == [(t, *r) for t in range(2_000) for r in ((0, 3), (3, 6))]
