@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -67,17 +68,49 @@ def counters(iv: int, first: int, n: int) -> bytes:
     return np.column_stack([high, low]).astype(">u8").tobytes()
 
 
-def _counters_of(iv_hex: str):
-    iv = int(iv_hex, 16)
+def _rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes cut into rows of these sizes."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
 
-    def make(first: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(n) else counters(iv, int(f), max(1, -(-int(n) // 16))) for f, n in zip(first, size, strict=True)], dtype=object)
+def _bytes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, and where each begins and the last one ends; null is empty."""
+    rows = rows.fill_null(b"")
+    _, offsets, data = rows.buffers()
+    ends = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8), ends
 
-    return F.pandas_udf(make, BinaryType())
 
+def _counters_of(iv_hex: str):
+    iv = int(iv_hex, 16)
 
-def _xor(payload: pd.Series, stream: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else (np.frombuffer(p, np.uint8) ^ np.frombuffer(k, np.uint8)[: len(p)]).tobytes() for p, k in zip(payload, stream, strict=True)], dtype=object)
+    def make(first: pa.Array, size: pa.Array) -> pa.Array:
+        n = np.maximum(1, -(-size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 16))
+        begin = np.cumsum(n) - n
+        block = (np.repeat(first.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - begin, n) + np.arange(n.sum())).astype(np.uint64)
+        low = np.uint64(iv & (1 << 64) - 1) + block
+        high = np.uint64(iv >> 64) + (low < block)
+        made = _rows(np.column_stack([high, low]).astype(">u8").view(np.uint8).ravel(), 16 * n)
+        return pc.if_else(size.is_valid(), made, pa.scalar(None, pa.binary()))
+
+    return F.arrow_udf(make, BinaryType())
+
+
+def _xor(payload: pa.Array, stream: pa.Array) -> pa.Array:
+    """Rows together, a megabyte at a time, or by themselves where they are large."""
+    (data, at), (key, key_at) = _bytes(payload), _bytes(stream)
+    sizes, out = np.diff(at), np.empty(at[-1] - at[0], np.uint8)
+    base, row = at[0], 0
+    while row < len(sizes):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + (1 << 20), "right")) - 1)
+        here = data[at[row] : at[end]]
+        if end == row + 1:
+            own = key[key_at[row] : key_at[row] + sizes[row]]
+        else:
+            own = key[np.repeat(key_at[row:end] - at[row:end], sizes[row:end]) + np.arange(at[row], at[end])]
+        np.bitwise_xor(here, own, out=out[at[row] - base : at[end] - base])
+        row = end
+    return pc.if_else(payload.is_valid(), _rows(out, sizes), pa.scalar(None, pa.binary()))
 
 
 def encrypt_ctr(df: DataFrame, payload: str, key_hex: str, iv_hex: str, out: str = "ciphertext", *, first_block: Column | int = 0) -> DataFrame:
@@ -88,7 +121,7 @@ def encrypt_ctr(df: DataFrame, payload: str, key_hex: str, iv_hex: str, out: str
     ship(df.sparkSession)
     data, first = F.col(f"`{payload}`"), first_block if isinstance(first_block, Column) else F.lit(first_block)
     made = _counters_of(iv_hex)(first.cast("long"), F.octet_length(data))
-    return df.withColumn(out, F.pandas_udf(_xor, BinaryType())(data, F.aes_encrypt(made, F.unhex(F.lit(key_hex)), F.lit("ECB"), F.lit("PKCS"))))
+    return df.withColumn(out, F.arrow_udf(_xor, BinaryType())(data, F.aes_encrypt(made, F.unhex(F.lit(key_hex)), F.lit("ECB"), F.lit("PKCS"))))
 
 
 def chunk_payloads(df: DataFrame, payload: str, *, chunk_bytes: int = 1 << 20) -> DataFrame:
