@@ -17,18 +17,19 @@ ignored. Results are determined by the order of the rows within a partition.
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import LOWER, give_back, read, ship, single_threaded, utf8
-from framelake.llm.words import portions
+
 
 def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for the letters from U+0100 on, in order."""
@@ -51,16 +52,25 @@ def _ends_in_letter(word: bytes) -> bool:
     return bool(word) and (97 <= word[-1] <= 122 or (len(word) > 1 and 0xC3 <= word[-2] <= 0xC5 and word[-2:] not in _NO_LETTERS))
 
 
-class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space: chunks between white space are encoded once and kept.
+def slices(strings: pa.Array, borders: np.ndarray) -> list[bytes]:
+    """The strings of an array of a large type, those between two borders joined."""
+    _, ends, data = strings.buffers()
+    if not len(strings) or not data:
+        return [b""] * (len(borders) - 1)
+    data = data.to_pybytes()
+    return [data[i:j] for i, j in pairwise(np.frombuffer(ends, "<i8")[borders].tolist())]
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts by a tokenizer that drops white space: a chunk between white space is encoded when it is first asked for, and kept.
 
     Only true for byte-level tokenizers that lower-case and split at white space and between letters and other signs before merging, as
     this vocabulary's does; `tests/llm/test_packing.py` compares it with the plain tokenizer. A word of letters in normal form goes to the
     merges at once. Special tokens count as the tokenizer's file says: where their names are written exactly, before lower-casing.
-    The cache is emptied when full.
+    Keys are chunks, values their ids as little-endian unsigned 32-bit numbers; all go when they are too many.
     """
 
-    def __init__(self, path: str, max_cached: int = 250_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -69,62 +79,66 @@ class WordTokenizer:
         special = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)").search
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
-        self.cache: dict[bytes, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.max_cached = max_cached
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        rest = []
-        for chunk in chunks:
-            text = chunk.decode()
-            if not text.isalpha():
-                rest.append(text)
-            elif text.isascii():
-                ids = [t.id for t in self.merge(text)]
-                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            elif max(text) < "\u0180" and "\u0130" not in text:  # composed as they are, and lower-cased one by one
-                ids = [t.id for t in self.merge(text.lower().encode().decode("latin-1").translate(self.letters))]
-                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            elif len(chunk) < 3 * len(text) and text == unicodedata.normalize("NFC", text) and text == text.lower():
-                ids = [t.id for t in self.merge(chunk.decode("latin-1").translate(self.letters))]
-                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(text)
-        for at in range(0, len(rest), 2000):
-            part = rest[at : at + 2000]
-            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[text.encode()] = np.array(found.ids, "<u4").tobytes()
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self._learn(chunk)
+        return ids
+
+    def _merged(self, letters: str) -> bytes:
+        """The ids of one piece that the vocabulary's pattern leaves whole, in the byte-level alphabet."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(letters)])
+
+    def _learn(self, chunk: bytes) -> bytes:
+        """Chunks of more than one piece are put together from their pieces where these are tokenized by themselves anyway."""
+        if chunk.isalpha():
+            return self._merged(chunk.decode())
+        word = chunk.rstrip(_SIGNS)
+        if len(word) < len(chunk) and _ends_in_letter(word) and not self.special(chunk.translate(LOWER)):
+            return self[word] + self[chunk[len(word) :]]
+        text = chunk.decode()
+        if chunk.isascii():
+            if b"'" not in chunk and text.isprintable() and not self.special(chunk.translate(LOWER)):
+                parts = _RUNS.findall(chunk)
+                return b"".join([self[p] for p in parts]) if len(parts) > 1 else self._merged(text)
+        elif text.isalpha():
+            if max(text) < "\u0180" and "\u0130" not in text:  # composed as they are, and lower-cased one by one
+                return self._merged(text.lower().encode().decode("latin-1").translate(self.letters))
+            if len(chunk) < 3 * len(text) and text == unicodedata.normalize("NFC", text) and text == text.lower():
+                return self._merged(chunk.decode("latin-1").translate(self.letters))
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _case_decides(self, text: bytes, low: bytes) -> bool:
+        return bool(not text.isascii() and _CAPITAL_AND_MARK.search(text) or self.special(low))
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """Lower-cased (A-Z), but for those that are not ASCII in a text with a capital before a mark, and those with a special token's name, whose case decides."""
         low = text.translate(LOWER)
-        marked, special = not text.isascii() and _CAPITAL_AND_MARK.search(text), self.special(low)
-        if not marked and not special:
+        if not self._case_decides(text, low):
             return low.split()
-        return [raw if (marked and not raw.isascii()) or (special and self.special(part)) else part for raw, part in zip(text.split(), low.split(), strict=True)]
-
-    def _parts(self, chunk: bytes) -> list[bytes] | None:
-        """The runs of a chunk that are tokenized by themselves anyway; with them, fewer chunks are to be learnt."""
-        if chunk.isalpha() or self.special(chunk.translate(LOWER)):
-            return None
-        if chunk.isascii() and b"'" not in chunk and chunk.decode().isprintable():
-            parts = _RUNS.findall(chunk)
-            return parts if len(parts) > 1 else None
-        word = chunk.rstrip(_SIGNS)
-        return [word, chunk[len(word) :]] if len(word) < len(chunk) and _ends_in_letter(word) else None
+        marked = _CAPITAL_AND_MARK.search(text)
+        return [raw if (marked and not raw.isascii()) or self.special(part) else part for raw, part in zip(text.split(), low.split(), strict=True)]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """As encode(), of lower-cased texts: Arrow parts them into chunks, of which each distinct one is looked up once."""
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        distinct = slices(coded.dictionary, np.arange(len(coded.dictionary) + 1))
+        ids = pa.array(list(map(self.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        return slices(ids, chunks.offsets.to_numpy())
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        chunks = [self._chunks(utf8(t)) for t in texts]
-        if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        cache = self.cache
-        new = set().union(*chunks).difference(cache)
-        parted = [(c, parts) for c in new if (parts := self._parts(c))]
-        words = new.difference([c for c, _ in parted]).union(*(parts for _, parts in parted))
-        self._learn([c for c in words if c not in cache])
-        for c, parts in parted:
-            cache[c] = b"".join(map(cache.__getitem__, parts))
-        return [b"".join(map(cache.__getitem__, own)) for own in chunks]
+        if len(self) > self.max_cached:
+            self.clear()
+        texts = [utf8(t) for t in texts]
+        low = [t.translate(LOWER) for t in texts]
+        cased = {i: b"".join(map(self.__getitem__, self._chunks(t))) for i, t in enumerate(texts) if self._case_decides(t, low[i])}
+        if cased:
+            low = [b"" if i in cased else t for i, t in enumerate(low)]
+        return [cased.get(i, ids) for i, ids in enumerate(self._together(low))]
 
 
 class SumOfSquares:
@@ -226,11 +240,14 @@ class SumOfSquares:
             filled -= length
 
 
-def pieces(batches, rows: int = 256):
-    """Batches in pieces of few rows, so that no whole batch of texts is there as Python objects too."""
+def pieces(batches, size: int = 4_000_000):
+    """Batches of (id, text) in pieces of about `size` bytes, so that no whole batch of texts is there as Python objects too; a longer text is alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held, at = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(held, size + (held[at - 1] if at else 0), "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -256,17 +273,15 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
         rows = []
         for batch in pieces(batches):
             kind = batch.column(0).type
-            docs, texts = batch.column(0).to_pylist(), [utf8(t) for t in batch.column(1).to_pylist()]
-            for first, last in portions(texts, 400_000):
-                for doc, ids in zip(docs[first:last], words.encode(texts[first:last]), strict=True):
-                    rows += packer.add(doc, np.frombuffer(ids + end, "<u4"))
-                if len(rows) >= 20_000:
-                    yield batch_of(rows)
-                    rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
+                rows += packer.add(doc, np.frombuffer(ids + end, "<u4"))
+            if len(rows) >= 20_000:
+                yield batch_of(rows)
+                rows = []
         rows += packer.finish()
         if rows:
             yield batch_of(rows)
-        words.cache.clear()
+        words.clear()
         give_back()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

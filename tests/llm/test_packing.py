@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from framelake.llm.packing import SumOfSquares, WordTokenizer, pack
+from framelake.llm.packing import SumOfSquares, WordTokenizer, pack, pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -113,3 +114,24 @@ def test_latin_words_and_numbers_need_no_whole_tokenizer(plain):
     text = "Élan ÉTÉ Enleç, ENLEÇ 71.77.118.93 schöte$$$ Über%%% a1b2.c"
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == plain(text)
     assert words._chunks("Enleç J̌ Éa".encode()) == ["Enleç".encode(), "J̌".encode(), "Éa".encode()] and words._chunks("ENLEç".encode()) == ["enleç".encode()]
+
+
+def test_each_distinct_chunk_of_a_batch_is_looked_up_once(plain):
+    class Counted(WordTokenizer):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            self.asked += 1
+            return super().__getitem__(chunk)
+
+    words, text = Counted(PATH), "the cat, The Cat; THE dog don't, Été été."
+    found = words.encode([text, "", *["J̌ é<|endoftext|>,"] * 2, *[text] * 500])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [plain(text), [], *[plain("J̌ é<|endoftext|>,")] * 2, *[plain(text)] * 500]
+    assert 0 < words.asked < 40  # each of the two cased texts asks for its own
+
+
+def test_pieces_are_cut_by_bytes():
+    sizes = [3, 0, 4, 4, 30, 0, 1, None, 7, 8]
+    batch = pa.record_batch({"doc_id": list(range(10)), "text": pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())})
+    found = [p.column(0).to_pylist() for p in pieces([batch, batch.slice(0, 0), batch.slice(3, 3)], 8)]
+    assert found == [[0, 1, 2], [3], [4], [5, 6, 7, 8], [9], [3], [4], [5]]
