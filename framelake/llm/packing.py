@@ -67,10 +67,11 @@ class WordTokenizer(dict):
     Only true for byte-level tokenizers that lower-case and split at white space and between letters and other signs before merging, as
     this vocabulary's does; `tests/llm/test_packing.py` compares it with the plain tokenizer. A word of letters in normal form goes to the
     merges at once. Special tokens count as the tokenizer's file says: where their names are written exactly, before lower-casing.
-    Keys are chunks, values their ids as little-endian unsigned 32-bit numbers; all go when they are too many.
+    Keys are chunks, values their ids as little-endian unsigned 32-bit numbers; when they are max_cached they become the older ones, which
+    go at the next turn but for those asked for again. Two tasks of an executor hold such a cache each, beside its heap: so it is small.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 100_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -80,12 +81,22 @@ class WordTokenizer(dict):
         self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)").search
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
-        self.max_cached = max_cached
+        self.max_cached, self.older = max_cached, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self[chunk] = self._learn(chunk)
+        ids = self.older.get(chunk)
+        ids = self[chunk] = self._learn(chunk) if ids is None else ids
         return ids
 
+    def turn(self) -> None:
+        self.older = {}  # before the copy, so that no third lot is there
+        self.older = dict(self)
+        self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def _merged(self, letters: str) -> bytes:
         """The ids of one piece that the vocabulary's pattern leaves whole, in the byte-level alphabet."""
         packed = self.packed
@@ -132,7 +143,7 @@ class WordTokenizer(dict):
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self) > self.max_cached:
-            self.clear()
+            self.turn()
         texts = [utf8(t) for t in texts]
         low = [t.translate(LOWER) for t in texts]
         cased = {i: b"".join(map(self.__getitem__, self._chunks(t))) for i, t in enumerate(texts) if self._case_decides(t, low[i])}
@@ -240,7 +251,7 @@ class SumOfSquares:
             filled -= length
 
 
-def pieces(batches, size: int = 4_000_000):
+def pieces(batches, size: int = 1_000_000):
     """Batches of (id, text) in pieces of about `size` bytes, so that no whole batch of texts is there as Python objects too; a longer text is alone."""
     for batch in batches:
         held, at = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64), 0
@@ -253,16 +264,16 @@ def pieces(batches, size: int = 4_000_000):
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", capacity: int = 4096, end_id: int = 2, max_cached: int = 100_000) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `tokenizer` is the path of a word-BPE tokenizer file that each executor has.
+    `tokenizer` is the path of a word-BPE tokenizer file that each executor has; `max_cached` bounds the chunks whose ids a task keeps.
     """
     ship(docs.sparkSession)
     kinds = [pa.int64()] * 6
 
     def place(batches):
-        words = WordTokenizer(tokenizer)
+        words = WordTokenizer(tokenizer, max_cached)
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 36)
         end, kind = np.array([end_id], "<u4").tobytes(), None
 
@@ -281,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", c
         rows += packer.finish()
         if rows:
             yield batch_of(rows)
-        words.clear()
+        words.forget()
         give_back()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -1,7 +1,11 @@
 """Packing against the plain tokenizer and the rules for pieces."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -135,3 +139,35 @@ def test_pieces_are_cut_by_bytes():
     batch = pa.record_batch({"doc_id": list(range(10)), "text": pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())})
     found = [p.column(0).to_pylist() for p in pieces([batch, batch.slice(0, 0), batch.slice(3, 3)], 8)]
     assert found == [[0, 1, 2], [3], [4], [5, 6, 7, 8], [9], [3], [4], [5]]
+
+
+def test_memory_of_many_different_words_is_bounded():
+    """A million different words, through a process of its own: what its memory grows by beyond the tokenizer's."""
+    code = f"""
+import re
+from framelake.llm.packing import WordTokenizer, pieces
+import pyarrow as pa
+held = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+words = WordTokenizer({PATH!r})
+words.encode(["a few words"])
+before = held()
+for k in range(0, 1_000_000, 50_000):
+    texts = [" ".join(f"w{{i * 2654435761 % 2**32:x}}" for i in range(n, n + 1_000)) for n in range(k, k + 50_000, 1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    for piece in pieces([batch]):
+        words.encode(piece.column(1).to_pylist())
+print(held() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])}).stdout)
+    assert grown < 110, grown
+
+
+def test_chunks_asked_for_again_outlive_a_turn():
+    words = WordTokenizer(PATH, max_cached=3)
+    words.encode(["one two three four"])
+    words.encode(["one five"])  # the first four are the older ones now
+    learnt, words._learn = [], lambda chunk, learn=words._learn: learnt.append(chunk) or learn(chunk)
+    words.encode(["one two five six"])
+    assert learnt == [b"six"]
+    words.forget()
+    assert not words and not words.older

@@ -119,3 +119,19 @@ def test_odd_tables(spark, sf_dir, odd, name, stage):
             assert len(rows) == len(ODD)  # no groups under several ids, no contamination
     none = stage(spark, odd.limit(0), sf_dir)
     assert none.count() == 0 and none.columns == left.columns
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir, odd):
+    """But where the session names a number, that stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    named = spark.conf.getAll.get(key)
+    try:
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.decontamination, corpus_pipeline.pack):
+            spark.conf.unset(key)
+            stage(spark, odd, sf_dir)
+            assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, 77)
+        corpus_pipeline.pack(spark, odd, sf_dir)
+        assert int(spark.conf.get(key)) == 77
+    finally:
+        spark.conf.set(key, named) if named else spark.conf.unset(key)
